@@ -1,0 +1,55 @@
+"""Canonical table schemas (section 1.3 of the survey)."""
+
+from pyspark.sql import types as T
+
+MESSAGES = T.StructType([
+    T.StructField("owner_id", T.StringType()),
+    T.StructField("thread_id", T.StringType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("speaker", T.StringType()),
+    T.StructField("content", T.StringType()),
+    T.StructField("is_reply", T.BooleanType()),
+    T.StructField("reply_info", T.StringType()),
+    T.StructField("source", T.StringType()),
+])
+
+MESSAGE_COLUMNS = [f.name for f in MESSAGES.fields]
+
+TURN_COLUMNS = [
+    "owner_id", "thread_id", "conv_no", "turn_idx", "ts", "speaker", "content",
+    "is_reply", "reply_info", "n_msgs",
+]
+
+CONTACTS = T.StructType([
+    T.StructField("owner_id", T.StringType()),
+    T.StructField("phone_norm", T.StringType()),
+    T.StructField("name", T.StringType()),
+])
+
+MEMORIES = T.StructType([
+    T.StructField("owner_id", T.StringType()),
+    T.StructField("mem_id", T.LongType()),
+    T.StructField("level", T.IntegerType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("attribute", T.StringType()),
+    T.StructField("citation", T.StringType()),
+    T.StructField("ts_text", T.StringType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+])
+
+REQUESTS = T.StructType([
+    T.StructField("owner_id", T.StringType()),
+    T.StructField("stage", T.StringType()),
+    T.StructField("batch_no", T.LongType()),
+    T.StructField("prompt", T.StringType()),
+    T.StructField("member_keys", T.ArrayType(T.LongType())),
+])
+
+RESPONSES = T.StructType([
+    T.StructField("owner_id", T.StringType()),
+    T.StructField("stage", T.StringType()),
+    T.StructField("batch_no", T.LongType()),
+    T.StructField("text", T.StringType()),
+])
