@@ -118,3 +118,56 @@ def q_history_examples_conv(spark, sf_dir):
     cfg = exm.FilterConfig(max_words=200)
     e = exm.build_examples(conv_turns(spark, sf_dir), cfg=cfg)
     return finish(e.select(*exm.EX_KEY, "ts", "instruction", "input", "output"))
+
+
+# --------------------------------------------------------------------------
+# Subsets (T17-T24)
+# --------------------------------------------------------------------------
+
+from chatlake.operators import subsets as sub  # noqa: E402
+
+SUBSET_COLS = ["subset_name", "owner_id", "thread_id", "seq", "ts", "picked", "pos"]
+
+
+def _event_rows(spark, sf_dir):
+    return ad.msgs_events(spark, sf_dir).select("owner_id", "thread_id", "seq", "ts")
+
+
+def _ladder(spark, sf_dir):
+    return sub.spaced_subsets(_event_rows(spark, sf_dir), ["owner_id"], ["seq"], sub.LADDER)
+
+
+@register("spaced_subset")
+def q_spaced_subset(spark, sf_dir):
+    s = sub.spaced_subsets(_event_rows(spark, sf_dir), ["owner_id"], ["seq"], [sub.SubsetSpec("B250", 250, 4)])
+    return finish(s.select(*SUBSET_COLS))
+
+
+@register("tail_subset")
+def q_tail_subset(spark, sf_dir):
+    s = sub.spaced_subsets(_event_rows(spark, sf_dir), ["owner_id"], ["seq"], [sub.SubsetSpec("B2k", 2000, None)])
+    return finish(s.select(*SUBSET_COLS))
+
+
+@register("subset_ladder")
+def q_subset_ladder(spark, sf_dir):
+    return finish(_ladder(spark, sf_dir).select(*SUBSET_COLS))
+
+
+@register("validation_split")
+def q_validation_split(spark, sf_dir):
+    rows = _event_rows(spark, sf_dir)
+    v = sub.validation_split(rows, _ladder(spark, sf_dir), ["owner_id"], ["seq"])
+    return finish(v.select(*SUBSET_COLS))
+
+
+@register("duplicate_rows")
+def q_duplicate_rows(spark, sf_dir):
+    d = sub.duplicate_rows(_ladder(spark, sf_dir))
+    return d.select("subset_name", "owner_id", "seq", F.col("copy").cast("int"))
+
+
+@register("prompt_completion")
+def q_prompt_completion(spark, sf_dir):
+    e = exm.build_examples(conv_turns(spark, sf_dir), cfg=exm.FilterConfig(max_words=200))
+    return sub.prompt_completion(e)

@@ -211,3 +211,101 @@ FROM xr"""
 ORACLE["history_examples_conv"] = f"""WITH {examples_ctes(M_CONV, max_words=200)}
 SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, instruction, input, output
 FROM xr WHERE reject_reason IS NULL"""
+
+
+# --------------------------------------------------------------------------
+# Subsets: the greedy loop as a recursive CTE
+# --------------------------------------------------------------------------
+
+R_EVENTS = f"""{M_EVENTS},
+r AS (SELECT owner_id, thread_id, seq, ts, epoch_us(ts) AS t FROM m)"""
+
+LADDER_SQL = [("B25", 25, 24), ("B50", 50, 12), ("B100", 100, 12), ("B250", 250, 4), ("B500", 500, 2),
+              ("B1k", 1000, 1), ("B2k", 2000, None), ("B4k", 4000, None), ("B8k", 8000, None)]
+
+
+def subset_ctes(src: str, name: str, size: int, gap_h) -> tuple[str, str]:
+    """CTEs selecting ``(subset_name, owner_id, seq, picked)`` into ``{name}_sel``."""
+    p = f"s_{name}"
+    ok = f"{p}_ok AS (SELECT owner_id FROM {src} GROUP BY owner_id HAVING count(*) >= {size})"
+    if gap_h is None:
+        body = f"""{ok},
+{p}_sel AS (SELECT '{name}' AS subset_name, owner_id, seq, false AS picked FROM (
+    SELECT owner_id, seq, row_number() OVER (PARTITION BY owner_id ORDER BY t DESC, seq DESC) AS rn
+    FROM {src} SEMI JOIN {p}_ok USING (owner_id)) WHERE rn <= {size})"""
+        return body, f"{p}_sel"
+    gap = int(gap_h * 3600 * 1_000_000)
+    body = f"""{ok},
+{p}_d AS (SELECT owner_id, t, min(seq) AS rseq FROM {src} GROUP BY owner_id, t),
+{p}_ch(owner_id, t, pos) AS (
+    SELECT owner_id, max(t), 0 FROM {src} SEMI JOIN {p}_ok USING (owner_id) GROUP BY owner_id
+    UNION ALL
+    SELECT c.owner_id,
+           (SELECT max(d.t) FROM {p}_d d WHERE d.owner_id = c.owner_id AND d.t <= c.t - {gap} AND d.t > 0),
+           c.pos + 1
+    FROM {p}_ch c WHERE c.t IS NOT NULL AND c.pos + 1 < {size}),
+{p}_pk AS (SELECT c.owner_id, d.rseq AS seq FROM {p}_ch c JOIN {p}_d d USING (owner_id, t)
+           WHERE c.t IS NOT NULL),
+{p}_np AS (SELECT owner_id, count(*) AS np FROM {p}_pk GROUP BY owner_id),
+{p}_fill AS (SELECT owner_id, seq FROM (
+    SELECT x.owner_id, x.seq, x.rn, coalesce(n.np, 0) AS np FROM (
+        SELECT owner_id, seq, row_number() OVER (PARTITION BY owner_id ORDER BY t DESC, seq) AS rn
+        FROM (SELECT * FROM {src} SEMI JOIN {p}_ok USING (owner_id)) a
+        ANTI JOIN {p}_pk USING (owner_id, seq)) x
+    LEFT JOIN {p}_np n USING (owner_id)) WHERE rn <= {size} - np),
+{p}_sel AS (SELECT '{name}' AS subset_name, owner_id, seq, true AS picked FROM {p}_pk
+            UNION ALL SELECT '{name}', owner_id, seq, false FROM {p}_fill)"""
+    return body, f"{p}_sel"
+
+
+def subset_rows(src: str, sel: str) -> str:
+    return f"""SELECT s.subset_name, r.owner_id, r.thread_id, r.seq, strftime(r.ts, {TS_FMT}) AS ts, s.picked,
+       CAST(row_number() OVER (PARTITION BY s.subset_name, r.owner_id ORDER BY r.t, r.seq) - 1 AS INTEGER) AS pos
+FROM {sel} s JOIN {src} r USING (owner_id, seq)"""
+
+
+def ladder_sql(specs=LADDER_SQL) -> tuple[str, list[str]]:
+    bodies, sels = [], []
+    for name, size, gap in specs:
+        b, s = subset_ctes("r", name, size, gap)
+        bodies.append(b)
+        sels.append(s)
+    union = " UNION ALL ".join(f"SELECT * FROM {s}" for s in sels)
+    return ",\n".join(bodies) + f",\nladder AS ({union})", sels
+
+
+_b250, _s250 = subset_ctes("r", "B250", 250, 4)
+ORACLE["spaced_subset"] = f"""WITH RECURSIVE {R_EVENTS},
+{_b250}
+{subset_rows('r', _s250)}"""
+
+_b2k, _s2k = subset_ctes("r", "B2k", 2000, None)
+ORACLE["tail_subset"] = f"""WITH RECURSIVE {R_EVENTS},
+{_b2k}
+{subset_rows('r', _s2k)}"""
+
+_lad, _ = ladder_sql()
+ORACLE["subset_ladder"] = f"""WITH RECURSIVE {R_EVENTS},
+{_lad}
+{subset_rows('r', 'ladder')}"""
+
+_vb, _vs = subset_ctes("vc", "validation", 200, 1)
+ORACLE["validation_split"] = f"""WITH RECURSIVE {R_EVENTS},
+{_lad},
+used AS (SELECT DISTINCT r.owner_id, r.ts FROM ladder l JOIN r USING (owner_id, seq)),
+vc AS (SELECT * FROM r ANTI JOIN used USING (owner_id, ts)),
+{_vb},
+vsmall AS (SELECT 'validation' AS subset_name, owner_id, seq, false AS picked FROM vc
+           WHERE owner_id NOT IN (SELECT owner_id FROM s_validation_ok)),
+vall AS (SELECT * FROM {_vs} UNION ALL SELECT * FROM vsmall)
+{subset_rows('vc', 'vall')}"""
+
+ORACLE["duplicate_rows"] = f"""WITH RECURSIVE {R_EVENTS},
+{_lad},
+f(subset_name, factor) AS (VALUES ('B25', 4), ('B50', 2), ('B100', 2), ('B250', 1), ('B500', 1),
+                                  ('B1k', 1), ('B2k', 1), ('B4k', 1), ('B8k', 1))
+SELECT l.subset_name, l.owner_id, l.seq, CAST(g.copy AS INTEGER) AS copy
+FROM ladder l JOIN f USING (subset_name), generate_series(1, f.factor) AS g(copy)"""
+
+ORACLE["prompt_completion"] = f"""WITH {examples_ctes(M_CONV, max_words=200)}
+SELECT input AS prompt, output AS completion FROM xr WHERE reject_reason IS NULL"""

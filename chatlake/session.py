@@ -21,6 +21,7 @@ def local_session(master: str | None = None, app: str = "chatlake") -> SparkSess
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
