@@ -171,3 +171,42 @@ def q_duplicate_rows(spark, sf_dir):
 def q_prompt_completion(spark, sf_dir):
     e = exm.build_examples(conv_turns(spark, sf_dir), cfg=exm.FilterConfig(max_words=200))
     return sub.prompt_completion(e)
+
+
+# --------------------------------------------------------------------------
+# Token statistics
+# --------------------------------------------------------------------------
+
+from chatlake.operators import stats as st  # noqa: E402
+
+
+def _stat_examples(spark, sf_dir):
+    t = conv_turns(spark, sf_dir)
+    f = exm.example_features(t, cfg=exm.FilterConfig(max_words=200))
+    e = exm.render_examples(f, t, survivors_only=False)
+    conv_all = e.select(F.lit("conv_all").alias("dataset"), "input", "output")
+    conv_kept = e.filter(F.col("reject_reason").isNull()).select(F.lit("conv_kept").alias("dataset"), "input", "output")
+    docs = ad.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("docs_"), F.col("lang")).alias("dataset"), F.col("text").alias("input"),
+        F.col("source").alias("output"))
+    return st.token_counts(conv_all.unionByName(conv_kept).unionByName(docs))
+
+
+@register("token_stats")
+def q_token_stats(spark, sf_dir):
+    return finish(st.token_stats(_stat_examples(spark, sf_dir)))
+
+
+@register("token_histogram")
+def q_token_histogram(spark, sf_dir):
+    return finish(st.token_histogram(_stat_examples(spark, sf_dir)))
+
+
+@register("token_summary")
+def q_token_summary(spark, sf_dir):
+    return finish(st.token_summary(_stat_examples(spark, sf_dir)))
+
+
+@register("over_limit")
+def q_over_limit(spark, sf_dir):
+    return st.conversation_tokens(conv_turns(spark, sf_dir))

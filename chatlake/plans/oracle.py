@@ -309,3 +309,58 @@ FROM ladder l JOIN f USING (subset_name), generate_series(1, f.factor) AS g(copy
 
 ORACLE["prompt_completion"] = f"""WITH {examples_ctes(M_CONV, max_words=200)}
 SELECT input AS prompt, output AS completion FROM xr WHERE reject_reason IS NULL"""
+
+
+# --------------------------------------------------------------------------
+# Token statistics
+# --------------------------------------------------------------------------
+
+from chatlake.operators.stats import TOKEN_RE  # noqa: E402
+
+
+def _tok(x: str) -> str:
+    return f"CAST(len(regexp_extract_all(coalesce({x}, ''), {_q(TOKEN_RE)})) AS BIGINT)"
+
+
+STAT_CTES = f"""{examples_ctes(M_CONV, max_words=200)},
+ds AS (SELECT 'conv_all' AS dataset, input, output FROM xr
+       UNION ALL SELECT 'conv_kept', input, output FROM xr WHERE reject_reason IS NULL
+       UNION ALL SELECT 'docs_' || lang, text, source FROM documents),
+tc AS (SELECT dataset, {_tok('input')} AS input_tokens, {_tok('output')} AS output_tokens FROM ds),
+tc2 AS (SELECT *, input_tokens + output_tokens AS combined_tokens FROM tc),
+lf AS (SELECT dataset, 'input_tokens' AS measure, input_tokens AS n FROM tc2
+       UNION ALL SELECT dataset, 'output_tokens', output_tokens FROM tc2
+       UNION ALL SELECT dataset, 'combined_tokens', combined_tokens FROM tc2)"""
+
+ORACLE["token_stats"] = f"""WITH {STAT_CTES}
+SELECT dataset, measure, count(*) AS num_examples, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 6) AS mean,
+       round(quantile_cont(n::DOUBLE, 0.5), 6) AS median, max(n) AS max, min(n) AS min,
+       round(quantile_cont(n::DOUBLE, 0.95), 6) AS p95, round(stddev_pop(n), 6) AS std_dev
+FROM lf GROUP BY dataset, measure"""
+
+ORACLE["token_histogram"] = f"""WITH {STAT_CTES},
+rg AS (SELECT dataset, measure,
+              CASE WHEN min(n) = max(n) THEN min(n) - 0.5 ELSE min(n)::DOUBLE END AS lo_e,
+              CASE WHEN min(n) = max(n) THEN max(n) + 0.5 ELSE max(n)::DOUBLE END AS hi_e
+       FROM lf GROUP BY dataset, measure),
+bn AS (SELECT lf.dataset, lf.measure,
+              CAST(least(greatest(floor((n - lo_e) * 50 / (hi_e - lo_e)), 0), 49) AS INTEGER) AS bin
+       FROM lf JOIN rg USING (dataset, measure)),
+cnt AS (SELECT dataset, measure, bin, count(*) AS c FROM bn GROUP BY ALL),
+allb AS (SELECT dataset, measure, lo_e, hi_e, CAST(b AS INTEGER) AS bin FROM rg, range(0, 50) AS r(b))
+SELECT a.dataset, a.measure, a.bin, round(lo_e + a.bin * (hi_e - lo_e) / 50, 6) AS bin_lo,
+       round(lo_e + (a.bin + 1) * (hi_e - lo_e) / 50, 6) AS bin_hi, CAST(coalesce(c, 0) AS BIGINT) AS n_examples
+FROM allb a LEFT JOIN cnt USING (dataset, measure, bin)"""
+
+ORACLE["token_summary"] = f"""WITH {STAT_CTES}
+SELECT dataset, count(*) AS num_examples, CAST(sum(combined_tokens) AS BIGINT) AS total_tokens,
+       round(avg(input_tokens), 6) AS avg_input, round(avg(output_tokens), 6) AS avg_output
+FROM tc2 GROUP BY dataset
+UNION ALL
+SELECT 'TOTAL', count(*), CAST(sum(combined_tokens) AS BIGINT), NULL, NULL FROM tc2"""
+
+ORACLE["over_limit"] = f"""WITH {turns_ctes(M_CONV)}
+SELECT owner_id, thread_id, conv_no,
+       CAST(sum({_tok("strftime(ts, " + TS_FMT + ") || ' ' || speaker || ': ' || content")}) AS BIGINT) AS n_tokens,
+       sum({_tok("strftime(ts, " + TS_FMT + ") || ' ' || speaker || ': ' || content")}) > 100000 AS over_limit
+FROM t GROUP BY owner_id, thread_id, conv_no"""
