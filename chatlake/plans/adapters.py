@@ -106,7 +106,9 @@ def mems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(" ", F.coalesce(F.col("event_type"), F.lit("memory")),
                     F.format_string("%.2f", F.coalesce(F.col("value"), F.lit(0.0))),
                     F.concat(F.lit("label"), F.col("label").cast("string"))).alias("attribute"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts_text"),
+        # Label 9 carries a free-text period, as extracted memories sometimes do.
+        F.when(F.col("label") == 9, F.lit("Summer 2023"))
+         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts_text"),
         F.col("ts"),
         F.col("embedding"),
         F.col("label"),

@@ -210,3 +210,70 @@ def q_token_summary(spark, sf_dir):
 @register("over_limit")
 def q_over_limit(spark, sf_dir):
     return st.conversation_tokens(conv_turns(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Retrieval
+# --------------------------------------------------------------------------
+
+from chatlake.operators import retrieval as rt  # noqa: E402
+
+
+def _vector_queries(spark, sf_dir):
+    """Every memory vector also serves as a query (kNN link-table style)."""
+    return ad.mems(spark, sf_dir).select("owner_id", F.col("mem_id").alias("query_id"),
+                                         F.col("embedding").alias("q_embedding"))
+
+
+@register("cosine_topk")
+def q_cosine_topk(spark, sf_dir):
+    h = rt.similarity_topk(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir), k=rt.TOP_K)
+    return finish(h.select("owner_id", "query_id", "rank", "mem_id", "similarity"))
+
+
+@register("recency_topk")
+def q_recency_topk(spark, sf_dir):
+    hits, _ = rt.flat_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir))
+    return finish(hits.select("owner_id", "query_id", "rank", "mem_id", "score"))
+
+
+@register("flat_search_text")
+def q_flat_search_text(spark, sf_dir):
+    _, texts = rt.flat_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir))
+    return texts
+
+
+@register("keyword_topk")
+def q_keyword_topk(spark, sf_dir):
+    q = ad.table(spark, sf_dir, "benchmark").select(F.lit(ad.EVENTS_OWNER).alias("owner_id"),
+                                                    F.col("item_id").alias("query_id"), F.col("text").alias("q_text"))
+    k = rt.keyword_search(q, ad.mems(spark, sf_dir))
+    return k.select("owner_id", "query_id", "rank", "mem_id", "matches")
+
+
+@register("hierarchical_search")
+def q_hierarchical_search(spark, sf_dir):
+    return rt.hierarchical_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir))
+
+
+@register("reuse_gate")
+def q_reuse_gate(spark, sf_dir):
+    e = ad.table(spark, sf_dir, "embeddings").select(
+        F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.col("label").alias("session_id"), F.col("vec_id").alias("seq"),
+        F.col("embedding").alias("q_embedding"), (F.col("embedding")[0] > 0).alias("verdict"))
+    return rt.reuse_gate(e)
+
+
+@register("query_window")
+def q_query_window(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "conversations").select(
+        F.lit(ad.CONV_OWNER).alias("owner_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"),
+        "role", F.col("text").alias("content"))
+    return rt.query_window(c)
+
+
+@register("system_prompt")
+def q_system_prompt(spark, sf_dir):
+    _, texts = rt.flat_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir))
+    keys = _vector_queries(spark, sf_dir).select("owner_id", "query_id")
+    return rt.assemble_prompt("Me", "2024-02-01", None, texts, keys)

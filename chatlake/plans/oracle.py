@@ -364,3 +364,95 @@ SELECT owner_id, thread_id, conv_no,
        CAST(sum({_tok("strftime(ts, " + TS_FMT + ") || ' ' || speaker || ': ' || content")}) AS BIGINT) AS n_tokens,
        sum({_tok("strftime(ts, " + TS_FMT + ") || ' ' || speaker || ': ' || content")}) > 100000 AS over_limit
 FROM t GROUP BY owner_id, thread_id, conv_no"""
+
+
+# --------------------------------------------------------------------------
+# Retrieval
+# --------------------------------------------------------------------------
+
+MEMS = """mm AS (
+  SELECT 'events' AS owner_id, e.vec_id AS mem_id, e.embedding::DOUBLE[] AS emb, e.label,
+         CASE WHEN e.label = 0 THEN 3 WHEN e.label <= 3 THEN 2 ELSE 1 END AS level,
+         concat_ws(' ', coalesce(ev.event_type, 'memory'), printf('%.2f', coalesce(ev.value, 0.0)),
+                   'label' || CAST(e.label AS VARCHAR)) AS attribute,
+         CASE WHEN e.label = 9 THEN 'Summer 2023'
+              ELSE strftime(date_trunc('second', ev.ts), '%Y-%m-%d %H:%M:%S') END AS ts_text
+  FROM embeddings e LEFT JOIN events ev ON ev.event_id = e.vec_id),
+rec AS (
+  SELECT *, epoch_us(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S')) AS tu FROM mm),
+rng AS (SELECT owner_id, min(tu) AS lo, max(tu) AS hi FROM rec GROUP BY owner_id),
+mr AS (SELECT rec.*, coalesce((tu - lo)::DOUBLE / CASE WHEN hi = lo THEN 1000000 ELSE hi - lo END, 0.0) AS recency
+       FROM rec JOIN rng USING (owner_id))"""
+
+ORACLE["cosine_topk"] = f"""WITH {MEMS},
+s AS (SELECT q.owner_id, q.mem_id AS query_id, m.mem_id, list_cosine_similarity(q.emb, m.emb) AS similarity
+      FROM mm q JOIN mm m USING (owner_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner_id, query_id ORDER BY similarity DESC, mem_id) AS INTEGER) AS rank FROM s)
+SELECT owner_id, query_id, rank, mem_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 6"""
+
+ORACLE["recency_topk"] = f"""WITH {MEMS},
+s AS (SELECT q.owner_id, q.mem_id AS query_id, m.mem_id,
+             (1 - 0.15) * list_cosine_similarity(q.emb, m.emb) + 0.15 * m.recency AS score
+      FROM mm q JOIN mr m USING (owner_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner_id, query_id ORDER BY score DESC, mem_id) AS INTEGER) AS rank FROM s)
+SELECT owner_id, query_id, rank, mem_id, round(score, 6) AS score FROM r WHERE rank <= 6"""
+
+ORACLE["flat_search_text"] = f"""WITH {MEMS},
+s AS (SELECT q.owner_id, q.mem_id AS query_id, m.mem_id, m.ts_text, m.attribute,
+             (1 - 0.15) * list_cosine_similarity(q.emb, m.emb) + 0.15 * m.recency AS score
+      FROM mm q JOIN mr m USING (owner_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner_id, query_id ORDER BY score DESC, mem_id) AS rank FROM s)
+SELECT owner_id, query_id,
+       string_agg('[' || coalesce(ts_text, '') || '] ' || attribute || chr(10), '' ORDER BY rank) AS memory_text
+FROM r WHERE rank <= 6 GROUP BY owner_id, query_id"""
+
+ORACLE["keyword_topk"] = f"""WITH {MEMS},
+qw AS (SELECT DISTINCT item_id AS query_id, w FROM benchmark,
+       unnest(regexp_extract_all(lower(text), {_q(NONWS)})) AS u(w)),
+p AS (SELECT 'events' AS owner_id, qw.query_id, mm.mem_id, count(*) AS matches
+      FROM qw JOIN mm ON contains(lower(mm.attribute), qw.w) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner_id, query_id ORDER BY matches DESC, mem_id) AS INTEGER) AS rank FROM p)
+SELECT owner_id, query_id, rank, mem_id, matches FROM r WHERE rank <= 6"""
+
+
+def _knn(src_q: str, src_m: str, k: int, name: str) -> str:
+    return f"""{name} AS (SELECT * FROM (
+    SELECT q.owner_id, q.mem_id AS parent_id, m.mem_id AS child_id,
+           row_number() OVER (PARTITION BY q.owner_id, q.mem_id
+                              ORDER BY list_cosine_similarity(q.emb, m.emb) DESC, m.mem_id) AS child_rank
+    FROM {src_q} q JOIN {src_m} m USING (owner_id)) WHERE child_rank <= {k})"""
+
+
+ORACLE["hierarchical_search"] = f"""WITH {MEMS},
+l3 AS (SELECT * FROM mm WHERE level = 3), l2 AS (SELECT * FROM mm WHERE level = 2),
+l1 AS (SELECT * FROM mm WHERE level = 1),
+{_knn('mm', 'l3', 3, 't3')},
+{_knn('l3', 'l2', 3, 'k32')},
+{_knn('l2', 'l1', 2, 'k21')},
+lv3 AS (SELECT owner_id, parent_id AS query_id, 3 AS level, child_rank AS r3, 0 AS r2, 0 AS r1,
+               child_id AS mem_id FROM t3),
+lv2 AS (SELECT a.owner_id, a.query_id, 2 AS level, a.r3, b.child_rank AS r2, 0 AS r1, b.child_id AS mem_id
+        FROM lv3 a JOIN k32 b ON a.owner_id = b.owner_id AND a.mem_id = b.parent_id WHERE a.r3 <= 2),
+lv1 AS (SELECT a.owner_id, a.query_id, 1 AS level, a.r3, a.r2, b.child_rank AS r1, b.child_id AS mem_id
+        FROM lv2 a JOIN k21 b ON a.owner_id = b.owner_id AND a.mem_id = b.parent_id)
+SELECT owner_id, query_id, CAST(level AS INTEGER) AS level, CAST(r3 AS INTEGER) AS r3, CAST(r2 AS INTEGER) AS r2,
+       CAST(r1 AS INTEGER) AS r1, mem_id
+FROM (SELECT * FROM lv3 UNION ALL SELECT * FROM lv2 UNION ALL SELECT * FROM lv1)"""
+
+ORACLE["reuse_gate"] = """WITH RECURSIVE q AS (
+  SELECT label AS session_id, vec_id AS seq, embedding::DOUBLE[] AS e, embedding[1] > 0 AS v,
+         row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+g(session_id, rn, seq, ref, reused) AS (
+  SELECT session_id, rn, seq, e, false FROM q WHERE rn = 1
+  UNION ALL
+  SELECT q.session_id, q.rn, q.seq,
+         CASE WHEN q.v AND list_cosine_similarity(g.ref, q.e) > 0.7 THEN g.ref ELSE q.e END,
+         q.v AND list_cosine_similarity(g.ref, q.e) > 0.7
+  FROM g JOIN q ON q.session_id = g.session_id AND q.rn = g.rn + 1)
+SELECT 'events' AS owner_id, session_id, seq, reused FROM g"""
+
+ORACLE["query_window"] = """SELECT 'convs' AS owner_id, conv_id AS session_id, turn AS seq,
+       array_to_string(list(CASE WHEN suffix(text, '/n Me: ') THEN left(text, length(text) - 7) ELSE text END)
+                       OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+                       chr(10) || chr(10)) AS query_text
+FROM conversations WHERE role = 'user'"""
