@@ -277,3 +277,109 @@ def q_system_prompt(spark, sf_dir):
     _, texts = rt.flat_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir))
     keys = _vector_queries(spark, sf_dir).select("owner_id", "query_id")
     return rt.assemble_prompt("Me", "2024-02-01", None, texts, keys)
+
+
+# --------------------------------------------------------------------------
+# Ingest: text-export round trip, contacts, thread filter, census
+# --------------------------------------------------------------------------
+
+from chatlake.operators import ingest as ing  # noqa: E402
+from chatlake.sources import exports as src  # noqa: E402
+
+
+def _export_msgs(spark, sf_dir):
+    """Events as an export: ``view`` senders are phone numbers, and low-value
+    errors are edit notices (system records the parser must drop)."""
+    m = ad.msgs_events(spark, sf_dir)
+    ev = F.split("content", " ")[0]
+    phone = F.concat(F.lit("+1212555"), F.lpad("thread_id", 4, "0"))
+    return m.withColumn("speaker", F.when(ev == "view", phone).otherwise(F.col("speaker"))) \
+        .withColumn("content", F.when((ev == "error") & (F.split("content", " ")[1].cast("double") < 5),
+                                      F.concat(F.lit("Edited to "), F.col("content"))).otherwise(F.col("content")))
+
+
+def _export_lines(spark, sf_dir):
+    return ing.export_lines(_export_msgs(spark, sf_dir))
+
+
+def _event_contacts(spark, sf_dir):
+    """Contact book: numbers of even user ids carry the customer's name."""
+    users = ad.table(spark, sf_dir, "events").select("user_id").distinct().filter(F.col("user_id") % 2 == 0)
+    cust = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return users.join(cust, "user_id").select(
+        F.lit(ad.EVENTS_OWNER).alias("owner_id"),
+        F.concat(F.lit("+1212555"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("phone"), "name")
+
+
+def _resolved_lines(spark, sf_dir):
+    contacts = ing.normalize_contacts(_event_contacts(spark, sf_dir))
+    r = ing.resolve_phones(_export_lines(spark, sf_dir), contacts, ["owner_id", "thread_id", "line_no"], "value")
+    return r.select("owner_id", "thread_id", "line_no", F.col("resolved").alias("value"))
+
+
+@register("parse_exports")
+def q_parse_exports(spark, sf_dir):
+    m = src.assemble_records(_export_lines(spark, sf_dir))
+    return finish(m.select("owner_id", "thread_id", "ts", "speaker", "content", "is_reply", "reply_info"))
+
+
+@register("thread_filter")
+def q_thread_filter(spark, sf_dir):
+    return ing.thread_quality(_export_lines(spark, sf_dir))
+
+
+@register("export_resolve")
+def q_export_resolve(spark, sf_dir):
+    return _resolved_lines(spark, sf_dir)
+
+
+@register("unmatched_numbers")
+def q_unmatched_numbers(spark, sf_dir):
+    return ing.unmatched_numbers(_resolved_lines(spark, sf_dir), min_count=10)
+
+
+@register("speaker_census")
+def q_speaker_census(spark, sf_dir):
+    return ing.speaker_census(_resolved_lines(spark, sf_dir))
+
+
+@register("phone_normalize")
+def q_phone_normalize(spark, sf_dir):
+    d = ad.phone_docs(spark, sf_dir)
+    x = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({ing.CONTACT_PHONE_RE})"), 1))
+                 .alias("pos", "raw"))
+    return x.select("doc_id", F.col("pos").cast("int"), "raw", ing.phone_basic(F.col("raw")).alias("basic"),
+                    ing.phone_advanced(F.col("raw")).alias("advanced"))
+
+
+@register("phone_resolve")
+def q_phone_resolve(spark, sf_dir):
+    contacts = ing.normalize_contacts(ad.contacts_fx(spark, sf_dir))
+    r = ing.resolve_phones(ad.phone_docs(spark, sf_dir), contacts, ["doc_id"], "text")
+    return r.select("doc_id", "resolved")
+
+
+def _merge(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "conversations")
+    size = F.sum(F.octet_length("text") + 1).alias("n_bytes")
+    a = c.filter(F.col("role") != "assistant").groupBy("conv_id").agg(size)
+    b = c.filter(F.col("role") == "assistant").groupBy("conv_id").agg(size)
+    key = [F.lit(ad.CONV_OWNER).alias("owner_id"), F.col("conv_id").cast("string").alias("thread_id"), "n_bytes"]
+    return ing.merge_exports(a.select(*key), b.select(*key))
+
+
+@register("merge_exports")
+def q_merge_exports(spark, sf_dir):
+    return _merge(spark, sf_dir)
+
+
+@register("merge_report")
+def q_merge_report(spark, sf_dir):
+    return st.status_counts(_merge(spark, sf_dir), "status")
+
+
+@register("participant_rank")
+def q_participant_rank(spark, sf_dir):
+    threads = ad.table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.collect_set("event_type").alias("participants"))
+    return src.participant_frequency(threads)

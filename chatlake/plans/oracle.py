@@ -456,3 +456,117 @@ ORACLE["query_window"] = """SELECT 'convs' AS owner_id, conv_id AS session_id, t
                        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
                        chr(10) || chr(10)) AS query_text
 FROM conversations WHERE role = 'user'"""
+
+
+# --------------------------------------------------------------------------
+# Ingest
+# --------------------------------------------------------------------------
+
+from chatlake.operators import ingest as _ing  # noqa: E402
+from chatlake.sources import exports as _src  # noqa: E402
+
+EM = """em AS (
+  SELECT 'events' AS owner_id, CAST(user_id AS VARCHAR) AS thread_id, event_id AS seq,
+         date_trunc('second', ts) AS ts,
+         CASE WHEN event_type = 'click' THEN 'Me'
+              WHEN event_type = 'view' THEN '+1212555' || lpad(CAST(user_id AS VARCHAR), 4, '0')
+              ELSE event_type END AS speaker,
+         CASE WHEN event_type = 'error' AND CAST(printf('%.2f', value) AS DOUBLE) < 5 THEN 'Edited to ' ELSE '' END
+           || event_type || ' ' || printf('%.2f', value) AS content,
+         value > 100.0 AS is_reply
+  FROM events)"""
+
+EXPORT_LINES = f"""{EM},
+el AS (SELECT owner_id, thread_id, seq * 8 + k - 1 AS line_no, parts[k] AS value FROM (
+         SELECT *, list_filter([strftime(ts, '%b %-d, %Y  %-I:%M:%S %p'), speaker, content,
+                                CASE WHEN is_reply THEN {_q(_src.REPLY_LINE)} END, ''],
+                               lambda x: x IS NOT NULL) AS parts FROM em) s,
+       range(1, len(parts) + 1) AS r(k)),
+cfx AS (SELECT 'events' AS owner_id, '212555' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS phone_norm,
+               c_name AS name
+        FROM customer WHERE c_custkey IN (SELECT DISTINCT user_id FROM events) AND c_custkey % 2 = 0),
+cm AS (SELECT map_from_entries(list({{'key': phone_norm, 'value': name}})) AS mp FROM cfx)"""
+
+
+def _adv(x: str) -> str:
+    d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    return f"CASE WHEN length({d}) = 11 AND starts_with({d}, '1') THEN substr({d}, 2) ELSE {d} END"
+
+
+def _resolve(text: str, pat: str = _ing.CONTACT_PHONE_RE) -> str:
+    pieces = f"regexp_split_to_array({text}, {_q(pat)})"
+    ms = f"regexp_extract_all({text}, {_q(pat)})"
+    return (f"array_to_string(list_transform(range(1, len({pieces}) + 1), lambda i: {pieces}[i] || "
+            f"coalesce(coalesce(mp[{_adv(ms + '[i]')}], {ms}[i]), '')), '')")
+
+
+RESOLVED = f"""{EXPORT_LINES},
+rl AS (SELECT owner_id, thread_id, line_no, {_resolve('value')} AS value FROM el, cm)"""
+
+ORACLE["parse_exports"] = f"""WITH {EM}
+SELECT owner_id, thread_id, strftime(ts, {TS_FMT}) AS ts, speaker, content, is_reply,
+       CASE WHEN is_reply THEN {_q(_src.REPLY_LINE)} END AS reply_info
+FROM em WHERE NOT starts_with(content, 'Edited to')"""
+
+ORACLE["thread_filter"] = f"""WITH {EM}
+SELECT owner_id, thread_id, bool_or(speaker = 'Me') AS has_me, count(*) AS n_messages,
+       count(*) > 20 AND bool_or(speaker = 'Me') AS keep
+FROM em GROUP BY owner_id, thread_id"""
+
+ORACLE["export_resolve"] = f"""WITH {RESOLVED}
+SELECT owner_id, thread_id, line_no, value FROM rl"""
+
+ORACLE["unmatched_numbers"] = f"""WITH {RESOLVED},
+nx AS (SELECT owner_id, value AS v, lead(value) OVER (PARTITION BY owner_id, thread_id ORDER BY line_no) AS nxt FROM rl)
+SELECT owner_id, nxt AS phone, count(*) AS n FROM nx
+WHERE regexp_matches(v, {_q('^' + _src.EXPORT_TS_RE)}) AND regexp_matches(nxt, {_q(_ing.UNMATCHED_PHONE_RE)})
+GROUP BY owner_id, nxt HAVING count(*) >= 10"""
+
+ORACLE["speaker_census"] = f"""WITH {RESOLVED},
+nx AS (SELECT owner_id, value AS v, lead(value) OVER (PARTITION BY owner_id, thread_id ORDER BY line_no) AS nxt FROM rl),
+sp AS (SELECT DISTINCT owner_id, nxt AS speaker FROM nx
+       WHERE regexp_matches(v, {_q(_src.EXPORT_TS_RE)}) AND nxt <> '' AND nxt <> 'Tapbacks:'
+         AND NOT starts_with(nxt, 'Find My:'))
+SELECT owner_id, CASE WHEN regexp_matches(speaker, {_q(_ing.CENSUS_PHONE_RE)}) THEN 'phone'
+                      WHEN speaker = 'Me' THEN 'me' ELSE 'name' END AS category,
+       count(*) AS n_speakers, array_to_string(list_sort(list(speaker)), ', ') AS speakers
+FROM sp GROUP BY ALL"""
+
+PHONE_DOCS = """pd AS (SELECT doc_id, regexp_replace(text, '\\+1 \\(([0-9]{3})\\) ([0-9]{3})-([0-9]{4})', '+1\\1\\2\\3', 'g') AS text
+       FROM documents)"""
+
+ORACLE["phone_normalize"] = f"""WITH {PHONE_DOCS},
+x AS (SELECT doc_id, regexp_extract_all(text, {_q(_ing.CONTACT_PHONE_RE)}) AS ms FROM pd)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ms[i] AS raw, regexp_replace(ms[i], '[^0-9]', '', 'g') AS basic,
+       {_adv('ms[i]')} AS advanced
+FROM x, range(1, len(ms) + 1) AS r(i)"""
+
+ORACLE["phone_resolve"] = f"""WITH {PHONE_DOCS},
+found AS (SELECT DISTINCT regexp_replace(p, '[^0-9]', '', 'g') AS digits FROM documents,
+          unnest(regexp_extract_all(text, '\\+1 \\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}')) AS u(p)),
+cfx AS (SELECT {_adv('digits')} AS phone_norm, c_name AS name FROM found
+        JOIN customer ON c_custkey = CAST(right(digits, 2) AS BIGINT)
+        WHERE CAST(right(digits, 1) AS INTEGER) % 2 = 0),
+cm AS (SELECT map_from_entries(list({{'key': phone_norm, 'value': name}})) AS mp FROM cfx)
+SELECT doc_id, {_resolve('text')} AS resolved FROM pd, cm"""
+
+MERGE_SQL = """sz AS (SELECT conv_id, role = 'assistant' AS is_b, sum(strlen(text) + 1) AS n FROM conversations
+       GROUP BY ALL),
+a AS (SELECT conv_id, n AS bytes_a FROM sz WHERE NOT is_b), b AS (SELECT conv_id, n AS bytes_b FROM sz WHERE is_b),
+j AS (SELECT 'convs' AS owner_id, CAST(coalesce(a.conv_id, b.conv_id) AS VARCHAR) AS thread_id,
+             CAST(bytes_a AS BIGINT) AS bytes_a, CAST(bytes_b AS BIGINT) AS bytes_b
+      FROM a FULL JOIN b ON a.conv_id = b.conv_id),
+d AS (SELECT *, CASE WHEN bytes_b IS NULL THEN 'a' WHEN bytes_a IS NULL THEN 'b'
+                     WHEN bytes_a > bytes_b THEN 'a' ELSE 'b' END AS take FROM j)"""
+
+ORACLE["merge_exports"] = f"""WITH {MERGE_SQL}
+SELECT owner_id, thread_id, bytes_a, bytes_b, take,
+       CASE WHEN bytes_b IS NULL THEN 'only_a' WHEN bytes_a IS NULL THEN 'only_b' ELSE 'common_' || take END AS status
+FROM d"""
+
+ORACLE["merge_report"] = f"""WITH {MERGE_SQL}
+SELECT CASE WHEN bytes_b IS NULL THEN 'only_a' WHEN bytes_a IS NULL THEN 'only_b' ELSE 'common_' || take END AS status,
+       count(*) AS n FROM d GROUP BY 1"""
+
+ORACLE["participant_rank"] = """SELECT event_type AS participant, count(DISTINCT user_id) AS n_threads
+FROM events GROUP BY event_type"""
