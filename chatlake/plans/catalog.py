@@ -383,3 +383,169 @@ def q_participant_rank(spark, sf_dir):
     threads = ad.table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.collect_set("event_type").alias("participants"))
     return src.participant_frequency(threads)
+
+
+# --------------------------------------------------------------------------
+# Memory bank
+# --------------------------------------------------------------------------
+
+from chatlake.operators import memory as mem  # noqa: E402
+
+
+def _store_batches(spark, sf_dir):
+    store = conv.conversation_store(events_turns(spark, sf_dir), num=1000, min_turns=2, max_turns=75)
+    return mem.pack_batches(store)
+
+
+def _doc_lines_response(spark, sf_dir, stage: str, rule):
+    """Model responses synthesised from document text by a fixed line template."""
+    d = ad.table(spark, sf_dir, "documents")
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda l, i: rule(l, i + F.col("doc_id"))), "\n")
+    return d.select(F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.lit(stage).alias("stage"),
+                    F.col("doc_id").alias("batch_no"), body.alias("text"))
+
+
+def _extract_rule(l, k):
+    m = k % 7
+    n = F.length(l)
+    return (F.when(m == 0, F.concat(F.lit("- Attribute: "), l))
+            .when(m == 1, F.concat(F.lit("- Citation: Conversation "), (n % 23 + 1).cast("string"), F.lit(", Me: "), l))
+            .when(m == 2, F.concat(F.lit("- Timestamp: 2023-05-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"),
+                                   F.lit(" 14:30")))
+            .when(m == 3, F.concat(F.lit("• Attribute: "), l))
+            .when(m == 4, F.concat(F.lit("Timestamp: "), l))
+            .when(m == 5, l)
+            .otherwise(F.lit("citation: see the conversation")))
+
+
+def _combine_rule(l, k):
+    m = k % 6
+    n = F.length(l)
+    return (F.when(m == 0, F.lit("COMBINED ATTRIBUTES:"))
+            .when(m == 1, F.concat(F.lit("- Attribute: "), l))
+            .when(m == 2, F.concat(F.lit("- Based on: Attribute "), (n % 30 + 1).cast("string"),
+                                   F.lit(", Attribute "), (n % 7 + 1).cast("string")))
+            .when(m == 3, F.lit("INFERRED ATTRIBUTES:"))
+            .when(m == 4, F.concat(F.lit("• Attribute: "), l))
+            .otherwise(F.concat(F.lit("Based on: "), l)))
+
+
+def _originals(spark, sf_dir):
+    a = mem.parse_attributes(_doc_lines_response(spark, sf_dir, "extract", _extract_rule))
+    return mem.pack_attributes(a, ["batch_no", "rec"])
+
+
+def _combined(spark, sf_dir):
+    return mem.parse_combined(_doc_lines_response(spark, sf_dir, "combine", _combine_rule))
+
+
+@register("pack_batches")
+def q_pack_batches(spark, sf_dir):
+    return _store_batches(spark, sf_dir).select("owner_id", "thread_id", "conv_no", "store_rank", "batch_no", "slot")
+
+
+@register("extract_requests")
+def q_extract_requests(spark, sf_dir):
+    r = mem.build_extract_requests(events_turns(spark, sf_dir), _store_batches(spark, sf_dir), "Me")
+    return r.select("owner_id", "stage", "batch_no", "prompt")
+
+
+@register("parse_attributes")
+def q_parse_attributes(spark, sf_dir):
+    a = mem.parse_attributes(_doc_lines_response(spark, sf_dir, "extract", _extract_rule))
+    return a.select("owner_id", "batch_no", "rec", "attribute", "citation", "timestamp", "conversation_number")
+
+
+@register("link_conversations")
+def q_link_conversations(spark, sf_dir):
+    a = mem.parse_attributes(_doc_lines_response(spark, sf_dir, "extract", _extract_rule))
+    linked = mem.link_conversations(a, _store_batches(spark, sf_dir))
+    return linked.select("owner_id", "batch_no", "rec", "conversation_number", "thread_id", "conv_no")
+
+
+@register("nearest_timestamp")
+def q_nearest_timestamp(spark, sf_dir):
+    p = mem.nearest_timestamp(_originals(spark, sf_dir))
+    return p.select("owner_id", "seq_no", "cbatch", "cslot", "timestamp", "prompt_ts")
+
+
+@register("combine_requests")
+def q_combine_requests(spark, sf_dir):
+    r = mem.build_combine_requests(mem.nearest_timestamp(_originals(spark, sf_dir)), "Me")
+    return r.select("owner_id", "stage", "batch_no", "prompt")
+
+
+@register("parse_combined")
+def q_parse_combined(spark, sf_dir):
+    return _combined(spark, sf_dir).select("owner_id", "batch_no", "rec", "kind", "attribute", "based_on")
+
+
+@register("resolve_sources")
+def q_resolve_sources(spark, sf_dir):
+    e = mem.resolve_sources(_combined(spark, sf_dir), _originals(spark, sf_dir))
+    return e.select("owner_id", "batch_no", "rec", "kind", F.col("ord").cast("int"), "cslot", "source_seq")
+
+
+@register("unify_memories")
+def q_unify_memories(spark, sf_dir):
+    u = mem.unify_memories(_originals(spark, sf_dir), _combined(spark, sf_dir))
+    return u.select("owner_id", "id", "type", "attribute", "citation")
+
+
+def _event_responses(spark, sf_dir):
+    d = ad.table(spark, sf_dir, "documents")
+    items = F.transform(F.split("text", "\n"), lambda l, i: F.to_json(F.struct(
+        l.alias("attribute"), F.concat(F.lit("Original Attribute "), (i + 1).cast("string")).alias("citation"),
+        F.lit("Summer 2023").alias("timestamp"))))
+    good = F.concat(F.lit("Here are the memories:\n["), F.array_join(items, ",\n"), F.lit("]\nDone."))
+    bad = F.when(F.col("doc_id") % 10 == 0, F.lit("No memories could be created."))\
+        .otherwise(F.lit('[{"attribute": "unterminated'))
+    text = F.when(F.col("doc_id") % 5 == 0, bad).otherwise(good)
+    return d.select(F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.lit("events").alias("stage"),
+                    F.col("doc_id").alias("batch_no"), text.alias("text"))
+
+
+@register("json_memories")
+def q_json_memories(spark, sf_dir):
+    m, _ = mem.parse_event_memories(_event_responses(spark, sf_dir))
+    return m.select("owner_id", "batch_no", F.col("pos").cast("int"), "attribute", "citation", "timestamp")
+
+
+@register("json_rejects")
+def q_json_rejects(spark, sf_dir):
+    _, r = mem.parse_event_memories(_event_responses(spark, sf_dir))
+    return r.select("owner_id", "batch_no")
+
+
+@register("top_memories")
+def q_top_memories(spark, sf_dir):
+    m, _ = mem.parse_event_memories(_event_responses(spark, sf_dir))
+    t = mem.top_memories(m)
+    return t.select("owner_id", F.col("top_rank").cast("int"), "batch_no", F.col("pos").cast("int"), "attribute")
+
+
+def _bank_sources(spark, sf_dir):
+    o = _originals(spark, sf_dir)
+    c = _combined(spark, sf_dir)
+    bank = mem.assemble_bank(o, c, mem.top_memories(mem.parse_event_memories(_event_responses(spark, sf_dir))[0]))
+    e = mem.resolve_sources(c, o)
+    src_ts = o.select("owner_id", F.col("seq_no").alias("source_seq"), F.col("timestamp").alias("source_ts"),
+                      F.col("conversation_number").isNotNull().alias("source_has_conv"))
+    sources = e.join(src_ts, ["owner_id", "source_seq"]).select(
+        "owner_id", (F.lit(1 << 40) + F.col("batch_no") * (1 << 20) + F.col("rec")).alias("mem_id"), "ord",
+        "source_ts", "source_has_conv")
+    return bank, sources
+
+
+@register("timeline_days")
+def q_timeline_days(spark, sf_dir):
+    bank, sources = _bank_sources(spark, sf_dir)
+    tl = mem.timeline(bank.withColumn("has_conv", F.lit(False)), sources)
+    return mem.timeline_days(tl)
+
+
+@register("recover_timestamps")
+def q_recover_timestamps(spark, sf_dir):
+    bank, sources = _bank_sources(spark, sf_dir)
+    r = mem.recover_timestamps(bank.filter(F.col("level") == 2), sources)
+    return r.select("owner_id", "mem_id", "recovered_ts")

@@ -570,3 +570,272 @@ SELECT CASE WHEN bytes_b IS NULL THEN 'only_a' WHEN bytes_a IS NULL THEN 'only_b
 
 ORACLE["participant_rank"] = """SELECT event_type AS participant, count(DISTINCT user_id) AS n_threads
 FROM events GROUP BY event_type"""
+
+
+# --------------------------------------------------------------------------
+# Memory bank
+# --------------------------------------------------------------------------
+
+import re as _re  # noqa: E402
+
+from chatlake.operators import memory as _mem  # noqa: E402
+
+
+def _template_sql(template: str, **kw) -> str:
+    parts, pos = [], 0
+    for m in _re.finditer(r"\{(\w+)\}", template):
+        parts.append(_q(template[pos:m.start()]))
+        parts.append(kw[m.group(1)])
+        pos = m.end()
+    parts.append(_q(template[pos:]))
+    return " || ".join(parts)
+
+
+def _doc_resp(name: str, cases: str, mod: int) -> str:
+    return f"""{name} AS (SELECT 'events' AS owner_id, doc_id AS batch_no,
+  array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
+    CASE (i - 1 + doc_id) % {mod} {cases} END), chr(10)) AS text FROM documents)"""
+
+
+EX_RESP = _doc_resp("exr", """
+    WHEN 0 THEN '- Attribute: ' || l
+    WHEN 1 THEN '- Citation: Conversation ' || CAST(length(l) % 23 + 1 AS VARCHAR) || ', Me: ' || l
+    WHEN 2 THEN '- Timestamp: 2023-05-' || lpad(CAST(length(l) % 28 + 1 AS VARCHAR), 2, '0') || ' 14:30'
+    WHEN 3 THEN '• Attribute: ' || l
+    WHEN 4 THEN 'Timestamp: ' || l
+    WHEN 5 THEN l
+    ELSE 'citation: see the conversation'""", 7)
+
+CB_RESP = _doc_resp("cbr", """
+    WHEN 0 THEN 'COMBINED ATTRIBUTES:'
+    WHEN 1 THEN '- Attribute: ' || l
+    WHEN 2 THEN '- Based on: Attribute ' || CAST(length(l) % 30 + 1 AS VARCHAR) || ', Attribute '
+                || CAST(length(l) % 7 + 1 AS VARCHAR)
+    WHEN 3 THEN 'INFERRED ATTRIBUTES:'
+    WHEN 4 THEN '• Attribute: ' || l
+    ELSE 'Based on: ' || l""", 6)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {_q(STRIP)}, '', 'g')"
+
+
+def _resp_lines(src: str, name: str) -> str:
+    return f"""{name}_p AS (SELECT owner_id, batch_no, p.i AS pos, {_strip('parts[p.i]')} AS raw
+       FROM (SELECT owner_id, batch_no, string_split({_strip('text')}, chr(10)) AS parts FROM {src}) s,
+            range(1, len(parts) + 1) AS p(i)),
+{name} AS (SELECT owner_id, batch_no, pos, raw,
+              CASE WHEN starts_with(raw, '- ') OR starts_with(raw, '• ') THEN substr(raw, 3) ELSE raw END AS line
+       FROM {name}_p WHERE raw <> '')"""
+
+
+ATTR_PARSE = f"""{EX_RESP},
+{_resp_lines('exr', 'xl')},
+xk0 AS (SELECT owner_id, batch_no, pos,
+           CASE WHEN starts_with(lower(line), 'attribute:') THEN 'A'
+                WHEN starts_with(lower(line), 'citation:') THEN 'C'
+                WHEN starts_with(lower(line), 'timestamp:') THEN 'T' END AS kind,
+           CASE WHEN starts_with(lower(line), 'attribute:') THEN {_strip('substr(line, 11)')}
+                WHEN starts_with(lower(line), 'citation:') THEN {_strip('substr(line, 10)')}
+                ELSE {_strip('substr(line, 11)')} END AS val
+       FROM xl),
+xk AS (SELECT *, row_number() OVER (PARTITION BY owner_id, batch_no ORDER BY pos) AS i FROM xk0 WHERE kind IS NOT NULL),
+rc(owner_id, batch_no, i, rec, has, attr, cit, ts, e_rec, e_attr, e_cit, e_ts, emitted) AS (
+  SELECT DISTINCT owner_id, batch_no, 0, 0, false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR,
+         NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, false FROM xk
+  UNION ALL
+  SELECT r.owner_id, r.batch_no, k.i,
+         CASE WHEN k.kind = 'A' THEN r.rec + 1 ELSE r.rec END,
+         CASE WHEN k.kind = 'A' THEN true WHEN k.kind = 'T' AND r.has AND r.cit IS NOT NULL THEN false ELSE r.has END,
+         CASE WHEN k.kind = 'A' THEN k.val WHEN k.kind = 'T' AND r.has AND r.cit IS NOT NULL THEN NULL ELSE r.attr END,
+         CASE WHEN k.kind = 'A' THEN NULL WHEN k.kind = 'C' AND r.has THEN k.val
+              WHEN k.kind = 'T' AND r.has AND r.cit IS NOT NULL THEN NULL ELSE r.cit END,
+         CASE WHEN k.kind = 'A' THEN NULL WHEN k.kind = 'T' AND r.has AND r.cit IS NOT NULL THEN NULL
+              WHEN k.kind = 'T' AND r.has THEN k.val ELSE r.ts END,
+         r.rec, r.attr, r.cit, CASE WHEN k.kind = 'T' THEN k.val ELSE r.ts END,
+         (k.kind = 'A' AND r.has) OR (k.kind = 'T' AND r.has AND r.cit IS NOT NULL)
+  FROM rc r JOIN xk k ON k.owner_id = r.owner_id AND k.batch_no = r.batch_no AND k.i = r.i + 1),
+fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, batch_no ORDER BY i DESC) AS rn FROM rc)
+        WHERE rn = 1 AND has),
+attrs AS (
+  SELECT owner_id, batch_no, e_rec AS rec, e_attr AS attribute, e_cit AS citation, e_ts AS timestamp FROM rc WHERE emitted
+  UNION ALL
+  SELECT owner_id, batch_no, rec, attr, coalesce(cit, ''), coalesce(ts, '') FROM fin),
+attrs2 AS (SELECT *, CASE WHEN regexp_extract(lower(citation), {_q(_mem.CONV_NUM_RE)}, 1) <> ''
+                          THEN CAST(regexp_extract(lower(citation), {_q(_mem.CONV_NUM_RE)}, 1) AS INTEGER) END
+                     AS conversation_number FROM attrs),
+packed AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, rec) - 1 AS seq_no FROM attrs2),
+packed2 AS (SELECT *, seq_no // 25 AS cbatch, CAST(seq_no % 25 + 1 AS INTEGER) AS cslot FROM packed)"""
+
+COMB_PARSE = f"""{CB_RESP},
+{_resp_lines('cbr', 'bl')},
+bk0 AS (SELECT owner_id, batch_no, pos,
+           CASE WHEN contains(upper(raw), 'COMBINED ATTRIBUTES') THEN 'H'
+                WHEN contains(upper(raw), 'INFERRED ATTRIBUTES') THEN 'H'
+                WHEN starts_with(lower(line), 'attribute:') THEN 'A'
+                WHEN starts_with(lower(line), 'based on:') THEN 'B' END AS kind,
+           CASE WHEN contains(upper(raw), 'COMBINED ATTRIBUTES') THEN 'combined'
+                WHEN contains(upper(raw), 'INFERRED ATTRIBUTES') THEN 'inferred'
+                WHEN starts_with(lower(line), 'attribute:') THEN {_strip('substr(line, 11)')}
+                ELSE {_strip('substr(line, 10)')} END AS val
+       FROM bl),
+bk AS (SELECT *, row_number() OVER (PARTITION BY owner_id, batch_no ORDER BY pos) AS i FROM bk0 WHERE kind IS NOT NULL),
+rb(owner_id, batch_no, i, sec, rec, has, attr, e_rec, e_sec, e_attr, e_based, emitted) AS (
+  SELECT DISTINCT owner_id, batch_no, 0, NULL::VARCHAR, 0, false, NULL::VARCHAR,
+         NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, false FROM bk
+  UNION ALL
+  SELECT r.owner_id, r.batch_no, k.i,
+         CASE WHEN k.kind = 'H' THEN k.val ELSE r.sec END,
+         CASE WHEN k.kind = 'A' THEN r.rec + 1 ELSE r.rec END,
+         CASE WHEN k.kind = 'A' THEN true WHEN k.kind = 'B' AND r.has THEN false ELSE r.has END,
+         CASE WHEN k.kind = 'A' THEN k.val WHEN k.kind = 'B' AND r.has THEN NULL ELSE r.attr END,
+         r.rec, r.sec, r.attr, CASE WHEN k.kind = 'B' THEN k.val END,
+         (k.kind = 'A' AND r.has) OR (k.kind = 'B' AND r.has)
+  FROM rb r JOIN bk k ON k.owner_id = r.owner_id AND k.batch_no = r.batch_no AND k.i = r.i + 1),
+bfin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, batch_no ORDER BY i DESC) AS rn FROM rb)
+         WHERE rn = 1 AND has),
+comb AS (
+  SELECT owner_id, batch_no, e_rec AS rec, e_sec AS kind, e_attr AS attribute, e_based AS based_on
+  FROM rb WHERE emitted AND e_sec IS NOT NULL
+  UNION ALL
+  SELECT owner_id, batch_no, rec, sec, attr, '' FROM bfin WHERE sec IS NOT NULL)"""
+
+ORACLE["parse_attributes"] = f"""WITH RECURSIVE {ATTR_PARSE}
+SELECT owner_id, batch_no, rec, attribute, citation, timestamp, conversation_number FROM attrs2"""
+
+ORACLE["parse_combined"] = f"""WITH RECURSIVE {COMB_PARSE}
+SELECT owner_id, batch_no, rec, kind, attribute, based_on FROM comb"""
+
+STORE_BATCH = f"""{store_ctes(M_EVENTS, 1000, 2, 75)},
+sb AS (SELECT *, CAST((store_rank - 1) // 20 AS BIGINT) AS batch_no,
+              CAST((store_rank - 1) % 20 + 1 AS INTEGER) AS slot FROM store)"""
+
+ORACLE["pack_batches"] = f"""WITH {STORE_BATCH}
+SELECT owner_id, thread_id, conv_no, store_rank, batch_no, slot FROM sb"""
+
+ORACLE["extract_requests"] = f"""WITH {STORE_BATCH},
+blk AS (SELECT sb.owner_id, sb.batch_no, sb.slot,
+               'CONVERSATION ' || CAST(sb.slot AS VARCHAR) || ' START:' || chr(10)
+               || string_agg(strftime(t.ts, {TS_FMT}) || ' ' || t.speaker || ': ' || t.content || chr(10), ''
+                             ORDER BY t.turn_idx)
+               || 'CONVERSATION ' || CAST(sb.slot AS VARCHAR) || ' END' || chr(10) AS block
+        FROM sb JOIN t USING (owner_id, thread_id, conv_no) GROUP BY sb.owner_id, sb.batch_no, sb.slot),
+g AS (SELECT owner_id, batch_no, count(*) AS n, string_agg(block, chr(10) ORDER BY slot) AS convs
+      FROM blk GROUP BY owner_id, batch_no)
+SELECT owner_id, 'extract' AS stage, batch_no,
+       {_template_sql(_mem.EXTRACT_PROMPT, n='CAST(n AS VARCHAR)', person="'Me'", convs='convs')} AS prompt
+FROM g"""
+
+ORACLE["link_conversations"] = f"""WITH RECURSIVE {STORE_BATCH},
+{ATTR_PARSE}
+SELECT a.owner_id, a.batch_no, a.rec, a.conversation_number, sb.thread_id, sb.conv_no
+FROM attrs2 a LEFT JOIN sb ON sb.owner_id = a.owner_id AND sb.batch_no = a.batch_no
+                          AND sb.slot = a.conversation_number"""
+
+NEAREST = f"""nb AS (SELECT owner_id, cbatch,
+              list(CASE WHEN {_strip("coalesce(timestamp, '')")} <> '' THEN timestamp END ORDER BY cslot) AS tl
+       FROM packed2 GROUP BY owner_id, cbatch),
+nt AS (SELECT p.*, n.tl, least(p.cslot - 1, len(n.tl) - p.cslot) AS lim FROM packed2 p JOIN nb n USING (owner_id, cbatch)),
+nd AS (SELECT *, list_filter(range(0, lim + 1), lambda d: tl[cslot + d] IS NOT NULL OR tl[cslot - d] IS NOT NULL)[1]
+              AS d0 FROM nt),
+nr AS (SELECT *, CASE WHEN d0 IS NULL THEN '' ELSE coalesce(tl[cslot + d0], tl[cslot - d0]) END AS prompt_ts FROM nd)"""
+
+ORACLE["nearest_timestamp"] = f"""WITH RECURSIVE {ATTR_PARSE},
+{NEAREST}
+SELECT owner_id, seq_no, cbatch, cslot, timestamp, prompt_ts FROM nr"""
+
+ORACLE["combine_requests"] = f"""WITH RECURSIVE {ATTR_PARSE},
+{NEAREST},
+g AS (SELECT owner_id, cbatch,
+             string_agg('Attribute ' || CAST(cslot AS VARCHAR) || ': ' || attribute || ' (Citation: '
+                        || coalesce(citation, '') || ', Timestamp: ' || prompt_ts || ')', chr(10) ORDER BY cslot) AS attrs
+      FROM nr GROUP BY owner_id, cbatch)
+SELECT owner_id, 'combine' AS stage, cbatch AS batch_no,
+       {_template_sql(_mem.COMBINE_PROMPT, person="'Me'", attrs='attrs')} AS prompt FROM g"""
+
+ORACLE["resolve_sources"] = f"""WITH RECURSIVE {ATTR_PARSE},
+{COMB_PARSE},
+refs AS (SELECT c.owner_id, c.batch_no, c.rec, c.kind, CAST(j.o - 1 AS INTEGER) AS ord,
+                CAST(regexp_extract_all(coalesce(c.based_on, ''), {_q(_mem.ATTR_REF_RE)}, 1)[j.o] AS INTEGER) AS cslot
+         FROM comb c, range(1, len(regexp_extract_all(coalesce(c.based_on, ''), {_q(_mem.ATTR_REF_RE)}, 1)) + 1) AS j(o))
+SELECT r.owner_id, r.batch_no, r.rec, r.kind, r.ord, r.cslot, p.seq_no AS source_seq
+FROM refs r JOIN packed2 p ON p.owner_id = r.owner_id AND p.cbatch = r.batch_no AND p.cslot = r.cslot"""
+
+ORACLE["unify_memories"] = f"""WITH RECURSIVE {ATTR_PARSE},
+{COMB_PARSE},
+u AS (SELECT owner_id, 0 AS ko, seq_no AS k1, 0 AS k2, 'Original Attribute' AS type, attribute,
+             coalesce(citation, '') AS citation FROM packed2
+      UNION ALL
+      SELECT owner_id, CASE WHEN kind = 'combined' THEN 1 ELSE 2 END, batch_no, rec,
+             CASE WHEN kind = 'combined' THEN 'Combined Attribute' ELSE 'Inferred Attribute' END, attribute,
+             coalesce(based_on, '') FROM comb)
+SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY ko, k1, k2) AS id, type, attribute, citation FROM u"""
+
+EV_RESP = """evr AS (SELECT 'events' AS owner_id, doc_id AS batch_no,
+  CASE WHEN doc_id % 5 = 0 THEN (CASE WHEN doc_id % 10 = 0 THEN 'No memories could be created.'
+                                      ELSE '[{"attribute": "unterminated' END)
+       ELSE 'Here are the memories:' || chr(10) || '[' || array_to_string(list_transform(string_split(text, chr(10)),
+              lambda l, i: CAST(json_object('attribute', l, 'citation', 'Original Attribute ' || CAST(i AS VARCHAR),
+                                            'timestamp', 'Summer 2023') AS VARCHAR)), ',' || chr(10))
+            || ']' || chr(10) || 'Done.' END AS text
+  FROM documents),
+eva AS (SELECT *, regexp_extract(text, '(?s)(\\[.*\\])', 1) AS arr FROM evr),
+evok AS (SELECT owner_id, batch_no,
+                from_json(arr, '[{"attribute":"VARCHAR","citation":"VARCHAR","timestamp":"VARCHAR"}]') AS items
+         FROM eva WHERE arr <> '' AND json_valid(arr)),
+evm AS (SELECT owner_id, batch_no, CAST(j.i - 1 AS INTEGER) AS pos, items[j.i].attribute AS attribute,
+               items[j.i].citation AS citation, items[j.i].timestamp AS timestamp
+        FROM evok, range(1, len(items) + 1) AS j(i))"""
+
+ORACLE["json_memories"] = f"""WITH {EV_RESP}
+SELECT owner_id, batch_no, pos, attribute, citation, timestamp FROM evm"""
+
+ORACLE["json_rejects"] = f"""WITH {EV_RESP}
+SELECT owner_id, batch_no FROM eva WHERE arr = '' OR NOT json_valid(arr)"""
+
+ORACLE["top_memories"] = f"""WITH {EV_RESP},
+tr AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos) AS INTEGER) AS top_rank FROM evm)
+SELECT owner_id, top_rank, batch_no, pos, attribute FROM tr WHERE top_rank <= 25"""
+
+
+def _pts(x: str) -> str:
+    return f"coalesce(try_strptime({x}, '%Y-%m-%d %H:%M:%S'), try_strptime({x}, '%Y-%m-%d %H:%M'))"
+
+
+BANK = f"""{ATTR_PARSE},
+{COMB_PARSE},
+{EV_RESP},
+edges AS (
+  SELECT c.owner_id, (1::BIGINT << 40) + c.batch_no * (1 << 20) + c.rec AS mem_id, j.o - 1 AS ord,
+         CAST(regexp_extract_all(coalesce(c.based_on, ''), {_q(_mem.ATTR_REF_RE)}, 1)[j.o] AS INTEGER) AS cslot,
+         c.batch_no
+  FROM comb c, range(1, len(regexp_extract_all(coalesce(c.based_on, ''), {_q(_mem.ATTR_REF_RE)}, 1)) + 1) AS j(o)),
+srcs AS (SELECT e.owner_id, e.mem_id, e.ord, p.timestamp AS source_ts FROM edges e
+         JOIN packed2 p ON p.owner_id = e.owner_id AND p.cbatch = e.batch_no AND p.cslot = e.cslot),
+bank AS (
+  SELECT owner_id, seq_no + 1 AS mem_id, 1 AS level, attribute, citation, timestamp AS ts_text FROM packed2
+  UNION ALL
+  SELECT owner_id, (1::BIGINT << 40) + batch_no * (1 << 20) + rec, 2, attribute, based_on, NULL FROM comb
+  UNION ALL
+  SELECT owner_id, (2::BIGINT << 40) + row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos), 3,
+         attribute, citation, timestamp FROM evm
+  QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos) <= 25)"""
+
+ORACLE["timeline_days"] = f"""WITH RECURSIVE {BANK},
+st AS (SELECT owner_id, mem_id, min({_pts('source_ts')}) AS sts FROM srcs GROUP BY ALL),
+tl AS (SELECT b.*, coalesce({_pts('b.ts_text')}, st.sts) AS tl_ts FROM bank b LEFT JOIN st USING (owner_id, mem_id)),
+tli AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY tl_ts DESC, mem_id) - 1 AS tl_index
+        FROM tl WHERE tl_ts IS NOT NULL)
+SELECT owner_id, strftime(tl_ts, '%Y-%m-%d') AS day, count(*) AS n_memories,
+       string_agg(attribute, ' | ' ORDER BY tl_index) AS attributes
+FROM tli GROUP BY ALL"""
+
+ORACLE["recover_timestamps"] = f"""WITH RECURSIVE {BANK},
+fs AS (SELECT owner_id, mem_id, arg_min(source_ts, ord) AS sts FROM srcs WHERE source_ts IS NOT NULL GROUP BY ALL)
+SELECT b.owner_id, b.mem_id,
+       CASE WHEN b.ts_text IS NOT NULL AND b.ts_text <> '' THEN b.ts_text
+            ELSE coalesce(fs.sts,
+                          nullif(regexp_extract(coalesce(b.citation, ''), {_q(_mem.TS_IN_CITATION_RE)}, 1), ''),
+                          nullif(regexp_extract(coalesce(b.citation, ''), {_q(_mem.DATE_IN_CITATION_RE)}, 0), ''),
+                          '') END AS recovered_ts
+FROM bank b LEFT JOIN fs USING (owner_id, mem_id) WHERE b.level = 2"""
