@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from chatlake.functions.text import MSG_DELIM, STORE_BANNED_WORDS, contains_any_ci
+from chatlake.functions.text import MSG_DELIM, STORE_BANNED_WORDS, contains_any_ci, py_strip
 
 THREAD = ["owner_id", "thread_id"]
 CONV = ["owner_id", "thread_id", "conv_no"]
@@ -242,5 +242,5 @@ def unmerge_turns(turns: DataFrame, delimiter: str = MSG_DELIM) -> DataFrame:
     """Split merged turns back into trimmed messages."""
     pat = "".join("\\" + ch if ch in "\\.^$|?*+()[]{}" else ch for ch in delimiter)
     return (turns.select(*CONV, "turn_idx", "speaker",
-                         F.posexplode(F.split("content", pat)).alias("part_idx", "message"))
-            .withColumn("message", F.trim("message")))
+                         F.posexplode(F.split("content", pat, -1)).alias("part_idx", "message"))
+            .withColumn("message", py_strip(F.col("message"))))

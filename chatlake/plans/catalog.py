@@ -549,3 +549,67 @@ def q_recover_timestamps(spark, sf_dir):
     bank, sources = _bank_sources(spark, sf_dir)
     r = mem.recover_timestamps(bank.filter(F.col("level") == 2), sources)
     return r.select("owner_id", "mem_id", "recovered_ts")
+
+
+# --------------------------------------------------------------------------
+# Example store, transcripts, templates, spans, phrase search
+# --------------------------------------------------------------------------
+
+@register("partner_index")
+def q_partner_index(spark, sf_dir):
+    return conv.partner_index(events_turns(spark, sf_dir))
+
+
+@register("partner_lookup")
+def q_partner_lookup(spark, sf_dir):
+    ev = ad.table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
+    na = ad.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    names = ev.unionByName(na).select(F.lit(ad.EVENTS_OWNER).alias("owner_id"),
+                                      F.col("name").alias("query_id"), "name")
+    r = conv.partner_lookup(conv.partner_index(events_turns(spark, sf_dir)), names, seed=7)
+    return r.select("owner_id", "query_id", "partner_key", "matched", "thread_id", "conv_no")
+
+
+@register("render_transcripts")
+def q_render_transcripts(spark, sf_dir):
+    return conv.render_transcripts(events_turns(spark, sf_dir))
+
+
+@register("unmerge_turns")
+def q_unmerge_turns(spark, sf_dir):
+    u = conv.unmerge_turns(events_turns(spark, sf_dir))
+    return u.select(*conv.CONV, "turn_idx", "speaker", F.col("part_idx").cast("int"), "message")
+
+
+def _conv_examples(spark, sf_dir):
+    return exm.build_examples(conv_turns(spark, sf_dir), cfg=exm.FilterConfig(max_words=200))
+
+
+@register("chat_template")
+def q_chat_template(spark, sf_dir):
+    t = exm.chat_template(_conv_examples(spark, sf_dir), "llama")
+    return t.select(*exm.EX_KEY, "text", "prompt_text")
+
+
+@register("sft_spans")
+def q_sft_spans(spark, sf_dir):
+    t = exm.chat_template(_conv_examples(spark, sf_dir), "qwen")
+    s = exm.sft_spans(t, max_seq_length=512, tokenize=lambda c: F.regexp_extract_all(c, F.lit(f"({st.TOKEN_RE})"), 1))
+    return s.select(*exm.EX_KEY, "n_tokens", F.col("prompt_len").cast("int"), "n_label_tokens")
+
+
+def _phrase_hits(spark, sf_dir):
+    docs = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
+    phrases = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"),
+                                                          F.col("text").alias("phrase"))
+    return exm.phrase_search(docs, phrases, ["doc_id"], ("text",))
+
+
+@register("phrase_search")
+def q_phrase_search(spark, sf_dir):
+    return _phrase_hits(spark, sf_dir).select("doc_id", "phrase_id", "field", "context")
+
+
+@register("phrase_counts")
+def q_phrase_counts(spark, sf_dir):
+    return exm.phrase_counts(_phrase_hits(spark, sf_dir))

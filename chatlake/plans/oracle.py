@@ -839,3 +839,55 @@ SELECT b.owner_id, b.mem_id,
                           nullif(regexp_extract(coalesce(b.citation, ''), {_q(_mem.DATE_IN_CITATION_RE)}, 0), ''),
                           '') END AS recovered_ts
 FROM bank b LEFT JOIN fs USING (owner_id, mem_id) WHERE b.level = 2"""
+
+
+# --------------------------------------------------------------------------
+# Example store, transcripts, templates, spans, phrase search
+# --------------------------------------------------------------------------
+
+from chatlake.operators import examples as _exm  # noqa: E402
+from chatlake.operators.stats import TOKEN_RE as _TOK  # noqa: E402
+
+ORACLE["partner_index"] = f"""WITH {turns_ctes(M_EVENTS)}
+SELECT owner_id, thread_id, conv_no, lower(trim(max(speaker) FILTER (WHERE speaker <> 'Me'))) AS partner_key
+FROM t GROUP BY owner_id, thread_id, conv_no
+HAVING count(DISTINCT speaker) = 2 AND bool_or(speaker = 'Me')"""
+
+ORACLE["render_transcripts"] = f"""WITH {turns_ctes(M_EVENTS)}
+SELECT owner_id, thread_id, conv_no,
+       string_agg(strftime(ts, {TS_FMT}) || ' ' || speaker || ': ' || content, chr(10) ORDER BY turn_idx) AS transcript,
+       CAST(count(*) AS INTEGER) AS n_turns
+FROM t GROUP BY owner_id, thread_id, conv_no"""
+
+ORACLE["unmerge_turns"] = f"""WITH {turns_ctes(M_EVENTS)},
+s AS (SELECT *, string_split(content, '<|msg|>') AS parts FROM t)
+SELECT owner_id, thread_id, conv_no, turn_idx, speaker, CAST(j.i - 1 AS INTEGER) AS part_idx,
+       {_strip('parts[j.i]')} AS message
+FROM s, range(1, len(parts) + 1) AS j(i)"""
+
+_LLAMA = _exm.CHAT_TEMPLATES["llama"]
+_QWEN = _exm.CHAT_TEMPLATES["qwen"]
+
+
+def _tpl(template: str, upto_output: bool = False) -> str:
+    if upto_output:
+        template = template[:template.index("{output}")]
+    return _template_sql(template, instruction="instruction", input="input", output="output")
+
+
+ORACLE["chat_template"] = f"""WITH {examples_ctes(M_CONV, max_words=200)}
+SELECT owner_id, thread_id, conv_no, turn_idx, {_tpl(_LLAMA)} AS text, {_tpl(_LLAMA, True)} AS prompt_text
+FROM xr WHERE reject_reason IS NULL"""
+
+ORACLE["sft_spans"] = f"""WITH {examples_ctes(M_CONV, max_words=200)},
+s AS (SELECT *, len(regexp_extract_all({_tpl(_QWEN)}, {_q(_TOK)})) AS nt,
+             len(regexp_extract_all({_tpl(_QWEN, True)}, {_q(_TOK)})) AS np
+      FROM xr WHERE reject_reason IS NULL)
+SELECT owner_id, thread_id, conv_no, turn_idx, least(nt, 512) AS n_tokens,
+       CAST(least(np, 512) AS INTEGER) AS prompt_len, least(nt, 512) - least(np, 512) AS n_label_tokens FROM s"""
+
+ORACLE["phrase_search"] = """SELECT d.doc_id, b.item_id AS phrase_id, 'text' AS field, right(d.text, 100) AS context
+FROM documents d JOIN benchmark b ON b.text <> '' AND contains(lower(d.text), lower(b.text))"""
+
+ORACLE["phrase_counts"] = """SELECT b.item_id AS phrase_id, b.text AS phrase, count(*) AS n_hits
+FROM documents d JOIN benchmark b ON b.text <> '' AND contains(lower(d.text), lower(b.text)) GROUP BY ALL"""
