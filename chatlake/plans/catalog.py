@@ -613,3 +613,55 @@ def q_phrase_search(spark, sf_dir):
 @register("phrase_counts")
 def q_phrase_counts(spark, sf_dir):
     return exm.phrase_counts(_phrase_hits(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Streaming forms (ST1-ST3): availableNow runs over the given tables
+# --------------------------------------------------------------------------
+
+from chatlake.streaming import sessions as stm  # noqa: E402
+
+
+def _stream_table(spark, sf_dir, name):
+    schema = ad.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _stream_msgs(spark, sf_dir):
+    e = _stream_table(spark, sf_dir, "events")
+    return e.select(
+        F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.col("user_id").cast("string").alias("thread_id"),
+        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+
+
+@register("stream_sessions")
+def q_stream_sessions(spark, sf_dir):
+    # Complete mode reports open sessions too (append would hold back the
+    # sessions the watermark has not passed when the input ends).
+    s = stm.run_to_table(stm.stream_sessions(_stream_msgs(spark, sf_dir)), "sessions", mode="complete")
+    return finish(s.select("owner_id", "thread_id", F.col("session.start").alias("session_start"),
+                           F.col("session.end").alias("session_end"), "n_msgs"))
+
+
+@register("stream_resolve")
+def q_stream_resolve(spark, sf_dir):
+    from chatlake.session import ensure_checkpoint_dir
+    import uuid
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/stream_resolve-{uuid.uuid4().hex}"
+    docs = _stream_table(spark, sf_dir, "documents").select(
+        F.lit(ad.EVENTS_OWNER).alias("owner_id"), "doc_id",
+        F.regexp_replace("text", ad.PHONE_DISPLAY_RE, "+1$1$2$3").alias("text"))
+    contacts = ing.normalize_contacts(ad.contacts_fx(spark, sf_dir))
+    stm.resolve_stream(docs, contacts, ["doc_id"], out)
+    return spark.read.parquet(out).select("doc_id", "resolved")
+
+
+@register("stream_reject_counts")
+def q_stream_reject_counts(spark, sf_dir):
+    from chatlake.session import ensure_checkpoint_dir
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/reasons-{uuid.uuid4().hex}"
+    exm.example_features(events_turns(spark, sf_dir)).select("ts", "reject_reason").write.parquet(path)
+    feats = spark.readStream.schema("ts timestamp, reject_reason string").parquet(path)
+    r = stm.run_to_table(stm.reject_counts(feats), "rejects", mode="complete")
+    return finish(r.select(F.col("w.start").alias("day"), "reject_reason", "n"))

@@ -891,3 +891,19 @@ FROM documents d JOIN benchmark b ON b.text <> '' AND contains(lower(d.text), lo
 
 ORACLE["phrase_counts"] = """SELECT b.item_id AS phrase_id, b.text AS phrase, count(*) AS n_hits
 FROM documents d JOIN benchmark b ON b.text <> '' AND contains(lower(d.text), lower(b.text)) GROUP BY ALL"""
+
+
+# --------------------------------------------------------------------------
+# Streaming forms
+# --------------------------------------------------------------------------
+
+ORACLE["stream_sessions"] = f"""WITH {scan_ctes(M_EVENTS)}
+SELECT owner_id, thread_id, strftime(min(ts), {TS_FMT}) AS session_start,
+       strftime(max(ts) + INTERVAL 6 HOUR, {TS_FMT}) AS session_end, count(*) AS n_msgs
+FROM e GROUP BY owner_id, thread_id, conv_no"""
+
+ORACLE["stream_resolve"] = ORACLE["phone_resolve"]
+
+ORACLE["stream_reject_counts"] = f"""WITH {examples_ctes(M_EVENTS)}
+SELECT strftime(date_trunc('day', ts), {TS_FMT}) AS day, reject_reason, count(*) AS n
+FROM xr WHERE reject_reason IS NOT NULL GROUP BY ALL"""
