@@ -107,9 +107,15 @@ def lit_re(s: str) -> str:
 # ---------------------------------------------------------------------------
 
 
+WS_CHARS = "".join(
+    chr(cp) for code in _WS_CODES
+    for cp in (range(int(code.split("-")[0], 16), int(code.split("-")[1], 16) + 1) if "-" in code
+               else [int(code, 16)]))
+
+
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(c, STRIP_RE, "")
+    """``str.strip()``: remove Unicode whitespace at both ends (linear trim)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def n_words(c: Column) -> Column:

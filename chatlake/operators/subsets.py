@@ -13,7 +13,7 @@ the newest timestamp.  It is computed without collecting any group:
 2. The first ``size`` chain links are found by pointer doubling: after
    round k the pick set holds positions ``< 2^(k+1)`` and the jump table
    maps ``t`` to ``next^(2^(k+1))(t)``; each round is two joins, and both
-   tables are checkpointed to keep the lineage short.
+   tables are checkpointed together (one job) to keep the lineage short.
 
 All ladder specs run in the same rounds (the spec is part of every key).
 """
@@ -52,6 +52,18 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _checkpoint_pair(picks: DataFrame, jump: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Write both round tables in one job (tagged union), then split them."""
+    both = picks.select(*keys, "t", F.col("size").cast("long").alias("a"), F.col("pos").cast("long").alias("b"),
+                        F.lit(0).alias("tag")).unionByName(
+        jump.select(*keys, "t", F.col("nxt").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(1).alias("tag")))
+    both = _checkpoint(both)
+    p = both.filter(F.col("tag") == 0).select(*keys, "t", F.col("a").cast("int").alias("size"),
+                                               F.col("b").cast("int").alias("pos"))
+    j = both.filter(F.col("tag") == 1).select(*keys, "t", F.col("a").alias("nxt"))
+    return p, j
+
+
 def _next_pointers(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, gap_us, t) -> nxt``: newest ``t' <= t - gap_us`` with ``t' > 0``."""
     b = F.floor(F.col("t") / F.col("gap_us"))
@@ -82,12 +94,14 @@ def _chain(nodes: DataFrame, keys: list[str], max_size: int) -> DataFrame:
         step = 1 << k
         ext = picks.join(jump, [*keys, "t"]).filter(F.col("pos") + step < F.col("size")) \
             .select(*keys, F.col("nxt").alias("t"), "size", (F.col("pos") + step).alias("pos"))
-        picks = _checkpoint(picks.unionByName(ext))
+        picks = picks.unionByName(ext)
         if k + 1 < rounds:
             a, b2 = jump.alias("a"), jump.alias("b")
             cond = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in keys] + [F.col("a.nxt") == F.col("b.t")]
-            jump = _checkpoint(a.join(b2, cond).select(*[F.col(f"a.{x}") for x in keys],
-                                                       F.col("a.t"), F.col("b.nxt")))
+            jump = a.join(b2, cond).select(*[F.col(f"a.{x}") for x in keys], F.col("a.t"), F.col("b.nxt"))
+            picks, jump = _checkpoint_pair(picks, jump, keys)
+        else:
+            picks = _checkpoint(picks)
     return picks.select(*keys, "t", "pos")
 
 
