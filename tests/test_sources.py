@@ -140,3 +140,23 @@ def test_metadata_and_transcripts(spark, tmpdir_path):
     rows = sorted((r.kind, r.key, r.value) for r in src.split_transcripts(tr, "admin").collect())
     assert rows == [("header", "Prompt", "talk"), ("header", "Topic", "food"),
                     ("message", "Ann", "hello: there"), ("message", "Me", "hi")]
+
+
+def test_sinks_roundtrip(spark, tmpdir_path):
+    import datetime as dt
+
+    from chatlake.sources import sinks
+
+    turns = spark.createDataFrame([("o", "t", 0, 1, dt.datetime(2024, 1, 1, 1), "Me", "b", False, None, 1),
+                                   ("o", "t", 0, 0, dt.datetime(2024, 1, 1), "Ann", "a", False, None, 1)],
+                                  "owner_id string, thread_id string, conv_no int, turn_idx int, ts timestamp, "
+                                  "speaker string, content string, is_reply boolean, reply_info string, n_msgs int")
+    p = os.path.join(tmpdir_path, "convs")
+    sinks.write_conversations_json(turns, p)
+    row = spark.read.json(p).collect()[0]
+    assert [m.content for m in row.messages] == ["a", "b"]
+    built = []
+    st = os.path.join(tmpdir_path, "stage")
+    for _ in range(2):
+        sinks.stage_table(spark, st, lambda: built.append(1) or turns)
+    assert len(built) == 1
