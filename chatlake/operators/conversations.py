@@ -42,25 +42,22 @@ def scan_threads(msgs: DataFrame, max_gap_hours: float = 6.0,
     wl = W.partitionBy(*keys).orderBy("seq")
     run = wl.rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    local_first = F.lag("seq").over(wl).isNull()
-    cflag = ~local_first & _over_gap(F.col("ts"), F.lag("ts").over(wl), gap)
-    m = (m.withColumn("_lfirst", local_first)
-          .withColumn("_cf", cflag)
-          .withColumn("_if", F.col("_cf") | (~F.col("_lfirst") & ~F.lag("speaker").over(wl).eqNullSafe(F.col("speaker")))))
-    m = (m.withColumn("_cc", F.sum(F.col("_cf").cast("long")).over(run))
-          .withColumn("_ic", F.sum(F.col("_if").cast("long")).over(run)))
-    m = m.withColumn("_lcs", F.max(F.when(F.col("_cf"), F.col("_ic"))).over(run))
-
-    # One summary row per bucket; the bucket table is rows / bucket_size small.
-    s = m.groupBy(*keys).agg(
-        F.min_by("ts", "seq").alias("first_ts"),
-        F.min_by("speaker", "seq").alias("first_spk"),
-        F.max_by("ts", "seq").alias("last_ts"),
-        F.max_by("speaker", "seq").alias("last_spk"),
-        F.sum(F.col("_cf").cast("long")).alias("n_cf"),
-        F.sum(F.col("_if").cast("long")).alias("n_if"),
-        F.max(F.when(F.col("_cf"), F.col("_ic"))).alias("last_cs"),
-    )
+    m = m.select("*", F.lag("seq").over(wl).isNull().alias("_lfirst"),
+                 F.lead("seq").over(wl).isNull().alias("_llast"),
+                 F.lag("ts").over(wl).alias("_pts"), F.lag("speaker").over(wl).alias("_pspk"))
+    m = m.withColumn("_cf", ~F.col("_lfirst") & _over_gap(F.col("ts"), F.col("_pts"), gap)) \
+        .withColumn("_if", F.col("_cf") | (~F.col("_lfirst") & ~F.col("_pspk").eqNullSafe(F.col("speaker"))))
+    m = m.select("*", F.sum(F.col("_cf").cast("long")).over(run).alias("_cc"),
+                 F.sum(F.col("_if").cast("long")).over(run).alias("_ic"))
+    m = m.withColumn("_lcs", F.max(F.when(F.col("_cf"), F.col("_ic"))).over(run)).drop("_pts", "_pspk")
+
+    # One summary row per bucket, read off the bucket's first and last rows
+    # (filters on the scan output: no aggregation, no shuffle).
+    first = m.filter("_lfirst").select(*keys, F.col("ts").alias("first_ts"), F.col("speaker").alias("first_spk"))
+    last = m.filter("_llast").select(*keys, F.col("ts").alias("last_ts"), F.col("speaker").alias("last_spk"),
+                                     F.col("_cc").alias("n_cf"), F.col("_ic").alias("n_if"),
+                                     F.col("_lcs").alias("last_cs"))
+    s = first.join(last, keys)
     ws = W.partitionBy(*THREAD).orderBy("_bucket")
     before = ws.rowsBetween(W.unboundedPreceding, -1)
     has_prev = F.lag("_bucket").over(ws).isNotNull()
@@ -89,7 +86,8 @@ def scan_threads(msgs: DataFrame, max_gap_hours: float = 6.0,
     )
     return (j.withColumn("conv_no", (g_conv - 1).cast("int"))
              .withColumn("turn_idx", (g_isl - g_cs).cast("int"))
-             .drop("_lfirst", "_cf", "_if", "_cc", "_ic", "_lcs", "f_cf", "f_if", "c_base", "i_base", "carry_cs"))
+             .drop("_lfirst", "_llast", "_cf", "_if", "_cc", "_ic", "_lcs", "f_cf", "f_if", "c_base", "i_base",
+                   "carry_cs"))
 
 
 def sessionize(msgs: DataFrame, max_gap_hours: float = 6.0,

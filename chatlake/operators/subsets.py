@@ -128,7 +128,9 @@ def spaced_subsets(df: DataFrame, group_cols: list[str], order_cols: list[str],
     rk = F.struct(*order_cols)
 
     spaced = gs.filter(F.col("gap_us").isNotNull())
-    distinct_t = rows.groupBy(*group_cols, "t").agg(F.min(rk).alias("_rk"))
+    # Written once: the distinct timestamps feed the as-of lookup four times
+    # and the pick join once.
+    distinct_t = _checkpoint(rows.groupBy(*group_cols, "t").agg(F.min(rk).alias("_rk")))
     nodes = distinct_t.join(spaced, group_cols).select(*keys, "gap_us", "size", "t")
     max_size = max([s.size for s in specs if s.gap_hours] or [0])
     picks = _chain(nodes, keys, max_size)

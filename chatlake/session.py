@@ -18,7 +18,9 @@ def local_session(master: str | None = None, app: str = "chatlake") -> SparkSess
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Local runs size shuffles to the cores (8 partitions); coalescing them
+        # further would serialise small stages.  Clusters keep coalescing on.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
