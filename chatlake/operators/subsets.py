@@ -84,11 +84,29 @@ def _next_pointers(nodes: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, "t", F.greatest("a", "older").alias("nxt"))
 
 
-def _chain(nodes: DataFrame, keys: list[str], max_size: int) -> DataFrame:
+def _prune_buckets(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Keep only timestamps that can be among the first ``size`` picks.
+
+    With buckets of width ``gap``, the pick after ``p`` (bucket B) is either in
+    bucket B-1 or, when none there is old enough, the newest timestamp of the
+    next older non-empty bucket: a step never passes over two non-empty
+    buckets.  So the first ``size`` picks lie in the newest ``2 * size``
+    non-empty buckets.  The ranking runs over the small bucket table.
+    """
+    b = nodes.withColumn("_b", F.floor(F.col("t") / F.col("gap_us")))
+    buckets = b.select(*keys, "size", "_b").distinct()
+    w = W.partitionBy(*keys).orderBy(F.col("_b").desc())
+    keep = buckets.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2 * F.col("size")) \
+        .select(*keys, "_b")
+    return b.join(keep, [*keys, "_b"], "left_semi").drop("_b")
+
+
+def _chain(nodes: DataFrame, keys: list[str], sizes: dict[str, int]) -> DataFrame:
     """Greedy picks ``(keys, t, pos)`` per key group; ``nodes`` has ``size``."""
     jump = _checkpoint(_next_pointers(nodes, keys).filter(F.col("nxt").isNotNull()))
     picks = nodes.groupBy(*keys).agg(F.max("t").alias("t"), F.first("size").alias("size")) \
         .withColumn("pos", F.lit(0))
+    max_size = max(sizes.values() or [0])
     rounds = math.ceil(math.log2(max_size)) if max_size > 1 else 0
     for k in range(rounds):
         step = 1 << k
@@ -96,6 +114,9 @@ def _chain(nodes: DataFrame, keys: list[str], max_size: int) -> DataFrame:
             .select(*keys, F.col("nxt").alias("t"), "size", (F.col("pos") + step).alias("pos"))
         picks = picks.unionByName(ext)
         if k + 1 < rounds:
+            # Specs whose picks are complete after this round leave the jump table.
+            live = [name for name, size in sizes.items() if size > (2 << k)]
+            jump = jump.filter(F.col("subset_name").isin(live))
             a, b2 = jump.alias("a"), jump.alias("b")
             cond = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in keys] + [F.col("a.nxt") == F.col("b.t")]
             jump = a.join(b2, cond).select(*[F.col(f"a.{x}") for x in keys], F.col("a.t"), F.col("b.nxt"))
@@ -128,12 +149,10 @@ def spaced_subsets(df: DataFrame, group_cols: list[str], order_cols: list[str],
     rk = F.struct(*order_cols)
 
     spaced = gs.filter(F.col("gap_us").isNotNull())
-    # Written once: the distinct timestamps feed the as-of lookup four times
-    # and the pick join once.
-    distinct_t = _checkpoint(rows.groupBy(*group_cols, "t").agg(F.min(rk).alias("_rk")))
-    nodes = distinct_t.join(spaced, group_cols).select(*keys, "gap_us", "size", "t")
-    max_size = max([s.size for s in specs if s.gap_hours] or [0])
-    picks = _chain(nodes, keys, max_size)
+    distinct_t = rows.groupBy(*group_cols, "t").agg(F.min(rk).alias("_rk"))
+    # Written once: the pruned nodes feed the as-of lookup four times.
+    nodes = _checkpoint(_prune_buckets(distinct_t.join(spaced, group_cols).select(*keys, "gap_us", "size", "t"), keys))
+    picks = _chain(nodes, keys, {s.name: s.size for s in specs if s.gap_hours})
     reps = distinct_t.join(picks, [*group_cols, "t"]).select(*keys, "t", "_rk", F.lit(True).alias("picked"))
 
     # Fill (spaced, short chains) and tail-N: newest rows not yet picked.
