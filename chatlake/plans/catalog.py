@@ -665,3 +665,118 @@ def q_stream_reject_counts(spark, sf_dir):
     feats = spark.readStream.schema("ts timestamp, reject_reason string").parquet(path)
     r = stm.run_to_table(stm.reject_counts(feats), "rejects", mode="complete")
     return finish(r.select(F.col("w.start").alias("day"), "reject_reason", "n"))
+
+
+# --------------------------------------------------------------------------
+# Inputs derived from the given tables for the remaining readers and joins
+# --------------------------------------------------------------------------
+
+def _vcard_lines(spark, sf_dir):
+    """Contact cards rendered from the documents' phone numbers and customer names:
+    one card per number, name line after the number on odd keys, and a second
+    card for even keys (the later card wins)."""
+    d = ad.table(spark, sf_dir, "documents")
+    found = d.select(F.explode(F.regexp_extract_all("text", F.lit(ad.PHONE_DISPLAY_RE), 0)).alias("p")).distinct()
+    cust = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    c = found.withColumn("k", F.substring(F.regexp_replace("p", "[^0-9]", ""), -2, 2).cast("long")).join(cust, "k")
+    c = c.withColumn("card", F.regexp_replace("p", "[^0-9]", "").cast("long"))
+    tel = F.concat(F.lit("TEL;type=CELL:"), F.col("p"))
+    fn = F.concat(F.lit("FN:"), F.col("name"))
+    lines = F.when(F.col("k") % 2 == 1, F.array(F.lit("BEGIN:VCARD"), tel, fn, F.lit("END:VCARD"))) \
+        .otherwise(F.array(F.lit("BEGIN:VCARD"), fn, tel, F.lit("item2.TEL:12"), F.lit("END:VCARD"),
+                           F.lit("BEGIN:VCARD"), F.concat(F.lit("FN:"), F.col("name"), F.lit(" (work)")), tel,
+                           F.lit("END:VCARD")))
+    return c.select(F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.lit("contacts").alias("thread_id"),
+                    "card", F.posexplode(lines).alias("i", "value")) \
+        .select("owner_id", "thread_id", (F.col("card") * 16 + F.col("i")).alias("line_no"), "value")
+
+
+@register("vcard_contacts")
+def q_vcard_contacts(spark, sf_dir):
+    return src.vcard_contacts(_vcard_lines(spark, sf_dir))
+
+
+@register("contact_corrections")
+def q_contact_corrections(spark, sf_dir):
+    contacts = src.vcard_contacts(_vcard_lines(spark, sf_dir))
+    fixes = _event_contacts(spark, sf_dir)
+    keep = ing.apply_corrections(contacts, fixes, overwrite=False).withColumn("mode", F.lit("keep"))
+    over = ing.apply_corrections(contacts, fixes, overwrite=True).withColumn("mode", F.lit("overwrite"))
+    return keep.unionByName(over)
+
+
+def _metadata_texts(spark, sf_dir):
+    """Metadata files rendered from customers: one text per market segment."""
+    c = ad.table(spark, sf_dir, "customer")
+    entry = F.concat(F.col("c_name"), F.lit(": balance "), F.format_string("%.2f", "c_acctbal"),
+                     F.lit(", nation "), F.col("c_nationkey").cast("string"))
+    return c.groupBy("c_mktsegment").agg(
+        F.array_join(F.array_sort(F.collect_list(entry)), "\n---\n").alias("value")) \
+        .select(F.col("c_mktsegment").alias("owner_id"), "value")
+
+
+@register("metadata_entries")
+def q_metadata_entries(spark, sf_dir):
+    return src.parse_metadata(_metadata_texts(spark, sf_dir))
+
+
+@register("metadata_strings")
+def q_metadata_strings(spark, sf_dir):
+    t = events_turns(spark, sf_dir)
+    md = t.select("owner_id", F.col("speaker").alias("name")).distinct().filter(F.col("name") != "Me") \
+        .withColumn("description", F.concat(F.lit("sends "), F.col("name"), F.lit(" events")))
+    return exm.metadata_strings(t, md)
+
+
+def _transcripts(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "conversations")
+    part = F.concat(F.lit("[2024-01-01 00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":00] "),
+                    F.col("role"), F.lit(": "), F.col("text"))
+    g = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))),
+                                                          lambda x: x["p"]), "<|>").alias("msgs"))
+    text = F.concat(F.lit("Topic: conversation "), F.col("conv_id").cast("string"), F.lit("<|>Prompt: reply<|>"),
+                    F.col("msgs"), F.lit("<|>"))
+    return g.select(F.col("conv_id").alias("transcript_id"), text.alias("text"))
+
+
+@register("transcript_split")
+def q_transcript_split(spark, sf_dir):
+    return src.split_transcripts(_transcripts(spark, sf_dir), "assistant") \
+        .select("transcript_id", F.col("pos").cast("int"), "kind", "key", "value")
+
+
+@register("filter_reasons_notebook")
+def q_filter_reasons_notebook(spark, sf_dir):
+    f = exm.example_features(conv_turns(spark, sf_dir), cfg=exm.NOTEBOOK_FILTERS)
+    return finish(f.select(*exm.EX_KEY, "ts", "reject_reason"))
+
+
+@register("memory_bank")
+def q_memory_bank(spark, sf_dir):
+    bank, _ = _bank_sources(spark, sf_dir)
+    return bank.select("owner_id", "mem_id", "level", "kind", "attribute")
+
+
+@register("drill_through")
+def q_drill_through(spark, sf_dir):
+    a = mem.parse_attributes(_doc_lines_response(spark, sf_dir, "extract", _extract_rule))
+    linked = mem.link_conversations(a, _store_batches(spark, sf_dir)).filter(F.col("thread_id").isNotNull())
+    keys = linked.select("owner_id", (F.col("batch_no") * (1 << 20) + F.col("rec")).alias("mem_id"))
+    mc = linked.select("owner_id", (F.col("batch_no") * (1 << 20) + F.col("rec")).alias("mem_id"), "thread_id", "conv_no")
+    no_sources = spark.createDataFrame([], "owner_id string, mem_id long, source_mem_id long")
+    d = mem.drill_through(keys, no_sources, mc, events_turns(spark, sf_dir))
+    return d.select("owner_id", "mem_id", "thread_id", "conv_no", "turn_idx", "speaker", "content")
+
+
+@register("event_requests")
+def q_event_requests(spark, sf_dir):
+    u = mem.unify_memories(_originals(spark, sf_dir), _combined(spark, sf_dir))
+    return mem.build_event_requests(u, "Me").select("owner_id", "stage", "batch_no", "prompt")
+
+
+@register("embedding_coverage")
+def q_embedding_coverage(spark, sf_dir):
+    m = ad.mems(spark, sf_dir)
+    cache = ad.table(spark, sf_dir, "embeddings").filter(F.col("label") != 9).select(
+        F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.col("vec_id").alias("mem_id"))
+    return rt.embedding_coverage(m, cache)

@@ -150,7 +150,8 @@ SYSTEM_PROMPT_SQL = _q("You are a human being named Me. You are not an AI. Respo
                        "Now you may begin the conversation.")
 
 
-def examples_ctes(m_cte: str, buffer: int = 0, max_words: int = 50, min_ts: int = 3) -> str:
+def examples_ctes(m_cte: str, buffer: int = 0, max_words: int = 50, min_ts: int = 3,
+                  banned=tuple(_tx.EXAMPLE_BANNED_STRINGS)) -> str:
     """``m`` -> ``xr``: every target with its full prompt text and reason."""
     fmt = f"strftime(ts, {TS_FMT})"
     prior = "''"
@@ -178,7 +179,7 @@ x AS (SELECT h.owner_id, h.thread_id, h.conv_no, h.turn_idx, h.ts,
       FROM h {join}
       WHERE speaker = 'Me' AND NOT is_reply
         AND regexp_replace(content, {_q(STRIP)}, '', 'g') NOT IN ('', '<|msg|>')),
-xr AS (SELECT *, {reason_sql(max_words, min_ts)} AS reject_reason FROM x)"""
+xr AS (SELECT *, {reason_sql(max_words, min_ts, banned)} AS reject_reason FROM x)"""
 
 
 REASON_ORDER = ["filtered_strings", "too_short", "too_many_consecutive_msgs_input",
@@ -907,3 +908,110 @@ ORACLE["stream_resolve"] = ORACLE["phone_resolve"]
 ORACLE["stream_reject_counts"] = f"""WITH {examples_ctes(M_EVENTS)}
 SELECT strftime(date_trunc('day', ts), {TS_FMT}) AS day, reject_reason, count(*) AS n
 FROM xr WHERE reject_reason IS NOT NULL GROUP BY ALL"""
+
+
+# --------------------------------------------------------------------------
+# Derived inputs for readers and joins
+# --------------------------------------------------------------------------
+
+VCARD_LINES = """vf AS (SELECT DISTINCT p FROM documents,
+        unnest(regexp_extract_all(text, '\\+1 \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}')) AS u(p)),
+vc AS (SELECT p, CAST(right(regexp_replace(p, '[^0-9]', '', 'g'), 2) AS BIGINT) AS k,
+              CAST(regexp_replace(p, '[^0-9]', '', 'g') AS BIGINT) AS card, c_name AS name
+       FROM vf JOIN customer ON c_custkey = CAST(right(regexp_replace(p, '[^0-9]', '', 'g'), 2) AS BIGINT)),
+vl0 AS (SELECT card, CASE WHEN k % 2 = 1
+                     THEN ['BEGIN:VCARD', 'TEL;type=CELL:' || p, 'FN:' || name, 'END:VCARD']
+                     ELSE ['BEGIN:VCARD', 'FN:' || name, 'TEL;type=CELL:' || p, 'item2.TEL:12', 'END:VCARD',
+                           'BEGIN:VCARD', 'FN:' || name || ' (work)', 'TEL;type=CELL:' || p, 'END:VCARD'] END AS ls
+        FROM vc),
+vl AS (SELECT 'events' AS owner_id, card * 16 + j.i - 1 AS line_no, ls[j.i] AS v FROM vl0, range(1, len(ls) + 1) AS j(i)),
+vb AS (SELECT *, coalesce(sum(CASE WHEN v = 'END:VCARD' THEN 1 ELSE 0 END) OVER (
+                   PARTITION BY owner_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS blk
+       FROM vl),
+vn AS (SELECT *, last_value(CASE WHEN starts_with(v, 'FN:') THEN trim(substr(v, 4)) END IGNORE NULLS) OVER (
+                   PARTITION BY owner_id, blk ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS name
+       FROM vb),
+vt AS (SELECT owner_id, line_no, name,
+              regexp_replace(trim(list_last(string_split(v, ':'))), '[^0-9]', '', 'g') AS phone_norm
+       FROM vn WHERE regexp_matches(v, '^(item[0-9]+\\.)?TEL') AND NOT starts_with(v, 'FN:')),
+vcards AS (SELECT owner_id, phone_norm, name FROM (
+             SELECT *, row_number() OVER (PARTITION BY owner_id, phone_norm ORDER BY line_no DESC) AS rn FROM vt
+             WHERE coalesce(name, '') <> '' AND length(phone_norm) >= 10) WHERE rn = 1)"""
+
+ORACLE["vcard_contacts"] = f"""WITH {VCARD_LINES}
+SELECT owner_id, phone_norm, name FROM vcards"""
+
+ORACLE["contact_corrections"] = f"""WITH {VCARD_LINES},
+fx AS (SELECT 'events' AS owner_id, '212555' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS phone_norm, c_name AS name
+       FROM customer WHERE c_custkey IN (SELECT DISTINCT user_id FROM events) AND c_custkey % 2 = 0),
+modes(mode, pc, pf) AS (VALUES ('keep', 0, 1), ('overwrite', 1, 0)),
+u AS (SELECT v.*, m.mode, m.pc AS p FROM vcards v, modes m UNION ALL SELECT f.*, m.mode, m.pf FROM fx f, modes m)
+SELECT owner_id, phone_norm, name, mode FROM (
+  SELECT *, row_number() OVER (PARTITION BY mode, owner_id, phone_norm ORDER BY p) AS rn FROM u) WHERE rn = 1"""
+
+ORACLE["metadata_entries"] = f"""WITH mt AS (
+  SELECT c_mktsegment AS owner_id,
+         string_agg(c_name || ': balance ' || printf('%.2f', c_acctbal) || ', nation ' || CAST(c_nationkey AS VARCHAR),
+                    chr(10) || '---' || chr(10) ORDER BY c_name || ': balance ' || printf('%.2f', c_acctbal)
+                    || ', nation ' || CAST(c_nationkey AS VARCHAR)) AS value
+  FROM customer GROUP BY c_mktsegment),
+me AS (SELECT owner_id, {_strip('e')} AS e FROM mt, unnest(string_split(value, '---')) AS u(e))
+SELECT owner_id, {_strip("split_part(e, ':', 1)")} AS name, {_strip("substr(e, instr(e, ':') + 1)")} AS description
+FROM me WHERE e <> '' AND contains(e, ':') AND {_strip("split_part(e, ':', 1)")} <> ''
+  AND {_strip("substr(e, instr(e, ':') + 1)")} <> ''"""
+
+ORACLE["metadata_strings"] = f"""WITH {turns_ctes(M_EVENTS)},
+sp AS (SELECT DISTINCT owner_id, thread_id, speaker FROM t WHERE speaker <> 'Me'),
+g AS (SELECT owner_id, thread_id, string_agg(speaker || ': sends ' || speaker || ' events', chr(10) ORDER BY speaker) AS l
+      FROM sp GROUP BY ALL),
+th AS (SELECT DISTINCT owner_id, thread_id FROM t)
+SELECT th.owner_id, th.thread_id,
+       CASE WHEN g.l IS NULL THEN '' ELSE {_q(_exm.METADATA_HEADER)} || chr(10) || g.l END AS metadata
+FROM th LEFT JOIN g USING (owner_id, thread_id)"""
+
+ORACLE["transcript_split"] = """WITH tx AS (
+  SELECT conv_id AS transcript_id,
+         'Topic: conversation ' || CAST(conv_id AS VARCHAR) || '<|>Prompt: reply<|>'
+         || string_agg('[2024-01-01 00:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':00] ' || role || ': ' || text,
+                       '<|>' ORDER BY turn) || '<|>' AS text
+  FROM conversations GROUP BY conv_id),
+pp AS (SELECT transcript_id, j.i - 1 AS pos, trim(string_split(text, '<|>')[j.i]) AS part
+       FROM tx, range(1, len(string_split(text, '<|>')) + 1) AS j(i)),
+pn AS (SELECT * FROM pp WHERE part <> ''),
+fm AS (SELECT transcript_id, min(pos) FILTER (WHERE starts_with(part, '[')) AS f FROM pn GROUP BY ALL),
+pf AS (SELECT pn.*, fm.f, fm.f IS NOT NULL AND pn.pos >= fm.f AS is_msg FROM pn JOIN fm USING (transcript_id))
+SELECT transcript_id, CAST(pos AS INTEGER) AS pos, 'header' AS kind, trim(split_part(part, ':', 1)) AS key,
+       trim(substr(part, instr(part, ':') + 1)) AS value
+FROM pf WHERE NOT is_msg AND contains(part, ':')
+UNION ALL
+SELECT transcript_id, CAST(pos AS INTEGER), 'message',
+       CASE WHEN regexp_extract(part, '(?s)^\\[([^\\]]*)\\] ([^:]*): (.*)$', 2) = 'assistant' THEN 'Me'
+            ELSE regexp_extract(part, '(?s)^\\[([^\\]]*)\\] ([^:]*): (.*)$', 2) END,
+       regexp_extract(part, '(?s)^\\[([^\\]]*)\\] ([^:]*): (.*)$', 3)
+FROM pf WHERE is_msg AND regexp_matches(part, '^\\[[^\\]]*\\] [^:]*: ')"""
+
+ORACLE["filter_reasons_notebook"] = f"""WITH {examples_ctes(M_CONV, min_ts=7, banned=('GamePigeon message:',))}
+SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, reject_reason FROM xr"""
+
+ORACLE["memory_bank"] = f"""WITH RECURSIVE {BANK}
+SELECT owner_id, mem_id, CAST(level AS INTEGER) AS level,
+       CASE WHEN level = 1 THEN 'original' WHEN level = 3 THEN 'top'
+            ELSE (SELECT c.kind FROM comb c WHERE c.owner_id = bank.owner_id
+                  AND (1::BIGINT << 40) + c.batch_no * (1 << 20) + c.rec = bank.mem_id) END AS kind,
+       attribute
+FROM bank"""
+
+ORACLE["drill_through"] = f"""WITH RECURSIVE {STORE_BATCH},
+{ATTR_PARSE},
+lk AS (SELECT a.owner_id, a.batch_no * (1 << 20) + a.rec AS mem_id, sb.thread_id, sb.conv_no
+       FROM attrs2 a JOIN sb ON sb.owner_id = a.owner_id AND sb.batch_no = a.batch_no
+                             AND sb.slot = a.conversation_number)
+SELECT lk.owner_id, lk.mem_id, lk.thread_id, lk.conv_no, t.turn_idx, t.speaker, t.content
+FROM lk JOIN t USING (owner_id, thread_id, conv_no)"""
+
+ORACLE["embedding_coverage"] = """WITH m AS (SELECT 'events' AS owner_id, vec_id AS mem_id FROM embeddings),
+c AS (SELECT 'events' AS owner_id, vec_id AS mem_id FROM embeddings WHERE label <> 9),
+j AS (SELECT coalesce(m.owner_id, c.owner_id) AS owner_id, m.mem_id IS NOT NULL AS hm, c.mem_id IS NOT NULL AS hc
+      FROM m FULL JOIN c ON m.owner_id = c.owner_id AND m.mem_id = c.mem_id)
+SELECT owner_id, count(*) FILTER (WHERE hm AND hc) AS embedded, count(*) FILTER (WHERE hm AND NOT hc) AS missing,
+       count(*) FILTER (WHERE NOT hm) AS orphaned FROM j GROUP BY owner_id"""

@@ -237,21 +237,26 @@ def write_contacts_json(contacts: DataFrame, path: str) -> None:
 # Metadata (S12), pasted transcripts (S16, N16), memory bank
 # --------------------------------------------------------------------------
 
-def read_metadata(spark: SparkSession, path: str, owner_id: str = "me") -> DataFrame:
+def parse_metadata(texts: DataFrame) -> DataFrame:
     """``name: description`` entries separated by ``---``.
 
-    Entries without a colon, or with an empty name or description, are
-    skipped; only the first colon splits.
+    ``texts``: ``(owner_id, value)``.  Entries without a colon, or with an
+    empty name or description, are skipped; only the first colon splits.
     """
-    raw = spark.read.text(path, wholetext=True)
-    e = raw.select(F.explode(F.split("value", "---")).alias("entry")).select(py_strip(F.col("entry")).alias("e"))
+    e = texts.select("owner_id", F.explode(F.split("value", "---")).alias("entry")) \
+        .select("owner_id", py_strip(F.col("entry")).alias("e"))
     e = e.filter((F.col("e") != "") & F.col("e").contains(":"))
     parts = F.split("e", ":", 2)
-    return e.select(F.lit(owner_id).alias("owner_id"), py_strip(parts[0]).alias("name"),
-                    py_strip(parts[1]).alias("description")) \
+    return e.select("owner_id", py_strip(parts[0]).alias("name"), py_strip(parts[1]).alias("description")) \
         .filter((F.col("name") != "") & (F.col("description") != ""))
 
 
+def read_metadata(spark: SparkSession, path: str, owner_id: str = "me") -> DataFrame:
+    """Read a metadata text file (one owner per file)."""
+    raw = spark.read.text(path, wholetext=True).select(F.lit(owner_id).alias("owner_id"), "value")
+    return parse_metadata(raw)
+
+
 def split_transcripts(transcripts: DataFrame, admin_name: str) -> DataFrame:
     """Pasted ``<|>``-separated transcripts -> header fields and messages.
 
@@ -269,7 +274,7 @@ def split_transcripts(transcripts: DataFrame, admin_name: str) -> DataFrame:
         "transcript_id", "pos", F.lit("header").alias("kind"),
         F.trim(F.split("part", ":", 2)[0]).alias("key"), F.trim(F.split("part", ":", 2)[1]).alias("value"))
     m = p.filter(is_msg & F.col("part").rlike(r"^\[[^\]]*\] [^:]*: "))
-    head = F.regexp_extract("part", r"^\[([^\]]*)\] ([^:]*): (.*)$", 2)
+    head = F.regexp_extract("part", r"(?s)^\[([^\]]*)\] ([^:]*): (.*)$", 2)
     msgs = m.select("transcript_id", "pos", F.lit("message").alias("kind"),
                     F.when(head == admin_name, F.lit("Me")).otherwise(head).alias("key"),
                     F.regexp_extract("part", r"(?s)^\[([^\]]*)\] ([^:]*): (.*)$", 3).alias("value"))
