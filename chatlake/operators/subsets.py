@@ -101,7 +101,47 @@ def _prune_buckets(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return b.join(keep, [*keys, "_b"], "left_semi").drop("_b")
 
 
+SMALL_GROUP = 200_000   # distinct timestamps a group may have for the in-task walk
+
+
+def _walk_small(keys: list[str]):
+    """applyInPandas body: the greedy walk of one (spec, group) in numpy.
+
+    Only used for groups whose node count was checked to be at most
+    ``SMALL_GROUP``; each step is one binary search, ``size`` steps at most.
+    """
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        asc = np.sort(pdf["t"].to_numpy(dtype=np.int64))
+        gap, size = int(pdf["gap_us"].iloc[0]), int(pdf["size"].iloc[0])
+        picks = [int(asc[-1])]
+        while len(picks) < size:
+            i = int(np.searchsorted(asc, picks[-1] - gap, side="right")) - 1
+            if i < 0 or asc[i] <= 0:
+                break
+            picks.append(int(asc[i]))
+        out = pd.DataFrame({"t": picks, "pos": np.arange(len(picks), dtype=np.int32)})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "t", "pos"]]
+    return run
+
+
 def _chain(nodes: DataFrame, keys: list[str], sizes: dict[str, int]) -> DataFrame:
+    """Greedy picks; small groups walk in one task, large ones use doubling."""
+    counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    small = nodes.join(counts.filter(F.col("_n") <= SMALL_GROUP).select(*keys), keys, "left_semi")
+    large = nodes.join(counts.filter(F.col("_n") > SMALL_GROUP).select(*keys), keys, "left_semi")
+    schema = ", ".join([f"{k} {nodes.schema[k].dataType.simpleString()}" for k in keys] + ["t long", "pos int"])
+    out = small.select(*keys, "gap_us", "size", "t").groupBy(*keys).applyInPandas(_walk_small(keys), schema)
+    if large.limit(1).count() > 0:      # one scalar check, no rows to the driver
+        out = out.unionByName(_chain_doubling(large, keys, sizes))
+    return out
+
+
+def _chain_doubling(nodes: DataFrame, keys: list[str], sizes: dict[str, int]) -> DataFrame:
     """Greedy picks ``(keys, t, pos)`` per key group; ``nodes`` has ``size``."""
     jump = _checkpoint(_next_pointers(nodes, keys).filter(F.col("nxt").isNotNull()))
     picks = nodes.groupBy(*keys).agg(F.max("t").alias("t"), F.first("size").alias("size")) \

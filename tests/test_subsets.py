@@ -23,7 +23,12 @@ def _greedy(items, size, gap):
     return {p[0] for p in picked}
 
 
-def test_spaced_matches_greedy(spark):
+import pytest
+
+
+@pytest.mark.parametrize("small_group", [200_000, 0])
+def test_spaced_matches_greedy(spark, monkeypatch, small_group):
+    monkeypatch.setattr(sub, "SMALL_GROUP", small_group)   # 0 forces the distributed doubling path
     rnd = random.Random(21)
     base = dt.datetime(2024, 1, 1)
     for trial in range(3):
