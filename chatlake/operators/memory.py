@@ -327,17 +327,19 @@ def unify_memories(original: DataFrame, combined: DataFrame) -> DataFrame:
     ``id`` is the running position in that order (1-based) computed from
     per-kind counts; ``citation`` of combined/inferred rows is ``based_on``.
     """
-    o = original.select("owner_id", F.lit("original").alias("kind"), F.col("seq_no").alias("k1"),
-                        F.lit(0).cast("long").alias("k2"), "attribute", F.coalesce("citation", F.lit("")).alias("citation"))
+    o = original.select("owner_id", F.lit("original").alias("kind"), F.col("batch_no").alias("k1"),
+                        F.col("seq_no").alias("k2"), "attribute", F.coalesce("citation", F.lit("")).alias("citation"))
     c = combined.select("owner_id", "kind", F.col("batch_no").alias("k1"), F.col("rec").alias("k2"),
                         "attribute", F.coalesce("based_on", F.lit("")).alias("citation"))
     u = o.unionByName(c).withColumn("kind_ord", F.when(F.col("kind") == "original", 0)
                                     .when(F.col("kind") == "combined", 1).otherwise(2))
-    counts = u.groupBy("owner_id", "kind_ord").agg(F.count(F.lit(1)).alias("_n"))
-    wc = W.partitionBy("owner_id").orderBy("kind_ord").rowsBetween(W.unboundedPreceding, -1)
+    # Offsets per (kind, response batch) from a count table, plus a rank
+    # inside the batch: no window spans all memories of an owner.
+    counts = u.groupBy("owner_id", "kind_ord", "k1").agg(F.count(F.lit(1)).alias("_n"))
+    wc = W.partitionBy("owner_id").orderBy("kind_ord", "k1").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
-    wi = W.partitionBy("owner_id", "kind_ord").orderBy("k1", "k2")
-    return u.join(counts.select("owner_id", "kind_ord", "_off"), ["owner_id", "kind_ord"]) \
+    wi = W.partitionBy("owner_id", "kind_ord", "k1").orderBy("k2")
+    return u.join(counts.select("owner_id", "kind_ord", "k1", "_off"), ["owner_id", "kind_ord", "k1"]) \
         .withColumn("id", F.col("_off") + F.row_number().over(wi)) \
         .withColumn("type", F.when(F.col("kind") == "original", KIND_LABEL["original"])
                     .when(F.col("kind") == "combined", KIND_LABEL["combined"]).otherwise(KIND_LABEL["inferred"])) \
@@ -458,9 +460,15 @@ def timeline(memories: DataFrame, sources: DataFrame, keep_undated: bool = False
         .withColumn("has_conversation", F.coalesce(F.col("has_conv"), F.lit(False)) | F.coalesce(F.col("_sc"), F.lit(False)))
     if not keep_undated:
         m = m.filter(F.col("tl_ts").isNotNull())
-    w = W.partitionBy("owner_id").orderBy(F.col("tl_ts").desc_nulls_last(), "mem_id")
-    return m.withColumn("tl_index", F.row_number().over(w) - 1) \
-        .withColumn("day", F.date_format("tl_ts", "yyyy-MM-dd")).drop("_st", "_sc")
+    # Newest-first index = memories on later days + rank inside the day, so
+    # no window spans all memories of an owner (the day table is small).
+    m = m.withColumn("day", F.date_format("tl_ts", "yyyy-MM-dd"))
+    per_day = m.groupBy("owner_id", "day").agg(F.count(F.lit(1)).alias("_n"))
+    wd = W.partitionBy("owner_id").orderBy(F.col("day").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    per_day = per_day.withColumn("_off", F.coalesce(F.sum("_n").over(wd), F.lit(0)))
+    w = W.partitionBy("owner_id", "day").orderBy(F.col("tl_ts").desc_nulls_last(), "mem_id")
+    return m.join(per_day.select("owner_id", "day", "_off"), ["owner_id", "day"], "left") \
+        .withColumn("tl_index", F.col("_off") + F.row_number().over(w) - 1).drop("_st", "_sc", "_off")
 
 
 def timeline_days(tl: DataFrame) -> DataFrame:
