@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import py_strip
-from chatlake.sources.exports import EXPORT_TS_RE
+from chatlake.sources.exports import EXPORT_TS_RE, LINE_BUCKET, _next_lines, dense_numbers
 
 # Phone patterns of the pipeline ([0-9] where Python had \d).
 CONTACT_PHONE_RE = r"(?:\+1|1)?[2-9][0-9]{9}"
@@ -74,9 +74,8 @@ def unmatched_numbers(lines: DataFrame, min_count: int = UNMATCHED_MIN_COUNT) ->
     Counts the whole stripped sender line, keeps those seen ``min_count``
     times or more; most frequent first when ordered by ``n desc``.
     """
-    w = W.partitionBy("thread_id").orderBy("line_no")
-    s = lines.select("owner_id", py_strip(F.col("value")).alias("v"), F.col("thread_id"), F.col("line_no"))
-    s = s.withColumn("_next", py_strip(F.lead("v", 1).over(w))) \
+    s = lines.select("owner_id", "thread_id", "line_no", py_strip(F.col("value")).alias("v"))
+    s = _next_lines(s, ["owner_id", "thread_id"], 1).withColumnRenamed("_next1", "_next") \
         .filter(F.col("v").rlike("^" + EXPORT_TS_RE) & F.col("_next").rlike(UNMATCHED_PHONE_RE))
     return s.groupBy("owner_id", F.col("_next").alias("phone")).agg(F.count(F.lit(1)).alias("n")) \
         .filter(F.col("n") >= min_count)
@@ -91,20 +90,25 @@ def thread_quality(lines: DataFrame, min_messages: int = THREAD_MIN_MESSAGES) ->
     file's last line.  A thread is kept when it has more than
     ``min_messages`` messages and ``has_me``.
     """
-    w = W.partitionBy("owner_id", "thread_id").orderBy("line_no")
-    lv = lines.select("owner_id", "thread_id", "line_no", "value",
-                      F.regexp_count("value", F.lit(THREAD_COUNT_TS_RE)).alias("_k"))
-    lv = lv.withColumn("_before", F.coalesce(F.sum("_k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    lv = lv.withColumn("_last", F.lead("line_no", 1).over(w).isNull())
-    seg = lv.select("owner_id", "thread_id", "_before", "value", "_last",
-                    F.posexplode(F.split("value", THREAD_COUNT_TS_RE, -1)).alias("_j", "_s"))
+    key = ["owner_id", "thread_id"]
+    lv = lines.select(*key, "line_no", "value", F.regexp_count("value", F.lit(THREAD_COUNT_TS_RE)).alias("_k"),
+                      F.floor(F.col("line_no") / LINE_BUCKET).alias("_lb"))
+    # Matches before each line: running sum inside the line bucket plus the
+    # totals of earlier buckets (small table), never a whole-file window.
+    wb = W.partitionBy(*key, "_lb").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    lv = lv.withColumn("_local", F.coalesce(F.sum("_k").over(wb), F.lit(0)))
+    tot = lv.groupBy(*key, "_lb").agg(F.sum("_k").alias("_bk"))
+    wt = W.partitionBy(*key).orderBy("_lb").rowsBetween(W.unboundedPreceding, -1)
+    tot = tot.withColumn("_carry", F.coalesce(F.sum("_bk").over(wt), F.lit(0))).drop("_bk")
+    lv = lv.join(tot, [*key, "_lb"]).withColumn("_before", F.col("_carry") + F.col("_local"))
+    seg = lv.select(*key, "_before", F.posexplode(F.split("value", THREAD_COUNT_TS_RE, -1)).alias("_j", "_s"))
     seg = seg.withColumn("_piece", F.col("_before") + F.col("_j"))
-    pieces = seg.filter(py_strip(F.col("_s")) != "").groupBy("owner_id", "thread_id") \
-        .agg(F.count_distinct("_piece").alias("n_messages"))
-    me = lv.groupBy("owner_id", "thread_id").agg(
-        F.bool_or((F.col("value") == "Me") & ~F.col("_last")).alias("has_me"))
-    r = me.join(pieces, ["owner_id", "thread_id"], "left").withColumn(
-        "n_messages", F.coalesce("n_messages", F.lit(0)))
+    pieces = seg.filter(py_strip(F.col("_s")) != "").groupBy(*key).agg(F.count_distinct("_piece").alias("n_messages"))
+    last = lines.groupBy(*key).agg(F.max("line_no").alias("_maxl"))
+    me_lines = lines.filter(F.col("value") == "Me").select(*key, "line_no")
+    me = last.join(me_lines, key, "left").groupBy(*key).agg(
+        F.coalesce(F.bool_or(F.col("line_no") < F.col("_maxl")), F.lit(False)).alias("has_me"))
+    r = me.join(pieces, key, "left").withColumn("n_messages", F.coalesce("n_messages", F.lit(0)))
     return r.withColumn("keep", (F.col("n_messages") > min_messages) & F.col("has_me"))
 
 
@@ -121,9 +125,8 @@ def speaker_census(lines: DataFrame) -> DataFrame:
     piece); ``Tapbacks:`` and ``Find My:*`` are skipped.  One row per
     category with the count and the sorted names.
     """
-    w = W.partitionBy("owner_id", "thread_id").orderBy("line_no")
     lv = lines.select("owner_id", "thread_id", "line_no", py_strip(F.col("value")).alias("v"))
-    lv = lv.withColumn("_next", py_strip(F.lead("v", 1).over(w)))
+    lv = _next_lines(lv, ["owner_id", "thread_id"], 1).withColumnRenamed("_next1", "_next")
     after = F.regexp_extract("v", f"{EXPORT_TS_RE}(.*)$", 1)
     # The piece after a timestamp starts on the same line; when that rest is
     # blank the speaker is the next line.
@@ -169,12 +172,14 @@ def export_lines(msgs: DataFrame, export_ts: Column | None = None) -> DataFrame:
     """Render ``messages`` as text-export lines (the inverse of N01).
 
     Each message becomes a timestamp line, a sender line, a content line,
-    the reply line when it is a reply, and a blank line.  ``line_no`` keeps
-    the message order (``seq``) with room for the record's lines.
+    the reply line when it is a reply, and a blank line.  ``line_no`` is
+    dense per thread in message (``seq``) order.
     """
     ts = export_ts if export_ts is not None else F.date_format("ts", "MMM d, yyyy  h:mm:ss a")
     parts = F.filter(F.array(ts, F.col("speaker"), F.col("content"),
                              F.when(F.col("is_reply"), F.lit("This message responded to an earlier message.")),
                              F.lit("")), lambda x: x.isNotNull())
-    return msgs.select("owner_id", "thread_id", F.posexplode(parts).alias("_k", "value"), "seq") \
-        .select("owner_id", "thread_id", (F.col("seq") * 8 + F.col("_k")).alias("line_no"), "value")
+    x = msgs.select("owner_id", "thread_id", F.posexplode(parts).alias("_k", "value"), "seq") \
+        .withColumn("_chunk", F.floor(F.col("seq") / (1 << 16)))
+    return dense_numbers(x, ["owner_id", "thread_id"], "_chunk", ["seq", "_k"], "line_no") \
+        .select("owner_id", "thread_id", F.col("line_no").cast("long"), "value")

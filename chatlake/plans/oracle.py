@@ -478,11 +478,13 @@ EM = """em AS (
   FROM events)"""
 
 EXPORT_LINES = f"""{EM},
-el AS (SELECT owner_id, thread_id, seq * 8 + k - 1 AS line_no, parts[k] AS value FROM (
+el0 AS (SELECT owner_id, thread_id, seq, k, parts[k] AS value FROM (
          SELECT *, list_filter([strftime(ts, '%b %-d, %Y  %-I:%M:%S %p'), speaker, content,
                                 CASE WHEN is_reply THEN {_q(_src.REPLY_LINE)} END, ''],
                                lambda x: x IS NOT NULL) AS parts FROM em) s,
        range(1, len(parts) + 1) AS r(k)),
+el AS (SELECT owner_id, thread_id, row_number() OVER (PARTITION BY owner_id, thread_id ORDER BY seq, k) AS line_no, value
+       FROM el0),
 cfx AS (SELECT 'events' AS owner_id, '212555' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS phone_norm,
                c_name AS name
         FROM customer WHERE c_custkey IN (SELECT DISTINCT user_id FROM events) AND c_custkey % 2 = 0),

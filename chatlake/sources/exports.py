@@ -30,19 +30,61 @@ def _parent_dir(path: Column) -> Column:
 
 
 def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", owner_id: str = "me") -> DataFrame:
-    """Lines of every export file with a per-file line number.
+    """Lines of every export file with a dense per-file line number.
 
-    Returns ``(owner_id, thread_id, file_path, line_no, value)``; ``thread_id`` is the
-    file name without extension.  Numbering is a window per file (a file is
-    one chat thread).
+    Returns ``(owner_id, thread_id, file_path, line_no, value)``; ``thread_id``
+    is the file name without extension.  A big file is read as many splits;
+    numbering never puts a whole file in one task: rows are ranked inside
+    their split, and each split is offset by the line counts of the earlier
+    splits of the file (a small per-split table).
     """
     df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
     df = df.select("value", F.col("_metadata.file_path").alias("file_path"),
                    F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("_mid"))
-    w = W.partitionBy("file_path").orderBy("_blk", "_mid")
-    return df.select(F.lit(owner_id).alias("owner_id"), _file_stem(F.col("file_path")).alias("thread_id"), "file_path",
-                     F.row_number().over(w).cast("long").alias("line_no"), "value")
+    d = dense_numbers(df, ["file_path"], "_blk", ["_mid"], "line_no")
+    return d.select(F.lit(owner_id).alias("owner_id"), _file_stem(F.col("file_path")).alias("thread_id"),
+                    "file_path", F.col("line_no").cast("long"), "value")
+
+
+def dense_numbers(df: DataFrame, key: list[str], chunk: str, order: list[str], out: str) -> DataFrame:
+    """1-based dense numbers per ``key`` in ``(chunk, *order)`` order.
+
+    Rows are ranked inside each ``(key, chunk)`` and offset by the row counts
+    of the earlier chunks of the key (a small per-chunk table), so a key
+    holding a large share of the rows is numbered by many tasks.
+    """
+    per = df.groupBy(*key, chunk).agg(F.count(F.lit(1)).alias("_n"))
+    ws = W.partitionBy(*key).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(ws), F.lit(0))).drop("_n")
+    wl = W.partitionBy(*key, chunk).orderBy(*order)
+    return df.join(per, [*key, chunk]).withColumn(out, F.col("_off") + F.row_number().over(wl)).drop("_off")
+
+
+LINE_BUCKET = 1 << 16   # lines per scan bucket in record assembly
+
+
+def _next_lines(lv: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Add ``_next1.._next{n}`` (the following lines) without whole-file windows.
+
+    Lines are bucketed by ``line_no``; inside a bucket a window gives the
+    next lines, and the last ``n`` lines of a bucket look up the first ``n``
+    lines of the following buckets by an equi-join on the line number
+    (numbers are dense, so ``line_no + k`` names the line exactly).
+    """
+    b = lv.withColumn("_lb", F.floor(F.col("line_no") / LINE_BUCKET))
+    w = W.partitionBy(*key, "_lb").orderBy("line_no")
+    for k in range(1, n + 1):
+        b = b.withColumn(f"_next{k}", F.lead("v", k).over(w))
+    head = b.filter(F.col("line_no") % LINE_BUCKET < n).select(*key, F.col("line_no").alias("_hl"),
+                                                              F.col("v").alias("_hv"))
+    tail = b.filter(F.col("line_no") % LINE_BUCKET >= LINE_BUCKET - n)
+    for k in range(1, n + 1):
+        h = head.select(*key, (F.col("_hl") - k).alias("line_no"), F.col("_hv").alias(f"_fix{k}"))
+        tail = tail.join(h, [*key, "line_no"], "left")
+        tail = tail.withColumn(f"_next{k}", F.coalesce(f"_next{k}", f"_fix{k}")).drop(f"_fix{k}")
+    body = b.filter(F.col("line_no") % LINE_BUCKET < LINE_BUCKET - n)
+    return body.unionByName(tail).drop("_lb")
 
 
 def parse_export_ts(c: Column) -> Column:
@@ -66,26 +108,34 @@ def assemble_records(lines: DataFrame, source: str = "imessage") -> DataFrame:
     inside a cluster the greedy rule is a fold over the sorted positions.
     """
     key = ["owner_id", "thread_id"]
-    wf = W.partitionBy(*key).orderBy("line_no")
     lv = lines.select(*key, "line_no", py_strip(F.col("value")).alias("v"))
-    lv = lv.withColumn("_ln", F.row_number().over(wf)) \
-        .withColumn("ts_txt", F.regexp_extract("v", f"^({EXPORT_TS_RE})", 1)) \
-        .withColumn("sender", F.lead("v", 1).over(wf)) \
-        .withColumn("content", F.lead("v", 2).over(wf)) \
-        .withColumn("after", F.lead("v", 3).over(wf))
-    tsl = lv.filter(F.col("ts_txt") != "").select(*key, "_ln")
-    wt = W.partitionBy(*key).orderBy("_ln")
-    tsl = tsl.withColumn("_new", F.coalesce(F.col("_ln") - F.lag("_ln").over(wt) >= 3, F.lit(True)))
-    tsl = tsl.withColumn("_cl", F.sum(F.col("_new").cast("long")).over(wt.rowsBetween(W.unboundedPreceding, 0)))
+    lv = _next_lines(lv, key, 3).withColumnRenamed("_next1", "sender").withColumnRenamed("_next2", "content") \
+        .withColumnRenamed("_next3", "after") \
+        .withColumn("ts_txt", F.regexp_extract("v", f"^({EXPORT_TS_RE})", 1))
+    # Timestamp lines closer than 3 lines chain into clusters.  A cluster
+    # starts at a timestamp line with none 1 or 2 lines before it (anti join
+    # on the line number); every timestamp line belongs to the latest start
+    # at or before it (running max per line bucket, carried across buckets
+    # through a small per-bucket table).
+    tsl = lv.filter(F.col("ts_txt") != "").select(*key, "line_no")
+    prev = tsl.select(*key, F.explode(F.array(F.col("line_no") + 1, F.col("line_no") + 2)).alias("line_no"))
+    cstart = tsl.join(prev, [*key, "line_no"], "left_anti").withColumn("_cs", F.col("line_no"))
+    t2 = tsl.join(cstart, [*key, "line_no"], "left").withColumn("_lb", F.floor(F.col("line_no") / LINE_BUCKET))
+    wb = W.partitionBy(*key, "_lb").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    t2 = t2.withColumn("_cl", F.max("_cs").over(wb))
+    carry = t2.groupBy(*key, "_lb").agg(F.max("_cs").alias("_bmax"))
+    wc = W.partitionBy(*key).orderBy("_lb").rowsBetween(W.unboundedPreceding, -1)
+    carry = carry.withColumn("_carry", F.max("_bmax").over(wc)).drop("_bmax")
+    t2 = t2.join(carry, [*key, "_lb"], "left").withColumn("_cl", F.coalesce("_cl", "_carry"))
     fold = F.aggregate(
-        F.array_sort(F.collect_list("_ln")),
-        F.struct(F.lit(-10).alias("last"), F.array().cast("array<int>").alias("starts")),
+        F.array_sort(F.collect_list("line_no")),
+        F.struct(F.lit(-10).cast("long").alias("last"), F.array().cast("array<long>").alias("starts")),
         lambda acc, p: F.when(p - acc["last"] >= 3,
                               F.struct(p.alias("last"), F.concat(acc["starts"], F.array(p)).alias("starts")))
                         .otherwise(acc),
         lambda acc: acc["starts"])
-    starts = tsl.groupBy(*key, "_cl").agg(fold.alias("s")).select(*key, F.explode("s").alias("_ln"))
-    rec = lv.join(starts, [*key, "_ln"], "inner").filter(F.col("content").isNotNull())
+    starts = t2.groupBy(*key, "_cl").agg(fold.alias("s")).select(*key, F.explode("s").alias("line_no"))
+    rec = lv.join(starts, [*key, "line_no"], "inner").filter(F.col("content").isNotNull())
     is_reply = F.coalesce(F.col("after") == REPLY_LINE, F.lit(False))
     system = F.lit(False)
     for p in SYSTEM_PREFIXES:

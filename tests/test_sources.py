@@ -33,7 +33,10 @@ Ann
 """
 
 
-def test_text_export_records(spark, tmpdir_path):
+@pytest.mark.parametrize("bucket", [1 << 16, 4, 5])
+def test_text_export_records(spark, tmpdir_path, monkeypatch, bucket):
+    monkeypatch.setattr(src, "LINE_BUCKET", bucket)      # small buckets: records and clusters cross buckets
+    monkeypatch.setattr(ing, "LINE_BUCKET", bucket)
     with open(os.path.join(tmpdir_path, "chat1.txt"), "w") as f:
         f.write(EXPORT)
     lines = src.read_text_lines(spark, tmpdir_path)
