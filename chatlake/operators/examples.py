@@ -119,6 +119,45 @@ def _prior_features(feat: DataFrame, buffer: int) -> DataFrame:
     )
 
 
+TURN_BUCKET = 1 << 12   # turns per bucket of the running history features
+
+# (history column, per-turn column, aggregate) of the running prompt features.
+_HISTORY = [("h_ban", "f_ban", "bool_or"), ("h_delim", "f_delim", "max"), ("h_spk_lo", "f_spk_lo", "min"),
+            ("h_spk_hi", "f_spk_hi", "max"), ("h_ts", "f_ts", "sum"), ("h_words", "f_words", "max")]
+
+
+def _agg(kind: str, c: Column) -> Column:
+    return {"bool_or": F.bool_or, "max": F.max, "min": F.min, "sum": F.sum}[kind](c)
+
+
+def _combine(kind: str, a: Column, b: Column) -> Column:
+    if kind == "bool_or":
+        return F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+    if kind == "sum":
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return (F.greatest if kind == "max" else F.least)(a, b)
+
+
+def _history_features(feat: DataFrame) -> DataFrame:
+    """Running features of all earlier turns of the conversation.
+
+    Two-level so one endless conversation is not one task: a window inside
+    each ``TURN_BUCKET`` of turns, plus the prefix aggregate of the earlier
+    buckets from a small per-bucket table (all five aggregates are
+    associative).
+    """
+    f = feat.withColumn("_tb", F.floor(F.col("turn_idx") / TURN_BUCKET))
+    wl = W.partitionBy(*CONV, "_tb").orderBy("turn_idx").rowsBetween(W.unboundedPreceding, -1)
+    f = f.select("*", *[_agg(k, F.col(src)).over(wl).alias(f"_l_{dst}") for dst, src, k in _HISTORY])
+    per = f.groupBy(*CONV, "_tb").agg(*[_agg(k, F.col(src)).alias(f"_b_{dst}") for dst, src, k in _HISTORY])
+    wb = W.partitionBy(*CONV).orderBy("_tb").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*CONV, "_tb", *[_agg(k, F.col(f"_b_{dst}")).over(wb).alias(f"_c_{dst}") for dst, _, k in _HISTORY])
+    f = f.join(per, [*CONV, "_tb"])
+    out = [_combine(k, F.col(f"_c_{dst}"), F.col(f"_l_{dst}")).alias(dst) for dst, _, k in _HISTORY]
+    drop = ["_tb"] + [f"_l_{d}" for d, _, _ in _HISTORY] + [f"_c_{d}" for d, _, _ in _HISTORY]
+    return f.select("*", *out).drop(*drop)
+
+
 def example_features(turns: DataFrame, buffer: int = 0,
                      cfg: FilterConfig = DEFAULT_FILTERS) -> DataFrame:
     """One row per target turn with its ``reject_reason``.
@@ -126,16 +165,7 @@ def example_features(turns: DataFrame, buffer: int = 0,
     ``reject_reason`` is NULL for examples that pass every filter.
     """
     feat = turn_features(turns, cfg)
-    wc = W.partitionBy(*CONV).orderBy("turn_idx").rowsBetween(W.unboundedPreceding, -1)
-    h = feat.select(
-        "*",
-        F.coalesce(F.bool_or("f_ban").over(wc), F.lit(False)).alias("h_ban"),
-        F.max("f_delim").over(wc).alias("h_delim"),
-        F.min("f_spk_lo").over(wc).alias("h_spk_lo"),
-        F.max("f_spk_hi").over(wc).alias("h_spk_hi"),
-        F.coalesce(F.sum("f_ts").over(wc), F.lit(0)).alias("h_ts"),
-        F.max("f_words").over(wc).alias("h_words"),
-    )
+    h = _history_features(feat)
     ex = eligible_targets(h)
     if buffer > 0:
         ex = ex.join(_prior_features(feat, buffer), CONV, "left")

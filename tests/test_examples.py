@@ -101,7 +101,8 @@ SCHEMA = ("owner_id string, thread_id string, conv_no int, turn_idx int, ts time
           "content string, is_reply boolean, reply_info string, n_msgs int")
 
 
-def test_filters_match_whole_prompt(spark):
+def test_filters_match_whole_prompt(spark, monkeypatch):
+    monkeypatch.setattr(exm, "TURN_BUCKET", 3)      # history carried across turn buckets
     for seed, buffer in [(1, 0), (2, 0), (3, 2), (4, 6)]:
         rows = _random_turns(seed)
         df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
