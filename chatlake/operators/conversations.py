@@ -190,25 +190,37 @@ def partner_lookup(index: DataFrame, names: DataFrame, seed: int = 0) -> DataFra
     """Pick one conversation per query name, repeatably.
 
     ``names`` has ``(owner_id, query_id, name)``.  The first partner key (in
-    key order) containing the lower-cased name wins and one of its
-    conversations is drawn by a seeded hash; a name matching no key draws a
-    partner uniformly, then one of its conversations.  The substring join is
-    scoped by owner; partner keys per owner are few (one per contact).
+    key order) containing the lower-cased name wins; a name matching no key
+    draws a partner uniformly, then one of its conversations.  Draws are
+    seeded hashes turned into a rank, fetched by equi-joins on
+    ``(owner, rank)``, so no query is paired with every partner or every
+    conversation.  Substring hits come from an Aho-Corasick pass over the
+    partner keys with the (size-checked, chunked) name list.
     """
+    from chatlake.operators.examples import phrase_search
+
     keys = index.select("owner_id", "partner_key").distinct()
-    q = names.withColumn("_n", F.lower(F.col("name")))
-    hits = q.join(keys, (q.owner_id == keys.owner_id) & F.col("partner_key").contains(F.col("_n")), "inner") \
-        .select(q.owner_id, "query_id", "partner_key")
-    wk = W.partitionBy("owner_id", "query_id").orderBy("partner_key")
-    hits = hits.withColumn("_r", F.row_number().over(wk)).filter("_r = 1").drop("_r")
-    miss = q.select("owner_id", "query_id").join(hits, ["owner_id", "query_id"], "left_anti")
-    wr = W.partitionBy("owner_id", "query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "partner_key"), "partner_key")
-    fallback = miss.join(keys, "owner_id").withColumn("_r", F.row_number().over(wr)).filter("_r = 1").drop("_r")
-    chosen = hits.withColumn("matched", F.lit(True)).unionByName(fallback.withColumn("matched", F.lit(False)))
-    wc = W.partitionBy("owner_id", "query_id").orderBy(
-        F.xxhash64(F.lit(seed + 1), "query_id", "thread_id", "conv_no"), "thread_id", "conv_no")
-    return (chosen.join(index, ["owner_id", "partner_key"])
-            .withColumn("_r", F.row_number().over(wc)).filter("_r = 1").drop("_r"))
+    wk = W.partitionBy("owner_id").orderBy("partner_key")
+    ranked = keys.withColumn("pidx", F.row_number().over(wk))
+    n_part = ranked.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n_part"))
+    q = names.withColumn("phrase_id", F.xxhash64("owner_id", "query_id"))
+    hits = phrase_search(ranked.select("owner_id", "partner_key", "pidx"),
+                         q.select("phrase_id", F.col("name").alias("phrase")), ["owner_id", "partner_key", "pidx"],
+                         ("partner_key",))
+    hits = hits.join(q.select("phrase_id", F.col("owner_id").alias("_qo"), "query_id"), "phrase_id") \
+        .filter(F.col("_qo") == F.col("owner_id")) \
+        .groupBy("owner_id", "query_id").agg(F.min("pidx").alias("pidx")).withColumn("matched", F.lit(True))
+    miss = q.select("owner_id", "query_id").join(hits, ["owner_id", "query_id"], "left_anti") \
+        .join(n_part, "owner_id") \
+        .select("owner_id", "query_id", (F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.col("n_part")) + 1)
+                .alias("pidx"), F.lit(False).alias("matched"))
+    chosen = hits.unionByName(miss).join(ranked, ["owner_id", "pidx"])
+    wc = W.partitionBy("owner_id", "partner_key").orderBy("thread_id", "conv_no")
+    convs = index.withColumn("cidx", F.row_number().over(wc))
+    n_conv = convs.groupBy("owner_id", "partner_key").agg(F.count(F.lit(1)).alias("n_conv"))
+    pick = chosen.join(n_conv, ["owner_id", "partner_key"]).withColumn(
+        "cidx", F.pmod(F.xxhash64(F.lit(seed + 1), "query_id"), F.col("n_conv")) + 1)
+    return pick.join(convs, ["owner_id", "partner_key", "cidx"]).drop("cidx", "n_conv", "pidx")
 
 
 def render_lines(turns: DataFrame) -> Column:

@@ -412,7 +412,7 @@ def phrase_search(texts: DataFrame, phrases: DataFrame, key_cols: list[str],
     schema = T.StructType(key_fields + [T.StructField("phrase_id", T.LongType()),
                                         T.StructField("field", T.StringType()),
                                         T.StructField("context", T.StringType())])
-    src = texts.select(*key_cols, *fields)
+    src = texts.select(*dict.fromkeys([*key_cols, *fields]))
     out = None
     n_chunks = max(1, -(-n // MAX_BROADCAST_PHRASES))
     for c in range(n_chunks):

@@ -150,36 +150,77 @@ def flat_search(queries: DataFrame, memories: DataFrame, k: int = TOP_K,
     return hits, texts
 
 
+MAX_QUERY_WORDS = 500_000   # (query, word) pairs shipped to tasks at once
+
+
+def _keyword_topk_batches(chunk, k: int):
+    """mapInPandas body: per memory batch, matched query words -> per-query top-k."""
+    def run(batches):
+        import heapq
+
+        import ahocorasick
+        import pandas as pd
+
+        by_owner = chunk.value          # owner -> {word: [query ids]}
+        autos = {}
+        for owner, words in by_owner.items():
+            a = ahocorasick.Automaton()
+            for w in words:
+                a.add_word(w, w)
+            a.make_automaton()
+            autos[owner] = a
+        heaps: dict = {}
+        for pdf in batches:
+            for owner, mid, attr in pdf[["owner_id", "mem_id", "attribute"]].itertuples(index=False):
+                if owner not in autos or attr is None:
+                    continue
+                found = {w for _, w in autos[owner].iter(attr.lower())}
+                counts: dict = {}
+                for w in found:
+                    for q in by_owner[owner][w]:
+                        counts[q] = counts.get(q, 0) + 1
+                for q, c in counts.items():
+                    h = heaps.setdefault((owner, q), [])
+                    item = (c, -int(mid))          # larger count, then smaller mem_id, wins
+                    if len(h) < k:
+                        heapq.heappush(h, item)
+                    elif item > h[0]:
+                        heapq.heapreplace(h, item)
+        rows = [(o, int(q), -m, c) for (o, q), h in heaps.items() for c, m in h]
+        yield pd.DataFrame(rows, columns=["owner_id", "query_id", "mem_id", "matches"])
+    return run
+
+
 def keyword_search(queries: DataFrame, memories: DataFrame, k: int = TOP_K) -> DataFrame:
     """Memories ranked by how many distinct query words occur in them.
 
     Query words are lower-cased ``split()`` words; a word counts when it is
-    a substring of the lower-cased attribute.  Words are matched against
-    attributes with one Aho-Corasick pass per size-checked word chunk, then
-    joined back to the queries that hold them (equi-join on the word).
+    a substring of the lower-cased attribute.  The (query, word) list is
+    counted and shipped to the tasks in chunks; each memory partition finds
+    the words in its attributes with one Aho-Corasick pass, counts matches
+    per query and keeps a top-k heap per query, so no (query, memory) pairs
+    are materialised or shuffled; a final ``row_number()`` merges the
+    partitions' candidates (ties by ``mem_id``).
     """
-    from chatlake.operators.examples import MAX_BROADCAST_PHRASES, _phrase_matcher
-
-    qw = queries.select("owner_id", "query_id", F.explode(F.array_distinct(tx.words(F.lower("q_text")))).alias("word"))
-    vocab = qw.select("word").distinct()
-    n = vocab.count()
-    n_chunks = max(1, math.ceil(n / MAX_BROADCAST_PHRASES))
-    vocab = vocab.withColumn("word_id", F.xxhash64("word"))
-    schema = T.StructType([T.StructField("owner_id", T.StringType()), T.StructField("mem_id", T.LongType()),
-                           T.StructField("phrase_id", T.LongType()), T.StructField("field", T.StringType()),
-                           T.StructField("context", T.StringType())])
-    src = memories.select("owner_id", "mem_id", "attribute")
-    hits = None
+    spark = queries.sparkSession
+    qw = queries.select("owner_id", "query_id",
+                        F.explode(F.array_distinct(tx.words(F.lower("q_text")))).alias("word"))
+    n = qw.count()
+    n_chunks = max(1, math.ceil(n / MAX_QUERY_WORDS))
+    schema = T.StructType([T.StructField("owner_id", T.StringType()), T.StructField("query_id", T.LongType()),
+                           T.StructField("mem_id", T.LongType()), T.StructField("matches", T.LongType())])
+    mem = memories.select("owner_id", "mem_id", "attribute")
+    out = None
     for c in range(n_chunks):
-        vc = vocab if n_chunks == 1 else vocab.filter(F.pmod(F.col("word_id"), F.lit(n_chunks)) == c)
-        words = [(int(r[0]), r[1]) for r in vc.select("word_id", "word").toLocalIterator()]
-        part = src.mapInPandas(_phrase_matcher(words, ["owner_id", "mem_id"], ["attribute"]), schema)
-        hits = part if hits is None else hits.unionByName(part)
-    mw = hits.select("owner_id", "mem_id", F.col("phrase_id").alias("word_id")).join(vocab, "word_id")
-    pairs = mw.join(qw, ["owner_id", "word"]).groupBy("owner_id", "query_id", "mem_id") \
-        .agg(F.count(F.lit(1)).alias("matches"))
+        qc = qw if n_chunks == 1 else qw.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
+        by_owner: dict = {}
+        for r in qc.toLocalIterator():
+            by_owner.setdefault(r["owner_id"], {}).setdefault(r["word"], []).append(r["query_id"])
+        bc = spark.sparkContext.broadcast(by_owner)
+        part = mem.mapInPandas(_keyword_topk_batches(bc, k), schema)
+        out = part if out is None else out.unionByName(part)
     w = W.partitionBy("owner_id", "query_id").orderBy(F.col("matches").desc(), "mem_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def drill_links(memories: DataFrame, upper: int, lower: int, k: int) -> DataFrame:
