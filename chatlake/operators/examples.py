@@ -94,9 +94,9 @@ def _prior_features(feat: DataFrame, buffer: int) -> DataFrame:
     those words join that turn's last message piece, so both variants of the
     last turn's word feature are computed.
     """
-    last = W.partitionBy(*CONV).orderBy(F.col("turn_idx").desc())
     line = _line(F.col("ts"), F.col("speaker"), F.col("content"))
-    f = feat.withColumn("_is_last", F.row_number().over(last) == 1)
+    last_idx = feat.groupBy(*CONV).agg(F.max("turn_idx").alias("_mx"))
+    f = feat.join(last_idx, CONV).withColumn("_is_last", F.col("turn_idx") == F.col("_mx"))
     f = (f.withColumn("_w_mid", F.when(F.col("_is_last"), tx.max_piece_words(F.concat(line, F.lit(PRIOR_SEPARATOR))))
                       .otherwise(F.col("f_words")))
           .withColumn("_w_end", F.when(F.col("_is_last"), tx.max_piece_words(
@@ -106,20 +106,30 @@ def _prior_features(feat: DataFrame, buffer: int) -> DataFrame:
         F.min("f_spk_lo").alias("c_spk_lo"), F.max("f_spk_hi").alias("c_spk_hi"),
         F.sum("f_ts").alias("c_ts"), F.max("_w_mid").alias("c_w_mid"), F.max("_w_end").alias("c_w_end"),
     )
-    wt = W.partitionBy("owner_id", "thread_id").orderBy("conv_no")
+    # The frames look back ``buffer`` conversations only, so conversations
+    # are cut into buckets and each bucket also gets the last ``buffer``
+    # conversations of the bucket before it (a halo): a thread with very
+    # many conversations is still spread over many tasks.
+    cb = max(CONV_BUCKET, buffer + 1)
+    c = c.withColumn("_cb", F.floor(F.col("conv_no") / cb)).withColumn("_halo", F.lit(False))
+    halo = c.filter(F.col("conv_no") % cb >= cb - buffer).withColumn("_cb", F.col("_cb") + 1) \
+        .withColumn("_halo", F.lit(True))
+    c = c.unionByName(halo)
+    wt = W.partitionBy("owner_id", "thread_id", "_cb").orderBy("conv_no")
     fr = wt.rowsBetween(-buffer, -1)
     return c.select(
-        *CONV,
+        *CONV, "_halo",
         F.coalesce(F.bool_or("c_ban").over(fr), F.lit(False)).alias("p_ban"),
         F.max("c_delim").over(fr).alias("p_delim"),
         F.min("c_spk_lo").over(fr).alias("p_spk_lo"),
         F.max("c_spk_hi").over(fr).alias("p_spk_hi"),
         F.coalesce(F.sum("c_ts").over(fr), F.lit(0)).alias("p_ts"),
         F.greatest(F.max("c_w_mid").over(wt.rowsBetween(-buffer, -2)), F.lag("c_w_end").over(wt)).alias("p_words"),
-    )
+    ).filter(~F.col("_halo")).drop("_halo")
 
 
 TURN_BUCKET = 1 << 12   # turns per bucket of the running history features
+CONV_BUCKET = 1 << 12   # conversations per bucket of the prior-context features
 
 # (history column, per-turn column, aggregate) of the running prompt features.
 _HISTORY = [("h_ban", "f_ban", "bool_or"), ("h_delim", "f_delim", "max"), ("h_spk_lo", "f_spk_lo", "min"),

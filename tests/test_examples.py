@@ -103,6 +103,7 @@ SCHEMA = ("owner_id string, thread_id string, conv_no int, turn_idx int, ts time
 
 def test_filters_match_whole_prompt(spark, monkeypatch):
     monkeypatch.setattr(exm, "TURN_BUCKET", 3)      # history carried across turn buckets
+    monkeypatch.setattr(exm, "CONV_BUCKET", 2)      # prior context read across conversation buckets
     for seed, buffer in [(1, 0), (2, 0), (3, 2), (4, 6)]:
         rows = _random_turns(seed)
         df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
