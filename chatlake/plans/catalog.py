@@ -44,8 +44,16 @@ def finish(df: DataFrame) -> DataFrame:
 # Conversations
 # --------------------------------------------------------------------------
 
+def stage(df: DataFrame) -> DataFrame:
+    """Stage table (S15): written once to the shared checkpoint folder, because
+    several consumers of one query read it (turns, parsed attributes)."""
+    from chatlake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def events_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.merge_turns(ad.msgs_events(spark, sf_dir))
+    return stage(conv.merge_turns(ad.msgs_events(spark, sf_dir)))
 
 
 @register("sessionize_events")
@@ -78,7 +86,7 @@ from chatlake.operators import examples as exm  # noqa: E402
 
 
 def conv_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.merge_turns(ad.msgs_conv(spark, sf_dir))
+    return stage(conv.merge_turns(ad.msgs_conv(spark, sf_dir)))
 
 
 @register("filter_reasons")
@@ -432,11 +440,11 @@ def _combine_rule(l, k):
 
 def _originals(spark, sf_dir):
     a = mem.parse_attributes(_doc_lines_response(spark, sf_dir, "extract", _extract_rule))
-    return mem.pack_attributes(a, ["batch_no", "rec"])
+    return stage(mem.pack_attributes(a, ["batch_no", "rec"]))
 
 
 def _combined(spark, sf_dir):
-    return mem.parse_combined(_doc_lines_response(spark, sf_dir, "combine", _combine_rule))
+    return stage(mem.parse_combined(_doc_lines_response(spark, sf_dir, "combine", _combine_rule)))
 
 
 @register("pack_batches")

@@ -64,27 +64,34 @@ def dense_numbers(df: DataFrame, key: list[str], chunk: str, order: list[str], o
 LINE_BUCKET = 1 << 16   # lines per scan bucket in record assembly
 
 
-def _next_lines(lv: DataFrame, key: list[str], n: int) -> DataFrame:
-    """Add ``_next1.._next{n}`` (the following lines) without whole-file windows.
+def _next_lines(lv: DataFrame, key: list[str], n: int, col: str = "v", n_prev: int = 0) -> DataFrame:
+    """Add ``_next1.._next{n}`` (and ``_prev1.._prev{n_prev}``) of ``col``
+    without whole-file windows.
 
     Lines are bucketed by ``line_no``; inside a bucket a window gives the
-    next lines, and the last ``n`` lines of a bucket look up the first ``n``
-    lines of the following buckets by an equi-join on the line number
-    (numbers are dense, so ``line_no + k`` names the line exactly).
+    neighbours, and the few lines at a bucket edge look theirs up in the
+    adjacent bucket by an equi-join on the line number (numbers are dense,
+    so ``line_no + k`` names the line exactly).
     """
     b = lv.withColumn("_lb", F.floor(F.col("line_no") / LINE_BUCKET))
     w = W.partitionBy(*key, "_lb").orderBy("line_no")
+    cols = [F.lead(col, k).over(w).alias(f"_next{k}") for k in range(1, n + 1)] + \
+           [F.lag(col, k).over(w).alias(f"_prev{k}") for k in range(1, n_prev + 1)]
+    b = b.select("*", *cols)
+    pos = F.col("line_no") % LINE_BUCKET
+    edge = (pos >= LINE_BUCKET - n) | (pos < n_prev)
+    src = b.filter((pos < n) | (pos >= LINE_BUCKET - n_prev)).select(*key, F.col("line_no").alias("_el"),
+                                                                      F.col(col).alias("_ev"))
+    fix = b.filter(edge)
     for k in range(1, n + 1):
-        b = b.withColumn(f"_next{k}", F.lead("v", k).over(w))
-    head = b.filter(F.col("line_no") % LINE_BUCKET < n).select(*key, F.col("line_no").alias("_hl"),
-                                                              F.col("v").alias("_hv"))
-    tail = b.filter(F.col("line_no") % LINE_BUCKET >= LINE_BUCKET - n)
-    for k in range(1, n + 1):
-        h = head.select(*key, (F.col("_hl") - k).alias("line_no"), F.col("_hv").alias(f"_fix{k}"))
-        tail = tail.join(h, [*key, "line_no"], "left")
-        tail = tail.withColumn(f"_next{k}", F.coalesce(f"_next{k}", f"_fix{k}")).drop(f"_fix{k}")
-    body = b.filter(F.col("line_no") % LINE_BUCKET < LINE_BUCKET - n)
-    return body.unionByName(tail).drop("_lb")
+        h = src.select(*key, (F.col("_el") - k).alias("line_no"), F.col("_ev").alias("_fix"))
+        fix = fix.join(h, [*key, "line_no"], "left").withColumn(f"_next{k}", F.coalesce(f"_next{k}", "_fix")) \
+            .drop("_fix")
+    for k in range(1, n_prev + 1):
+        h = src.select(*key, (F.col("_el") + k).alias("line_no"), F.col("_ev").alias("_fix"))
+        fix = fix.join(h, [*key, "line_no"], "left").withColumn(f"_prev{k}", F.coalesce(f"_prev{k}", "_fix")) \
+            .drop("_fix")
+    return b.filter(~edge).unionByName(fix).drop("_lb")
 
 
 def parse_export_ts(c: Column) -> Column:
@@ -109,18 +116,21 @@ def assemble_records(lines: DataFrame, source: str = "imessage") -> DataFrame:
     """
     key = ["owner_id", "thread_id"]
     lv = lines.select(*key, "line_no", py_strip(F.col("value")).alias("v"))
-    lv = _next_lines(lv, key, 3).withColumnRenamed("_next1", "sender").withColumnRenamed("_next2", "content") \
-        .withColumnRenamed("_next3", "after") \
-        .withColumn("ts_txt", F.regexp_extract("v", f"^({EXPORT_TS_RE})", 1))
-    # Timestamp lines closer than 3 lines chain into clusters.  A cluster
-    # starts at a timestamp line with none 1 or 2 lines before it (anti join
-    # on the line number); every timestamp line belongs to the latest start
-    # at or before it (running max per line bucket, carried across buckets
-    # through a small per-bucket table).
-    tsl = lv.filter(F.col("ts_txt") != "").select(*key, "line_no")
-    prev = tsl.select(*key, F.explode(F.array(F.col("line_no") + 1, F.col("line_no") + 2)).alias("line_no"))
-    cstart = tsl.join(prev, [*key, "line_no"], "left_anti").withColumn("_cs", F.col("line_no"))
-    t2 = tsl.join(cstart, [*key, "line_no"], "left").withColumn("_lb", F.floor(F.col("line_no") / LINE_BUCKET))
+    lv = _next_lines(lv, key, 3, "v", n_prev=2)
+    is_ts = lambda c: F.coalesce(F.col(c).rlike(f"^({EXPORT_TS_RE})"), F.lit(False))
+    lv = lv.withColumn("ts_txt", F.regexp_extract("v", f"^({EXPORT_TS_RE})", 1)) \
+        .withColumnRenamed("_next1", "sender").withColumnRenamed("_next2", "content") \
+        .withColumnRenamed("_next3", "after")
+    start = ~is_ts("_prev1") & ~is_ts("_prev2")
+    alone = start & ~is_ts("sender") & ~is_ts("content")
+    tsl = lv.filter(F.col("ts_txt") != "").withColumn("_alone", alone).withColumn("_start", start)
+    # A lone timestamp line starts a record.  Lines of longer clusters (rare)
+    # go through the greedy fold: a cluster starts where no timestamp line is
+    # 1 or 2 lines earlier; each line belongs to the latest start at or before
+    # it (running max per line bucket, carried across buckets by a small table).
+    single = tsl.filter("_alone").drop("_alone", "_start")
+    multi = tsl.filter(~F.col("_alone")).select(*key, "line_no", F.when(F.col("_start"), F.col("line_no")).alias("_cs"))
+    t2 = multi.withColumn("_lb", F.floor(F.col("line_no") / LINE_BUCKET))
     wb = W.partitionBy(*key, "_lb").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     t2 = t2.withColumn("_cl", F.max("_cs").over(wb))
     carry = t2.groupBy(*key, "_lb").agg(F.max("_cs").alias("_bmax"))
@@ -135,7 +145,8 @@ def assemble_records(lines: DataFrame, source: str = "imessage") -> DataFrame:
                         .otherwise(acc),
         lambda acc: acc["starts"])
     starts = t2.groupBy(*key, "_cl").agg(fold.alias("s")).select(*key, F.explode("s").alias("line_no"))
-    rec = lv.join(starts, [*key, "line_no"], "inner").filter(F.col("content").isNotNull())
+    rec = single.unionByName(tsl.join(starts, [*key, "line_no"], "inner").drop("_alone", "_start")) \
+        .filter(F.col("content").isNotNull())
     is_reply = F.coalesce(F.col("after") == REPLY_LINE, F.lit(False))
     system = F.lit(False)
     for p in SYSTEM_PREFIXES:
