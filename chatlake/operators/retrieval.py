@@ -82,17 +82,17 @@ def _topk_batches(chunk, k: int, w: float):
                 sims = (mm @ qmat.T) / np.outer(np.linalg.norm(mm, axis=1), np.linalg.norm(qmat, axis=1))
                 score = (1.0 - w) * sims + w * grp["recency"].to_numpy(dtype=np.float64)[:, None]
                 mids = grp["mem_id"].to_numpy()
-                kk = min(k, len(mids))
-                for j in range(len(qids)):
-                    col = score[:, j]
-                    if kk < len(mids):
-                        kth = np.partition(col, len(col) - kk)[len(col) - kk]
-                        sel = np.nonzero(col >= kth)[0]
-                    else:
-                        sel = np.arange(len(mids))
-                    for i in sel:
-                        rows.append((owner, int(qids[j]), int(mids[i]), float(col[i]), float(sims[i, j])))
-            yield pd.DataFrame(rows, columns=["owner_id", "query_id", "mem_id", "score", "similarity"])
+                n = len(mids)
+                kk = min(k, n)
+                # Per query (column): keep every memory scoring at least the
+                # k-th best of this batch, so ties at the cut survive.
+                kth = np.partition(score, n - kk, axis=0)[n - kk] if kk < n else np.full(score.shape[1], -np.inf)
+                ii, jj = np.nonzero(score >= kth[None, :])
+                rows.append(pd.DataFrame({"owner_id": owner, "query_id": np.asarray(qids)[jj].astype("int64"),
+                                          "mem_id": mids[ii].astype("int64"), "score": score[ii, jj],
+                                          "similarity": sims[ii, jj]}))
+            cols = ["owner_id", "query_id", "mem_id", "score", "similarity"]
+            yield pd.concat(rows, ignore_index=True)[cols] if rows else pd.DataFrame(columns=cols)
     return run
 
 
