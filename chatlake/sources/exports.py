@@ -269,10 +269,18 @@ def vcard_contacts(lines: DataFrame, any_item_tel: bool = True) -> DataFrame:
     10; a number seen twice keeps the last name.  ``any_item_tel`` accepts
     ``itemN.TEL`` (otherwise only ``item1.TEL``).
     """
-    w = W.partitionBy("owner_id", "thread_id").orderBy("line_no")
-    v = lines.select("owner_id", "thread_id", "line_no", py_strip(F.col("value")).alias("v"))
+    key = ["owner_id", "thread_id"]
+    v = lines.select(*key, "line_no", py_strip(F.col("value")).alias("v"),
+                     F.floor(F.col("line_no") / LINE_BUCKET).alias("_lb"))
     v = v.withColumn("_end", (F.col("v") == "END:VCARD").cast("long"))
-    v = v.withColumn("_card", F.coalesce(F.sum("_end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # Card number = END lines before the line: running count inside the line
+    # bucket plus the counts of earlier buckets (small table).
+    wb = W.partitionBy(*key, "_lb").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    v = v.withColumn("_local", F.coalesce(F.sum("_end").over(wb), F.lit(0)))
+    tot = v.groupBy(*key, "_lb").agg(F.sum("_end").alias("_bn"))
+    wt = W.partitionBy(*key).orderBy("_lb").rowsBetween(W.unboundedPreceding, -1)
+    tot = tot.withColumn("_carry", F.coalesce(F.sum("_bn").over(wt), F.lit(0))).drop("_bn")
+    v = v.join(tot, [*key, "_lb"]).withColumn("_card", F.col("_carry") + F.col("_local"))
     v = v.withColumn("_fn", F.when(F.col("v").startswith("FN:"), py_strip(F.expr("substring(v, 4)"))))
     wc = W.partitionBy("owner_id", "thread_id", "_card").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     v = v.withColumn("name", F.last("_fn", ignorenulls=True).over(wc))

@@ -70,7 +70,9 @@ END:VCARD
 """
 
 
-def test_vcard_contacts(spark, tmpdir_path):
+@pytest.mark.parametrize("bucket", [1 << 16, 4])
+def test_vcard_contacts(spark, tmpdir_path, monkeypatch, bucket):
+    monkeypatch.setattr(src, "LINE_BUCKET", bucket)      # card numbers carried across line buckets
     with open(os.path.join(tmpdir_path, "contacts.vcf"), "w") as f:
         f.write(VCF)
     lines = src.read_text_lines(spark, tmpdir_path, glob="*.vcf")
