@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from chatlake.llm.common import slices
+from chatlake.llm.common import HashIndex, slices
 
 #: Chunks remembered by a Python worker in each of two generations.
 REMEMBERED = 200_000
@@ -76,36 +76,10 @@ class ForcedBoundaryBPE:
         left, right, made = (np.array(x, np.int64) for x in zip(*pairs))
         keys = left * self.size + right
         self.made, self.no_rank = np.append(made, 0).astype(np.int32), len(keys)
-        self.pair_key = np.append(keys, -1)
-        self.tables = self._pair_tables(keys)
+        self.pairs = HashIndex(keys.view(np.uint64))
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def _pair_tables(self, keys: np.ndarray) -> list[tuple[np.uint64, np.uint64, np.ndarray]]:
-        """Hash tables from a pair's key to its rank: each holds what the tables before it had no free slot for."""
-        tables, left, bits, factor = [], np.arange(len(keys)), 19, 0x9E3779B97F4A7C15
-        while len(left):
-            slot = ((keys[left].astype(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
-            slots = np.full(1 << bits, len(keys), np.int32)
-            slots[slot] = left
-            tables.append((np.uint64(factor), np.uint64(64 - bits), slots))
-            left = left[slots[slot] != left]
-            bits, factor = max(12, bits - 3), (factor * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
-        return tables
-
-    def ranks(self, keys: np.ndarray) -> np.ndarray:
-        """Rank of each pair; no_rank: it is never merged."""
-        unsigned, rank = keys.view(np.uint64), None
-        for factor, shift, slots in self.tables:
-            if rank is None:
-                rank = slots[((unsigned * factor) >> shift).view(np.int64)]
-                miss = np.flatnonzero((self.pair_key[rank] != keys) & (rank != self.no_rank))
-            else:
-                rank[miss] = slots[((unsigned[miss] * factor) >> shift).view(np.int64)]
-                miss = miss[(self.pair_key[rank[miss]] != keys[miss]) & (rank[miss] != self.no_rank)]
-        rank[miss] = self.no_rank
-        return rank
-
     # -- chunks ---------------------------------------------------------------------------------
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
@@ -172,7 +146,7 @@ class ForcedBoundaryBPE:
             begin = np.flatnonzero(first)
             rank = np.full(len(symbol), none, np.int32)
             inside = np.flatnonzero(~first) - 1
-            rank[inside] = self.ranks(symbol[inside].astype(np.int64) * self.size + symbol[inside + 1])
+            rank[inside] = self.pairs.find((symbol[inside].astype(np.int64) * self.size + symbol[inside + 1]).view(np.uint64))
             least = np.minimum.reduceat(rank, begin)
             length = np.diff(np.append(begin, len(symbol)))
             go = least < none

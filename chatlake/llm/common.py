@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text is handled in slices of about this many bytes, so a task's memory does not depend on the batch size.
@@ -121,6 +121,35 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     return span_hashes(LOWER[data] if lower else data, start, end), np.searchsorted(row, np.arange(len(at)))
 
 
+class HashIndex:
+    """Place of each of many distinct uint64 keys, looked up by whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.missing = len(keys)
+        self.keys = np.append(keys, np.uint64(0))
+        #: Tables of slots: each holds what the ones before it had no free slot for.
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        left, bits, factor = np.arange(len(keys)), max(12, len(keys).bit_length() + 3), 0x9E3779B97F4A7C15
+        while len(left) or not self.tables:
+            slot = ((keys[left] * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+            slots = np.full(1 << bits, len(keys), np.int32)
+            slots[slot] = left
+            self.tables.append((np.uint64(factor), np.uint64(64 - bits), slots))
+            left = left[slots[slot] != left]
+            bits, factor = max(12, bits - 3), (factor * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key; ``missing`` for others."""
+        factor, shift, slots = self.tables[0]
+        place = slots[((keys * factor) >> shift).view(np.int64)]
+        miss = np.flatnonzero((self.keys[place] != keys) & (place != self.missing))
+        for factor, shift, slots in self.tables[1:]:
+            place[miss] = slots[((keys[miss] * factor) >> shift).view(np.int64)]
+            miss = miss[(self.keys[place[miss]] != keys[miss]) & (place[miss] != self.missing)]
+        place[miss] = self.missing
+        return place
+
+
 def segment_reduce(ufunc: np.ufunc, values: np.ndarray, at: np.ndarray, empty) -> np.ndarray:
     """``ufunc`` over values[at[i]:at[i+1]] for each i; ``empty`` where there are none."""
     out = np.full((len(at) - 1, *values.shape[1:]), empty, dtype=values.dtype)
@@ -130,6 +159,40 @@ def segment_reduce(ufunc: np.ufunc, values: np.ndarray, at: np.ndarray, empty) -
     return out
 
 
+def in_cells(postings: DataFrame, key: str, of: str, limit: int) -> DataFrame:
+    """``postings`` with a column ``cell``, partitioned and sorted by (key, cell), without keys that one row has.
+
+    Every two rows of a key meet in a cell, and no cell has more than about ``limit`` rows: a larger
+    group is split into blocks by a hash of column ``of``, and each pair of blocks is a cell.
+    """
+    names = postings.columns
+    counted = postings.withColumn("n", F.count("*").over(Window.partitionBy(key))).filter("n > 1")
+    small = counted.filter(F.col("n") <= limit).withColumn("cell", F.lit(0).cast("long")).select(*names, "cell")
+    large = counted.filter(F.col("n") > limit).withColumn("blocks", F.ceil(F.col("n") / F.lit(limit // 2)).cast("long")) \
+        .withColumn("block", F.pmod(F.xxhash64(of), F.col("blocks"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
+        .withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")) \
+        .select(*names, "cell").repartition(key, "cell")
+    return small.sortWithinPartitions(key, "cell").unionByName(large.sortWithinPartitions(key, "cell"))
+
+
+def cell_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each (key, cell) of more than one row, from batches sorted by both."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]).combine_chunks() if rest is not None else now
+        a, b = (now.column(c).to_numpy() for c in (key, "cell"))
+        edge = np.append(0, np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1)
+        for k in np.flatnonzero(np.diff(edge) > 1):
+            yield now.slice(edge[k], edge[k + 1] - edge[k])
+        rest = now.slice(edge[-1])  # the last group may go on in the next batch
+    if rest is not None and rest.num_rows > 1:
+        yield rest
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b: long); root is the least node of its component.
 

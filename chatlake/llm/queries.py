@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, decontam, langid, quality, simhash
+from chatlake.llm import bpe, decontam, langid, minhash, quality, simhash, urls
 from chatlake.llm.common import table
 
 
@@ -25,6 +25,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+#: Fixed values of the query: (host and beginning of a path, verdict).
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled page (its id is a label's) is good if its quality is 1 and it is not toxic."""
+    good = F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).when(F.col("quality").isNotNull(), 0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> langid.PPM:
     """Trees from the documents whose fold of five is not 0."""
     return langid.train(docs.filter(fold("doc_id", 5) != 0))
@@ -57,11 +72,62 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_urls": op2_urls,
+    "op3_minhash": op3_minhash,
     "op5_language": op5_language,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
 }
 
+_STRENGTH = """coalesce(case when sum(case when n > 0 then prior * (1 - prior) * (n - 1) end) > 0
+      and (sum(case when n > 0 then power(good - n * prior, 2) / n end) - sum(case when n > 0 then prior * (1 - prior) end)) > 0
+    then greatest(1.0, least(1000.0, sum(case when n > 0 then prior * (1 - prior) * (n - 1) end)
+      / (sum(case when n > 0 then power(good - n * prior, 2) / n end) - sum(case when n > 0 then prior * (1 - prior) end)) - 1))
+    when sum(case when n > 0 then prior * (1 - prior) * (n - 1) end) > 0 then 1000.0 end, 10.0)"""
+
 #: DuckDB statements for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_urls": f"""
+with cut as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), split as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from cut
+), outcome as (
+  select doc_id, cast(case when quality = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end as double) as good from labels where quality is not null
+), hosts as (
+  select host, n, good, case when regexp_matches(plain, '^[0-9.]+$') then plain else regexp_extract(plain, '([^.]*\\.)?[^.]*$') end as domain,
+    regexp_extract(plain, '[^.]*$') as suffix
+  from (select host, regexp_replace(host, ':[0-9]*$', '') as plain, cast(count(good) as double) as n, coalesce(sum(good), 0.0) as good
+        from split left join outcome on doc_id = page_id group by host)
+), domains as (
+  select suffix, domain, sum(n) as n, sum(good) as good from hosts group by all
+), suffixes as (
+  select suffix, n, good, coalesce((select sum(good) / nullif(sum(n), 0) from hosts), 0.5) as prior
+  from (select suffix, sum(n) as n, sum(good) as good from hosts group by all)
+), s1 as (
+  select suffix, (prior * k + good) / (k + n) as mean from suffixes, (select {_STRENGTH} as k from suffixes)
+), d0 as (
+  select d.*, s1.mean as prior from domains d join s1 using (suffix)
+), d1 as (
+  select suffix, domain, (prior * k + good) / (k + n) as mean from d0, (select {_STRENGTH} as k from d0)
+), h0 as (
+  select h.*, d1.mean as prior from hosts h join d1 using (suffix, domain)
+), h1 as (
+  select host, k, n, (prior * k + good) / (k + n) as mean from h0, (select {_STRENGTH} as k from h0)
+), verdicts as (
+  select host, least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (k + n + 1))) < 0.5 as bad from h1
+), ruled as (
+  select page_id, host, path, case
+    when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
+  from split
+)
+select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+  when bad then 'block' else 'allow' end as verdict
+from ruled left join verdicts using (host)""",
+}

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.llm.common import components, segment_reduce, slices, staged
+from chatlake.llm.common import cell_groups, components, in_cells, segment_reduce, slices, staged
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -122,34 +122,14 @@ def links(prints: DataFrame, bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by key and cell, so a group is contiguous; its last one waits for the next batch."""
-        key, cell, fp = (np.zeros(0, np.int64) for _ in range(3))
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                key, cell, fp = (np.concatenate([have, batch.column(c).to_numpy(zero_copy_only=False)])
-                                 for have, c in ((key, "key"), (cell, "cell"), (fp, "fp")))
-            edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1
-            edge = np.concatenate([[0], edge, [len(key)]]) if batch is None else np.append(0, edge)
-            found = []
-            for k in np.flatnonzero(np.diff(edge) > 1):
-                a, b = edge[k], edge[k + 1]
-                found += _forest(fp[a:b], groups[int(key[a] >> (8 * least))], bits)
+        for group in cell_groups(batches, "key"):
+            positions = groups[group.column("key")[0].as_py() >> (8 * least)]
+            found = list(_forest(group.column("fp").to_numpy(), positions, bits))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
-            rest = edge[-1]
-            key, cell, fp = key[rest:], cell[rest:], fp[rest:]
 
     postings = prints.select("fp").mapInArrow(post, "key long, fp long")
-    counted = postings.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    small = counted.filter(F.col("n") <= CELL).select("key", F.lit(0).cast("long").alias("cell"), "fp")
-    blocks = F.ceil(F.col("n") / F.lit(CELL // 2)).cast("long")
-    large = counted.filter(F.col("n") > CELL).withColumn("blocks", blocks) \
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks"))) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
-        .withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")) \
-        .select("key", "cell", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell", "fp")
-    found = [part.mapInArrow(compare, "a long, b long") for part in (small.sortWithinPartitions("key", "fp"), large)]
-    return found[0].unionByName(found[1])
+    return in_cells(postings, "key", "fp", CELL).mapInArrow(compare, "a long, b long")
 
 
 def groups_of(prints: DataFrame, bits: int) -> DataFrame:
