@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, decontam, langid, minhash, quality, simhash, urls
+from chatlake.llm import bpe, decontam, langid, lattice, minhash, quality, simhash, urls
 from chatlake.llm.common import table
 
 
@@ -51,6 +51,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = fold("doc_id", 7)
+    scored = lattice.score_documents(table(spark, sf_dir, "documents"), remainder != 2, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.OrdinalModel:
     labels = table(spark, sf_dir, "labels")
     return quality.train(docs, labels.select("doc_id", quality.label_grade().alias("grade")))
@@ -75,6 +81,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op3_minhash": op3_minhash,
     "op5_language": op5_language,
+    "op7_lattice": op7_lattice,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
