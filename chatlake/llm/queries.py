@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, decontam, langid, lattice, minhash, quality, simhash, urls
+from chatlake.llm import bpe, counts, decontam, langid, lattice, minhash, quality, simhash, tokenfiles, urls
 from chatlake.llm.common import table
 
 
@@ -40,6 +40,20 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def document_edits(docs: DataFrame) -> DataFrame:
+    """Three edits of each document: at a place that its id gives, up to 80 characters go and up to 80 from elsewhere in its text come."""
+    number = lambda name, most: F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seq").cast("string"), F.lit(name))) % most
+    size = F.length("text") + 1
+    return docs.select("doc_id", "text", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("seq")) \
+        .select("doc_id", "seq", number("place", size).alias("position"), number("delete", F.lit(81)).alias("n_delete"),
+                F.substring("text", 1 + number("from", size).cast("int"), number("size", F.lit(81)).cast("int")).alias("insert"))
+
+
+def op4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return counts.count_edits(docs, document_edits(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def language_model(docs: DataFrame) -> langid.PPM:
     """Trees from the documents whose fold of five is not 0."""
     return langid.train(docs.filter(fold("doc_id", 5) != 0))
@@ -51,6 +65,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_documents(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2)
+    return tokenfiles.read_documents(files, digest=True)
+
+
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = fold("doc_id", 7)
     scored = lattice.score_documents(table(spark, sf_dir, "documents"), remainder != 2, public_tokenizers.path("piece_bpe_32k.model"))
@@ -80,7 +99,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
     "op3_minhash": op3_minhash,
+    "op4_counts": op4_counts,
     "op5_language": op5_language,
+    "op6_tokenfiles": op6_tokenfiles,
     "op7_lattice": op7_lattice,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
