@@ -119,8 +119,10 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> PPM:
     Rows with null lang, text or doc_id are not used.  Without any, there are no languages and every prediction is und.
     """
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    ranked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.filter(F.col("k") <= sample).select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
+    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):  # the first of each part, then of those: no task sorts a whole language
+        ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("k") <= sample)
+    chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
     picked = known.join(chosen, (known.doc_id == chosen.id) & (known.lang == chosen.of), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
