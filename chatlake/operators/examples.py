@@ -124,7 +124,8 @@ def _prior_features(feat: DataFrame, buffer: int) -> DataFrame:
         F.min("c_spk_lo").over(fr).alias("p_spk_lo"),
         F.max("c_spk_hi").over(fr).alias("p_spk_hi"),
         F.coalesce(F.sum("c_ts").over(fr), F.lit(0)).alias("p_ts"),
-        F.greatest(F.max("c_w_mid").over(wt.rowsBetween(-buffer, -2)), F.lag("c_w_end").over(wt)).alias("p_words"),
+        (F.greatest(F.max("c_w_mid").over(wt.rowsBetween(-buffer, -2)), F.lag("c_w_end").over(wt)) if buffer > 1
+         else F.lag("c_w_end").over(wt)).alias("p_words"),
     ).filter(~F.col("_halo")).drop("_halo")
 
 
@@ -174,6 +175,8 @@ def example_features(turns: DataFrame, buffer: int = 0,
 
     ``reject_reason`` is NULL for examples that pass every filter.
     """
+    if cfg.max_speakers != 1:   # the history keeps the least and the greatest speaker: enough for one, not for more
+        raise ValueError("max_speakers: only 1 is supported")
     feat = turn_features(turns, cfg)
     h = _history_features(feat)
     ex = eligible_targets(h)
@@ -198,8 +201,7 @@ def example_features(turns: DataFrame, buffer: int = 0,
         ("too_many_consecutive_msgs_output", tx.max_delims_per_line(out) > cfg.max_delims),
         ("contains_url", tx.contains_any_ci(out, list(cfg.url_patterns))),
         ("excessive_repetition", tx.max_word_repeat(out, list(cfg.stop_words)) > cfg.max_repeats),
-        ("too_many_speakers", F.coalesce(spk_lo != spk_hi, F.lit(False)) if cfg.max_speakers == 1
-         else F.lit(False)),
+        ("too_many_speakers", F.coalesce(spk_lo != spk_hi, F.lit(False))),
         ("emoji_only", tx.is_emoji_only(out)),
         ("too_many_messages", n_ts > cfg.max_timestamps),
         ("long_messages_input", in_words > cfg.max_words),

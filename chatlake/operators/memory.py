@@ -11,6 +11,8 @@ in parallel and no response text goes through the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,7 +198,7 @@ def parse_attributes(responses: DataFrame) -> DataFrame:
     g = g.withColumn("citation", F.when(open_last, F.coalesce("citation", F.lit(""))).otherwise(F.col("citation"))) \
         .withColumn("timestamp", F.when(open_last, F.coalesce("timestamp", F.lit(""))).otherwise(F.col("timestamp")))
     num = F.regexp_extract(F.lower("citation"), CONV_NUM_RE, 1)
-    g = g.withColumn("conversation_number", F.when(num != "", num.cast("int")))
+    g = g.withColumn("conversation_number", F.when(num != "", num.try_cast("int")))
     return g.select(*RESP, "rec", "attribute", "citation", "timestamp", "conversation_number")
 
 
@@ -311,7 +313,7 @@ def resolve_sources(combined: DataFrame, packed: DataFrame) -> DataFrame:
     refs = combined.select(*RESP, "rec", "kind",
                            F.posexplode(F.regexp_extract_all(F.coalesce("based_on", F.lit("")),
                                                              F.lit(ATTR_REF_RE), 1)).alias("ord", "n"))
-    refs = refs.withColumn("cslot", F.col("n").cast("int"))
+    refs = refs.withColumn("cslot", F.col("n").try_cast("int"))   # out of range: no such attribute
     src = packed.select("owner_id", F.col("cbatch").alias("batch_no"), "cslot",
                         F.col("seq_no").alias("source_seq"))
     return refs.join(src, ["owner_id", "batch_no", "cslot"], "inner").drop("n")
@@ -355,8 +357,8 @@ def build_event_requests(unified: DataFrame, person: str, chunk_size: int = EVEN
 
     item = F.concat(F.lit('  {\n    "type": '), jstr(F.col("type")),
                     F.lit(',\n    "id": '), F.col("id").cast("string"),
-                    F.lit(',\n    "content": '), jstr(F.col("attribute")),
-                    F.lit(',\n    "citation": '), jstr(F.col("citation")),
+                    F.lit(',\n    "content": '), jstr(F.coalesce(F.col("attribute"), F.lit(""))),
+                    F.lit(',\n    "citation": '), jstr(F.coalesce(F.col("citation"), F.lit(""))),
                     F.lit("\n  }"))
     total = u.groupBy("owner_id").agg(F.max("chunk").alias("_last"))
     g = u.groupBy("owner_id", "chunk").agg(
@@ -401,15 +403,25 @@ def top_memories(events: DataFrame, n: int = TOP_MEMORIES, by_time_period: bool
     return events.withColumn("top_rank", F.row_number().over(w)).filter(F.col("top_rank") <= n)
 
 
+def record_id(batch: Column, rec: Column) -> Column:
+    """A response's record as one number: up to 2^24 records in each of 2^36 responses."""
+    return batch.cast("long") * (1 << 24) + rec
+
+
+def combined_id(batch: Column, rec: Column) -> Column:
+    """``mem_id`` of a combined or inferred memory: apart from original ids (below 2^60) and top ids (from 2^62)."""
+    return F.lit(1 << 61) + record_id(batch, rec)
+
+
 def assemble_bank(original: DataFrame, combined: DataFrame, top: DataFrame) -> DataFrame:
     """The ``memories`` table (levels 1/2/3) with stable ``mem_id``."""
     o = original.select("owner_id", (F.col("seq_no") + 1).alias("mem_id"), F.lit(1).alias("level"),
                         F.lit("original").alias("kind"), "attribute", "citation",
                         F.col("timestamp").alias("ts_text"))
-    c = combined.select("owner_id", (F.lit(1 << 40) + F.col("batch_no") * (1 << 20) + F.col("rec")).alias("mem_id"),
+    c = combined.select("owner_id", combined_id(F.col("batch_no"), F.col("rec")).alias("mem_id"),
                         F.lit(2).alias("level"), "kind", "attribute", F.col("based_on").alias("citation"),
                         F.lit(None).cast("string").alias("ts_text"))
-    t = top.select("owner_id", (F.lit(2 << 40) + F.col("top_rank")).alias("mem_id"), F.lit(3).alias("level"),
+    t = top.select("owner_id", (F.lit(1 << 62) + F.col("top_rank")).alias("mem_id"), F.lit(3).alias("level"),
                    F.lit("top").alias("kind"), "attribute", "citation", F.col("timestamp").alias("ts_text"))
     return o.unionByName(c).unionByName(t).withColumn("level", F.col("level").cast("int"))
 
@@ -419,11 +431,26 @@ def assemble_bank(original: DataFrame, combined: DataFrame, top: DataFrame) -> D
 # --------------------------------------------------------------------------
 
 def normalize_bank(bank_rows: DataFrame) -> DataFrame:
-    """``Timestamp``/``timestamp`` and ``citation``/``citations`` unified."""
-    cols = set(bank_rows.columns)
-    ts = F.coalesce(*[F.col(c) for c in ("timestamp", "Timestamp") if c in cols] or [F.lit(None)])
-    cit = F.coalesce(*[F.col(c) for c in ("citation", "citations") if c in cols] or [F.lit(None)])
-    return bank_rows.withColumn("ts_text", ts).withColumn("citation_text", cit)
+    """One row per entry of a bank read by ``read_memory_bank``, with its keys unified.
+
+    ``Timestamp``/``timestamp`` and ``citation``/``citations`` are one column each (the first
+    spelling wins where both exist); ``level`` is 1 for original entries, 2 for combined and
+    inferred ones, 3 for top memories.  Other keys stay in ``entry``.
+    """
+    kinds = [("original_attributes", "original", 1), ("combined_attributes", "combined", 2),
+             ("inferred_attributes", "inferred", 2), ("top_memories", "top", 3)]
+    rows = [bank_rows.select("owner_id", F.lit(kind).alias("kind"), F.lit(level).alias("level"),
+                             F.posexplode(name).alias("pos", "entry")) for name, kind, level in kinds]
+    every = reduce(DataFrame.unionByName, rows)
+
+    def key(*names):
+        return F.coalesce(*[F.try_element_at("entry", F.lit(n)) for n in names])
+
+    return every.select("owner_id", "kind", "level", "pos", key("attribute").alias("attribute"),
+                        key("timestamp", "Timestamp").alias("ts_text"),
+                        key("citation", "citations").alias("citation_text"),
+                        key("conversation_number").try_cast("int").alias("conversation_number"),
+                        key("conversation_content").alias("conversation_content"), "entry")
 
 
 def parse_ts_text(c: Column) -> Column:

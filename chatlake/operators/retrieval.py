@@ -79,8 +79,10 @@ def _topk_batches(chunk, k: int, w: float):
                     continue
                 qids, qmat = by_owner[owner]
                 mm = np.vstack([np.asarray(v, dtype=np.float64) for v in grp["embedding"]])
-                sims = (mm @ qmat.T) / np.outer(np.linalg.norm(mm, axis=1), np.linalg.norm(qmat, axis=1))
+                norms = np.outer(np.linalg.norm(mm, axis=1), np.linalg.norm(qmat, axis=1))
+                sims = np.where(norms > 0, (mm @ qmat.T) / np.where(norms > 0, norms, 1.0), np.nan)
                 score = (1.0 - w) * sims + w * grp["recency"].to_numpy(dtype=np.float64)[:, None]
+                score = np.where(np.isnan(score), -np.inf, score)   # a zero vector ranks last
                 mids = grp["mem_id"].to_numpy()
                 n = len(mids)
                 kk = min(k, n)
@@ -109,7 +111,10 @@ def similarity_topk(queries: DataFrame, memories: DataFrame, k: int = TOP_K,
 
     spark = queries.sparkSession
     mem = memories if "recency" in memories.columns else memories.withColumn("recency", F.lit(0.0))
-    mem = mem.select("owner_id", "mem_id", "embedding", F.col("recency").cast("double"))
+    # Rows without a vector are no candidates (keyword search finds them).
+    mem = mem.select("owner_id", "mem_id", "embedding", F.col("recency").cast("double")) \
+        .filter(F.col("embedding").isNotNull())
+    queries = queries.filter(F.col("q_embedding").isNotNull())
     n = queries.count()
     n_chunks = max(1, math.ceil(n / MAX_QUERY_CHUNK))
     schema = T.StructType([

@@ -540,7 +540,7 @@ def _bank_sources(spark, sf_dir):
     src_ts = o.select("owner_id", F.col("seq_no").alias("source_seq"), F.col("timestamp").alias("source_ts"),
                       F.col("conversation_number").isNotNull().alias("source_has_conv"))
     sources = e.join(src_ts, ["owner_id", "source_seq"]).select(
-        "owner_id", (F.lit(1 << 40) + F.col("batch_no") * (1 << 20) + F.col("rec")).alias("mem_id"), "ord",
+        "owner_id", mem.combined_id(F.col("batch_no"), F.col("rec")).alias("mem_id"), "ord",
         "source_ts", "source_has_conv")
     return bank, sources
 
@@ -769,8 +769,8 @@ def q_memory_bank(spark, sf_dir):
 def q_drill_through(spark, sf_dir):
     a = mem.parse_attributes(_doc_lines_response(spark, sf_dir, "extract", _extract_rule))
     linked = mem.link_conversations(a, _store_batches(spark, sf_dir)).filter(F.col("thread_id").isNotNull())
-    keys = linked.select("owner_id", (F.col("batch_no") * (1 << 20) + F.col("rec")).alias("mem_id"))
-    mc = linked.select("owner_id", (F.col("batch_no") * (1 << 20) + F.col("rec")).alias("mem_id"), "thread_id", "conv_no")
+    keys = linked.select("owner_id", mem.record_id(F.col("batch_no"), F.col("rec")).alias("mem_id"))
+    mc = linked.select("owner_id", mem.record_id(F.col("batch_no"), F.col("rec")).alias("mem_id"), "thread_id", "conv_no")
     no_sources = spark.createDataFrame([], "owner_id string, mem_id long, source_mem_id long")
     d = mem.drill_through(keys, no_sources, mc, events_turns(spark, sf_dir))
     return d.select("owner_id", "mem_id", "thread_id", "conv_no", "turn_idx", "speaker", "content")

@@ -809,7 +809,7 @@ BANK = f"""{ATTR_PARSE},
 {COMB_PARSE},
 {EV_RESP},
 edges AS (
-  SELECT c.owner_id, (1::BIGINT << 40) + c.batch_no * (1 << 20) + c.rec AS mem_id, j.o - 1 AS ord,
+  SELECT c.owner_id, 2305843009213693952 + c.batch_no * 16777216 + c.rec AS mem_id, j.o - 1 AS ord,
          CAST(regexp_extract_all(coalesce(c.based_on, ''), {_q(_mem.ATTR_REF_RE)}, 1)[j.o] AS INTEGER) AS cslot,
          c.batch_no
   FROM comb c, range(1, len(regexp_extract_all(coalesce(c.based_on, ''), {_q(_mem.ATTR_REF_RE)}, 1)) + 1) AS j(o)),
@@ -818,7 +818,7 @@ srcs AS (SELECT e.owner_id, e.mem_id, e.ord, p.timestamp AS source_ts FROM edges
 bank AS (
   SELECT owner_id, seq_no + 1 AS mem_id, 1 AS level, attribute, citation, timestamp AS ts_text FROM packed2
   UNION ALL
-  SELECT owner_id, (1::BIGINT << 40) + batch_no * (1 << 20) + rec, 2, attribute, based_on, NULL FROM comb
+  SELECT owner_id, 2305843009213693952 + batch_no * 16777216 + rec, 2, attribute, based_on, NULL FROM comb
   UNION ALL
   SELECT owner_id, (2::BIGINT << 40) + row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos), 3,
          attribute, citation, timestamp FROM evm
@@ -999,13 +999,13 @@ ORACLE["memory_bank"] = f"""WITH RECURSIVE {BANK}
 SELECT owner_id, mem_id, CAST(level AS INTEGER) AS level,
        CASE WHEN level = 1 THEN 'original' WHEN level = 3 THEN 'top'
             ELSE (SELECT c.kind FROM comb c WHERE c.owner_id = bank.owner_id
-                  AND (1::BIGINT << 40) + c.batch_no * (1 << 20) + c.rec = bank.mem_id) END AS kind,
+                  AND 2305843009213693952 + c.batch_no * 16777216 + c.rec = bank.mem_id) END AS kind,
        attribute
 FROM bank"""
 
 ORACLE["drill_through"] = f"""WITH RECURSIVE {STORE_BATCH},
 {ATTR_PARSE},
-lk AS (SELECT a.owner_id, a.batch_no * (1 << 20) + a.rec AS mem_id, sb.thread_id, sb.conv_no
+lk AS (SELECT a.owner_id, a.batch_no * 16777216 + a.rec AS mem_id, sb.thread_id, sb.conv_no
        FROM attrs2 a JOIN sb ON sb.owner_id = a.owner_id AND sb.batch_no = a.batch_no
                              AND sb.slot = a.conversation_number)
 SELECT lk.owner_id, lk.mem_id, lk.thread_id, lk.conv_no, t.turn_idx, t.speaker, t.content

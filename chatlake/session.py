@@ -45,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     path = tempfile.mkdtemp(prefix="chatlake-ckpt-")
     sc.setCheckpointDir(path)
     try:

@@ -25,6 +25,12 @@ def _file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def _thread_of(path: Column, root: str) -> Column:
+    """File path below ``root`` without extension: files of one name in two folders are two threads."""
+    below = F.substring_index(path, root.rstrip("/") + "/", -1)
+    return F.try_url_decode(F.regexp_replace(F.regexp_replace(below, r"\.[^./]*$", ""), r"\+", "%2B"))
+
+
 def _parent_dir(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
@@ -43,7 +49,7 @@ def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", owner_i
                    F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("_mid"))
     d = dense_numbers(df, ["file_path"], "_blk", ["_mid"], "line_no")
-    return d.select(F.lit(owner_id).alias("owner_id"), _file_stem(F.col("file_path")).alias("thread_id"),
+    return d.select(F.lit(owner_id).alias("owner_id"), _thread_of(F.col("file_path"), path).alias("thread_id"),
                     "file_path", F.col("line_no").cast("long"), "value")
 
 
@@ -183,8 +189,9 @@ MESSENGER_SKIP_TYPES = ["media"]
 def read_messenger(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """One row per Messenger thread file (explicit schema, no inference)."""
     return (spark.read.schema(MESSENGER_SCHEMA).option("multiLine", "true")
-            .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").json(path)
-            .withColumn("file_path", F.col("_metadata.file_path")))
+            .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
+            .withColumn("file_path", F.col("_metadata.file_path"))
+            .withColumn("thread_id", _thread_of(F.col("file_path"), path)))
 
 
 def messenger_messages(threads: DataFrame, me: str, owner_id: str = "me") -> DataFrame:
@@ -197,7 +204,7 @@ def messenger_messages(threads: DataFrame, me: str, owner_id: str = "me") -> Dat
     whole seconds; reactions are kept as text lines in ``reactions``.
     """
     t = threads.filter((F.size("participants") <= 2) & F.array_contains("participants", me))
-    m = t.select(_file_stem(F.col("file_path")).alias("thread_id"),
+    m = t.select("thread_id",
                  F.posexplode("messages").alias("pos", "msg"))
     m = m.filter(~F.col("msg.type").isin(MESSENGER_SKIP_TYPES))
     checked = F.when(F.col("msg.type").isin(MESSENGER_TEXT_TYPES), F.col("msg.text")).otherwise(
@@ -353,25 +360,13 @@ def split_transcripts(transcripts: DataFrame, admin_name: str) -> DataFrame:
     return hdr.unionByName(msgs)
 
 
-MEMORY_ATTR = T.StructType([
-    T.StructField("attribute", T.StringType()), T.StructField("citation", T.StringType()),
-    T.StructField("citations", T.StringType()),
-    T.StructField("timestamp", T.StringType()), T.StructField("Timestamp", T.StringType()),
-    T.StructField("conversation_number", T.IntegerType()),
-])
-MEMORY_BANK_SCHEMA = T.StructType([
-    T.StructField("original_attributes", T.ArrayType(MEMORY_ATTR)),
-    T.StructField("combined_attributes", T.ArrayType(T.StructType(
-        MEMORY_ATTR.fields + [T.StructField("based_on", T.StringType()),
-                              T.StructField("source_attributes", T.ArrayType(MEMORY_ATTR))]))),
-    T.StructField("inferred_attributes", T.ArrayType(T.StructType(
-        MEMORY_ATTR.fields + [T.StructField("based_on", T.StringType()),
-                              T.StructField("source_attributes", T.ArrayType(MEMORY_ATTR))]))),
-    T.StructField("top_memories", T.ArrayType(MEMORY_ATTR)),
-])
+#: Entries differ in their keys, also by case only, so they are read as maps; nested values are JSON text.
+MEMORY_ENTRIES = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
+MEMORY_BANK_SCHEMA = T.StructType([T.StructField(name, MEMORY_ENTRIES) for name in (
+    "original_attributes", "combined_attributes", "inferred_attributes", "top_memories")])
 
 
 def read_memory_bank(spark: SparkSession, path: str) -> DataFrame:
-    """Memory bank JSON files with an explicit schema (one row per bank)."""
+    """Memory bank JSON files with an explicit schema (one row per bank); see ``normalize_bank``."""
     return (spark.read.schema(MEMORY_BANK_SCHEMA).option("multiLine", "true").json(path)
             .withColumn("owner_id", _file_stem(F.col("_metadata.file_path"))))

@@ -50,6 +50,12 @@ def write_stats(stats: DataFrame, path: str, fmt: str = "json") -> None:
     (w.option("header", "true").csv(path) if fmt == "csv" else w.json(path))
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has finished writing the folder; any error in looking is raised."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def refresh_embedding_cache(spark: SparkSession, memories: DataFrame, cache_path: str, encoder, model: str) -> DataFrame:
     """S14 + R01: embed memories missing from the cache and append them.
 
@@ -58,9 +64,9 @@ def refresh_embedding_cache(spark: SparkSession, memories: DataFrame, cache_path
     """
     from chatlake.operators.retrieval import embed_missing
 
-    try:
+    if _written(spark, cache_path):
         cache = spark.read.parquet(cache_path)
-    except Exception:  # first run: no cache yet
+    else:  # first run: no cache yet
         cache = spark.createDataFrame([], "owner_id string, mem_id long, model string, embedding array<float>")
     new = embed_missing(memories, cache, encoder, model)
     new.write.mode("append").parquet(cache_path)
@@ -69,8 +75,6 @@ def refresh_embedding_cache(spark: SparkSession, memories: DataFrame, cache_path
 
 def stage_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read a stage's table if it was written before, else build and write it."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        build().write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+    if not _written(spark, path):   # absent, or left by a run that was cut off
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

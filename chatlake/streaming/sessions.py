@@ -52,11 +52,12 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 def resolve_stream(texts: DataFrame, contacts: DataFrame, key_cols: list[str], out_path: str,
                    text_col: str = "text") -> None:
     """ST2: resolve phone numbers on a stream; each micro-batch runs the
-    batch operator against the static contact table and appends Parquet."""
+    batch operator against the static contact table and replaces
+    its own folder ``batch=N`` of ``out_path``, so a replayed batch adds nothing."""
     from chatlake.operators.ingest import resolve_phones
 
     def each(batch: DataFrame, epoch: int) -> None:
-        resolve_phones(batch, contacts, key_cols, text_col).write.mode("append").parquet(out_path)
+        resolve_phones(batch, contacts, key_cols, text_col).write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
 
     spark = texts.sparkSession
     q = (texts.writeStream.foreachBatch(each).option("checkpointLocation", _ckpt(spark, "resolve"))

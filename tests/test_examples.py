@@ -1,82 +1,90 @@
-"""Per-turn filter decomposition equals the whole-prompt rules, with and without prior context."""
+"""Reject reasons on hand-worked conversations, and prompts that hold what came before."""
 
 import datetime as dt
 import random
-import re
-from collections import Counter
 
-from chatlake.functions.text import STOP_WORDS
+import pytest
+
 from chatlake.operators import examples as exm
 
-TS_RE = r"\[\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\]"
-URLS = ['http://', 'https://', 'www.', '.com', '.org', '.edu', '.gov', '.net', 'maps.google', 'discord.com',
-        'tickets.princeton']
-
-
-def _reason(inp, out):
-    def delims(t):
-        return max(p.count("<|msg|>") for p in t.split("\n"))
-
-    def long_words(t):
-        best = 0
-        for m in re.split(TS_RE, t):
-            for s in m.split("<|msg|>"):
-                best = max(best, len((s.split(":", 1)[1] if ":" in s else s).split()))
-        return best
-
-    def speakers(t):
-        return {ln.split("] ")[1].split(": ")[0] for ln in t.split("\n") if "] " in ln and ": " in ln} - {"Me"}
-
-    rep = Counter(w for w in out.lower().split() if w not in set(STOP_WORDS))
-    n_ts = len(re.findall(TS_RE, inp))
-    checks = [
-        ("filtered_strings", any(b.lower() in inp.lower() or b.lower() in out.lower()
-                                 for b in ["GamePigeon message:", "Library/Messages/"])),
-        ("too_short", len(out.split()) <= 2),
-        ("too_many_consecutive_msgs_input", delims(inp) > 20),
-        ("too_many_consecutive_msgs_output", delims(out) > 20),
-        ("contains_url", any(u in out.lower() for u in URLS)),
-        ("excessive_repetition", any(c > 15 for c in rep.values())),
-        ("too_many_speakers", len(speakers(inp)) > 1),
-        ("emoji_only", False),
-        ("too_many_messages", n_ts > 35),
-        ("long_messages_input", long_words(inp) > 50),
-        ("long_messages_output", long_words(out) > 50),
-        ("too_little_messages_input", n_ts <= 3),
-    ]
-    for name, bad in checks:
-        if bad:
-            return name
-    return None
-
-
-def _literal(turns, buffer):
-    by = {}
-    for t in turns:
-        by.setdefault(t["thread_id"], {}).setdefault(t["conv_no"], []).append(t)
-    out = {}
-    for th, convs in by.items():
-        for cno in sorted(convs):
-            conv = sorted(convs[cno], key=lambda t: t["turn_idx"])
-            prior = [sorted(convs[p], key=lambda t: t["turn_idx"]) for p in range(max(0, cno - buffer), cno)
-                     if p in convs] if buffer else []
-            for i, m in enumerate(conv):
-                c = m["content"]
-                if m["speaker"] != "Me" or not c.strip() or c.strip() == "<|msg|>" or m["is_reply"]:
-                    continue
-                parts = []
-                if prior:
-                    parts.append("Previous conversations:\n")
-                    for pc in prior:
-                        parts.append("\n".join(f"[{x['ts']:%Y-%m-%d %H:%M:%S}] {x['speaker']}: {x['content']}"
-                                               for x in pc) + "\n---\n")
-                parts.append("Current conversation:\n")
-                for x in conv[:i]:
-                    parts.append(f"[{x['ts']:%Y-%m-%d %H:%M:%S}] {x['speaker']}: {x['content']}\n")
-                parts.append(f"[{m['ts']:%Y-%m-%d %H:%M:%S}] Me: ")
-                inp = "".join(parts)
-                out[(th, cno, m["turn_idx"])] = (_reason(inp, c), inp)
-    return out
+SCHEMA = ("owner_id string, thread_id string, conv_no int, turn_idx int, ts timestamp, speaker string, "
+          "content string, is_reply boolean, reply_info string, n_msgs int")
+
+GOOD = [("Ann", "hello there"), ("Me", "well hi"), ("Ann", "how was the trip"), ("Me", "it was really nice")]
+
+
+def _turns(conv, thread="t0", conv_no=0):
+    base = dt.datetime(2024, 3, 1)
+    return [("o", thread, conv_no, k, base + dt.timedelta(minutes=k), who, text, False, None, 1) for k, (who, text) in enumerate(conv)]
+
+
+#: What the last turn of a conversation is rejected for.
+CASES = [
+    (None, GOOD),
+    ("filtered_strings", [*GOOD[:2], ("Ann", "gamepigeon MESSAGE: play"), GOOD[3]]),
+    ("filtered_strings", [*GOOD[:3], ("Me", "see Library/Messages/ for that")]),
+    ("too_short", [*GOOD[:3], ("Me", "very nice")]),
+    ("too_many_consecutive_msgs_input", [*GOOD[:2], ("Ann", " <|msg|> ".join(["a"] * 22)), GOOD[3]]),
+    (None, [*GOOD[:2], ("Ann", " <|msg|> ".join(["a"] * 21)), GOOD[3]]),
+    ("too_many_consecutive_msgs_output", [*GOOD[:3], ("Me", " <|msg|> ".join(["a"] * 22))]),
+    ("contains_url", [*GOOD[:3], ("Me", "look at WWW.site for it")]),
+    (None, [*GOOD[:2], ("Ann", "look at www.site for it"), GOOD[3]]),
+    ("excessive_repetition", [*GOOD[:3], ("Me", "dog " * 16)]),
+    (None, [*GOOD[:3], ("Me", "dog " * 15 + "the " * 20)]),
+    ("too_many_speakers", [("Bob", "hello there"), *GOOD[1:]]),
+    ("too_short", [*GOOD[:3], ("Me", "\U0001F600\U0001F600\U0001F600")]),
+    ("too_many_messages", GOOD[:2] * 18 + [GOOD[3]]),
+    ("long_messages_input", [*GOOD[:2], ("Ann", "word " * 51), GOOD[3]]),
+    (None, [*GOOD[:2], ("Ann", "word " * 30 + "<|msg|> " + "word " * 30), GOOD[3]]),
+    ("long_messages_output", [*GOOD[:3], ("Me", " ".join(f"w{k}" for k in range(51)))]),
+    ("too_little_messages_input", GOOD[1:]),
+]
+
+
+def test_reasons(spark):
+    rows = [r for n, (_, conv) in enumerate(CASES) for r in _turns(conv, f"t{n:02d}")]
+    got = {}
+    for r in exm.example_features(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.thread_id, {})[r.turn_idx] = r.reject_reason
+    assert [got[f"t{n:02d}"][len(conv) - 1] for n, (_, conv) in enumerate(CASES)] == [reason for reason, _ in CASES]
+    assert {reason for reason, _ in CASES} | {"emoji_only"} == {*exm.REASONS, None}
+
+
+def test_emoji_only(spark):
+    """White space is no emoji, so the rule can only meet texts that the length rule lets through."""
+    import dataclasses
+    df = spark.createDataFrame(_turns([*GOOD[:3], ("Me", "\U0001F600\U0001F600")]), SCHEMA)
+    feats = exm.example_features(df, cfg=dataclasses.replace(exm.DEFAULT_FILTERS, min_output_words=0))
+    assert {r.turn_idx: r.reject_reason for r in feats.collect()}[3] == "emoji_only"
+
+
+def test_prior_context_counts(spark):
+    rows = _turns([("Bob", "an older talk"), ("Ann", "yes it was")], conv_no=0) + _turns(GOOD, conv_no=1)
+    df = spark.createDataFrame(rows, SCHEMA)
+    reason = lambda buffer: {(r.conv_no, r.turn_idx): r.reject_reason for r in exm.example_features(df, buffer=buffer).collect()}
+    assert reason(0)[1, 3] is None and reason(1)[1, 3] == "too_many_speakers"
+
+
+def test_only_one_speaker_is_supported(spark):
+    import dataclasses
+    with pytest.raises(ValueError):
+        exm.example_features(spark.createDataFrame(_turns(GOOD), SCHEMA), cfg=dataclasses.replace(exm.DEFAULT_FILTERS, max_speakers=2))
+
+
+def test_features_do_not_depend_on_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([tuple(r.values()) for r in _random_turns(1)], SCHEMA)
+    whole = [{tuple(r) for r in exm.example_features(df, buffer=b).collect()} for b in (0, 2)]
+    monkeypatch.setattr(exm, "TURN_BUCKET", 3)      # history carried across turn buckets
+    monkeypatch.setattr(exm, "CONV_BUCKET", 2)      # prior context read across conversation buckets
+    assert [{tuple(r) for r in exm.example_features(df, buffer=b).collect()} for b in (0, 2)] == whole
+
+
+def test_rendered_prompt(spark):
+    df = spark.createDataFrame(_turns(GOOD[:2], conv_no=0) + _turns(GOOD, conv_no=1), SCHEMA)
+    feats = exm.example_features(df, buffer=1)
+    got = {(r.conv_no, r.turn_idx): r.input for r in exm.render_examples(feats, df, buffer=1, survivors_only=False).collect()}
+    assert got[1, 1] == ("Previous conversations:\n[2024-03-01 00:00:00] Ann: hello there\n[2024-03-01 00:01:00] Me: well hi\n---\n"
+                         "Current conversation:\n[2024-03-01 00:00:00] Ann: hello there\n[2024-03-01 00:01:00] Me: ")
 
 
 def _random_turns(seed):
@@ -97,24 +105,6 @@ def _random_turns(seed):
     return rows
 
 
-SCHEMA = ("owner_id string, thread_id string, conv_no int, turn_idx int, ts timestamp, speaker string, "
-          "content string, is_reply boolean, reply_info string, n_msgs int")
-
-
-def test_filters_match_whole_prompt(spark, monkeypatch):
-    monkeypatch.setattr(exm, "TURN_BUCKET", 3)      # history carried across turn buckets
-    monkeypatch.setattr(exm, "CONV_BUCKET", 2)      # prior context read across conversation buckets
-    for seed, buffer in [(1, 0), (2, 0), (3, 2), (4, 6)]:
-        rows = _random_turns(seed)
-        df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
-        exp = _literal(rows, buffer)
-        feats = exm.example_features(df, buffer=buffer)
-        got = {(r.thread_id, r.conv_no, r.turn_idx): r.reject_reason for r in feats.collect()}
-        assert got == {k: v[0] for k, v in exp.items()}, (seed, buffer)
-        rendered = exm.render_examples(feats, df, buffer=buffer, survivors_only=False).collect()
-        assert {(r.thread_id, r.conv_no, r.turn_idx): r.input for r in rendered} == {k: v[1] for k, v in exp.items()}
-
-
 def test_filter_stats_has_all_reasons(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in _random_turns(9)], SCHEMA)
     stats = exm.filter_stats(exm.example_features(df)).orderBy("ord").collect()

@@ -1,112 +1,93 @@
-"""Response parsers and neighbour timestamps equal literal loops."""
+"""Response parsers, neighbour timestamps, ids and banks on hand-worked tables."""
 
-import random
-import re
+import json
 
 from chatlake.operators import memory as mem
+from chatlake.sources import exports
 
+RESPONSES = "owner_id string, stage string, batch_no long, text string"
 
-def _parse_attrs(text):
-    out, cur, rec = [], {}, 0
-    for line in text.strip().split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        if line.startswith("- ") or line.startswith("• "):
-            line = line[2:]
-        low = line.lower()
-        if low.startswith("attribute:"):
-            if cur and "attribute" in cur:
-                out.append(cur)
-            rec += 1
-            cur = {"rec": rec, "attribute": line[10:].strip()}
-        elif low.startswith("citation:") and "attribute" in cur:
-            cur["citation"] = line[9:].strip()
-        elif low.startswith("timestamp:") and "attribute" in cur:
-            cur["timestamp"] = line[10:].strip()
-            if "citation" in cur:
-                out.append(cur)
-                cur = {}
-    if cur and "attribute" in cur:
-        cur.setdefault("citation", "")
-        cur.setdefault("timestamp", "")
-        out.append(cur)
-    for o in out:
-        m = re.search(r"conversation\s+(\d+)", o.get("citation", "").lower()) if o.get("citation") is not None else None
-        o["conversation_number"] = int(m.group(1)) if m else None
-    return [(o["rec"], o["attribute"], o.get("citation"), o.get("timestamp"), o["conversation_number"]) for o in out]
-
-
-def _parse_combined(text):
-    out, cur, sec, rec = [], {}, None, 0
-    for line in text.strip().split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        if "COMBINED ATTRIBUTES" in line.upper():
-            sec = "combined"
-            continue
-        if "INFERRED ATTRIBUTES" in line.upper():
-            sec = "inferred"
-            continue
-        if line.startswith("- ") or line.startswith("• "):
-            line = line[2:]
-        if line.lower().startswith("attribute:"):
-            if cur and "attribute" in cur and sec:
-                out.append((cur["rec"], sec, cur["attribute"], cur.get("based_on")))
-            if cur and "attribute" in cur:
-                cur = {}
-            rec += 1
-            cur = {"rec": rec, "attribute": line[10:].strip()}
-        elif line.lower().startswith("based on:") and "attribute" in cur:
-            if sec:
-                out.append((cur["rec"], sec, cur["attribute"], line[9:].strip()))
-            cur = {}
-    if cur and "attribute" in cur and sec:
-        out.append((cur["rec"], sec, cur["attribute"], cur.get("based_on", "")))
-    return out
-
-
-LINES = ["- Attribute: likes tea", "• Attribute: has a cat", "Citation: Conversation 3, Me: x",
-         "- Citation: conversation   12", "citation: none", "- Timestamp: 2023-05-01 14:30", "Timestamp: ",
-         "", "   ", "random text", "COMBINED ATTRIBUTES:", "INFERRED ATTRIBUTES:", "- Based on: Attribute 2, Attribute 2",
-         "Based on: Attribute 40", "ATTRIBUTE: caps"]
-
-
-def test_parsers_match_loops(spark):
-    rnd = random.Random(8)
-    texts = ["\n".join(rnd.choice(LINES) for _ in range(rnd.randint(0, 14))) for _ in range(150)]
-    resp = spark.createDataFrame([("o", "s", i, t) for i, t in enumerate(texts)],
-                                 "owner_id string, stage string, batch_no long, text string")
+
+def _responses(spark, texts):
+    return spark.createDataFrame([("o", "s", i, t) for i, t in enumerate(texts)], RESPONSES)
+
+
+def test_parse_attributes(spark):
+    cases = [
+        # a full record; its number comes from the citation
+        ("- Attribute: likes tea\n- Citation: Conversation 3, Me: x\n- Timestamp: 2023-05-01 14:30",
+         [(1, "likes tea", "Conversation 3, Me: x", "2023-05-01 14:30", 3)]),
+        # bullets, case and blank lines don't matter; the second record is left open and filled up
+        ("\n• ATTRIBUTE: one\n\n  citation: conversation   12\nTimestamp: t\nAttribute: two\n",
+         [(1, "one", "conversation   12", "t", 12), (2, "two", "", "", None)]),
+        # a record closed by the next attribute keeps what it has
+        ("Attribute: a\nCitation: none\nAttribute: b\nCitation: c\nTimestamp: t", [(1, "a", "none", None, None), (2, "b", "c", "t", None)]),
+        # a timestamp without citation does not close; keys before any attribute are nothing
+        ("Citation: lost\nAttribute: a\nTimestamp: t1\nTimestamp: t2\nCitation: c", [(1, "a", "c", "t2", None)]),
+        ("random text", []),
+        ("", []),
+        # a number beyond int is no number
+        ("Attribute: a\nCitation: Conversation 20230515143000\nTimestamp: t", [(1, "a", "Conversation 20230515143000", "t", None)]),
+    ]
     got = {}
-    for r in mem.parse_attributes(resp).collect():
+    for r in mem.parse_attributes(_responses(spark, [c[0] for c in cases])).collect():
         got.setdefault(r.batch_no, []).append((r.rec, r.attribute, r.citation, r.timestamp, r.conversation_number))
-    for i, t in enumerate(texts):
-        assert sorted(got.get(i, [])) == sorted(_parse_attrs(t)), t
-    gotc = {}
-    for r in mem.parse_combined(resp).collect():
-        gotc.setdefault(r.batch_no, []).append((r.rec, r.kind, r.attribute, r.based_on))
-    for i, t in enumerate(texts):
-        assert sorted(gotc.get(i, []), key=repr) == sorted(_parse_combined(t), key=repr), t
+    assert {k: sorted(v) for k, v in got.items()} == {k: want for k, (_, want) in enumerate(cases) if want}
+
+
+def test_parse_combined(spark):
+    cases = [
+        ("COMBINED ATTRIBUTES:\n- Attribute: x\n- Based on: Attribute 1, Attribute 2\nINFERRED ATTRIBUTES:\nAttribute: y\nBased on: Attribute 3",
+         [(1, "combined", "x", "Attribute 1, Attribute 2"), (2, "inferred", "y", "Attribute 3")]),
+        ("Attribute: before any section\nBased on: Attribute 1\ncombined attributes\nAttribute: last", [(2, "combined", "last", "")]),
+        ("no section", []),
+    ]
+    got = {}
+    for r in mem.parse_combined(_responses(spark, [c[0] for c in cases])).collect():
+        got.setdefault(r.batch_no, []).append((r.rec, r.kind, r.attribute, r.based_on))
+    assert {k: sorted(v) for k, v in got.items()} == {k: want for k, (_, want) in enumerate(cases) if want}
 
 
-def _borrow(batch, idx):
-    counter, ts = 0, batch[idx]
-    while not ts and idx + counter < len(batch) and idx - counter >= 0:
-        ts = batch[idx + counter] or batch[idx - counter]
-        counter += 1
-    return ts or ""
+def test_out_of_range_references_are_dropped(spark):
+    combined = spark.createDataFrame([("o", "s", 0, 1, "combined", "Attribute 2, Attribute 99999999999, Attribute 7")],
+                                     "owner_id string, stage string, batch_no long, rec int, kind string, based_on string")
+    packed = spark.createDataFrame([("o", 0, s, 100 + s) for s in (1, 2, 3)], "owner_id string, cbatch long, cslot int, seq_no long")
+    assert [(r.ord, r.source_seq) for r in mem.resolve_sources(combined, packed).collect()] == [(0, 102)]
 
 
 def test_nearest_timestamp(spark):
-    rnd = random.Random(4)
-    rows, exp = [], {}
-    for b in range(30):
-        n = rnd.randint(1, 25)
-        batch = [rnd.choice(["", "", "", f"t{b}-{i}"]) for i in range(n)]
-        for i, ts in enumerate(batch):
-            rows.append(("o", b, i + 1, ts))
-            exp[(b, i + 1)] = _borrow(batch, i)
+    # own time, else the nearest slot's (the later one of two as near), as far as the batch reaches on both sides
+    cases = {
+        0: (["a", "", ""], ["a", "a", ""]),
+        1: (["", "", "c"], ["", "c", "c"]),
+        2: (["", "x", "", "y", ""], ["", "x", "y", "y", ""]),
+        3: (["", "", "", ""], ["", "", "", ""]),
+        4: (["p", "", "", "", "q"], ["p", "p", "q", "q", "q"]),
+    }
+    rows = [("o", b, k + 1, t) for b, (given, _) in cases.items() for k, t in enumerate(given)]
     df = spark.createDataFrame(rows, "owner_id string, cbatch long, cslot int, timestamp string")
     got = {(r.cbatch, r.cslot): r.prompt_ts for r in mem.nearest_timestamp(df).collect()}
-    assert got == exp
+    assert got == {(b, k + 1): t for b, (_, want) in cases.items() for k, t in enumerate(want)}
+
+
+def test_ids_of_kinds_never_meet(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1 << 20, 1), (2 << 20, 1), (0, 1 << 20), (1, 0), ((1 << 36) - 1, (1 << 24) - 1)], "b long, r long")
+    ids = [r[0] for r in df.select(mem.combined_id(F.col("b"), F.col("r"))).collect()]
+    assert len(set(ids)) == len(ids) and all(1 << 61 <= i < 1 << 62 for i in ids)
+
+
+def test_bank_round_trip(spark, tmpdir_path):
+    bank = {
+        "original_attributes": [{"attribute": "a", "citation": "Conversation 1", "timestamp": "t1", "Timestamp": "t2", "conversation_number": 1, "conversation_content": "text"},
+                                {"attribute": "b", "citations": "c2", "Timestamp": "t3", "conversation_number": 20230515143000}],
+        "combined_attributes": [{"attribute": "c", "based_on": "Attribute 1", "source_attributes": [{"attribute": "a"}]}],
+        "inferred_attributes": [], "top_memories": [{"attribute": "d"}],
+    }
+    with open(f"{tmpdir_path}/ann.json", "w") as f:
+        json.dump(bank, f)
+    rows = mem.normalize_bank(exports.read_memory_bank(spark, tmpdir_path)).collect()
+    got = sorted((r.owner_id, r.level, r.kind, r.pos, r.attribute, r.ts_text, r.citation_text, r.conversation_number, r.conversation_content) for r in rows)
+    assert got == [("ann", 1, "original", 0, "a", "t1", "Conversation 1", 1, "text"), ("ann", 1, "original", 1, "b", "t3", "c2", None, None),
+                   ("ann", 2, "combined", 0, "c", None, None, None, None), ("ann", 3, "top", 0, "d", None, None, None, None)]
+    assert json.loads(next(r.entry["source_attributes"] for r in rows if r.kind == "combined")) == [{"attribute": "a"}]

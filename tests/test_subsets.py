@@ -1,51 +1,43 @@
-"""The distributed spaced subset equals the greedy loop (ties, fill, skip)."""
+"""Spaced subsets: hand-worked tables and the properties that define them."""
 
 import datetime as dt
 import random
 
-from chatlake.operators import subsets as sub
+import pytest
 
+from chatlake.operators import subsets as sub
 
-def _greedy(items, size, gap):
-    s = sorted(items, key=lambda x: x[1], reverse=True)   # stable: ties keep input order
-    picked, last = [], None
-    for it in s:
-        if last is None or (it[1] > 0 and last - it[1] >= gap):
-            picked.append(it)
-            last = it[1]
-        if len(picked) >= size:
-            break
-    if len(picked) < size and len(picked) < len(s):
-        ids = {p[0] for p in picked}
-        for it in s:
-            if it[0] not in ids and len(picked) < size:
-                picked.append(it)
-    return {p[0] for p in picked}
+BASE = dt.datetime(2024, 1, 1)
+SCHEMA = "owner_id string, k long, ts timestamp"
 
 
-import pytest
+def _picked(spark, hours, specs):
+    df = spark.createDataFrame([("o", k, BASE + dt.timedelta(hours=h)) for k, h in enumerate(hours)], SCHEMA)
+    out = {}
+    for r in sub.spaced_subsets(df, ["owner_id"], ["k"], specs).collect():
+        out.setdefault(r.subset_name, set()).add(r.k)
+    return out
 
 
 @pytest.mark.parametrize("small_group", [200_000, 0])
-def test_spaced_matches_greedy(spark, monkeypatch, small_group):
+def test_hand_worked(spark, monkeypatch, small_group):
     monkeypatch.setattr(sub, "SMALL_GROUP", small_group)   # 0 forces the distributed doubling path
+    specs = [sub.SubsetSpec("three", 3, 4), sub.SubsetSpec("four", 4, 4), sub.SubsetSpec("most", 6, 4), sub.SubsetSpec("all", 9, 4), sub.SubsetSpec("tail", 2, None)]
+    # newest first: 20 (k 6), 17, 16 (k 4), 15, 12 (k 2), 3, 0 (k 0)
+    got = _picked(spark, [0, 3, 12, 15, 16, 17, 20], specs)
+    assert got["three"] == {6, 4, 2} and got["four"] == {6, 4, 2, 1}
+    assert got["most"] == {6, 4, 2, 1, 5, 3}               # spaced rows 20, 16, 12, 3; then the newest left over
+    assert "all" not in got and got["tail"] == {5, 6}      # more asked for than there is: no such subset
+
+
+@pytest.mark.parametrize("small_group", [200_000, 0])
+def test_properties(spark, monkeypatch, small_group):
+    monkeypatch.setattr(sub, "SMALL_GROUP", small_group)
     rnd = random.Random(21)
-    base = dt.datetime(2024, 1, 1)
-    for trial in range(3):
-        n = rnd.randint(30, 120)
-        items = []
-        for i in range(n):
-            t = base + dt.timedelta(hours=rnd.choice([0, 1, 2, 3, 5, 8]) * rnd.randint(0, 30))
-            items.append((i, int((t - dt.datetime(1970, 1, 1)).total_seconds()), t))
-        df = spark.createDataFrame([("o", i, t) for i, _, t in items], "owner_id string, k long, ts timestamp")
-        specs = [sub.SubsetSpec("s1", 10, 4), sub.SubsetSpec("s2", 25, 1), sub.SubsetSpec("s3", 500, 2),
-                 sub.SubsetSpec("tail", 7, None)]
-        got = sub.spaced_subsets(df, ["owner_id"], ["k"], specs).collect()
-        by = {}
-        for r in got:
-            by.setdefault(r.subset_name, set()).add(r.k)
-        assert by.get("s1") == _greedy(items, 10, 4 * 3600)
-        assert by.get("s2") == _greedy(items, 25, 3600)
-        assert "s3" not in by                       # group smaller than the size: skipped
-        tail = sorted(items, key=lambda x: (x[1], x[0]))[-7:]
-        assert by.get("tail") == {x[0] for x in tail}
+    hours = [rnd.choice([0, 1, 2, 3, 5, 8]) * rnd.randint(0, 30) for _ in range(100)]
+    got = _picked(spark, hours, [sub.SubsetSpec("few", 5, 4), sub.SubsetSpec("many", 60, 4)])
+    few = sorted((hours[k] for k in got["few"]), reverse=True)
+    assert len(few) == 5 and few[0] == max(hours)
+    for newer, older in zip(few, few[1:]):                 # spaced, and no row between is spaced as well
+        assert newer - older >= 4 and not [h for h in hours if older < h <= newer - 4]
+    assert len(got["many"]) == 60 and got["few"] <= got["many"]
