@@ -820,7 +820,7 @@ bank AS (
   UNION ALL
   SELECT owner_id, 2305843009213693952 + batch_no * 16777216 + rec, 2, attribute, based_on, NULL FROM comb
   UNION ALL
-  SELECT owner_id, (2::BIGINT << 40) + row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos), 3,
+  SELECT owner_id, 4611686018427387904 + row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos), 3,
          attribute, citation, timestamp FROM evm
   QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos) <= 25)"""
 
