@@ -58,11 +58,11 @@ def signatures(column: pa.Array) -> np.ndarray:
     return out
 
 
-def as_text(signature: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in signature.astype(">u2")]
+def as_bytes(signature: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in signature.astype(">u2")]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited_text(text: str, following: str) -> str:
@@ -75,8 +75,8 @@ def _rows(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
     edited = [edited_text(t, f) for t, f in zip(texts, following)]
     own, changed, ahead = (signatures(pa.array(x, pa.large_string())) for x in (texts, edited, following))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
-         pa.array(as_text(own), pa.string()), pa.array(as_text(changed), pa.string()), pa.array((own == changed).mean(axis=1)), pa.array((own == ahead).mean(axis=1))],
+        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).digest() for e in edited], pa.binary()),
+         pa.array(as_bytes(own), pa.binary()), pa.array(as_bytes(changed), pa.binary()), pa.array((own == changed).mean(axis=1)), pa.array((own == ahead).mean(axis=1))],
         [f.split()[0] for f in RESULT.split(", ")])
 
 
@@ -98,7 +98,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         part, last, first = TaskContext.get().partitionId(), None, None
 
         def end(which: str, row: tuple) -> pa.RecordBatch:
-            extra = [pa.nulls(1, pa.int64() if n == "n_chars" else pa.float64() if n.startswith("near") else pa.string()) for n in names[1:]]
+            extra = [pa.nulls(1, pa.int64() if n == "n_chars" else pa.float64() if n.startswith("near") else pa.binary()) for n in names[1:]]
             return pa.RecordBatch.from_arrays([pa.array([which]), pa.array([part], pa.int32()), pa.array([row[1]], pa.string()), pa.array([row[0]], pa.int64()), *extra],
                                               ["kind", "part", "text", *names])
 
@@ -130,7 +130,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     lasts = made.filter("kind = 'last'").select("doc_id", "text", "part")
     tails = lasts.join(parts, lasts.part == parts.of).select("doc_id", "text", "next") \
         .join(firsts.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "following").mapInArrow(finish, RESULT)
-    return made.filter("kind = 'row'").select(*names).unionByName(tails)
+    return made.filter("kind = 'row'").select(*names).unionByName(tails) \
+        .withColumns({n: F.lower(F.hex(n)) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
