@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from chatlake.llm.common import HashIndex, segment_reduce, slices, span_hashes, staged
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 16 << 20
 #: Weight of the vocabulary's own order, in training pieces.
 PRIOR_PIECES = 2_000.0
 #: Rounds of re-estimation.
@@ -148,26 +149,42 @@ def blocks(docs: DataFrame, train: Column) -> DataFrame:
     Words are what stands between white space (0x20, 0x09-0x0D), A-Z lowered; ``train`` says which rows are training texts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in slices(batches, limit=BLOCK_BYTES):
-            block = TaskContext.get().partitionId() << 32 | number
-            number += 1
-            texts = [(t or "").encode().lower().split() for t in batch.column("text").to_pylist()]
-            code = {w: k for k, w in enumerate(set().union(*texts))}
-            codes = [np.fromiter(map(code.__getitem__, t), np.int32, len(t)) for t in texts]
+        number, size = 0, 0
+        code: dict[bytes, int] = {}  # in the order of first use, so that frequent words have small codes
+        ids, learned, codes = [], [], []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size
+            own = TaskContext.get().partitionId() << 32 | number
             at = np.cumsum([0, *map(len, codes)])
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            learned = np.repeat(np.array(batch.column("train").to_pylist(), bool), np.diff(at))
-            times = np.bincount(flat[learned], minlength=len(code))
+            flat = np.concatenate(codes)
+            times = np.bincount(flat[np.repeat(np.array(learned, bool), np.diff(at))], minlength=len(code))
             for lo in range(0, len(codes), 256):
-                edge = at[lo:min(lo + 256, len(codes)) + 1]
+                edge = at[lo:lo + 257]
                 rows = len(edge) - 1
-                yield _typed(rows, block=pa.array([block] * rows, pa.int64()), doc_id=batch.column("doc_id").slice(lo, rows), train=batch.column("train").slice(lo, rows),
+                yield _typed(rows, block=pa.array([own] * rows, pa.int64()), doc_id=pa.array(ids[lo:lo + rows], pa.int64()), train=pa.array(learned[lo:lo + rows], pa.bool_()),
                              codes=pa.ListArray.from_arrays(pa.array((edge - edge[0]).astype(np.int32)), pa.array(flat[edge[0]:edge[-1]])))
-            for lo in range(0, len(code), 20_000):
-                words = list(code)[lo:lo + 20_000]
-                yield _typed(len(words), block=pa.array([block] * len(words), pa.int64()), word=pa.array(words, pa.binary()),
-                             code=pa.array(np.arange(lo, lo + len(words), dtype=np.int32)), times=pa.array(times[lo:lo + len(words)]))
+            words = list(code)
+            for lo in range(0, len(words), 20_000):
+                some = words[lo:lo + 20_000]
+                yield _typed(len(some), block=pa.array([own] * len(some), pa.int64()), word=pa.array(some, pa.binary()),
+                             code=pa.array(np.arange(lo, lo + len(some), dtype=np.int32)), times=pa.array(times[lo:lo + len(some)]))
+            number, size = number + 1, 0
+            for kept in (code, ids, learned, codes):
+                kept.clear()
+
+        for batch in slices(batches):
+            texts = [(t or "").encode().lower().split() for t in batch.column("text").to_pylist()]
+            for w in dict.fromkeys(chain.from_iterable(texts)):
+                code.setdefault(w, len(code))
+            codes += [np.fromiter(map(code.__getitem__, t), np.int32, len(t)) for t in texts]
+            ids += batch.column("doc_id").to_pylist()
+            learned += batch.column("train").to_pylist()
+            size += batch.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield from block()
+        if codes:
+            yield from block()
 
     return docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")) \
         .mapInArrow(run, ", ".join(f"{n} {SQL_TYPES.get(n)}" for n in SQL_TYPES))
