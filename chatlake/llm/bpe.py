@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from chatlake.llm.common import HashIndex, slices
+from chatlake.llm.common import WHITE, HashIndex, slices, utf8
 
+#: Bytes of text whose distinct chunks ``arrays`` encodes together.
+ARRAYS_BYTES = 8 << 20
 #: Chunks remembered by a Python worker in each of two generations.
 REMEMBERED = 200_000
 
@@ -96,16 +98,42 @@ class ForcedBoundaryBPE:
         return out
 
     def encode_plain(self, chunks: list[str]) -> list[list[int]]:
-        """Chunks of PLAIN characters (no apostrophe, so no contraction): pre-tokens are runs of letters or other signs, and digits."""
+        flat, at = self.encode_plain_flat(" ".join(chunks), len(chunks))
+        ids, at = flat.tolist(), at.tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
+    def encode_plain_flat(self, joined: str, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks, joined by spaces, of PLAIN characters (no apostrophe, so no contraction): pre-tokens are runs of letters or other signs, and digits."""
         if not chunks:
-            return []
-        data = np.frombuffer(" ".join(chunks).lower().encode(), np.uint8)
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        data = np.frombuffer(joined.lower().encode(), np.uint8)
         kind = PLAIN_CLASS[data]
         start = np.ones(len(data), dtype=bool)
         start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         inside = kind != 0
         chunk = np.cumsum(~inside)[inside]
-        return self.encode_bytes(data[inside], start[inside], chunk, len(chunks))
+        return self.encode_bytes(data[inside], start[inside], chunk, chunks)
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (binary, none empty) one after another, and where each begins."""
+        data, at = utf8(words)
+        led = np.append(False, data[:-1] == 0xC3)
+        sign = data < 128
+        good = np.where(sign, (data > 32) & (data != 39) & (data < 127), (data == 0xC3) | (led & (data < 0xC0) & (data != 0x97) & (data != 0xB7)))
+        good[:-1] &= (data[:-1] != 60) | (data[1:] != 124)  # "<|" may open a special token
+        plain = np.logical_and.reduceat(good, at[:-1])
+        size = np.diff(at)
+        inside = np.repeat(plain, size)
+        begin = np.cumsum(size[plain])[:-1]
+        flat, ends = self.encode_plain_flat(np.insert(data[inside], begin, 32).tobytes().decode(), int(plain.sum()))
+        if plain.all():
+            return flat.astype(np.uint32), ends
+        other = [np.array(self.encode_any(w.decode()), np.uint32) for w in words.filter(pa.array(~plain)).to_pylist()]
+        size[plain], size[~plain] = np.diff(ends), [len(x) for x in other]
+        out = np.empty(int(size.sum()), np.uint32)
+        own = np.repeat(plain, size)
+        out[own], out[~own] = flat, np.concatenate(other)
+        return out, np.append(0, np.cumsum(size))
 
     def encode_any(self, chunk: str) -> list[int]:
         """Any chunk: special tokens that it spells out, then the library's normal form and pre-tokens."""
@@ -119,22 +147,20 @@ class ForcedBoundaryBPE:
                 data = np.array([b for p in pieces for b in p], np.uint8)
                 start = np.zeros(len(data), dtype=bool)
                 start[np.cumsum([0, *map(len, pieces)])[:-1]] = True
-                out += self.encode_bytes(data, start, np.zeros(len(data), np.int64), 1)[0]
+                out += self.encode_bytes(data, start, np.zeros(len(data), np.int64), 1)[0].tolist()
         return out
 
-    def encode_bytes(self, data: np.ndarray, start: np.ndarray, chunk: np.ndarray, chunks: int) -> list[list[int]]:
-        """Ids of each chunk; start: the first bytes of pre-tokens, chunk: of each byte."""
+    def encode_bytes(self, data: np.ndarray, start: np.ndarray, chunk: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and where each begins; start: the first bytes of pre-tokens, chunk: of each byte."""
         if not len(data):
-            return [[]] * chunks
+            return np.zeros(0, np.int32), np.zeros(chunks + 1, np.int64)
         data = data.astype(np.int32)
         last = np.append(start[1:], True)
         symbol = np.where(last, self.final[data], self.inner[data])
         cut = start.copy()
         cut[1:] |= ~self.mergeable[data[:-1] * 256 + data[1:]]
         ids, of = self.merge(symbol, np.cumsum(cut, dtype=np.int32) - 1)
-        at = np.searchsorted(chunk[cut][of], np.arange(chunks + 1)).tolist()
-        ids = ids.tolist()
-        return [ids[a:b] for a, b in zip(at, at[1:])]
+        return ids, np.searchsorted(chunk[cut][of], np.arange(chunks + 1))
 
     def merge(self, symbol: np.ndarray, fragment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge the lowest-ranked pair of every fragment, again and again; ids and their fragments, in order."""
@@ -196,6 +222,29 @@ class ForcedBoundaryBPE:
             self.new[chunk] = result(ids)
         return (list(map(self.new.__getitem__, chunks)) for chunks in split)
 
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts one after another, and where each text's begin (nulls are empty).
+
+        White space cuts the bytes into chunks; each distinct one is encoded once, without a Python object.
+        """
+        data, at = utf8(texts)
+        solid = ~WHITE[data]
+        begin = solid.copy()
+        begin[1:] &= ~solid[:-1]
+        first = at[:-1][at[:-1] < len(data)]
+        begin[first] = solid[first]  # a text's first byte begins a chunk after any byte
+        begin = np.flatnonzero(begin)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        place = np.append(0, np.cumsum(solid))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(place[begin], place[-1])), pa.py_buffer(data[solid])]).dictionary_encode()
+        held, held_at = self.encode_words(chunks.dictionary)
+        code = chunks.indices.to_numpy()
+        lo, size = held_at[code], np.diff(held_at)[code]
+        ends = np.append(0, np.cumsum(size))
+        ids = held[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], size)]
+        return ids, ends[np.searchsorted(begin, at)]
+
     def encode(self, text: str | None) -> list[int]:
         return [i for ids in next(self.texts([text], tuple, "ids")) for i in ids]
 
@@ -220,11 +269,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in slices(batches):
-            parts = [np.fromiter((i for c in chunks for i in c), np.int32) for chunks in
-                     bpe.texts(batch.column("text").to_pylist(), tuple, "ids")]
-            at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        for batch in slices(batches, limit=ARRAYS_BYTES):
+            flat, at = bpe.arrays(batch.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.bpe import encoder
+from chatlake.llm.bpe import ARRAYS_BYTES, encoder
 from chatlake.llm.common import slices, staged
 
 BLOCK = 4096
@@ -276,11 +276,11 @@ def write_documents(docs: DataFrame, path: str, end_id: int, block_ids: int = BL
             return out, inside
 
         opened = False  # the first that waits has begun in an earlier block
-        for batch in slices(batches):
-            for doc_id, chunks in zip(batch.column("doc_id").to_pylist(), bpe.texts(batch.column("text").to_pylist(), tuple, "ids")):
-                own = np.fromiter((i for c in chunks for i in c), np.uint32)
-                waiting.append((doc_id, np.append(own, np.uint32(end_id))))
-                size += len(own) + 1
+        for batch in slices(batches, limit=ARRAYS_BYTES):
+            ids, at = bpe.arrays(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at, at[1:]):
+                waiting.append((doc_id, np.append(ids[a:b], np.uint32(end_id))))
+                size += int(b - a) + 1
             while size >= lanes * block_ids:
                 made, opened = cut(False)
                 yield made
