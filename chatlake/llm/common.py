@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the folder that ``spark.checkpoint.dir`` names and read it back.
 
     This cuts the lineage: a lost executor costs the tasks of one stage, not the work before it.
@@ -37,7 +37,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     if not root:
         raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
     path = f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,6 +35,8 @@ ROUNDS = 2
 #: Bytes of words in one lattice pass.
 PASS_BYTES = 200_000
 
+ZSTD = pa.Codec("zstd", compression_level=1)
+
 
 class Pieces:
     """The pieces of a vocabulary that a word can be made of: a space at its beginning or none, and all single bytes."""
@@ -143,8 +145,20 @@ def passes(words: list[bytes]) -> Iterator[slice]:
     return (slice(a, b) for a, b in zip(edge, edge[1:]) if b > a)
 
 
+def pack(codes: np.ndarray) -> bytes:
+    """The codes of a text: all lowest bytes, then all second bytes and so on, compressed."""
+    return ZSTD.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unpack(data: bytes, words: int) -> np.ndarray:
+    planes = np.frombuffer(ZSTD.decompress(data, decompressed_size=4 * words), np.uint8).reshape(4, words)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def blocks(docs: DataFrame, train: Column) -> DataFrame:
-    """Rows of two kinds: documents (block, doc_id, extra, codes) and dictionary entries (block, code, word, times in training texts).
+    """Rows of two kinds: documents (block, doc_id, train, words, codes) and dictionary entries (block, code, word, times in training texts).
+
+    codes: see ``pack``.
 
     Words are what stands between white space (0x20, 0x09-0x0D), A-Z lowered; ``train`` says which rows are training texts.
     """
@@ -160,10 +174,10 @@ def blocks(docs: DataFrame, train: Column) -> DataFrame:
             flat = np.concatenate(codes)
             times = np.bincount(flat[np.repeat(np.array(learned, bool), np.diff(at))], minlength=len(code))
             for lo in range(0, len(codes), 256):
-                edge = at[lo:lo + 257]
-                rows = len(edge) - 1
+                some = codes[lo:lo + 256]
+                rows = len(some)
                 yield _typed(rows, block=pa.array([own] * rows, pa.int64()), doc_id=pa.array(ids[lo:lo + rows], pa.int64()), train=pa.array(learned[lo:lo + rows], pa.bool_()),
-                             codes=pa.ListArray.from_arrays(pa.array((edge - edge[0]).astype(np.int32)), pa.array(flat[edge[0]:edge[-1]])))
+                             words=pa.array([len(x) for x in some], pa.int64()), codes=pa.array(map(pack, some), pa.binary()))
             words = list(code)
             for lo in range(0, len(words), 20_000):
                 some = words[lo:lo + 20_000]
@@ -190,8 +204,8 @@ def blocks(docs: DataFrame, train: Column) -> DataFrame:
         .mapInArrow(run, ", ".join(f"{n} {SQL_TYPES.get(n)}" for n in SQL_TYPES))
 
 
-SQL_TYPES = {"block": "long", "doc_id": "long", "train": "boolean", "codes": "array<int>", "word": "binary", "code": "int", "times": "long"}
-_ARROW = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "codes": pa.list_(pa.int32()), "word": pa.binary(), "code": pa.int32(), "times": pa.int64()}
+SQL_TYPES = {"block": "long", "doc_id": "long", "train": "boolean", "words": "long", "codes": "binary", "word": "binary", "code": "int", "times": "long"}
+_ARROW = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "words": pa.int64(), "codes": pa.binary(), "word": pa.binary(), "code": pa.int32(), "times": pa.int64()}
 
 
 def _typed(rows: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -240,7 +254,7 @@ def score_documents(docs: DataFrame, train: Column, path: str) -> DataFrame:
     text in the lattice model.  Null and empty texts have the end only.  Repeated rows stay repeated;
     an empty table gives an empty table; without training texts the pieces keep the vocabulary's order.
     """
-    made = staged(blocks(docs, train), "blocks")
+    made = staged(blocks(docs, train), "blocks", compression="zstd")
     texts, entries = made.filter("code is null"), made.filter("code is not null").select(F.col("block").alias("home"), "code", "word", "times")
     counts = staged(entries.groupBy("word").agg(F.sum("times").alias("c")), "counts")
     ends = texts.filter("train").count()
@@ -264,11 +278,9 @@ def score_documents(docs: DataFrame, train: Column, path: str) -> DataFrame:
         order = right.column("code").to_numpy()
         c, lattice = np.zeros(size), np.zeros(size)
         c[order], lattice[order] = right.column("c").to_numpy(), right.column("lattice").to_numpy()
-        codes = left.column("codes").combine_chunks()
-        codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
-        at = codes.offsets.to_numpy().astype(np.int64)
-        flat = codes.values.to_numpy()[at[0]:at[-1]]
-        at = at - at[0]
+        words = left.column("words").to_numpy()
+        at = np.append(0, np.cumsum(words))
+        flat = np.concatenate([np.zeros(0, np.int64), *map(unpack, left.column("codes").to_pylist(), words.tolist())])
         base = segment_reduce(np.add, np.log10((c + 1) / whole)[flat], at, 0.0) + np.log10((ends + 1) / whole)
         text = (segment_reduce(np.add, lattice[flat], at, 0.0) + end) / np.log(10)
         seen = segment_reduce(np.add, (c > 0).astype(np.int64)[flat], at, 0) + (ends > 0)
@@ -277,5 +289,5 @@ def score_documents(docs: DataFrame, train: Column, path: str) -> DataFrame:
                                     names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     valued = entries.select("home", "code", "word").join(counts.mapInArrow(weigh, "word binary, c long, lattice double"), "word").select("home", "code", "c", "lattice")
-    return texts.select("block", "doc_id", "train", "codes").groupBy("block").cogroup(valued.groupBy("home")) \
+    return texts.select("block", "doc_id", "train", "words", "codes").groupBy("block").cogroup(valued.groupBy("home")) \
         .applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
