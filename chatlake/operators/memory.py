@@ -133,8 +133,12 @@ def conversation_blocks(turns: DataFrame, batches: DataFrame) -> DataFrame:
                                       F.lit(" END\n")))
 
 
-def build_extract_requests(turns: DataFrame, batches: DataFrame, person: str) -> DataFrame:
-    """One extraction prompt per batch of (at most 20) conversations."""
+def build_extract_requests(turns: DataFrame, batches: DataFrame, person: str,
+                           template: str = EXTRACT_PROMPT) -> DataFrame:
+    """One extraction prompt per batch of (at most 20) conversations.
+
+    ``template`` may use ``{n}``, ``{person}`` and ``{convs}``.
+    """
     b = conversation_blocks(turns, batches)
     g = b.groupBy("owner_id", "batch_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "block"))), lambda x: x["block"]),
@@ -142,7 +146,7 @@ def build_extract_requests(turns: DataFrame, batches: DataFrame, person: str) ->
         F.count(F.lit(1)).alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "thread_id", "conv_no"))),
                     lambda x: F.concat(x["thread_id"], F.lit("#"), x["conv_no"].cast("string"))).alias("members"))
-    prompt = F.concat(*_split_template(EXTRACT_PROMPT, n=F.col("n").cast("string"), person=person,
+    prompt = F.concat(*_split_template(template, n=F.col("n").cast("string"), person=person,
                                        convs=F.col("convs")))
     return g.select("owner_id", F.lit("extract").alias("stage"), "batch_no", prompt.alias("prompt"), "members")
 
@@ -291,15 +295,18 @@ def nearest_timestamp(packed: DataFrame) -> DataFrame:
     return p.withColumn("prompt_ts", borrowed).drop("_ts", "_n", "_fp", "_bp", "_fv", "_bv")
 
 
-def build_combine_requests(packed_ts: DataFrame, person: str) -> DataFrame:
-    """One combine prompt per batch of 25 attributes."""
+def build_combine_requests(packed_ts: DataFrame, person: str, template: str = COMBINE_PROMPT) -> DataFrame:
+    """One combine prompt per batch of 25 attributes.
+
+    ``template`` may use ``{person}`` and ``{attrs}``.
+    """
     line = F.concat(F.lit("Attribute "), F.col("cslot").cast("string"), F.lit(": "), F.col("attribute"),
                     F.lit(" (Citation: "), F.coalesce("citation", F.lit("")), F.lit(", Timestamp: "),
                     F.col("prompt_ts"), F.lit(")"))
     g = packed_ts.groupBy("owner_id", "cbatch").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cslot", line.alias("l")))),
                                  lambda x: x["l"]), "\n").alias("attrs"))
-    prompt = F.concat(*_split_template(COMBINE_PROMPT, person=person, attrs=F.col("attrs")))
+    prompt = F.concat(*_split_template(template, person=person, attrs=F.col("attrs")))
     return g.select("owner_id", F.lit("combine").alias("stage"), F.col("cbatch").alias("batch_no"),
                     prompt.alias("prompt"))
 
@@ -348,8 +355,12 @@ def unify_memories(original: DataFrame, combined: DataFrame) -> DataFrame:
         .drop("_off", "k1", "k2")
 
 
-def build_event_requests(unified: DataFrame, person: str, chunk_size: int = EVENT_CHUNK) -> DataFrame:
-    """Chunks of 100 unified attributes as an indented JSON list in the prompt."""
+def build_event_requests(unified: DataFrame, person: str, chunk_size: int = EVENT_CHUNK,
+                         template: str = EVENT_PROMPT) -> DataFrame:
+    """Chunks of 100 unified attributes as an indented JSON list in the prompt.
+
+    ``template`` may use ``{person}``, ``{chunk}``, ``{total}`` and ``{json}``.
+    """
     u = unified.withColumn("chunk", F.floor((F.col("id") - 1) / chunk_size).cast("long"))
 
     def jstr(c):  # JSON literal of one value
@@ -365,7 +376,7 @@ def build_event_requests(unified: DataFrame, person: str, chunk_size: int = EVEN
         F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", item.alias("j")))),
                                                         lambda x: x["j"]), ",\n"), F.lit("\n]")).alias("json"))
     g = g.join(total, "owner_id")
-    prompt = F.concat(*_split_template(EVENT_PROMPT, person=person, chunk=(F.col("chunk") + 1).cast("string"),
+    prompt = F.concat(*_split_template(template, person=person, chunk=(F.col("chunk") + 1).cast("string"),
                                        total=(F.col("_last") + 1).cast("string"), json=F.col("json")))
     return g.select("owner_id", F.lit("events").alias("stage"), F.col("chunk").alias("batch_no"),
                     prompt.alias("prompt"))

@@ -91,3 +91,16 @@ def test_bank_round_trip(spark, tmpdir_path):
     assert got == [("ann", 1, "original", 0, "a", "t1", "Conversation 1", 1, "text"), ("ann", 1, "original", 1, "b", "t3", "c2", None, None),
                    ("ann", 2, "combined", 0, "c", None, None, None, None), ("ann", 3, "top", 0, "d", None, None, None, None)]
     assert json.loads(next(r.entry["source_attributes"] for r in rows if r.kind == "combined")) == [{"attribute": "a"}]
+
+
+def test_request_templates(spark):
+    unified = spark.createDataFrame([("o", i, "Original Attribute", f"a{i}" if i < 3 else None, None) for i in (1, 2, 3)],
+                                    "owner_id string, id long, type string, attribute string, citation string")
+    got = mem.build_event_requests(unified, "Ann", chunk_size=2, template="{person} {chunk}/{total}: {json}").orderBy("batch_no").collect()
+    heads, lists = zip(*(r.prompt.split(": ", 1) for r in got))
+    assert heads == ("Ann 1/2", "Ann 2/2")
+    assert [[(x["id"], x["content"]) for x in json.loads(t)] for t in lists] == [[(1, "a1"), (2, "a2")], [(3, "")]]
+    packed = spark.createDataFrame([("o", 0, 2, "b", "c", "t"), ("o", 0, 1, "a", None, "t")],
+                                   "owner_id string, cbatch long, cslot int, attribute string, citation string, prompt_ts string")
+    got = mem.build_combine_requests(packed, "Ann", template="<{attrs}>").first()
+    assert got.prompt == "<Attribute 1: a (Citation: , Timestamp: t)\nAttribute 2: b (Citation: c, Timestamp: t)>"
