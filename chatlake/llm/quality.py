@@ -2,11 +2,13 @@
 
 P(grade <= k) = sigmoid(threshold_k - w . x) with one weight vector for all thresholds; x marks the
 hashed runs of letters, digits and signs that a text contains, and bins of a few shares.  The fit
-uses a bounded sample of graded rows; the score of a text needs only the weights.
+uses a bounded sample of graded rows; the score of a text needs only the weights.  The cut for
+keeping a text is chosen on graded rows that the fit has not seen.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +25,14 @@ FEATURE_BITS = 20
 SAMPLE_ROWS = 8000
 #: Features in fewer sampled rows than this have weight zero.
 LEAST_ROWS = 8
-#: A text is kept if P(grade >= top grade) is at least this.
+#: A text is kept if P(grade >= top grade) is at least this, where the held-out rows are too few to choose a cut.
 KEEP_TAIL = 0.3
+#: Held-out rows: one in so many, as many more than the fit uses.
+FOLDS = 5
+#: Share of held-out rows of the top grade that a chosen cut must keep.
+CLEAN_KEPT = 0.99
+#: Held-out rows of the top grade and of all others together that it takes to choose a cut.
+LEAST_HELD = 50
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[WHITE] = 0
@@ -67,17 +75,22 @@ WIDTH = (1 << FEATURE_BITS) + 6 * _BINS
 class OrdinalModel:
     weights: np.ndarray  # float32, one per feature
     thresholds: np.ndarray  # ascending, one less than grades
+    keep_tail: float = KEEP_TAIL  # least P(top grade) of a text that is kept
 
     def at_most(self, column: pa.Array) -> np.ndarray:
         """P(grade <= k) of each text (rows) for all but the top grade (columns)."""
-        feature, at = features(column)
+        return self.at_most_of(*features(column))
+
+    def at_most_of(self, feature: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The same from the texts' features."""
         total = np.append(0.0, np.cumsum(self.weights[feature], dtype=np.float64))
         return 1 / (1 + np.exp(np.clip((total[at[1:]] - total[at[:-1]])[:, None] - self.thresholds, -60, 60)))
 
 
-def fit_ordinal(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, ridge: float = 4e-3) -> OrdinalModel:
-    """Maximum likelihood with a ridge by full-batch Adam; grades are 0 .. grades - 1.
+def fit_ordinal(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, ridge: float = 3e-4) -> OrdinalModel:
+    """Maximum likelihood with a ridge by full-batch Adam with falling steps; grades are 0 .. grades - 1.
 
+    The ridge is weak enough that a word that only a few dozen rows of one grade have still decides a text.
     Without rows, or with one grade only, the weights are zero and the thresholds follow the counts.
     """
     count = np.bincount(grade, minlength=grades) + 1.0
@@ -102,20 +115,34 @@ def fit_ordinal(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, grades:
             np.add.at(slope, n + grade[grade < grades - 1], -(upper * (1 - upper) / p)[grade < grades - 1] / rows)
             np.add.at(slope, n + grade[grade > 0] - 1, (lower * (1 - lower) / p)[grade > 0] / rows)
             moment, spread = 0.9 * moment + 0.1 * slope, 0.99 * spread + 0.01 * slope ** 2
-            x -= 0.05 * (moment / (1 - 0.9 ** t)) / (np.sqrt(spread / (1 - 0.99 ** t)) + 1e-8)
+            x -= 0.2 * (1 - (t - 1) / steps) * (moment / (1 - 0.9 ** t)) / (np.sqrt(spread / (1 - 0.99 ** t)) + 1e-8)
         weights[used[often]], thresholds = x[:n], np.sort(x[n:])
     return OrdinalModel(weights, thresholds)
 
 
+def choose_cut(tail: np.ndarray, top: np.ndarray) -> float:
+    """The largest cut that keeps CLEAN_KEPT of the held-out rows of the top grade (``top``), given P(top grade) of all held-out rows.
+
+    KEEP_TAIL if there are under LEAST_HELD rows of the top grade or of the others.
+    """
+    if min(top.sum(), (~top).sum()) < LEAST_HELD:
+        return KEEP_TAIL
+    return float(np.sort(tail[top])[int((1 - CLEAN_KEPT) * top.sum())])
+
+
 def label_grade(quality: str = "quality", toxic: str = "toxic") -> Column:
     """0: poor text; 1: toxic but well written; 2: neither.  Null where quality is null."""
     return F.when(F.col(quality) == 0, 0).when(F.col(quality).isNotNull(), F.when(F.col(toxic) == 1, 1).otherwise(2))
 
 
 def train(docs: DataFrame, graded: DataFrame, grades: int = 3, rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit on at most ``rows`` rows of ``graded`` (doc_id, grade) that have a text; null grades and ids don't count."""
+    """Fit on about ``rows`` rows at most of ``graded`` (doc_id, grade) that have a text; null grades and ids don't count.
+
+    A fold by crc32 of the id is held out, and the cut is chosen on it.  Where it is too small for that,
+    its rows are fitted with the others.
+    """
     known = graded.select("doc_id", F.col("grade").cast("int").alias("grade")).filter("doc_id is not null and grade is not null")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)  # at most ``rows`` short rows: small enough to send out
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows * FOLDS // (FOLDS - 1))  # so many short rows at most: small enough to send out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -128,15 +155,26 @@ def train(docs: DataFrame, graded: DataFrame, grades: int = 3, rows: int = SAMPL
     found = found.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     lists = found.column("features").combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
-    return fit_ordinal(lists.values.to_numpy(), at, found.column("grade").to_numpy().astype(np.int64), grades)
+    feature, grade = lists.values.to_numpy(), found.column("grade").to_numpy().astype(np.int64)
+    held = np.array([zlib.crc32(str(i).encode()) % FOLDS == 0 for i in found.column("doc_id").to_pylist()], dtype=bool)
+    top = grade == grades - 1
+    if min((held & top).sum(), (held & ~top).sum()) < LEAST_HELD:
+        return fit_ordinal(feature, at, grade, grades)
+    of = np.repeat(held, np.diff(at))  # of each feature's row
+    part = lambda rows: (feature[of == rows], np.append(0, np.cumsum(np.diff(at)[held == rows])))
+    model = fit_ordinal(*part(False), grade[~held], grades)
+    model.keep_tail = choose_cut(1 - model.at_most_of(*part(True))[:, -1], top[held])
+    return model
 
 
-def grade_documents(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TAIL) -> DataFrame:
-    """(doc_id, expected_grade, tail_prob, keep) of every row; tail_prob is P(top grade).
+def grade_documents(docs: DataFrame, model: OrdinalModel, keep_tail: float | None = None) -> DataFrame:
+    """(doc_id, expected_grade, tail_prob, keep) of every row; tail_prob is P(top grade).  The cut is the model's, if not given.
 
     Null and empty texts have no features and get the grade of the thresholds alone.  Repeated rows
     stay repeated; an empty table gives an empty table; other columns are not read.
     """
+    keep_tail = model.keep_tail if keep_tail is None else keep_tail
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             below = model.at_most(batch.column("text"))
@@ -147,8 +185,9 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEE
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, keep boolean")
 
 
-def keep_good(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TAIL) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text the model keeps."""
+def keep_good(docs: DataFrame, model: OrdinalModel, keep_tail: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the model keeps: with the model's cut, if none is given."""
+    keep_tail = model.keep_tail if keep_tail is None else keep_tail
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -345,6 +345,28 @@ def test_ordinal_fit_and_grades(spark, docs, empty):
     assert by_row(spark.createDataFrame([(0, 1), (1, 1), (1, None), (1, 0), (None, 1)], "quality int, toxic int").select(quality.label_grade())) == [(0,), (1,), (2,), (2,), (None,)]
 
 
+def test_rare_insults_go_and_clean_texts_stay(spark):
+    r = random.Random(9)
+    plain = [f"w{k}" for k in range(300)]
+    rude = [f"insult{k}" for k in range(10)]
+    rows = []
+    for k in range(4000):
+        grade = 0 if k % 7 == 0 else 1 if k % 10 == 1 else 2
+        words = [r.choice(plain) for _ in range(60)]
+        if grade == 1:
+            words[r.randrange(60)] = r.choice(rude)  # its only sign: a word that about 40 rows have
+        if grade == 0:
+            words[10:30] = ["junk"] * 20
+        rows.append((k, " ".join(words), grade))
+    graded = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = quality.train(graded.select("doc_id", "text"), graded.filter("doc_id < 3000").select("doc_id", "grade"))
+    kept = {x.doc_id for x in quality.grade_documents(graded, model).filter("keep").collect()}
+    share = [np.mean([k in kept for k, _, g in rows[3000:] if g == of]) for of in range(3)]
+    assert share[0] < 0.05 and share[1] < 0.2 and share[2] > 0.95
+    assert kept == {x.doc_id for x in quality.keep_good(graded, model).collect()}
+    assert quality.choose_cut(np.array([0.9] * 200), np.array([True] * 180 + [False] * 20)) == quality.KEEP_TAIL  # too few to choose
+
+
 # -- 9 ------------------------------------------------------------------------------------------
 
 def test_masks_leave_a_seed_untouched():
