@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import segment_reduce, slices, utf8
+from chatlake.llm.common import segment_reduce, slices, staged, utf8
 
 #: Documents of each language whose whole texts the trees are built from, in the order of a hash of their id.
 SAMPLE_DOCS = 1000
@@ -28,6 +28,20 @@ ORDER = 3
 
 UNKNOWN = "und"
 
+#: One in so many sampled documents is held out to learn what a letter of its language costs.
+HELD_FOLDS = 5
+#: A text is too far from a language if a letter costs more than this many times the quantile of its held-out documents.
+RATE_QUANTILE, RATE_MARGIN = 0.95, 2.25
+#: Languages with fewer held-out documents take the quantile of all languages' ones.
+LEAST_HELD = 20
+#: Bits that a text has free: a few letters alone tell nothing.
+FREE_BITS = 20.0
+
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+
 
 def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each after ORDER newlines, and where each begins."""
@@ -50,24 +64,44 @@ def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class PPM:
-    """``symbol`` maps bytes to columns (last: unseen); ``context`` maps three columns to a row; ``cost`` has bits by row, column, language."""
+    """``symbol`` maps bytes to columns (last: unseen); ``context`` maps three columns to a row; ``cost`` has bits by row, column, language.
+
+    ``bound`` has the most bits a letter of a text in each language; None if not learned.
+    """
 
     languages: list[str]
     symbol: np.ndarray
     context: np.ndarray
     cost: np.ndarray
+    bound: np.ndarray | None = None
 
-    def lengths(self, column: pa.Array) -> np.ndarray:
-        """Code length in bits of each text (rows) in each language (columns)."""
+    def coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each byte (rows) in each language (columns), the windows, and where each text's begin."""
         data, at = padded(column)
         value, at = windows(data, at)
         n = self.cost.shape[1]
         part = [self.symbol[(value >> np.uint32(8 * k)) & np.uint32(255)] for k in range(ORDER + 1)]
         row = self.context[(part[3] * n + part[2]) * n + part[1]]
-        bits = self.cost.reshape(-1, len(self.languages))[row.astype(np.int64) * n + part[0]]
+        return self.cost.reshape(-1, len(self.languages))[row.astype(np.int64) * n + part[0]], value, at
+
+    def lengths(self, column: pa.Array) -> np.ndarray:
+        """Code length in bits of each text (rows) in each language (columns)."""
+        bits, _, at = self.coded(column)
         return segment_reduce(np.add, bits.astype(np.float64), at, 0.0)
 
 
+def letter_rates(bits: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bits a byte of letters, FREE_BITS left out, of each text (rows) in each language (columns), from what ``coded`` gives.
+
+    Digits, signs and what follows a digit don't count: keys, numbers and addresses are in no language.
+    """
+    byte = [(value >> np.uint32(8 * k)) & np.uint32(255) for k in range(ORDER + 1)]
+    use = _LETTER[byte[0]] & ~np.any([_DIGIT[b] for b in byte[1:]], axis=0)
+    count = segment_reduce(np.add, use.astype(np.float64), at, 0.0)
+    total = segment_reduce(np.add, bits * use[:, None].astype(np.float64), at, 0.0)
+    return np.maximum(total - FREE_BITS, 0) / np.maximum(count, 1)[:, None]
+
+
 def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> PPM:
     """The table of all languages from each one's windows and how often they were seen."""
     seen = np.zeros(256, dtype=bool)
@@ -113,10 +147,11 @@ def _costs(table: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.where(table > 0, -np.log2(np.maximum(table, 1) / whole), escape + below)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> PPM:
+def train(docs: DataFrame, sample: int = SAMPLE_DOCS, bounded: bool = False) -> PPM:
     """Trees from (doc_id, text, lang): for each lang the whole texts of at most ``sample`` documents.
 
     Rows with null lang, text or doc_id are not used.  Without any, there are no languages and every prediction is und.
+    ``bounded`` learns ``bound`` as well: trees of all but a fold of the same documents, measured on that fold.
     """
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
     ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
@@ -124,6 +159,34 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> PPM:
         ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("k") <= sample)
     chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
     picked = known.join(chosen, (known.doc_id == chosen.id) & (known.lang == chosen.of), "left_semi")
+    if bounded:
+        picked = staged(picked.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_FOLDS)) == 0), "languages")
+    model = _trees(picked)
+    if bounded:
+        model.bound = _bounds(model.languages, picked.filter("held"), _trees(picked.filter("not held")))
+    return model
+
+
+def _bounds(languages: list[str], held: DataFrame, model: PPM) -> np.ndarray:
+    """Most bits a letter of a text in each language, from the rates that ``held`` texts have in their own; without any such text, no limit."""
+    sent = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {name: k for k, name in enumerate(sent.value.languages)}
+        for batch in slices(batches):
+            place = np.array([at.get(name, -1) for name in batch.column("lang").to_pylist()])
+            if (place >= 0).any():
+                rate = letter_rates(*sent.value.coded(batch.column("text")))[np.arange(len(place)), place]
+                yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(place >= 0)), pa.array(rate[place >= 0])], ["lang", "rate"])
+
+    found = held.mapInArrow(run, "lang string, rate double").toArrow()
+    lang, rate = np.array(found.column("lang").to_pylist(), dtype=object), found.column("rate").to_numpy()
+    own = [rate[lang == name] for name in languages]
+    return np.array([RATE_MARGIN * np.quantile(x if len(x) >= LEAST_HELD else rate, RATE_QUANTILE) if len(rate) else np.inf for x in own])
+
+
+def _trees(picked: DataFrame) -> PPM:
+    """Trees of all texts of each lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -145,14 +208,20 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> PPM:
     return build(languages, counts)
 
 
-def predictions(column: pa.Array, model: PPM) -> tuple[list[str], np.ndarray]:
-    """Language of the shortest code of each text, and its share of the weights 2 ** -length; und with 0 for texts without letters."""
+def predictions(column: pa.Array, model: PPM, bounded: bool = False) -> tuple[list[str], np.ndarray]:
+    """Language of the shortest code of each text, and its share of the weights 2 ** -length; und with 0 for texts without letters.
+
+    With ``bounded``, und with 0 also for texts whose letters cost more than the language's bound.
+    """
     texts = column.to_pylist()
     has_letter = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
     if not model.languages:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    bits = model.lengths(column)
+    each, value, at = model.coded(column)
+    bits = segment_reduce(np.add, each.astype(np.float64), at, 0.0)
     best = bits.argmin(axis=1)
+    if bounded:
+        has_letter &= letter_rates(each, value, at)[np.arange(len(best)), best] <= model.bound[best]
     share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has_letter)], np.where(has_letter, share, 0.0)
 
@@ -174,7 +243,12 @@ def identify(docs: DataFrame, model: PPM) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: PPM, least_score: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with score ``least_score`` or more."""
+    """The rows of ``docs``, all columns, whose text has a language with score ``least_score`` or more and is within its bound.
+
+    The score only compares the learned languages; the bound, which ``train`` learns if ``bounded``, keeps out texts in none of them.
+    """
+    if model.bound is None:
+        raise ValueError("the model has no bounds; train it with bounded=True")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -182,7 +256,7 @@ def keep_known(docs: DataFrame, model: PPM, least_score: float) -> DataFrame:
         for batch in batches:
             keep = []
             for part in slices([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
-                lang, score = predictions(part.column(0), held.value)
+                lang, score = predictions(part.column(0), held.value, bounded=True)
                 keep += [x != UNKNOWN and s >= least_score for x, s in zip(lang, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

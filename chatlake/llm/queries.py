@@ -54,9 +54,9 @@ def op4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_edits(docs, document_edits(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def language_model(docs: DataFrame) -> langid.PPM:
+def language_model(docs: DataFrame, bounded: bool = False) -> langid.PPM:
     """Trees from the documents whose fold of five is not 0."""
-    return langid.train(docs.filter(fold("doc_id", 5) != 0))
+    return langid.train(docs.filter(fold("doc_id", 5) != 0), bounded=bounded)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

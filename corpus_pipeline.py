@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the learned languages."""
-    return langid.keep_known(docs, queries.language_model(docs), LEAST_LANGUAGE)
+    """Documents whose text is in one of the learned languages: one stands out, and its letters cost about what they cost in that language."""
+    return langid.keep_known(docs, queries.language_model(docs, bounded=True), LEAST_LANGUAGE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """The corpus pipeline: each stage against a brute-force version of its decision."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from chatlake.llm import bpe, langid, quality, queries
@@ -34,6 +38,22 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(last)
 
 
+def test_language_stage_drops_unlearned_languages_and_noise(spark):
+    r = random.Random(1)
+    docs = table(spark, SF, "documents")
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    foreign = ["wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "все люди рождаются свободными и равными в своем достоинстве",
+               "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti", letters(60), letters(2000)]
+    own = [x.text for x in docs.filter("lang = 'de' and n_chars > 300").limit(2).collect()]
+    rows = [(10**6 + k, t, None, "s", len(t)) for k, t in enumerate([*foreign, own[0][:60], own[1] + " key 9dd3c80004c73dc9e548fee51a0b7c2d4761598977407687"])]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {x.doc_id for x in corpus_pipeline.language_stage(spark, both, SF).collect()}
+    assert {k for k in kept if k >= 10**6} == {10**6 + len(foreign), 10**6 + len(foreign) + 1}
+    assert len([k for k in kept if k < 10**6]) >= 0.98 * docs.count()
+    with pytest.raises(ValueError):
+        langid.keep_known(docs, queries.language_model(docs), 0.5)
+
+
 def test_registered_queries_run(spark):
     registered = entry.queries()
     assert set(queries.REGISTRY) | {"pipeline"} <= set(registered) and len(queries.REGISTRY) == 10
