@@ -4,7 +4,8 @@ Labelled pages give each host a beta-binomial posterior of the share of good pag
 posterior mean of the registered domain, whose prior is that of the suffix, whose prior is the mean
 of all labelled pages; the strength of each prior is estimated from the spread below it (Kleinman's
 moments).  A host is blocked if the upper posterior bound of its good share is below a limit.
-All of it is DataFrame code: aggregates by host, and joins on host, domain and suffix.
+The suffix is the longest one in a list of public suffixes, else the last label; the registered
+domain has one label more.  All of it is DataFrame code: aggregates by host, and joins on host, domain and suffix.
 """
 
 from __future__ import annotations
@@ -22,6 +23,17 @@ LEAST_GOOD = 0.5
 #: Prior strength (in pages) where the spread tells nothing, and its limits.
 STRENGTH, STRENGTH_RANGE = 10.0, (1.0, 1000.0)
 
+#: Usual public suffixes of several labels; a caller with the whole public suffix list passes that.
+SUFFIXES = [f"{kind}.{land}" for land, kinds in {
+    "uk": "co org me ac gov ltd plc net sch nhs", "au": "com net org edu gov id asn", "nz": "co net org ac govt geek school", "za": "co org net ac gov web",
+    "jp": "co ne or ac go ad ed gr lg", "kr": "co or ne re pe go ac", "in": "co net org firm gen ind ac gov", "br": "com net org gov edu blog", "ar": "com net org gob edu",
+    "mx": "com net org gob edu", "co": "com net org gov edu", "pe": "com net org gob edu", "ve": "com net org gob co", "uy": "com net org gub edu", "ec": "com net org gob edu",
+    "cn": "com net org gov edu ac", "hk": "com net org gov edu idv", "tw": "com net org gov edu idv", "sg": "com net org gov edu", "my": "com net org gov edu",
+    "ph": "com net org gov edu", "th": "co or ac go in net", "id": "co or ac go web sch", "vn": "com net org gov edu", "tr": "com net org gov edu gen", "il": "co org net ac gov muni",
+    "ua": "com net org gov edu", "pl": "com net org gov edu", "ru": "com org net", "es": "com org nom gob edu", "pt": "com org gov edu", "gr": "com net org gov edu",
+    "eg": "com net org gov edu", "ng": "com net org gov edu", "ke": "co or ne go ac", "pk": "com net org gov edu", "bd": "com net org gov edu", "sa": "com net org gov edu", "ae": "co net org gov ac",
+}.items() for kind in kinds.split()] + ["github.io", "gitlab.io", "blogspot.com", "wordpress.com", "netlify.app", "vercel.app", "pages.dev", "web.app", "herokuapp.com", "appspot.com"]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,15 +62,36 @@ def _spread(child_prior: str) -> Column:
     return F.coalesce(strength, F.when(room > 0, F.lit(STRENGTH_RANGE[1])), F.lit(STRENGTH))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def with_domain(hosts: DataFrame, suffixes: DataFrame | list[str] | None = None) -> DataFrame:
+    """``hosts`` (distinct hosts) with ``domain`` and ``suffix``, ports left out.  A numeric address is its own domain.
+
+    ``suffixes``: SUFFIXES if not given; names or a table (suffix) in the form of the public suffix list: lower case, written as
+    in hosts; ``*.x`` stands for each label before x, and ``!y.x`` takes y.x out of that.  Suffixes of one label need no entry.
+    """
+    if not isinstance(suffixes, DataFrame):
+        suffixes = hosts.sparkSession.createDataFrame([(x,) for x in (SUFFIXES if suffixes is None else suffixes)], "suffix string")
+    plain = F.regexp_replace("host", ":[0-9]*$", "")
+    numeric = plain.rlike("^[0-9.]+$")
+    size = F.when(numeric, 0).otherwise(F.size(F.split(plain, "\\.")))
+    names = hosts.columns
+    tail = lambda n: F.call_function("substring_index", plain, F.lit("."), -n)
+    entry = lambda key, n, rank: F.struct(key.alias("key"), rank.alias("rank"), n.alias("labels"))
+    forms = F.flatten(F.transform(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array()), lambda n: F.array(
+        entry(tail(n), n, F.lit(0)), entry(F.concat(F.lit("*."), tail(n - 1)), n, F.lit(0)), entry(F.concat(F.lit("!"), tail(n)), n - 1, F.lit(1)))))
+    listed = suffixes.select(F.col("suffix").alias("listed")).filter("listed is not null").distinct()
+    found = hosts.select("*", F.explode_outer(forms).alias("form")).join(listed, F.col("form.key") == F.col("listed"), "left") \
+        .groupBy("host").agg(*[F.first(c).alias(c) for c in names if c != "host"],
+                             F.max(F.when(F.col("listed").isNotNull(), F.struct("form.rank", "form.labels"))).alias("best"))
+    labels = F.coalesce(F.col("best.labels"), F.lit(1))
+    return found.select(*names, F.when(numeric, plain).otherwise(tail(labels + 1)).alias("domain"), tail(labels).alias("suffix"))
+
+
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | list[str] | None = None) -> DataFrame:
     """(host, mean, upper) of every host of ``pages`` (page_id, host) from ``outcomes`` (page_id, good 0/1; null ids or goods don't count)."""
     labelled = pages.join(outcomes.filter("good is not null"), "page_id").groupBy("host") \
         .agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("double")).alias("good"))
-    plain = F.regexp_replace("host", ":[0-9]*$", "")
-    dotted = F.split(plain, "\\.")
-    hosts = staged(pages.select("host").distinct().join(labelled, "host", "left").fillna(0.0, ["n", "good"])
-                   .withColumn("domain", F.when(plain.rlike("^[0-9.]+$"), plain).otherwise(F.substring_index(plain, ".", -2)))
-                   .withColumn("suffix", F.element_at(dotted, -1)), "hosts")
+    counted = pages.select("host").distinct().join(labelled, "host", "left").fillna(0.0, ["n", "good"])
+    hosts = staged(with_domain(counted, suffixes), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     overall = suffixes.agg(F.sum("good") / F.nullif(F.sum("n"), F.lit(0.0))).first()[0]
@@ -77,18 +110,18 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return by_host.select("host", "mean", F.least(F.lit(1.0), F.col("mean") + BOUND * deviation).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], suffixes: DataFrame | list[str] | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url).
 
     The longest fitting rule decides; else the host's reputation.  Null urls and urls without ``://``
     have empty host and path and share the reputation of the empty host.  Without any outcome all
-    hosts stay.  Repeated rows stay repeated; an empty table gives an empty table; other columns are not read.
+    hosts stay.  ``suffixes``: see ``with_domain``.  Repeated rows stay repeated; an empty table gives an empty table; other columns are not read.
     """
     host, path = url_parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     fitting = [(F.lit(r), F.lit(v), rule_fits(r, F.col("host"), F.col("path"))) for r, v in sorted(rules, key=lambda x: -len(x[0]))]
     none = F.lit(None).cast("string")
     first = lambda k: reduce(lambda rest, f: F.when(f[2], f[k]).otherwise(rest), reversed(fitting), none)
-    known = reputation(split.select("page_id", "host"), outcomes).select(F.col("host").alias("of"), (F.col("upper") < LEAST_GOOD).alias("bad"))
+    known = reputation(split.select("page_id", "host"), outcomes, suffixes).select(F.col("host").alias("of"), (F.col("upper") < LEAST_GOOD).alias("bad"))
     return split.join(known, split.host == known.of, "left") \
         .select("page_id", "host", "path", first(0).alias("rule"), F.coalesce(first(1), F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

@@ -111,6 +111,21 @@ def test_url_rules_and_reputation(spark):
     assert 0 < means["bad0.net"] < means["new.net"] < means["good0.net"] < 1  # shrunk towards the domain
 
 
+def test_domains_under_suffixes_of_several_labels(spark):
+    cut = lambda hosts, *more: {r.host: (r.domain, r.suffix) for r in urls.with_domain(spark.createDataFrame([(h,) for h in hosts], "host string"), *more).collect()}
+    assert cut(["a.b.spam.co.uk:80", "spam.co.uk", "co.uk", "x.github.io", "w.a.com", "com", "", "10.0.0.1", "b.example.uk"]) == {
+        "a.b.spam.co.uk:80": ("spam.co.uk", "co.uk"), "spam.co.uk": ("spam.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.github.io": ("x.github.io", "github.io"),
+        "w.a.com": ("a.com", "com"), "com": ("com", "com"), "": ("", ""), "10.0.0.1": ("10.0.0.1", "1"), "b.example.uk": ("example.uk", "uk")}
+    listed = spark.createDataFrame([("*.ck",), ("!www.ck",), ("k12.ca.us",), ("ca.us",), (None,), ("ca.us",)], "suffix string")
+    assert cut(["s.a.x.ck", "y.www.ck", "s.pal.k12.ca.us", "s.q.ca.us", "a.b.co.uk"], listed) == {
+        "s.a.x.ck": ("a.x.ck", "x.ck"), "y.www.ck": ("www.ck", "ck"), "s.pal.k12.ca.us": ("pal.k12.ca.us", "k12.ca.us"), "s.q.ca.us": ("q.ca.us", "ca.us"), "a.b.co.uk": ("co.uk", "uk")}
+    rows = [(k, f"http://a{k % 4}.spam.co.uk/{k}", 0) for k in range(80)] + [(100 + k, f"http://w{k % 9}.fine{k % 7}.co.uk/", 1) for k in range(300)]
+    rows += [(900, "http://a9.spam.co.uk/", None), (901, "http://x.co.uk/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good int")
+    got = {r.page_id: r.verdict for r in urls.judge(pages.select("page_id", "url"), pages.select("page_id", "good"), []).collect()}
+    assert got[900] == got[0] == "block" and got[901] == got[100] == "allow"
+
+
 # -- 3 ------------------------------------------------------------------------------------------
 
 def shingle_set(text, n=5):
