@@ -90,16 +90,20 @@ class PPM:
         return segment_reduce(np.add, bits.astype(np.float64), at, 0.0)
 
 
-def letter_rates(bits: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bits a byte of letters, FREE_BITS left out, of each text (rows) in each language (columns), from what ``coded`` gives.
+def letter_rates(bits: np.ndarray, value: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Bits a byte of letters, FREE_BITS left out, of each text in its language ``of`` (a column), from what ``coded`` gives.
 
     Digits, signs and what follows a digit don't count: keys, numbers and addresses are in no language.
     """
-    byte = [(value >> np.uint32(8 * k)) & np.uint32(255) for k in range(ORDER + 1)]
-    use = _LETTER[byte[0]] & ~np.any([_DIGIT[b] for b in byte[1:]], axis=0)
-    count = segment_reduce(np.add, use.astype(np.float64), at, 0.0)
-    total = segment_reduce(np.add, bits * use[:, None].astype(np.float64), at, 0.0)
-    return np.maximum(total - FREE_BITS, 0) / np.maximum(count, 1)[:, None]
+    use = _LETTER[value & np.uint32(255)]
+    for k in range(1, ORDER + 1):
+        use &= ~_DIGIT[(value >> np.uint32(8 * k)) & np.uint32(255)]
+    total = np.zeros(len(of))
+    for k in np.unique(of):  # one column at a time: memory
+        own = segment_reduce(np.add, np.where(use, bits[:, k], 0).astype(np.float64), at, 0.0)
+        total[of == k] = own[of == k]
+    count = segment_reduce(np.add, use.astype(np.int64), at, 0)
+    return np.maximum(total - FREE_BITS, 0) / np.maximum(count, 1)
 
 
 def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> PPM:
@@ -176,10 +180,11 @@ def _bounds(languages: list[str], held: DataFrame, model: PPM) -> np.ndarray:
         for batch in slices(batches):
             place = np.array([at.get(name, -1) for name in batch.column("lang").to_pylist()])
             if (place >= 0).any():
-                rate = letter_rates(*sent.value.coded(batch.column("text")))[np.arange(len(place)), place]
+                rate = letter_rates(*sent.value.coded(batch.column("text")), place)
                 yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(place >= 0)), pa.array(rate[place >= 0])], ["lang", "rate"])
 
     found = held.mapInArrow(run, "lang string, rate double").toArrow()
+    sent.destroy()  # else every Python worker keeps these trees besides the ones that are used
     lang, rate = np.array(found.column("lang").to_pylist(), dtype=object), found.column("rate").to_numpy()
     own = [rate[lang == name] for name in languages]
     return np.array([RATE_MARGIN * np.quantile(x if len(x) >= LEAST_HELD else rate, RATE_QUANTILE) if len(rate) else np.inf for x in own])
@@ -221,7 +226,7 @@ def predictions(column: pa.Array, model: PPM, bounded: bool = False) -> tuple[li
     bits = segment_reduce(np.add, each.astype(np.float64), at, 0.0)
     best = bits.argmin(axis=1)
     if bounded:
-        has_letter &= letter_rates(each, value, at)[np.arange(len(best)), best] <= model.bound[best]
+        has_letter &= letter_rates(each, value, at, best) <= model.bound[best]
     share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has_letter)], np.where(has_letter, share, 0.0)
 
