@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, counts, decontam, langid, lattice, minhash, quality, simhash, tokenfiles, urls
+from chatlake.llm import bpe, codebooks, counts, decontam, langid, lattice, minhash, quality, rules, simhash, tokenfiles, urls, whitening
 from chatlake.llm.common import table
 
 
@@ -95,6 +95,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good labelled rows have quality 1: statistics can't tell a toxic text, operator 8 does."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rules.judge(docs, rules.train(docs, labels.select("doc_id", (F.col("quality") == 1).alias("good"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it exceeds a long (from about ten million vectors on); the operator has it as a decimal."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), wanted=4, scale=256)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -106,6 +122,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_codes": op11_codes,
+    "op12_rules": op12_rules,
+    "op13_whitening": op13_whitening,
 }
 
 _STRENGTH = """coalesce(case when sum(case when n > 0 then prior * (1 - prior) * (n - 1) end) > 0

@@ -56,6 +56,6 @@ def test_language_stage_drops_unlearned_languages_and_noise(spark):
 
 def test_registered_queries_run(spark):
     registered = entry.queries()
-    assert set(queries.REGISTRY) | {"pipeline"} <= set(registered) and len(queries.REGISTRY) == 10
+    assert set(queries.REGISTRY) | {"pipeline"} <= set(registered) and len(queries.REGISTRY) == 13
     for name in ("op1_bpe", "op2_urls", "op8_quality"):
         assert registered[name](spark, SF).count() > 0
