@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import MSG_DELIM, STORE_BANNED_WORDS, contains_any_ci, py_strip
+from chatlake.operators.deal import staged
+from chatlake.operators.substring import substring_join
 
 THREAD = ["owner_id", "thread_id"]
 CONV = ["owner_id", "thread_id", "conv_no"]
@@ -178,49 +180,54 @@ def store_turns(turns: DataFrame, store: DataFrame) -> DataFrame:
     return turns.join(store.select(*CONV, "store_rank"), CONV, "inner")
 
 
-def partner_index(turns: DataFrame) -> DataFrame:
-    """One-to-one conversations (two speakers, one is ``Me``) by partner key."""
-    c = turns.groupBy(*CONV).agg(F.collect_set("speaker").alias("spk"))
+def partner_index(turns: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """One-to-one conversations (two speakers, one is ``Me``) by partner key.
+
+    The key is the partner's name, lower-cased and stripped; conversations of a partner with an empty
+    name are left out.  With ``store`` (see :func:`conversation_store`) only its conversations count,
+    and their ``store_rank`` comes along.
+    """
+    order = []
+    if store is not None:
+        turns, order = store_turns(turns, store), [F.min("store_rank").alias("store_rank")]
+    c = turns.groupBy(*CONV).agg(F.collect_set("speaker").alias("spk"), *order)
     c = c.filter((F.size("spk") == 2) & F.array_contains("spk", "Me"))
     partner = F.element_at(F.array_except("spk", F.array(F.lit("Me"))), 1)
-    return c.select(*CONV, F.lower(F.trim(partner)).alias("partner_key"))
+    return c.withColumn("partner", partner).filter(F.col("partner") != "") \
+        .select(*CONV, py_strip(F.lower("partner")).alias("partner_key"), *(["store_rank"] if order else []))
+
+
+def _draw(seed: int, of: Column, n: Column) -> Column:
+    """A number below ``n`` that (seed, of) gives: the first 32 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), of.cast("string"))), 1, 8), 16, 10).cast("long") % n
 
 
 def partner_lookup(index: DataFrame, names: DataFrame, seed: int = 0) -> DataFrame:
     """Pick one conversation per query name, repeatably.
 
-    ``names`` has ``(owner_id, query_id, name)``.  The first partner key (in
-    key order) containing the lower-cased name wins; a name matching no key
-    draws a partner uniformly, then one of its conversations.  Draws are
-    seeded hashes turned into a rank, fetched by equi-joins on
-    ``(owner, rank)``, so no query is paired with every partner or every
-    conversation.  Substring hits come from an Aho-Corasick pass over the
-    partner keys with the (size-checked, chunked) name list.
+    ``index`` is a :func:`partner_index` of a store; ``names`` has ``(owner_id, query_id, name)``.  The
+    name is lower-cased and stripped; the first partner in store order whose key contains it wins (so a
+    blank name takes the first partner of all), and one of that partner's conversations is drawn.  A name
+    that no key contains, or a null one, draws a partner uniformly, then one of its conversations.  Draws
+    are ranks from a seeded hash, fetched by equi-joins; ranks count inside one owner's store, whose size
+    is a parameter.  An owner without one-to-one conversations gives no row.
     """
-    from chatlake.operators.examples import phrase_search
-
-    keys = index.select("owner_id", "partner_key").distinct()
-    wk = W.partitionBy("owner_id").orderBy("partner_key")
-    ranked = keys.withColumn("pidx", F.row_number().over(wk))
-    n_part = ranked.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n_part"))
-    q = names.withColumn("phrase_id", F.xxhash64("owner_id", "query_id"))
-    hits = phrase_search(ranked.select("owner_id", "partner_key", "pidx"),
-                         q.select("phrase_id", F.col("name").alias("phrase")), ["owner_id", "partner_key", "pidx"],
-                         ("partner_key",))
-    hits = hits.join(q.select("phrase_id", F.col("owner_id").alias("_qo"), "query_id"), "phrase_id") \
-        .filter(F.col("_qo") == F.col("owner_id")) \
-        .groupBy("owner_id", "query_id").agg(F.min("pidx").alias("pidx")).withColumn("matched", F.lit(True))
-    miss = q.select("owner_id", "query_id").join(hits, ["owner_id", "query_id"], "left_anti") \
-        .join(n_part, "owner_id") \
-        .select("owner_id", "query_id", (F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.col("n_part")) + 1)
-                .alias("pidx"), F.lit(False).alias("matched"))
-    chosen = hits.unionByName(miss).join(ranked, ["owner_id", "pidx"])
-    wc = W.partitionBy("owner_id", "partner_key").orderBy("thread_id", "conv_no")
-    convs = index.withColumn("cidx", F.row_number().over(wc))
-    n_conv = convs.groupBy("owner_id", "partner_key").agg(F.count(F.lit(1)).alias("n_conv"))
-    pick = chosen.join(n_conv, ["owner_id", "partner_key"]).withColumn(
-        "cidx", F.pmod(F.xxhash64(F.lit(seed + 1), "query_id"), F.col("n_conv")) + 1)
-    return pick.join(convs, ["owner_id", "partner_key", "cidx"]).drop("cidx", "n_conv", "pidx")
+    key = ["owner_id", "partner_key"]
+    by_rank = W.partitionBy("owner_id").orderBy("first_rank")
+    partners = index.groupBy(*key).agg(F.min("store_rank").alias("first_rank"), F.count("*").alias("n_conv")) \
+        .withColumn("pidx", F.row_number().over(by_rank) - 1)
+    partners = staged(partners)
+    n_part = partners.groupBy("owner_id").agg(F.count("*").alias("n_part"))
+    q = names.select("owner_id", "query_id", py_strip(F.lower("name")).alias("name"))
+    found = substring_join(partners, q.select("owner_id", "query_id", F.col("name").alias("_name")), "partner_key", "_name", on=["owner_id"]) \
+        .groupBy("owner_id", "query_id").agg(F.min("pidx").alias("hit"))
+    pidx = F.when(F.col("name") == "", F.lit(0)).otherwise(F.col("hit"))
+    chosen = q.join(n_part, "owner_id").join(found, ["owner_id", "query_id"], "left").select(
+        "owner_id", "query_id", F.coalesce(pidx, _draw(seed, F.col("query_id"), F.col("n_part"))).alias("pidx"),
+        pidx.isNotNull().alias("matched")).join(partners, ["owner_id", "pidx"])
+    ranked = index.withColumn("cidx", F.row_number().over(W.partitionBy(*key).orderBy("store_rank")) - 1)
+    pick = chosen.withColumn("cidx", _draw(seed + 1, F.col("query_id"), F.col("n_conv")))
+    return pick.join(ranked, [*key, "cidx"]).select("owner_id", "query_id", "partner_key", "matched", "thread_id", "conv_no", "store_rank")
 
 
 def render_lines(turns: DataFrame) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
+from chatlake.operators.substring import substring_join
 
 CONV = ["owner_id", "thread_id", "conv_no"]
 EX_KEY = CONV + ["turn_idx"]
@@ -372,67 +373,19 @@ def sft_spans(templated: DataFrame, max_seq_length: int = 2048, tokenize=word_to
      .withColumn("n_label_tokens", F.size(F.filter("labels", lambda x: x != -100)))
 
 
-MAX_BROADCAST_PHRASES = 200_000
-
-
-def _phrase_matcher(phrases: list[tuple[int, str]], key_cols: list[str], fields: list[str]):
-    """mapInPandas body: Aho-Corasick over lower-cased texts, one row per hit."""
-    def run(batches):
-        import ahocorasick
-        import pandas as pd
-
-        auto = ahocorasick.Automaton()
-        by_text: dict[str, list[int]] = {}
-        for pid, ph in phrases:
-            low = ph.lower()
-            if low:
-                by_text.setdefault(low, []).append(pid)
-        for low, ids in by_text.items():
-            auto.add_word(low, ids)
-        if by_text:
-            auto.make_automaton()
-        for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                for fld in fields:
-                    txt = getattr(rec, fld)
-                    if txt is None or not by_text:
-                        continue
-                    found = set()
-                    for _, ids in auto.iter(txt.lower()):
-                        found.update(ids)
-                    for pid in found:
-                        rows.append(tuple(getattr(rec, k) for k in key_cols) + (pid, fld, txt[-100:]))
-            yield pd.DataFrame(rows, columns=key_cols + ["phrase_id", "field", "context"])
-    return run
-
-
 def phrase_search(texts: DataFrame, phrases: DataFrame, key_cols: list[str],
                   fields: tuple[str, ...] = ("input", "output")) -> DataFrame:
     """Which phrases occur (case-insensitive substring) in which texts.
 
-    One row per (text key, phrase, field) with the last 100 characters of the
-    field as context.  The phrase list is a user-supplied dimension: its size
-    is checked, and it is shipped to the tasks in chunks of at most
-    ``MAX_BROADCAST_PHRASES`` phrases, each chunk one Aho-Corasick pass over
-    the texts (linear in text length, no text x phrase pairs).
+    One row per (text row, phrase, field) with the last 100 characters of the
+    field as context.  Both sides may be large: they meet through an index on
+    each phrase's rarest gram (:func:`chatlake.operators.substring.substring_join`).
     """
-    from pyspark.sql import types as T
-
-    n = phrases.count()
-    key_fields = [texts.schema[k] for k in key_cols]
-    schema = T.StructType(key_fields + [T.StructField("phrase_id", T.LongType()),
-                                        T.StructField("field", T.StringType()),
-                                        T.StructField("context", T.StringType())])
-    src = texts.select(*dict.fromkeys([*key_cols, *fields]))
-    out = None
-    n_chunks = max(1, -(-n // MAX_BROADCAST_PHRASES))
-    for c in range(n_chunks):
-        chunk = phrases.filter(F.pmod(F.xxhash64("phrase_id"), F.lit(n_chunks)) == c) if n_chunks > 1 else phrases
-        plist = [(int(r[0]), r[1]) for r in chunk.select("phrase_id", "phrase").toLocalIterator()]
-        part = src.mapInPandas(_phrase_matcher(plist, key_cols, list(fields)), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.join(phrases.select("phrase_id", "phrase"), "phrase_id", "left")
+    one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f")
+    rows = texts.select(*key_cols, one).select(*key_cols, "f.field", F.expr("right(f.text, 100)").alias("context"),
+                                               F.lower("f.text").alias("_low"))
+    wanted = phrases.select(F.col("phrase_id").cast("long").alias("phrase_id"), "phrase", F.lower("phrase").alias("_phrase"))
+    return substring_join(rows, wanted, "_low", "_phrase").select("phrase_id", *key_cols, "field", "context", "phrase")
 
 
 def phrase_counts(hits: DataFrame) -> DataFrame:

@@ -1,22 +1,21 @@
 """Retrieval over memory tables, for batches of queries.
 
-Similarity search is brute force like the studied code (every memory of the
-owner is scored), but it never materialises query x memory rows: the query
-vectors are shipped to the tasks in size-checked chunks, each memory
-partition scores its rows against the chunk with one matrix product
-(numpy inside ``mapInPandas``) and emits only its local top-k candidates
-(ties included), and a final ``row_number()`` per query merges them.
+Similarity search scores every memory of the query's owner, as a join of blocks: queries and
+memories of an owner are dealt into blocks of bounded bytes, each pair of blocks is one cell, and a
+cell is scored in small tiles with a running top-k per query (numpy in a cogroup).  An owner with a
+third of all rows becomes many cells; a cell emits at most k rows a query, and a ``row_number()`` per
+query merges the cells.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake.functions import text as tx
+from chatlake.operators.deal import cells, sized, staged
+from chatlake.operators.substring import substring_join
 
 # Retrieval defaults and prompt texts of the chat agent.
 TOP_K = 6
@@ -41,7 +40,13 @@ MEMORY_SYSTEM_MESSAGE = (
     "{memory_text}\n[END MEMORIES]")
 FINAL_SYSTEM_MESSAGE = "Now you may begin the conversation."
 
-MAX_QUERY_CHUNK = 20_000   # query vectors shipped to tasks at once
+# Bytes of vectors (as doubles) in one block of queries and of memories.
+QUERY_BLOCK_BYTES = 8 << 20
+MEMORY_BLOCK_BYTES = 32 << 20
+# Rows of a tile of scores, queries by memories.
+TILE = (256, 4096)
+# Scores of one product differ in the last bits with the tile's shape: candidates this near the cut are scored again, row by row.
+ROUNDING = 1e-12
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -65,75 +70,116 @@ def recency_scores(memories: DataFrame, fmt: str = TS_FORMAT) -> DataFrame:
         "recency", F.coalesce((F.col("_t") - F.col("_lo")) / span, F.lit(0.0))).drop("_t", "_lo", "_hi")
 
 
-def _topk_batches(chunk, k: int, w: float):
-    """mapInPandas body: score a memory batch against the query chunk."""
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        by_owner = chunk.value
-        for pdf in batches:
-            rows = []
-            for owner, grp in pdf.groupby("owner_id", sort=False):
-                if owner not in by_owner:
-                    continue
-                qids, qmat = by_owner[owner]
-                mm = np.vstack([np.asarray(v, dtype=np.float64) for v in grp["embedding"]])
-                norms = np.outer(np.linalg.norm(mm, axis=1), np.linalg.norm(qmat, axis=1))
-                sims = np.where(norms > 0, (mm @ qmat.T) / np.where(norms > 0, norms, 1.0), np.nan)
-                score = (1.0 - w) * sims + w * grp["recency"].to_numpy(dtype=np.float64)[:, None]
-                score = np.where(np.isnan(score), -np.inf, score)   # a zero vector ranks last
-                mids = grp["mem_id"].to_numpy()
-                n = len(mids)
-                kk = min(k, n)
-                # Per query (column): keep every memory scoring at least the
-                # k-th best of this batch, so ties at the cut survive.
-                kth = np.partition(score, n - kk, axis=0)[n - kk] if kk < n else np.full(score.shape[1], -np.inf)
-                ii, jj = np.nonzero(score >= kth[None, :])
-                rows.append(pd.DataFrame({"owner_id": owner, "query_id": np.asarray(qids)[jj].astype("int64"),
-                                          "mem_id": mids[ii].astype("int64"), "score": score[ii, jj],
-                                          "similarity": sims[ii, jj]}))
-            cols = ["owner_id", "query_id", "mem_id", "score", "similarity"]
-            yield pd.concat(rows, ignore_index=True)[cols] if rows else pd.DataFrame(columns=cols)
-    return run
+HIT = "owner_id string, query_id long, mem_id long, score double, similarity double"
+
+
+def _vectors(column):
+    """Rows of an Arrow array column of equal lengths as doubles; null components are NaN."""
+    import numpy as np
+
+    flat = column.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _few_copies(vectors, recency, k: int):
+    """Which rows can be among the best ``k``: of equal rows the first ``k`` (rows come in memory order)."""
+    import numpy as np
+
+    both = np.ascontiguousarray(np.column_stack([vectors, recency]))
+    _, same = np.unique(both.view(np.dtype((np.void, both.itemsize * both.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    begin = np.flatnonzero(np.append(True, np.diff(same[order]) != 0))
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return np.sort(order[rank < k])
+
+
+def _best(query, score, mem, k: int):
+    """Order of rows by query, falling score and memory, cut to ``k`` rows a query."""
+    import numpy as np
+
+    order = np.lexsort((mem, -score, query))
+    begin = np.flatnonzero(np.append(True, np.diff(query[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return order[rank < k]
+
+
+def block_topk(queries, memories, mem_ids, recency, k: int, w: float):
+    """(query row, memory id, score, similarity) of the best ``k`` memories of each query row.
+
+    Works through tiles of ``TILE`` with a running top-k, so its memory does not depend on how many
+    queries or memories there are.  A zero vector, or one with missing components, scores -inf.
+    """
+    import numpy as np
+
+    order = np.argsort(mem_ids, kind="stable")
+    order = order[_few_copies(memories[order], recency[order], k)]
+    memories, mem_ids, recency = memories[order], mem_ids[order], recency[order]
+    length, size = np.linalg.norm(queries, axis=1), np.linalg.norm(memories, axis=1)
+    out = []
+    for a in range(0, len(queries), TILE[0]):
+        tile, tall = queries[a:a + TILE[0]], length[a:a + TILE[0]]
+        floor = np.full(len(tile), -np.inf)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        for b in range(0, len(memories), TILE[1]):
+            part, wide, extra = memories[b:b + TILE[1]], size[b:b + TILE[1]], recency[b:b + TILE[1]]
+            norm = np.outer(tall, wide)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = (1.0 - w) * (tile @ part.T) / norm + w * extra
+            score[~(norm > 0) | np.isnan(score)] = -np.inf
+            take = min(k, len(part))
+            cut = np.maximum(np.partition(score, len(part) - take, axis=1)[:, len(part) - take], floor)
+            some = score >= cut[:, None] - ROUNDING
+            low = np.isneginf(cut)  # fewer scores than k: what has none goes by memory order
+            some[low] &= ~np.isneginf(score[low]) | (np.cumsum(np.isneginf(score[low]), axis=1) <= k)
+            i, j = np.nonzero(some)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                near = (tile[i] * part[j]).sum(axis=1) / (tall[i] * wide[j])
+            near[np.isneginf(score[i, j])] = np.nan
+            again = np.where(np.isnan(near), -np.inf, (1.0 - w) * near + w * extra[j])
+            best = [np.concatenate(x) for x in zip(best, (i, mem_ids[b + j], again, near))]
+            kept = _best(best[0], best[2], best[1], k)
+            best = [x[kept] for x in best]
+            full = np.flatnonzero(np.bincount(best[0], minlength=len(tile)) == k)
+            worst = np.full(len(tile), np.inf)
+            np.minimum.at(worst, best[0], best[2])
+            floor[full] = worst[full]
+        out.append([best[0] + a, *best[1:]])
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def similarity_topk(queries: DataFrame, memories: DataFrame, k: int = TOP_K,
-                    recency_weight: float = 0.0) -> DataFrame:
+                    recency_weight: float = 0.0, query_bytes: int = QUERY_BLOCK_BYTES,
+                    memory_bytes: int = MEMORY_BLOCK_BYTES) -> DataFrame:
     """Top-k memories per query by ``(1-w)*cosine + w*recency``.
 
     ``queries``: ``(owner_id, query_id, q_embedding)``; ``memories``:
     ``(owner_id, mem_id, embedding[, recency])``.  Ties keep memory order
-    (``mem_id``).  The query side is counted and shipped in chunks of at most
-    ``MAX_QUERY_CHUNK`` vectors; each chunk is one pass over the memories.
+    (``mem_id``).  Rows without a vector are no candidates (keyword search
+    finds them), and vectors of different lengths never meet.
     """
-    import numpy as np
+    import pyarrow as pa
 
-    spark = queries.sparkSession
     mem = memories if "recency" in memories.columns else memories.withColumn("recency", F.lit(0.0))
-    # Rows without a vector are no candidates (keyword search finds them).
-    mem = mem.select("owner_id", "mem_id", "embedding", F.col("recency").cast("double")) \
-        .filter(F.col("embedding").isNotNull())
-    queries = queries.filter(F.col("q_embedding").isNotNull())
-    n = queries.count()
-    n_chunks = max(1, math.ceil(n / MAX_QUERY_CHUNK))
-    schema = T.StructType([
-        T.StructField("owner_id", T.StringType()), T.StructField("query_id", T.LongType()),
-        T.StructField("mem_id", T.LongType()), T.StructField("score", T.DoubleType()),
-        T.StructField("similarity", T.DoubleType())])
-    out = None
-    for c in range(n_chunks):
-        qc = queries if n_chunks == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
-        by_owner: dict = {}
-        for r in qc.select("owner_id", "query_id", "q_embedding").toLocalIterator():
-            by_owner.setdefault(r[0], ([], []))
-            by_owner[r[0]][0].append(r[1])
-            by_owner[r[0]][1].append(np.asarray(r[2], dtype=np.float64))
-        packed = {o: (np.asarray(ids), np.vstack(vs)) for o, (ids, vs) in by_owner.items()}
-        bc = spark.sparkContext.broadcast(packed)
-        part = mem.mapInPandas(_topk_batches(bc, k, recency_weight), schema)
-        out = part if out is None else out.unionByName(part)
+    mem = mem.filter(F.size("embedding") > 0).select(
+        "owner_id", F.size("embedding").alias("width"), F.col("mem_id").cast("long").alias("mem_id"), "embedding",
+        F.coalesce(F.col("recency").cast("double"), F.lit(0.0)).alias("recency"))
+    q = queries.filter(F.size("q_embedding") > 0).select(
+        "owner_id", F.size("q_embedding").alias("width"), F.col("query_id").cast("long").alias("query_id"), "q_embedding")
+
+    on = ["owner_id", "width"]
+    q, mem = cells(q, mem, on, "query_id", "mem_id", F.col("n") * F.col("width") * 8 / query_bytes, F.col("n") * F.col("width") * 8 / memory_bytes)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"owner_id": pa.array([], pa.string()), "query_id": pa.array([], pa.int64()), "mem_id": pa.array([], pa.int64()),
+                             "score": pa.array([], pa.float64()), "similarity": pa.array([], pa.float64())})
+        row, mid, total, near = block_topk(_vectors(left["q_embedding"]), _vectors(right["embedding"]), right["mem_id"].to_numpy(),
+                                           right["recency"].to_numpy(), k, recency_weight)
+        return pa.table({"owner_id": pa.array([left["owner_id"][0].as_py()] * len(row), pa.string()), "query_id": left["query_id"].to_numpy()[row],
+                         "mem_id": mid, "score": total, "similarity": near})
+
+    cell = [*on, "l_block", "r_block"]
+    out = q.groupBy(*cell).cogroup(mem.groupBy(*cell)).applyInArrow(score, HIT)
     w = W.partitionBy("owner_id", "query_id").orderBy(F.col("score").desc(), "mem_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -155,75 +201,68 @@ def flat_search(queries: DataFrame, memories: DataFrame, k: int = TOP_K,
     return hits, texts
 
 
-MAX_QUERY_WORDS = 500_000   # (query, word) pairs shipped to tasks at once
-
-
-def _keyword_topk_batches(chunk, k: int):
-    """mapInPandas body: per memory batch, matched query words -> per-query top-k."""
-    def run(batches):
-        import heapq
-
-        import ahocorasick
-        import pandas as pd
-
-        by_owner = chunk.value          # owner -> {word: [query ids]}
-        autos = {}
-        for owner, words in by_owner.items():
-            a = ahocorasick.Automaton()
-            for w in words:
-                a.add_word(w, w)
-            a.make_automaton()
-            autos[owner] = a
-        heaps: dict = {}
-        for pdf in batches:
-            for owner, mid, attr in pdf[["owner_id", "mem_id", "attribute"]].itertuples(index=False):
-                if owner not in autos or attr is None:
-                    continue
-                found = {w for _, w in autos[owner].iter(attr.lower())}
-                counts: dict = {}
-                for w in found:
-                    for q in by_owner[owner][w]:
-                        counts[q] = counts.get(q, 0) + 1
-                for q, c in counts.items():
-                    h = heaps.setdefault((owner, q), [])
-                    item = (c, -int(mid))          # larger count, then smaller mem_id, wins
-                    if len(h) < k:
-                        heapq.heappush(h, item)
-                    elif item > h[0]:
-                        heapq.heapreplace(h, item)
-        rows = [(o, int(q), -m, c) for (o, q), h in heaps.items() for c, m in h]
-        yield pd.DataFrame(rows, columns=["owner_id", "query_id", "mem_id", "matches"])
-    return run
-
-
-def keyword_search(queries: DataFrame, memories: DataFrame, k: int = TOP_K) -> DataFrame:
+# Rows of (query, word) and of (memory, word) in one block.
+QUERY_BLOCK_WORDS = 1 << 16
+MEMORY_BLOCK_WORDS = 1 << 20
+
+
+def word_topk(query_word, word_of_query, mem_word, word_of_mem, k: int):
+    """(query, memory, matches) of the best ``k`` memories of each query; ties by the smaller memory.
+
+    ``query_word`` and ``mem_word`` number the words; ``word_of_query`` and ``word_of_mem`` name the query
+    and the memory of each.  One query at a time: the memories that its words list are counted.
+    """
+    import numpy as np
+
+    mems, mem = np.unique(word_of_mem, return_inverse=True)
+    order = np.argsort(mem_word, kind="stable")
+    words, first = np.unique(mem_word[order], return_index=True)
+    last, listed = np.append(first[1:], len(order)), mem[order]
+    at = np.searchsorted(words, query_word)
+    some = at < len(words)
+    some[some] = words[at[some]] == query_word[some]
+    at, asked = at[some], word_of_query[some]
+    turn = np.argsort(asked, kind="stable")
+    queries, begin = np.unique(asked[turn], return_index=True)
+    out = []
+    for query, own in zip(queries, np.split(at[turn], begin[1:])):
+        found, n = np.unique(np.concatenate([listed[first[w]:last[w]] for w in own]), return_counts=True)
+        best = np.lexsort((found, -n))[:k]
+        out.append((np.full(len(best), query), mems[found[best]], n[best]))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+
+
+def keyword_search(queries: DataFrame, memories: DataFrame, k: int = TOP_K,
+                   query_words: int = QUERY_BLOCK_WORDS, memory_words: int = MEMORY_BLOCK_WORDS) -> DataFrame:
     """Memories ranked by how many distinct query words occur in them.
 
     Query words are lower-cased ``split()`` words; a word counts when it is
-    a substring of the lower-cased attribute.  The (query, word) list is
-    counted and shipped to the tasks in chunks; each memory partition finds
-    the words in its attributes with one Aho-Corasick pass, counts matches
-    per query and keeps a top-k heap per query, so no (query, memory) pairs
-    are materialised or shuffled; a final ``row_number()`` merges the
-    partitions' candidates (ties by ``mem_id``).
+    a substring of the lower-cased attribute.  Distinct words of an owner meet
+    the attributes by a substring join; queries and found (memory, word) rows
+    are then dealt into blocks as in the similarity search, and each cell
+    counts and keeps the best ``k`` per query, so that no (query, memory) pair
+    beyond these is written or shuffled (ties by ``mem_id``).
     """
-    spark = queries.sparkSession
-    qw = queries.select("owner_id", "query_id",
+    import numpy as np
+    import pyarrow as pa
+
+    qw = queries.select("owner_id", F.col("query_id").cast("long").alias("query_id"),
                         F.explode(F.array_distinct(tx.words(F.lower("q_text")))).alias("word"))
-    n = qw.count()
-    n_chunks = max(1, math.ceil(n / MAX_QUERY_WORDS))
-    schema = T.StructType([T.StructField("owner_id", T.StringType()), T.StructField("query_id", T.LongType()),
-                           T.StructField("mem_id", T.LongType()), T.StructField("matches", T.LongType())])
-    mem = memories.select("owner_id", "mem_id", "attribute")
-    out = None
-    for c in range(n_chunks):
-        qc = qw if n_chunks == 1 else qw.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
-        by_owner: dict = {}
-        for r in qc.toLocalIterator():
-            by_owner.setdefault(r["owner_id"], {}).setdefault(r["word"], []).append(r["query_id"])
-        bc = spark.sparkContext.broadcast(by_owner)
-        part = mem.mapInPandas(_keyword_topk_batches(bc, k), schema)
-        out = part if out is None else out.unionByName(part)
+    qw = staged(qw.filter(F.col("word") != ""))
+    mem = memories.select("owner_id", F.col("mem_id").cast("long").alias("mem_id"), F.lower("attribute").alias("_text"))
+    found = staged(substring_join(mem, qw.select("owner_id", "word").distinct(), "_text", "word", on=["owner_id"])
+                   .select("owner_id", "mem_id", "word").distinct())
+    left, right = cells(qw, found, ["owner_id"], "query_id", "mem_id", F.col("n") / query_words, F.col("n") / memory_words)
+
+    def count(asked: pa.Table, listed: pa.Table) -> pa.Table:
+        both = pa.concat_arrays([*asked["word"].chunks, *listed["word"].chunks]).dictionary_encode().indices.to_numpy()
+        n = asked.num_rows
+        query, mid, matches = word_topk(both[:n], asked["query_id"].to_numpy(), both[n:], listed["mem_id"].to_numpy(), k) if n and listed.num_rows else [np.zeros(0, np.int64)] * 3
+        owner = [asked["owner_id"][0].as_py()] * len(query) if n else []
+        return pa.table({"owner_id": pa.array(owner, pa.string()), "query_id": query, "mem_id": mid, "matches": matches.astype(np.int64)})
+
+    cell = ["owner_id", "l_block", "r_block"]
+    out = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(count, "owner_id string, query_id long, mem_id long, matches long")
     w = W.partitionBy("owner_id", "query_id").orderBy(F.col("matches").desc(), "mem_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -237,37 +276,65 @@ def drill_links(memories: DataFrame, upper: int, lower: int, k: int) -> DataFram
                                               F.col("mem_id").alias("child_id"), F.col("rank").alias("child_rank"))
 
 
+def parse_selections(judgements: DataFrame, n: int = DRILL_TOP) -> DataFrame:
+    """``(owner_id, query_id, rank)`` of the items that a judge's ``text`` accepts.
+
+    Item i is accepted when the text holds ``i.`` and nowhere, in any case, "not relevant".
+    """
+    text = F.col("text")
+    ranks = F.array(*[F.when(text.contains(f"{i}."), F.lit(i)) for i in range(1, n + 1)])
+    return judgements.filter(~F.lower("text").contains("not relevant")).select(
+        "owner_id", "query_id", F.explode(F.filter(ranks, lambda x: x.isNotNull())).alias("rank"))
+
+
 def hierarchical_search(queries: DataFrame, memories: DataFrame, selections: DataFrame | None = None) -> DataFrame:
     """Top 3 level-3 memories, selected ones -> 3 level-2 each -> 2 level-1 each.
 
     ``selections`` (``owner_id, query_id, rank``) marks the expanded level-3
-    hits (the user's judge); queries without any selection expand their
-    first ``DRILL_FALLBACK``.  Links between levels do not depend on the
-    query and are computed once.  Duplicates are kept, one row per path.
+    hits (the user's judge, see :func:`parse_selections`); queries without any
+    selection expand their first ``DRILL_FALLBACK``.  Links between levels do
+    not depend on the query and are computed once.  Duplicates are kept, one
+    row per path.
     """
     top = memories.filter(F.col("level") == 3).select("owner_id", "mem_id", "embedding")
-    t3 = similarity_topk(queries, top, DRILL_TOP).select("owner_id", "query_id", "mem_id", "rank")
+    t3 = staged(similarity_topk(queries, top, DRILL_TOP).select("owner_id", "query_id", "mem_id", "rank"))
     if selections is None:
         chosen = t3.filter(F.col("rank") <= DRILL_FALLBACK)
     else:
-        sel = t3.join(selections.select("owner_id", "query_id", "rank"), ["owner_id", "query_id", "rank"], "left_semi")
-        none = t3.join(sel.select("owner_id", "query_id").distinct(), ["owner_id", "query_id"], "left_anti") \
-            .filter(F.col("rank") <= DRILL_FALLBACK)
-        chosen = sel.unionByName(none)
+        marked = t3.join(selections.select("owner_id", "query_id", "rank", F.lit(True).alias("_sel")).distinct(),
+                         ["owner_id", "query_id", "rank"], "left")
+        any_sel = F.count("_sel").over(W.partitionBy("owner_id", "query_id"))  # at most DRILL_TOP rows a query
+        chosen = marked.withColumn("_n", any_sel).filter(
+            F.col("_sel") | ((F.col("_n") == 0) & (F.col("rank") <= DRILL_FALLBACK))) \
+            .select("owner_id", "query_id", "mem_id", "rank")
     l32 = drill_links(memories, 3, 2, DRILL_SECOND)
     l21 = drill_links(memories, 2, 1, DRILL_FIRST)
     lvl3 = t3.select("owner_id", "query_id", F.lit(3).alias("level"), F.col("rank").alias("r3"),
                      F.lit(0).alias("r2"), F.lit(0).alias("r1"), "mem_id")
-    lvl2 = chosen.join(l32, (chosen.owner_id == l32.owner_id) & (chosen.mem_id == l32.parent_id)).select(
-        chosen.owner_id, "query_id", F.lit(2).alias("level"), F.col("rank").alias("r3"),
-        F.col("child_rank").alias("r2"), F.lit(0).alias("r1"), F.col("child_id").alias("mem_id"))
-    lvl1 = lvl2.alias("a").join(l21.alias("b"), (F.col("a.owner_id") == F.col("b.owner_id"))
-                                & (F.col("a.mem_id") == F.col("b.parent_id"))).select(
-        F.col("a.owner_id"), "query_id", F.lit(1).alias("level"), "r3", "r2",
+    lvl2 = staged(chosen.withColumnRenamed("mem_id", "parent_id").join(l32, ["owner_id", "parent_id"]).select(
+        "owner_id", "query_id", F.lit(2).alias("level"), F.col("rank").alias("r3"),
+        F.col("child_rank").alias("r2"), F.lit(0).alias("r1"), F.col("child_id").alias("mem_id")))
+    lvl1 = lvl2.drop("r1").withColumnRenamed("mem_id", "parent_id").join(l21, ["owner_id", "parent_id"]).select(
+        "owner_id", "query_id", F.lit(1).alias("level"), "r3", "r2",
         F.col("child_rank").alias("r1"), F.col("child_id").alias("mem_id"))
     return lvl3.unionByName(lvl2).unionByName(lvl1)
 
 
+def drill_text(hits: DataFrame, memories: DataFrame) -> DataFrame:
+    """Per query the numbered lines ``i. [timestamp] attribute`` that go to the summary prompt.
+
+    Lines are the level-3 hits, then level 2, then level 1, each in the order of their paths (at most
+    3 + 9 + 18 lines a query).  A memory without a timestamp shows ``Unknown date``.
+    """
+    m = memories.select("owner_id", "mem_id", F.concat(F.lit("["), F.coalesce("ts_text", F.lit("Unknown date")), F.lit("] "),
+                                                       F.coalesce("attribute", F.lit(""))).alias("line"))
+    path = F.struct((-F.col("level")).alias("l"), "r3", "r2", "r1", "line")
+    lines = F.array_sort(F.collect_list(path))
+    return hits.join(m, ["owner_id", "mem_id"]).groupBy("owner_id", "query_id").agg(
+        F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
+        .alias("memory_text"), F.count("*").cast("int").alias("n_lines"))
+
+
 def reuse_gate(queries: DataFrame, threshold: float = REUSE_THRESHOLD) -> DataFrame:
     """Which queries of a session reuse the previous retrieval.
 
@@ -341,6 +408,22 @@ def embedding_coverage(memories: DataFrame, cache: DataFrame) -> DataFrame:
         F.count_if(F.col("_m").isNull()).alias("orphaned"))
 
 
+def routed_search(queries: DataFrame, memories: DataFrame, k: int = TOP_K,
+                  recency_weight: float = RECENCY_WEIGHT) -> DataFrame:
+    """Search by vectors where every memory of the owner has one, by words elsewhere.
+
+    ``queries``: ``(owner_id, query_id, q_text, q_embedding)``; ``memories`` with ``embedding`` null where
+    the cache has none (see :func:`embedding_coverage`).  ``route`` says which search a hit is from.  A
+    query without a vector goes by words too.
+    """
+    whole = sized(staged(memories.groupBy("owner_id").agg((F.count("embedding") == F.count("*")).alias("whole"))))
+    asked = queries.join(whole, "owner_id").withColumn("_vector", F.col("whole") & F.col("q_embedding").isNotNull()).drop("whole")
+    near, _ = flat_search(asked.filter("_vector"), memories.join(whole.filter("whole"), "owner_id", "left_semi"), k, recency_weight)
+    by_words = keyword_search(asked.filter(~F.col("_vector")), memories, k)
+    cols = ["owner_id", "query_id", "rank", "mem_id"]
+    return near.select(*cols, F.lit("vectors").alias("route")).unionByName(by_words.select(*cols, F.lit("words").alias("route")))
+
+
 def embed_missing(memories: DataFrame, cache: DataFrame, encoder, model: str) -> DataFrame:
     """Embed memories absent from the cache for ``model``.
 

@@ -264,6 +264,41 @@ def q_hierarchical_search(spark, sf_dir):
     return rt.hierarchical_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir))
 
 
+def _judgements(spark, sf_dir):
+    """A judge's answer for each query vector: accepts by number, refuses, or names nothing."""
+    e = ad.table(spark, sf_dir, "embeddings")
+    text = F.when(F.col("label") % 4 == 0, F.lit("1. fits the topic\n3. mentions the same people")) \
+        .when(F.col("label") % 4 == 1, F.lit("2. is close")) \
+        .when(F.col("label") % 4 == 2, F.lit("1. and 2. are Not Relevant here")).otherwise(F.lit("nothing stands out"))
+    return e.select(F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.col("vec_id").alias("query_id"), text.alias("text"))
+
+
+def _selected_drill(spark, sf_dir):
+    picked = rt.parse_selections(_judgements(spark, sf_dir))
+    return rt.hierarchical_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir), picked)
+
+
+@register("hierarchical_selected")
+def q_hierarchical_selected(spark, sf_dir):
+    return _selected_drill(spark, sf_dir)
+
+
+@register("hierarchical_text")
+def q_hierarchical_text(spark, sf_dir):
+    return rt.drill_text(_selected_drill(spark, sf_dir), ad.mems(spark, sf_dir))
+
+
+@register("routed_search")
+def q_routed_search(spark, sf_dir):
+    """One owner's cache is whole, one's lacks vectors, one has none: the last two are searched by words."""
+    m = ad.mems(spark, sf_dir).withColumn("owner_id", F.concat(F.lit("o"), (F.col("mem_id") % 3).cast("string"))) \
+        .withColumn("embedding", F.when((F.col("owner_id") == "o0") | ((F.col("owner_id") == "o1") & (F.col("label") != 9)), F.col("embedding")))
+    q = m.select("owner_id", F.col("mem_id").alias("query_id"), F.col("attribute").alias("q_text")) \
+        .join(_vector_queries(spark, sf_dir).select("query_id", "q_embedding"), "query_id")
+    hits = rt.routed_search(q, m)
+    return finish(hits.select("owner_id", "query_id", "rank", "mem_id", "route"))
+
+
 @register("reuse_gate")
 def q_reuse_gate(spark, sf_dir):
     e = ad.table(spark, sf_dir, "embeddings").select(
@@ -282,9 +317,17 @@ def q_query_window(spark, sf_dir):
 
 @register("system_prompt")
 def q_system_prompt(spark, sf_dir):
-    _, texts = rt.flat_search(_vector_queries(spark, sf_dir), ad.mems(spark, sf_dir))
-    keys = _vector_queries(spark, sf_dir).select("owner_id", "query_id")
-    return rt.assemble_prompt("Me", "2024-02-01", None, texts, keys)
+    """Memories of each query vector, and an example conversation for the name that its label gives."""
+    q = _vector_queries(spark, sf_dir)
+    _, texts = rt.flat_search(q, ad.mems(spark, sf_dir))
+    names = ad.table(spark, sf_dir, "embeddings").select(
+        F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.col("vec_id").alias("query_id"),
+        F.when(F.col("label") % 3 == 0, F.lit("View ")).when(F.col("label") % 3 == 1, F.lit("purch")).otherwise(F.lit("nobody")).alias("name"))
+    turns = events_turns(spark, sf_dir)
+    found = conv.partner_lookup(_partners(turns), names, seed=7)
+    examples = found.join(conv.render_transcripts(turns), conv.CONV) \
+        .select("owner_id", "query_id", F.concat("transcript", F.lit("\n")).alias("transcript"))
+    return rt.assemble_prompt("Me", "2024-02-01", examples, texts, q.select("owner_id", "query_id"))
 
 
 # --------------------------------------------------------------------------
@@ -568,13 +611,22 @@ def q_partner_index(spark, sf_dir):
     return conv.partner_index(events_turns(spark, sf_dir))
 
 
+def _partners(turns):
+    return conv.partner_index(turns, conv.conversation_store(turns, num=1000, min_turns=2, max_turns=75))
+
+
 @register("partner_lookup")
 def q_partner_lookup(spark, sf_dir):
-    ev = ad.table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
-    na = ad.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    names = ev.unionByName(na).select(F.lit(ad.EVENTS_OWNER).alias("owner_id"),
-                                      F.col("name").alias("query_id"), "name")
-    r = conv.partner_lookup(conv.partner_index(events_turns(spark, sf_dir)), names, seed=7)
+    """Event types, whole, padded and cut, nations (no partner holds them) and a blank name."""
+    types = ad.table(spark, sf_dir, "events").select(F.col("event_type").alias("t")).distinct()
+    forms = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("name")) for k, v in (
+        ("whole", F.col("t")), ("padded", F.concat(F.lit(" \t"), F.upper("t"), F.lit("  "))), ("cut", F.substring("t", 2, 3)),
+        ("letter", F.substring("t", -1, 1)))])).alias("f")
+    named = types.select("t", forms).select(F.concat_ws(":", "f.form", "t").alias("query_id"), "f.name")
+    nations = ad.table(spark, sf_dir, "nation").select(F.col("n_name").alias("query_id"), F.col("n_name").alias("name"))
+    regions = ad.table(spark, sf_dir, "region").select(F.concat(F.lit("blank:"), F.col("r_name")).alias("query_id"), F.lit(" ").alias("name"))
+    names = named.unionByName(nations).unionByName(regions).withColumn("owner_id", F.lit(ad.EVENTS_OWNER))
+    r = conv.partner_lookup(_partners(events_turns(spark, sf_dir)), names, seed=7)
     return r.select("owner_id", "query_id", "partner_key", "matched", "thread_id", "conv_no")
 
 

@@ -440,6 +440,58 @@ SELECT owner_id, query_id, CAST(level AS INTEGER) AS level, CAST(r3 AS INTEGER)
        CAST(r1 AS INTEGER) AS r1, mem_id
 FROM (SELECT * FROM lv3 UNION ALL SELECT * FROM lv2 UNION ALL SELECT * FROM lv1)"""
 
+def _drill(chosen: str) -> str:
+    """The three levels, with the rows of ``t3`` that ``chosen`` keeps expanded."""
+    return f"""l3 AS (SELECT * FROM mm WHERE level = 3), l2 AS (SELECT * FROM mm WHERE level = 2),
+l1 AS (SELECT * FROM mm WHERE level = 1),
+{_knn('mm', 'l3', 3, 't3')},
+{_knn('l3', 'l2', 3, 'k32')},
+{_knn('l2', 'l1', 2, 'k21')},
+{chosen},
+lv3 AS (SELECT owner_id, parent_id AS query_id, 3 AS level, child_rank AS r3, 0 AS r2, 0 AS r1,
+               child_id AS mem_id FROM t3),
+lv2 AS (SELECT a.owner_id, a.parent_id AS query_id, 2 AS level, a.child_rank AS r3, b.child_rank AS r2, 0 AS r1, b.child_id AS mem_id
+        FROM chosen a JOIN k32 b ON a.owner_id = b.owner_id AND a.child_id = b.parent_id),
+lv1 AS (SELECT a.owner_id, a.query_id, 1 AS level, a.r3, a.r2, b.child_rank AS r1, b.child_id AS mem_id
+        FROM lv2 a JOIN k21 b ON a.owner_id = b.owner_id AND a.mem_id = b.parent_id),
+hits AS (SELECT owner_id, query_id, CAST(level AS INTEGER) AS level, CAST(r3 AS INTEGER) AS r3, CAST(r2 AS INTEGER) AS r2,
+       CAST(r1 AS INTEGER) AS r1, mem_id
+FROM (SELECT * FROM lv3 UNION ALL SELECT * FROM lv2 UNION ALL SELECT * FROM lv1))"""
+
+
+# What the judge's four answers accept: 1 and 3; 2; nothing (a refusal); nothing.
+_CHOSEN = """sel AS (SELECT vec_id AS query_id, unnest(CASE WHEN label % 4 = 0 THEN [1, 3] WHEN label % 4 = 1 THEN [2] ELSE [] END) AS rank FROM embeddings),
+chosen AS (SELECT t3.* FROM t3 WHERE EXISTS (SELECT 1 FROM sel WHERE sel.query_id = t3.parent_id AND sel.rank = t3.child_rank)
+             OR (t3.child_rank <= 2 AND NOT EXISTS (SELECT 1 FROM sel WHERE sel.query_id = t3.parent_id)))"""
+
+ORACLE["hierarchical_selected"] = f"""WITH {MEMS},
+{_drill(_CHOSEN)}
+SELECT * FROM hits"""
+
+ORACLE["hierarchical_text"] = f"""WITH {MEMS},
+{_drill(_CHOSEN)},
+ln AS (SELECT h.*, row_number() OVER (PARTITION BY h.owner_id, query_id ORDER BY h.level DESC, r3, r2, r1) AS i,
+              '[' || coalesce(mm.ts_text, 'Unknown date') || '] ' || mm.attribute AS line
+       FROM hits h JOIN mm ON mm.mem_id = h.mem_id)
+SELECT owner_id, query_id, string_agg(CAST(i AS VARCHAR) || '. ' || line, chr(10) ORDER BY i) AS memory_text,
+       CAST(count(*) AS INTEGER) AS n_lines FROM ln GROUP BY owner_id, query_id"""
+
+ORACLE["routed_search"] = f"""WITH {MEMS},
+rm AS (SELECT 'o' || CAST(mem_id % 3 AS VARCHAR) AS owner, mem_id, emb, ts_text, lower(attribute) AS low,
+              mem_id % 3 = 0 OR (mem_id % 3 = 1 AND label <> 9) AS has FROM mm),
+own AS (SELECT owner, bool_and(has) AS whole, min(epoch_us(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S'))) AS lo,
+               max(epoch_us(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S'))) AS hi FROM rm GROUP BY owner),
+v AS (SELECT q.owner, q.mem_id AS query_id, m.mem_id, 'vectors' AS route,
+             0.85 * list_cosine_similarity(q.emb, m.emb)
+             + 0.15 * coalesce((epoch_us(try_strptime(m.ts_text, '%Y-%m-%d %H:%M:%S')) - lo)::DOUBLE / CASE WHEN hi = lo THEN 1000000 ELSE hi - lo END, 0.0) AS score
+      FROM rm q JOIN rm m USING (owner) JOIN own USING (owner) WHERE whole),
+qw AS (SELECT DISTINCT owner, mem_id AS query_id, w FROM rm JOIN own USING (owner), unnest(regexp_extract_all(low, {_q(NONWS)})) AS u(w) WHERE NOT whole),
+k AS (SELECT m.owner, qw.query_id, m.mem_id, 'words' AS route, count(*)::DOUBLE AS score
+      FROM qw JOIN rm m ON m.owner = qw.owner AND contains(m.low, qw.w) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner, query_id ORDER BY score DESC, mem_id) AS INTEGER) AS rank
+      FROM (SELECT * FROM v UNION ALL SELECT * FROM k))
+SELECT owner AS owner_id, query_id, rank, mem_id, route FROM r WHERE rank <= 6"""
+
 ORACLE["reuse_gate"] = """WITH RECURSIVE q AS (
   SELECT label AS session_id, vec_id AS seq, embedding::DOUBLE[] AS e, embedding[1] > 0 AS v,
          row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
@@ -856,6 +908,38 @@ SELECT owner_id, thread_id, conv_no, lower(trim(max(speaker) FILTER (WHERE speak
 FROM t GROUP BY owner_id, thread_id, conv_no
 HAVING count(DISTINCT speaker) = 2 AND bool_or(speaker = 'Me')"""
 
+def _draw(seed: int, of: str, n: str) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:' || CAST({of} AS VARCHAR)), 1, 8)) AS BIGINT) % {n}"
+
+
+def _lookup(names: str) -> str:
+    """``t`` and ``store`` -> ``pick``: the conversation for each row of ``names`` (query_id, name)."""
+    return f"""pc AS (SELECT t.owner_id, t.thread_id, t.conv_no, store_rank, max(speaker) FILTER (WHERE speaker <> 'Me') AS partner
+       FROM t JOIN store USING (owner_id, thread_id, conv_no) GROUP BY ALL
+       HAVING count(DISTINCT speaker) = 2 AND bool_or(speaker = 'Me')),
+pk AS (SELECT *, {_strip('lower(partner)')} AS partner_key FROM pc WHERE partner <> ''),
+pp AS (SELECT partner_key, min(store_rank) AS first_rank, count(*) AS n_conv FROM pk GROUP BY partner_key),
+pr AS (SELECT *, row_number() OVER (ORDER BY first_rank) - 1 AS pidx, count(*) OVER () AS n_part FROM pp),
+nm AS ({names}),
+ns AS (SELECT query_id, {_strip('lower(name)')} AS name FROM nm),
+fd AS (SELECT query_id, min(pidx) AS hit FROM ns JOIN pr ON contains(partner_key, ns.name) GROUP BY query_id),
+ch AS (SELECT query_id, hit IS NOT NULL AS matched, coalesce(hit, {_draw(7, 'query_id', '(SELECT max(n_part) FROM pr)')}) AS pidx
+       FROM ns LEFT JOIN fd USING (query_id)),
+cv AS (SELECT *, row_number() OVER (PARTITION BY partner_key ORDER BY store_rank) - 1 AS cidx FROM pk),
+pick AS (SELECT cv.owner_id, ch.query_id, partner_key, matched, thread_id, conv_no
+         FROM ch JOIN pr USING (pidx) JOIN cv USING (partner_key) WHERE cidx = {_draw(8, 'query_id', 'n_conv')})"""
+
+
+_EXAMPLE_NAMES = """SELECT 'whole:' || t AS query_id, t AS name FROM (SELECT DISTINCT event_type AS t FROM events)
+  UNION ALL SELECT 'padded:' || t, chr(32) || chr(9) || upper(t) || '  ' FROM (SELECT DISTINCT event_type AS t FROM events)
+  UNION ALL SELECT 'cut:' || t, substr(t, 2, 3) FROM (SELECT DISTINCT event_type AS t FROM events)
+  UNION ALL SELECT 'letter:' || t, right(t, 1) FROM (SELECT DISTINCT event_type AS t FROM events)
+  UNION ALL SELECT n_name, n_name FROM nation UNION ALL SELECT 'blank:' || r_name, ' ' FROM region"""
+
+ORACLE["partner_lookup"] = f"""WITH {store_ctes(M_EVENTS, 1000, 2, 75)},
+{_lookup(_EXAMPLE_NAMES)}
+SELECT * FROM pick"""
+
 ORACLE["render_transcripts"] = f"""WITH {turns_ctes(M_EVENTS)}
 SELECT owner_id, thread_id, conv_no,
        string_agg(strftime(ts, {TS_FMT}) || ' ' || speaker || ': ' || content, chr(10) ORDER BY turn_idx) AS transcript,
@@ -868,6 +952,26 @@ SELECT owner_id, thread_id, conv_no, turn_idx, speaker, CAST(j.i - 1 AS INTEGER)
        {_strip('parts[j.i]')} AS message
 FROM s, range(1, len(parts) + 1) AS j(i)"""
 
+_LABEL_NAMES = "SELECT vec_id AS query_id, CASE WHEN label % 3 = 0 THEN 'View ' WHEN label % 3 = 1 THEN 'purch' ELSE 'nobody' END AS name FROM embeddings"
+
+ORACLE["system_prompt"] = f"""WITH {store_ctes(M_EVENTS, 1000, 2, 75)},
+{_lookup(_LABEL_NAMES)},
+tr AS (SELECT owner_id, thread_id, conv_no, string_agg(strftime(ts, {TS_FMT}) || ' ' || speaker || ': ' || content || chr(10), '' ORDER BY turn_idx) AS transcript
+       FROM t GROUP BY owner_id, thread_id, conv_no),
+ft AS ({ORACLE["flat_search_text"]})
+SELECT mq.owner_id, mq.query_id,
+  'Today''s date is 2024-02-01. You are a human being named Me. You are not an AI. Respond as yourself. You will first be given the topic of conversation, '
+  || 'then any existing conversation history if there is any. Be sure to reply in the style of Me. Use the ''<|msg|>'' token to send mulitple messages at once if you wish. '
+  || chr(10) || chr(10) || 'Here is an example conversation between Me and another individual. This conversation is not relevant to the current conversation. '
+  || 'Use this conversation to help aid you to emulate stylistically on how to communicate in your conversations. ''Me'' is the user that you are imitating.'
+  || chr(10) || chr(10) || ' [BEGIN EXAMPLE CONVERSATION]' || chr(10) || coalesce(transcript, 'None') || chr(10) || '[END EXAMPLE CONVERSATION]'
+  || chr(10) || chr(10) || 'Here are some of your relevant memories + facts about yourself that may help you respond authentically. Pay careful attention to the date of the memories, '
+  || 'as events have occurred in the past, and you should make reference to them in the appropriate time manner. ' || chr(10) || chr(10) || '[BEGIN MEMORIES]' || chr(10)
+  || coalesce(memory_text, '') || chr(10) || '[END MEMORIES]' || chr(10) || chr(10) || 'Now you may begin the conversation.' AS system_message
+FROM (SELECT 'events' AS owner_id, vec_id AS query_id FROM embeddings) mq
+LEFT JOIN (SELECT pick.query_id, tr.transcript FROM pick JOIN tr USING (owner_id, thread_id, conv_no)) ex USING (query_id)
+LEFT JOIN ft USING (query_id)"""
+
 _LLAMA = _exm.CHAT_TEMPLATES["llama"]
 _QWEN = _exm.CHAT_TEMPLATES["qwen"]
 
