@@ -30,8 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def msgs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return msgs_of(table(spark, sf_dir, "events"))
+
+
+def msgs_of(events: DataFrame) -> DataFrame:
+    """``events`` rows, of a table or a stream, as messages."""
+    return events.select(
         F.lit(EVENTS_OWNER).alias("owner_id"),
         F.col("user_id").cast("string").alias("thread_id"),
         F.col("event_id").alias("seq"),

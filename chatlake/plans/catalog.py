@@ -688,21 +688,30 @@ def _stream_table(spark, sf_dir, name):
 
 
 def _stream_msgs(spark, sf_dir):
-    e = _stream_table(spark, sf_dir, "events")
-    return e.select(
-        F.lit(ad.EVENTS_OWNER).alias("owner_id"), F.col("user_id").cast("string").alias("thread_id"),
-        F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    """The events as arriving messages, then a message of another thread years later: the watermark passes all events."""
+    from chatlake.session import ensure_checkpoint_dir
+    import uuid
+    e = ad.msgs_of(_stream_table(spark, sf_dir, "events"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/clock-{uuid.uuid4().hex}"
+    last = ad.msgs_events(spark, sf_dir).agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+    last.select(F.lit("clock").alias("owner_id"), F.lit("clock").alias("thread_id"), (F.col("seq") + 1).alias("seq"),
+                (F.col("ts") + F.expr("interval 2 years")).alias("ts"), F.lit("clock").alias("speaker"), F.lit("").alias("content"),
+                F.lit(False).alias("is_reply"), F.lit(None).cast("string").alias("reply_info"), F.lit("clock").alias("source")).write.parquet(path)
+    return e.unionByName(spark.readStream.schema(e.schema).parquet(path))
 
 
 @register("stream_sessions")
 def q_stream_sessions(spark, sf_dir):
-    # Complete mode reports open sessions too (append would hold back the
-    # sessions the watermark has not passed when the input ends).
-    s = stm.run_to_table(stm.stream_sessions(_stream_msgs(spark, sf_dir)), "sessions", mode="complete")
+    s = stm.append_to_files(stm.stream_sessions(_stream_msgs(spark, sf_dir)), "sessions")
     return finish(s.select("owner_id", "thread_id", F.col("session.start").alias("session_start"),
                            F.col("session.end").alias("session_end"), "n_msgs"))
 
 
+@register("stream_turns")
+def q_stream_turns(spark, sf_dir):
+    return finish(stm.append_to_files(stm.stream_turns(_stream_msgs(spark, sf_dir)), "turns"))
+
+
 @register("stream_resolve")
 def q_stream_resolve(spark, sf_dir):
     from chatlake.session import ensure_checkpoint_dir
@@ -723,7 +732,7 @@ def q_stream_reject_counts(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/reasons-{uuid.uuid4().hex}"
     exm.example_features(events_turns(spark, sf_dir)).select("ts", "reject_reason").write.parquet(path)
     feats = spark.readStream.schema("ts timestamp, reject_reason string").parquet(path)
-    r = stm.run_to_table(stm.reject_counts(feats), "rejects", mode="complete")
+    r = stm.update_files(stm.reject_counts(feats), "rejects", ["w", "reject_reason"])
     return finish(r.select(F.col("w.start").alias("day"), "reject_reason", "n"))
 
 

@@ -1009,6 +1009,8 @@ SELECT owner_id, thread_id, strftime(min(ts), {TS_FMT}) AS session_start,
        strftime(max(ts) + INTERVAL 6 HOUR, {TS_FMT}) AS session_end, count(*) AS n_msgs
 FROM e GROUP BY owner_id, thread_id, conv_no"""
 
+ORACLE["stream_turns"] = ORACLE["merge_turns"]
+
 ORACLE["stream_resolve"] = ORACLE["phone_resolve"]
 
 ORACLE["stream_reject_counts"] = f"""WITH {examples_ctes(M_EVENTS)}
