@@ -335,30 +335,85 @@ def drill_text(hits: DataFrame, memories: DataFrame) -> DataFrame:
         .alias("memory_text"), F.count("*").cast("int").alias("n_lines"))
 
 
-def reuse_gate(queries: DataFrame, threshold: float = REUSE_THRESHOLD) -> DataFrame:
+SEQ_BUCKET = 1 << 16   # seq values per bucket in which a session's certain searches are counted
+
+
+def fold_reuse(vectors, start, ref, threshold: float):
+    """Which rows reuse the row searched last, and the vector searched last at the end.
+
+    ``start`` marks the rows that are searched whatever came before; ``ref`` is the vector searched
+    before the first row, or None.  Looks ahead from each searched row in growing steps.
+    """
+    import numpy as np
+
+    reused, size = np.zeros(len(vectors), bool), np.linalg.norm(vectors, axis=1)
+    at, step = 0, 8
+    while at < len(vectors):
+        if ref is None or not np.isfinite(ref).all():
+            ref, at, step = vectors[at], at + 1, 8
+            continue
+        ahead = slice(at, at + step)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            near = vectors[ahead] @ ref / (size[ahead] * np.linalg.norm(ref)) > threshold
+        near &= ~start[ahead]
+        run = int(near.argmin()) if not near.all() else len(near)
+        reused[at:at + run] = True
+        at += run
+        if run == len(near):
+            step = min(2 * step, 4096)
+        else:
+            ref, at, step = vectors[at], at + 1, 8
+    return reused, ref
+
+
+def reuse_gate(queries: DataFrame, threshold: float = REUSE_THRESHOLD, bucket: int = SEQ_BUCKET) -> DataFrame:
     """Which queries of a session reuse the previous retrieval.
 
     ``queries``: ``(owner_id, session_id, seq, q_embedding, verdict)``;
     ``verdict`` is the judge's yes/no.  A query reuses when its similarity
     to the last SEARCHED query exceeds ``threshold`` and the verdict is yes;
-    a reuse leaves the reference query unchanged.  The fold runs per session
-    over its queries in order (SQL ``aggregate``, JVM side).
+    a reuse leaves the reference query unchanged.
+
+    A query without a yes, or without a vector, is searched whatever came
+    before, so it cuts its session: the stretches between such queries are
+    independent, and numbering them is a running count (inside seq buckets,
+    with a small table that carries the counts on).  Each stretch is folded
+    over its sorted rows, batch by batch, with one vector held.
     """
-    items = F.array_sort(F.collect_list(F.struct("seq", "q_embedding", F.coalesce("verdict", F.lit(False)).alias("v"))))
-    et = T.ArrayType(T.FloatType())
-    init = F.struct(F.lit(None).cast(et).alias("ref"),
-                    F.array().cast(T.ArrayType(T.StructType([T.StructField("seq", T.LongType()),
-                                                             T.StructField("reused", T.BooleanType())]))).alias("out"))
-
-    def step(acc, x):
-        sim = cosine(acc["ref"], x["q_embedding"])
-        reuse = acc["ref"].isNotNull() & F.coalesce(sim > threshold, F.lit(False)) & x["v"]
-        return F.struct(F.when(reuse, acc["ref"]).otherwise(x["q_embedding"]).alias("ref"),
-                        F.concat(acc["out"], F.array(F.struct(x["seq"].cast("long").alias("seq"),
-                                                              reuse.alias("reused")))).alias("out"))
-
-    g = queries.groupBy("owner_id", "session_id").agg(F.aggregate(items, init, step, lambda a: a["out"]).alias("o"))
-    return g.select("owner_id", "session_id", F.inline("o"))
+    import numpy as np
+    import pyarrow as pa
+
+    key = ["owner_id", "session_id"]
+    whole = F.col("q_embedding").isNotNull() & ~F.exists("q_embedding", lambda v: v.isNull())
+    q = queries.select(*key, F.col("seq").cast("long").alias("seq"), F.when(whole, F.col("q_embedding")).alias("q_embedding"),
+                       (~F.coalesce("verdict", F.lit(False)) | ~whole).alias("_start"), F.floor(F.col("seq") / bucket).alias("_b"))
+    own = W.partitionBy(*key, "_b").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    q = q.withColumn("_n", F.sum(F.col("_start").cast("long")).over(own))
+    carry = q.groupBy(*key, "_b").agg(F.max("_n").alias("_in")) \
+        .withColumn("_before", F.coalesce(F.sum("_in").over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    q = q.join(carry.drop("_in"), [*key, "_b"]).withColumn("_stretch", F.col("_before") + F.col("_n"))
+    q = q.select(*key, "seq", "q_embedding", "_start", "_stretch").repartition(*key, "_stretch").sortWithinPartitions(*key, "_stretch", "seq")
+
+    def fold(batches):
+        last, ref = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            width = max([len(v) for v in table["q_embedding"].to_pylist() if v is not None], default=0)
+            rows = [v if v is not None and len(v) == width else [np.nan] * width for v in table["q_embedding"].to_pylist()]
+            vectors = np.array(rows, dtype=np.float64).reshape(len(rows), width)
+            start = table["_start"].to_numpy()
+            names = list(zip(*[table[c].to_pylist() for c in (*key, "_stretch")]))
+            edge = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
+            reused = np.zeros(len(names), bool)
+            for a, b in zip(edge, edge[1:]):
+                if names[a] != last or ref is not None and len(ref) != width:
+                    ref = None
+                reused[a:b], ref = fold_reuse(vectors[a:b], start[a:b], ref, threshold)
+                last = names[a]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(reused)], [*key, "seq", "reused"])
+
+    kinds = {c: queries.schema[c].dataType.simpleString() for c in key}
+    return q.mapInArrow(fold, f"owner_id {kinds['owner_id']}, session_id {kinds['session_id']}, seq long, reused boolean")
 
 
 def query_window(messages: DataFrame, n: int = 3, suffix: str = "/n Me: ") -> DataFrame:

@@ -492,9 +492,11 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner, query_id ORDER BY sc
       FROM (SELECT * FROM v UNION ALL SELECT * FROM k))
 SELECT owner AS owner_id, query_id, rank, mem_id, route FROM r WHERE rank <= 6"""
 
-ORACLE["reuse_gate"] = """WITH RECURSIVE q AS (
-  SELECT label AS session_id, vec_id AS seq, embedding::DOUBLE[] AS e, embedding[1] > 0 AS v,
-         row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+ORACLE["reuse_gate"] = """WITH RECURSIVE w AS (
+  SELECT a.vec_id AS seq, CASE WHEN a.vec_id % 3 = 0 THEN -1 ELSE a.vec_id // 50 END AS session_id,
+         list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * 0.4::DOUBLE + p[2]::DOUBLE) AS e, a.embedding[1] > -0.1 AS v
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 4),
+q AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM w),
 g(session_id, rn, seq, ref, reused) AS (
   SELECT session_id, rn, seq, e, false FROM q WHERE rn = 1
   UNION ALL
@@ -502,7 +504,7 @@ g(session_id, rn, seq, ref, reused) AS (
          CASE WHEN q.v AND list_cosine_similarity(g.ref, q.e) > 0.7 THEN g.ref ELSE q.e END,
          q.v AND list_cosine_similarity(g.ref, q.e) > 0.7
   FROM g JOIN q ON q.session_id = g.session_id AND q.rn = g.rn + 1)
-SELECT 'events' AS owner_id, session_id, seq, reused FROM g"""
+SELECT 'events' AS owner_id, CAST(session_id AS BIGINT) AS session_id, seq, reused FROM g"""
 
 ORACLE["query_window"] = """SELECT 'convs' AS owner_id, conv_id AS session_id, turn AS seq,
        array_to_string(list(CASE WHEN suffix(text, '/n Me: ') THEN left(text, length(text) - 7) ELSE text END)

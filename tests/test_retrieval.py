@@ -131,3 +131,38 @@ def test_partner_index_strips_and_skips_empty_names(spark):
     turns = spark.createDataFrame([("o", "t", c, i, s, "hi") for c, pair in enumerate([("Me", " Ann \n"), ("Me", ""), ("Me", " "), ("Me", "Bo"), ("Al", "Bo")]) for i, s in enumerate(pair)],
                                   "owner_id string, thread_id string, conv_no int, turn_idx int, speaker string, content string")
     assert sorted((r.conv_no, r.partner_key) for r in conv.partner_index(turns).collect()) == [(0, "ann"), (2, ""), (3, "bo")]
+
+
+def brute_gate(rows, threshold):
+    out, ref = {}, {}
+    for owner, session, seq, v, verdict in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        last = ref.get((owner, session))
+        def near(a, b):
+            size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+            return size > 0 and sum(x * y for x, y in zip(a, b)) / size > threshold
+        usable = v is not None and None not in v
+        reuse = bool(verdict and usable and last is not None and near(last, v))
+        out[owner, session, seq] = reuse
+        if not reuse:
+            ref[owner, session] = v if usable else None
+    return out
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_reuse_gate_equals_the_fold(spark, batch):
+    r = random.Random(8)
+    base = [[r.gauss(0, 1) for _ in range(4)] for _ in range(6)]
+    rows = []
+    for k in range(900):  # one session holds most rows
+        v = [x + r.gauss(0, 0.25) for x in base[k // 9 % 6]]
+        v = r.choice([v] * 12 + [None, [None, 1.0, 1.0, 1.0], [0.0] * 4])
+        rows.append(("o", 1 if k % 3 else 2 + k % 5, 10 * k, v, r.choice([True] * 9 + [False, None])))
+    rows.append(("p", 1, -5, base[0], True))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = rt.reuse_gate(spark.createDataFrame(rows, "owner_id string, session_id long, seq long, q_embedding array<double>, verdict boolean").repartition(5), bucket=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(x.owner_id, x.session_id, x.seq): x.reused for x in got}
+    want = brute_gate(rows, rt.REUSE_THRESHOLD)
+    assert got == want and sum(want.values()) > 100
