@@ -46,3 +46,16 @@ def cells(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_
         .withColumn("l_block", every_block(F.col("l_blocks"))).drop("l_blocks", "r_blocks")
     # New names of the same columns: both sides may come from one table, and a cogroup must tell them apart.
     return left, right.select(*[F.col(c).alias(c) for c in right.columns])
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, on: list[str], spread: str, shares: int = 16, most: int = SENT_ROWS) -> DataFrame:
+    """``rows`` joined with a staged ``side`` that has one row a key.
+
+    A side of at most ``most`` rows is sent to all tasks.  Beyond that, every key's rows are dealt into
+    ``shares`` shares by a hash of column ``spread``, and the side goes to each share, so that a key of
+    a third of all rows has no task to itself.
+    """
+    if side.count() <= most:
+        return rows.join(F.broadcast(side), on)
+    rows = rows.withColumn("_share", block_of(F.col(spread), F.lit(shares).cast("long")))
+    return rows.join(side.withColumn("_share", every_block(F.lit(shares).cast("long"))), [*on, "_share"]).drop("_share")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from chatlake.functions.text import py_strip
+from chatlake.operators.deal import SENT_ROWS, join_dealt, staged
 from chatlake.sources.exports import EXPORT_TS_RE, LINE_BUCKET, _next_lines, dense_numbers
 
 # Phone patterns of the pipeline ([0-9] where Python had \d).
@@ -32,12 +33,15 @@ def phone_advanced(c: Column) -> Column:
     return F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
 
 
-def normalize_contacts(contacts: DataFrame) -> DataFrame:
-    """Contact dictionary keyed by the advanced form (last entry wins per key)."""
+def normalize_contacts(contacts: DataFrame, order: str | None = None) -> DataFrame:
+    """Contact dictionary keyed by the advanced form.
+
+    Of several entries of one number the last in column ``order`` wins; without one, and among equals,
+    the one whose written number, then name, is greatest.
+    """
     c = contacts.select("owner_id", phone_advanced(F.col("phone")).alias("phone_norm"), "name",
-                        F.monotonically_increasing_id().alias("_o"))
-    w = W.partitionBy("owner_id", "phone_norm").orderBy(F.col("_o").desc())
-    return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_o")
+                        F.struct((F.col(order) if order else F.lit(0)).alias("o"), "phone", "name").alias("_o"))
+    return c.groupBy("owner_id", "phone_norm").agg(F.max_by("name", "_o").alias("name"))
 
 
 def resolve_phones(texts: DataFrame, contacts: DataFrame, key_cols: list[str], text_col: str = "text",
@@ -121,19 +125,36 @@ def filter_threads(lines: DataFrame, min_messages: int = THREAD_MIN_MESSAGES) ->
 def speaker_census(lines: DataFrame) -> DataFrame:
     """Distinct speakers by category (phone / name / Me).
 
-    A speaker is the first line after each timestamp match (stripped
-    piece); ``Tapbacks:`` and ``Find My:*`` are skipped.  One row per
-    category with the count and the sorted names.
+    A file is cut at every timestamp match; the first non-blank line of each
+    piece, also of the piece before the first timestamp, is a speaker, except
+    ``Tapbacks:`` and ``Find My:*``.  One row per category with the count and
+    the sorted names.
+
+    A piece that begins with blank lines takes its speaker from the next line
+    that has text: lines are scanned backwards inside line buckets, and each
+    bucket's first text is carried to the buckets before it by a small table.
     """
-    lv = lines.select("owner_id", "thread_id", "line_no", py_strip(F.col("value")).alias("v"))
-    lv = _next_lines(lv, ["owner_id", "thread_id"], 1).withColumnRenamed("_next1", "_next")
-    after = F.regexp_extract("v", f"{EXPORT_TS_RE}(.*)$", 1)
-    # The piece after a timestamp starts on the same line; when that rest is
-    # blank the speaker is the next line.
-    spk = F.when(py_strip(after) != "", py_strip(after)).otherwise(F.col("_next"))
-    s = lv.filter(F.col("v").rlike(EXPORT_TS_RE)).select("owner_id", spk.alias("speaker")) \
-        .filter(F.col("speaker").isNotNull() & (F.col("speaker") != "") & (F.col("speaker") != "Tapbacks:")
-                & ~F.col("speaker").startswith("Find My:")).distinct()
+    key = ["owner_id", "thread_id"]
+    lv = lines.select(*key, "line_no", F.split("value", EXPORT_TS_RE, -1).alias("_s"), F.floor(F.col("line_no") / LINE_BUCKET).alias("_lb"))
+    lv = lv.withColumn("_s", F.transform("_s", py_strip))
+    # What an unfinished piece meets in this line: its text, or (an empty text) the end of the piece.
+    met = F.when(F.col("_s")[0] != "", F.col("_s")[0]).when(F.size("_s") > 1, F.lit(""))
+    lv = lv.withColumn("_met", met)
+    own = W.partitionBy(*key, "_lb").orderBy("line_no")
+    lv = lv.withColumn("_next", F.first("_met", ignorenulls=True).over(own.rowsBetween(1, W.unboundedFollowing))) \
+        .withColumn("_head", F.col("_met").isNotNull() & (F.count("_met").over(own.rowsBetween(W.unboundedPreceding, 0)) == 1))
+    lv = staged(lv.filter((F.size("_s") > 1) | F.col("_head")))  # lines with a timestamp, and the first text of each bucket
+    wb = W.partitionBy(*key).orderBy("_lb")
+    # Every bucket with a timestamp has a head: a line with one ends a piece, or has text.
+    heads = lv.filter("_head").select(*key, "_lb", "_met", F.lead("_met").over(wb).alias("_later"), F.lag("_lb").over(wb).isNull().alias("_start"))
+    tail = F.col("_s")[F.size("_s") - 1]
+    stamped = lv.filter(F.size("_s") > 1).join(heads.select(*key, "_lb", "_later"), [*key, "_lb"])
+    opened = F.when(tail != "", tail).otherwise(F.coalesce("_next", "_later"))
+    inner = F.slice("_s", 2, F.greatest(F.size("_s") - 2, F.lit(0)))
+    found = stamped.select("owner_id", F.explode(F.concat(inner, F.array(opened))).alias("speaker")) \
+        .unionByName(heads.filter("_start").select("owner_id", F.col("_met").alias("speaker")))
+    s = found.filter(F.col("speaker").isNotNull() & (F.col("speaker") != "") & (F.col("speaker") != "Tapbacks:")
+                     & ~F.col("speaker").startswith("Find My:")).distinct()
     cat = F.when(F.col("speaker").rlike(CENSUS_PHONE_RE), "phone") \
         .when(F.col("speaker") == "Me", "me").otherwise("name")
     return s.groupBy("owner_id", cat.alias("category")).agg(
@@ -142,12 +163,24 @@ def speaker_census(lines: DataFrame) -> DataFrame:
 
 
 def apply_corrections(contacts: DataFrame, corrections: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Add hand-entered names; existing numbers are kept unless ``overwrite``."""
-    a = contacts.select("owner_id", "phone_norm", "name", F.lit(1 if overwrite else 0).alias("_p"))
-    b = corrections.select("owner_id", phone_advanced(F.col("phone")).alias("phone_norm"), "name",
-                           F.lit(0 if overwrite else 1).alias("_p"))
-    w = W.partitionBy("owner_id", "phone_norm").orderBy("_p")
-    return a.unionByName(b).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_p")
+    """Add hand-entered names; existing numbers are kept unless ``overwrite``.
+
+    Numbers are compared, and returned, in the advanced form on both sides.  Of several entries of one
+    side the one whose written number, then name, is greatest counts; corrections with a blank name are
+    skipped, as an empty answer is.
+    """
+    def side(df: DataFrame, phone: str, rank: int) -> DataFrame:
+        return df.select("owner_id", phone_advanced(F.col(phone)).alias("phone_norm"), py_strip(F.col("name")).alias("name"),
+                         F.struct(F.lit(rank).alias("r"), F.col(phone).alias("p"), "name").alias("_o"))
+
+    fixes = side(corrections, "phone", int(overwrite)).filter(F.col("name") != "")
+    both = side(contacts, "phone_norm", int(not overwrite)).unionByName(fixes)
+    return both.groupBy("owner_id", "phone_norm").agg(F.max_by("name", "_o").alias("name"))
+
+
+def thread_sizes(lines: DataFrame) -> DataFrame:
+    """``(owner_id, thread_id, n_bytes)`` of exports as lines: UTF-8 bytes with line ends."""
+    return lines.groupBy("owner_id", "thread_id").agg(F.sum(F.octet_length("value") + 1).alias("n_bytes"))
 
 
 def merge_exports(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -168,6 +201,18 @@ def merge_exports(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("owner_id", "thread_id", "bytes_a", "bytes_b", take.alias("take"), status.alias("status"))
 
 
+def merge_threads(a: DataFrame, b: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """The lines ``(owner_id, thread_id, line_no, value)`` of both exports merged, each thread from one of them.
+
+    ``export`` says which (``a`` or ``b``).  A thread is carried over whole; the lines of a giant one
+    are dealt into shares where the decisions are too many to be sent to all tasks.
+    """
+    keys = ["owner_id", "thread_id"]
+    take = staged(merge_exports(thread_sizes(a), thread_sizes(b)).select(*keys, F.col("take").alias("export")))
+    both = a.select(*keys, "line_no", "value", F.lit("a").alias("export")).unionByName(b.select(*keys, "line_no", "value", F.lit("b").alias("export")))
+    return join_dealt(both, take, [*keys, "export"], "line_no", most=most).select(*keys, "line_no", "value", "export")
+
+
 def export_lines(msgs: DataFrame, export_ts: Column | None = None) -> DataFrame:
     """Render ``messages`` as text-export lines (the inverse of N01).
 

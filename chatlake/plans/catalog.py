@@ -433,10 +433,26 @@ def q_merge_report(spark, sf_dir):
     return st.status_counts(_merge(spark, sf_dir), "status")
 
 
+def _two_exports(spark, sf_dir):
+    """Two exports of the events: each lacks some threads and some messages; every seventh thread is whole in both (a tie)."""
+    m = _export_msgs(spark, sf_dir)
+    user = F.col("thread_id").cast("long")
+    a = m.filter((user % 5 != 0) & ((user % 7 == 0) | (F.col("seq") % 3 != 0)))
+    b = m.filter((user % 4 != 0) & ((user % 7 == 0) | (F.col("seq") % 3 != 1)))
+    return stage(ing.export_lines(a)), stage(ing.export_lines(b))
+
+
+@register("merged_threads")
+def q_merged_threads(spark, sf_dir):
+    return ing.merge_threads(*_two_exports(spark, sf_dir))
+
+
 @register("participant_rank")
 def q_participant_rank(spark, sf_dir):
-    threads = ad.table(spark, sf_dir, "events").groupBy("user_id").agg(
+    """A user's thread is between the user and the types of its large events, so that types differ in number."""
+    threads = ad.table(spark, sf_dir, "events").filter(F.col("value") > 100).groupBy("user_id").agg(
         F.collect_set("event_type").alias("participants"))
+    src.require_participant(threads, "click")
     return src.participant_frequency(threads)
 
 
@@ -772,7 +788,9 @@ def q_vcard_contacts(spark, sf_dir):
 @register("contact_corrections")
 def q_contact_corrections(spark, sf_dir):
     contacts = src.vcard_contacts(_vcard_lines(spark, sf_dir))
-    fixes = _event_contacts(spark, sf_dir)
+    known = contacts.select("owner_id", F.substring("phone_norm", 2, 10).alias("phone"), F.concat(F.col("name"), F.lit(" (fixed)")).alias("name"))
+    blank = known.select("owner_id", "phone", F.lit("  ").alias("name"))
+    fixes = _event_contacts(spark, sf_dir).unionByName(known).unionByName(blank)
     keep = ing.apply_corrections(contacts, fixes, overwrite=False).withColumn("mode", F.lit("keep"))
     over = ing.apply_corrections(contacts, fixes, overwrite=True).withColumn("mode", F.lit("overwrite"))
     return keep.unionByName(over)
@@ -814,8 +832,17 @@ def _transcripts(spark, sf_dir):
 
 @register("transcript_split")
 def q_transcript_split(spark, sf_dir):
-    return src.split_transcripts(_transcripts(spark, sf_dir), "assistant") \
-        .select("transcript_id", F.col("pos").cast("int"), "kind", "key", "value")
+    """Whole transcripts, the same without brackets, and ones whose first message has no time."""
+    t = _transcripts(spark, sf_dir)
+    plain = t.select((F.col("transcript_id") + 10**9).alias("transcript_id"), F.translate("text", "[]", "").alias("text"))
+    late = t.select((F.col("transcript_id") + 2 * 10**9).alias("transcript_id"), F.regexp_replace("text", r"\[2024-01-01 00:00:00\] ", " ").alias("text"))
+    return src.split_transcripts(t.unionByName(plain).unionByName(late), "assistant") \
+        .select("transcript_id", F.col("pos").cast("int"), "kind", "key", "value", "line")
+
+
+@register("transcript_messages")
+def q_transcript_messages(spark, sf_dir):
+    return src.transcript_messages(_transcripts(spark, sf_dir), "assistant", "2024-02-01 00:00:00")
 
 
 @register("filter_reasons_notebook")

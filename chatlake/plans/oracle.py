@@ -625,8 +625,27 @@ ORACLE["merge_report"] = f"""WITH {MERGE_SQL}
 SELECT CASE WHEN bytes_b IS NULL THEN 'only_a' WHEN bytes_a IS NULL THEN 'only_b' ELSE 'common_' || take END AS status,
        count(*) AS n FROM d GROUP BY 1"""
 
-ORACLE["participant_rank"] = """SELECT event_type AS participant, count(DISTINCT user_id) AS n_threads
-FROM events GROUP BY event_type"""
+ORACLE["participant_rank"] = """SELECT event_type AS participant, count(DISTINCT user_id) AS n_threads,
+       row_number() OVER (ORDER BY count(DISTINCT user_id), event_type) AS rank
+FROM events WHERE value > 100 GROUP BY event_type"""
+
+_SIDE = """{n}0 AS (SELECT owner_id, thread_id, seq, k, parts[k] AS value FROM (
+         SELECT *, list_filter([strftime(ts, '%b %-d, %Y  %-I:%M:%S %p'), speaker, content,
+                                CASE WHEN is_reply THEN 'This message responded to an earlier message.' END, ''],
+                               lambda x: x IS NOT NULL) AS parts
+         FROM em WHERE CAST(thread_id AS BIGINT) % {t} <> 0 AND (CAST(thread_id AS BIGINT) % 7 = 0 OR seq % 3 <> {m})) s,
+       range(1, len(parts) + 1) AS r(k)),
+{n} AS (SELECT owner_id, thread_id, row_number() OVER (PARTITION BY owner_id, thread_id ORDER BY seq, k) AS line_no, value, '{n}' AS export
+       FROM {n}0),
+z{n} AS (SELECT owner_id, thread_id, sum(strlen(value) + 1) AS n FROM {n} GROUP BY ALL)"""
+
+ORACLE["merged_threads"] = f"""WITH {EM},
+{_SIDE.format(n='a', t=5, m=0)},
+{_SIDE.format(n='b', t=4, m=1)},
+tk AS (SELECT owner_id, thread_id, CASE WHEN zb.n IS NULL OR za.n > zb.n THEN 'a' ELSE 'b' END AS export
+       FROM za FULL JOIN zb USING (owner_id, thread_id))
+SELECT x.owner_id, x.thread_id, x.line_no, x.value, x.export
+FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x JOIN tk USING (owner_id, thread_id, export)"""
 
 
 # --------------------------------------------------------------------------
@@ -1052,10 +1071,12 @@ ORACLE["vcard_contacts"] = f"""WITH {VCARD_LINES}
 SELECT owner_id, phone_norm, name FROM vcards"""
 
 ORACLE["contact_corrections"] = f"""WITH {VCARD_LINES},
+vnorm AS (SELECT owner_id, CASE WHEN length(phone_norm) = 11 AND starts_with(phone_norm, '1') THEN substr(phone_norm, 2) ELSE phone_norm END AS phone_norm, name FROM vcards),
 fx AS (SELECT 'events' AS owner_id, '212555' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS phone_norm, c_name AS name
-       FROM customer WHERE c_custkey IN (SELECT DISTINCT user_id FROM events) AND c_custkey % 2 = 0),
+       FROM customer WHERE c_custkey IN (SELECT DISTINCT user_id FROM events) AND c_custkey % 2 = 0
+       UNION ALL SELECT owner_id, substr(phone_norm, 2, 10), name || ' (fixed)' FROM vcards),
 modes(mode, pc, pf) AS (VALUES ('keep', 0, 1), ('overwrite', 1, 0)),
-u AS (SELECT v.*, m.mode, m.pc AS p FROM vcards v, modes m UNION ALL SELECT f.*, m.mode, m.pf FROM fx f, modes m)
+u AS (SELECT v.*, m.mode, m.pc AS p FROM vnorm v, modes m UNION ALL SELECT f.*, m.mode, m.pf FROM fx f, modes m)
 SELECT owner_id, phone_norm, name, mode FROM (
   SELECT *, row_number() OVER (PARTITION BY mode, owner_id, phone_norm ORDER BY p) AS rn FROM u) WHERE rn = 1"""
 
@@ -1079,26 +1100,41 @@ SELECT th.owner_id, th.thread_id,
        CASE WHEN g.l IS NULL THEN '' ELSE {_q(_exm.METADATA_HEADER)} || chr(10) || g.l END AS metadata
 FROM th LEFT JOIN g USING (owner_id, thread_id)"""
 
-ORACLE["transcript_split"] = """WITH tx AS (
+_TX = """tx0 AS (
   SELECT conv_id AS transcript_id,
          'Topic: conversation ' || CAST(conv_id AS VARCHAR) || '<|>Prompt: reply<|>'
          || string_agg('[2024-01-01 00:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ':00] ' || role || ': ' || text,
                        '<|>' ORDER BY turn) || '<|>' AS text
-  FROM conversations GROUP BY conv_id),
-pp AS (SELECT transcript_id, j.i - 1 AS pos, trim(string_split(text, '<|>')[j.i]) AS part
+  FROM conversations GROUP BY conv_id)"""
+
+# Parts with their place, and the place of the first one with both brackets.
+_PARTS = """pp AS (SELECT transcript_id, j.i - 1 AS pos, string_split(text, '<|>')[j.i] AS part
        FROM tx, range(1, len(string_split(text, '<|>')) + 1) AS j(i)),
-pn AS (SELECT * FROM pp WHERE part <> ''),
-fm AS (SELECT transcript_id, min(pos) FILTER (WHERE starts_with(part, '[')) AS f FROM pn GROUP BY ALL),
-pf AS (SELECT pn.*, fm.f, fm.f IS NOT NULL AND pn.pos >= fm.f AS is_msg FROM pn JOIN fm USING (transcript_id))
-SELECT transcript_id, CAST(pos AS INTEGER) AS pos, 'header' AS kind, trim(split_part(part, ':', 1)) AS key,
-       trim(substr(part, instr(part, ':') + 1)) AS value
-FROM pf WHERE NOT is_msg AND contains(part, ':')
+pf AS (SELECT *, min(CASE WHEN contains(part, '[') AND contains(part, ']') THEN pos END) OVER (PARTITION BY transcript_id) AS f FROM pp)"""
+
+ORACLE["transcript_split"] = f"""WITH {_TX},
+tx AS (SELECT * FROM tx0 UNION ALL SELECT transcript_id + 1000000000, translate(text, '[]', '') FROM tx0
+       UNION ALL SELECT transcript_id + 2000000000, replace(text, '[2024-01-01 00:00:00] ', ' ') FROM tx0),
+{_PARTS}
+SELECT transcript_id, CAST(pos AS INTEGER) AS pos, 'header' AS kind, {_strip("split_part(part, ':', 1)")} AS key,
+       {_strip("substr(part, instr(part, ':') + 1)")} AS value, {_strip('part')} AS line
+FROM pf WHERE (f IS NULL OR pos < f) AND contains(part, ':')
 UNION ALL
 SELECT transcript_id, CAST(pos AS INTEGER), 'message',
-       CASE WHEN regexp_extract(part, '(?s)^\\[([^\\]]*)\\] ([^:]*): (.*)$', 2) = 'assistant' THEN 'Me'
-            ELSE regexp_extract(part, '(?s)^\\[([^\\]]*)\\] ([^:]*): (.*)$', 2) END,
-       regexp_extract(part, '(?s)^\\[([^\\]]*)\\] ([^:]*): (.*)$', 3)
-FROM pf WHERE is_msg AND regexp_matches(part, '^\\[[^\\]]*\\] [^:]*: ')"""
+       {_strip("regexp_replace(replace(split_part(part, ': ', 1), 'assistant', 'Me'), '^[[:space:]]*[[][^]]*[]]', '')")},
+       {_strip("substr(part, instr(part, ': ') + 2)")},
+       replace(split_part(part, ': ', 1), 'assistant', 'Me') || ': ' || {_strip("substr(part, instr(part, ': ') + 2)")}
+FROM pf WHERE (f IS NULL OR pos >= f) AND contains(part, ': ')"""
+
+ORACLE["transcript_messages"] = f"""WITH {_TX}, tx AS (SELECT * FROM tx0),
+{_PARTS},
+h AS (SELECT transcript_id, string_agg({_strip('part')}, chr(10) ORDER BY pos) AS h FROM pf WHERE pos < f AND contains(part, ':') GROUP BY ALL),
+c AS (SELECT transcript_id, string_agg(replace(split_part(part, ': ', 1), 'assistant', 'Me') || ': ' || {_strip("substr(part, instr(part, ': ') + 2)")},
+             chr(10) ORDER BY pos) AS c FROM pf WHERE pos >= f AND contains(part, ': ') GROUP BY ALL)
+SELECT transcript_id, 'Here is a conversation topic that you can begin conversation about with people. Make sure to respond to current conversation, '
+       || 'and only use this as a guideline if there hasn''t been any conversation yets. [BEGIN TOPIC METADATA]' || chr(10) || h || chr(10) || '[END TOPIC METADATA].' AS system_message,
+       'Current conversation:' || chr(10) || c || chr(10) || '[2024-02-01 00:00:00] Me: ' AS user_message
+FROM h JOIN c USING (transcript_id)"""
 
 ORACLE["filter_reasons_notebook"] = f"""WITH {examples_ctes(M_CONV, min_ts=7, banned=('GamePigeon message:',))}
 SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, reject_reason FROM xr"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake.functions.text import py_strip
+from chatlake.operators.deal import staged
 
 # Fixed values of the text-export format.
 EXPORT_TS_RE = r"[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}\s+[0-9]{1,2}:[0-9]{2}:[0-9]{2} [AP]M"
@@ -57,47 +58,40 @@ def dense_numbers(df: DataFrame, key: list[str], chunk: str, order: list[str], o
     """1-based dense numbers per ``key`` in ``(chunk, *order)`` order.
 
     Rows are ranked inside each ``(key, chunk)`` and offset by the row counts
-    of the earlier chunks of the key (a small per-chunk table), so a key
-    holding a large share of the rows is numbered by many tasks.
+    of the earlier chunks of the key (a small per-chunk table, read off each
+    chunk's last row), so a key holding a large share of the rows is numbered
+    by many tasks.
     """
-    per = df.groupBy(*key, chunk).agg(F.count(F.lit(1)).alias("_n"))
-    ws = W.partitionBy(*key).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(ws), F.lit(0))).drop("_n")
     wl = W.partitionBy(*key, chunk).orderBy(*order)
-    return df.join(per, [*key, chunk]).withColumn(out, F.col("_off") + F.row_number().over(wl)).drop("_off")
+    ranked = df.withColumn("_rn", F.row_number().over(wl)).withColumn("_last", F.lead(F.lit(True)).over(wl).isNull())
+    ws = W.partitionBy(*key).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    per = ranked.filter("_last").select(*key, chunk, "_rn").withColumn("_off", F.coalesce(F.sum("_rn").over(ws), F.lit(0))).drop("_rn")
+    return ranked.join(per, [*key, chunk]).withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_last")
 
 
 LINE_BUCKET = 1 << 16   # lines per scan bucket in record assembly
 
 
+def _with_halo(lv: DataFrame, n: int, n_prev: int = 0, bucket: int | None = None) -> DataFrame:
+    """Lines with their bucket ``_lb``; a bucket also gets the ``n`` lines after it and the ``n_prev`` before it (``_own`` false)."""
+    bucket = bucket or LINE_BUCKET
+    at, pos = F.floor(F.col("line_no") / bucket), F.col("line_no") % bucket
+    also = [F.when(pos < n, at - 1), F.when(pos >= bucket - n_prev, at + 1)]
+    own = lv.withColumn("_home", at).withColumn("_lb", F.explode(F.array_compact(F.array(at, *also))))
+    return own.withColumn("_own", F.col("_lb") == F.col("_home")).drop("_home")
+
+
 def _next_lines(lv: DataFrame, key: list[str], n: int, col: str = "v", n_prev: int = 0) -> DataFrame:
     """Add ``_next1.._next{n}`` (and ``_prev1.._prev{n_prev}``) of ``col``
     without whole-file windows.
 
-    Lines are bucketed by ``line_no``; inside a bucket a window gives the
-    neighbours, and the few lines at a bucket edge look theirs up in the
-    adjacent bucket by an equi-join on the line number (numbers are dense,
-    so ``line_no + k`` names the line exactly).
+    Lines are bucketed by their dense ``line_no``; each bucket also gets the
+    few lines next to it, so one window per bucket sees all neighbours.
     """
-    b = lv.withColumn("_lb", F.floor(F.col("line_no") / LINE_BUCKET))
     w = W.partitionBy(*key, "_lb").orderBy("line_no")
     cols = [F.lead(col, k).over(w).alias(f"_next{k}") for k in range(1, n + 1)] + \
            [F.lag(col, k).over(w).alias(f"_prev{k}") for k in range(1, n_prev + 1)]
-    b = b.select("*", *cols)
-    pos = F.col("line_no") % LINE_BUCKET
-    edge = (pos >= LINE_BUCKET - n) | (pos < n_prev)
-    src = b.filter((pos < n) | (pos >= LINE_BUCKET - n_prev)).select(*key, F.col("line_no").alias("_el"),
-                                                                      F.col(col).alias("_ev"))
-    fix = b.filter(edge)
-    for k in range(1, n + 1):
-        h = src.select(*key, (F.col("_el") - k).alias("line_no"), F.col("_ev").alias("_fix"))
-        fix = fix.join(h, [*key, "line_no"], "left").withColumn(f"_next{k}", F.coalesce(f"_next{k}", "_fix")) \
-            .drop("_fix")
-    for k in range(1, n_prev + 1):
-        h = src.select(*key, (F.col("_el") + k).alias("line_no"), F.col("_ev").alias("_fix"))
-        fix = fix.join(h, [*key, "line_no"], "left").withColumn(f"_prev{k}", F.coalesce(f"_prev{k}", "_fix")) \
-            .drop("_fix")
-    return b.filter(~edge).unionByName(fix).drop("_lb")
+    return _with_halo(lv, n, n_prev).select("*", *cols).filter("_own").drop("_own")
 
 
 def parse_export_ts(c: Column) -> Column:
@@ -124,35 +118,33 @@ def assemble_records(lines: DataFrame, source: str = "imessage") -> DataFrame:
     lv = lines.select(*key, "line_no", py_strip(F.col("value")).alias("v"))
     lv = _next_lines(lv, key, 3, "v", n_prev=2)
     is_ts = lambda c: F.coalesce(F.col(c).rlike(f"^({EXPORT_TS_RE})"), F.lit(False))
-    lv = lv.withColumn("ts_txt", F.regexp_extract("v", f"^({EXPORT_TS_RE})", 1)) \
-        .withColumnRenamed("_next1", "sender").withColumnRenamed("_next2", "content") \
-        .withColumnRenamed("_next3", "after")
     start = ~is_ts("_prev1") & ~is_ts("_prev2")
-    alone = start & ~is_ts("sender") & ~is_ts("content")
-    tsl = lv.filter(F.col("ts_txt") != "").withColumn("_alone", alone).withColumn("_start", start)
+    stamped = lv.withColumn("ts_txt", F.regexp_extract("v", f"^({EXPORT_TS_RE})", 1)).filter(F.col("ts_txt") != "") \
+        .select(*key, "_lb", "line_no", "ts_txt", F.col("_next1").alias("sender"), F.col("_next2").alias("content"), F.col("_next3").alias("after"),
+                (start & ~is_ts("_next1") & ~is_ts("_next2")).alias("_alone"), F.when(start, F.col("line_no")).alias("_cs"))
+    stamped = staged(stamped)  # read three times
     # A lone timestamp line starts a record.  Lines of longer clusters (rare)
     # go through the greedy fold: a cluster starts where no timestamp line is
     # 1 or 2 lines earlier; each line belongs to the latest start at or before
     # it (running max per line bucket, carried across buckets by a small table).
-    single = tsl.filter("_alone").drop("_alone", "_start")
-    multi = tsl.filter(~F.col("_alone")).select(*key, "line_no", F.when(F.col("_start"), F.col("line_no")).alias("_cs"))
-    t2 = multi.withColumn("_lb", F.floor(F.col("line_no") / LINE_BUCKET))
+    rec = ["line_no", "ts_txt", "sender", "content", "after"]
+    single = stamped.filter("_alone").select(*key, *rec)
     wb = W.partitionBy(*key, "_lb").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    t2 = t2.withColumn("_cl", F.max("_cs").over(wb))
+    t2 = stamped.filter(~F.col("_alone")).withColumn("_cl", F.max("_cs").over(wb))
     carry = t2.groupBy(*key, "_lb").agg(F.max("_cs").alias("_bmax"))
     wc = W.partitionBy(*key).orderBy("_lb").rowsBetween(W.unboundedPreceding, -1)
     carry = carry.withColumn("_carry", F.max("_bmax").over(wc)).drop("_bmax")
     t2 = t2.join(carry, [*key, "_lb"], "left").withColumn("_cl", F.coalesce("_cl", "_carry"))
+    lines_of = F.array_sort(F.collect_list(F.struct(*rec)))
     fold = F.aggregate(
-        F.array_sort(F.collect_list("line_no")),
-        F.struct(F.lit(-10).cast("long").alias("last"), F.array().cast("array<long>").alias("starts")),
-        lambda acc, p: F.when(p - acc["last"] >= 3,
-                              F.struct(p.alias("last"), F.concat(acc["starts"], F.array(p)).alias("starts")))
+        lines_of, F.struct(F.lit(-10).cast("long").alias("last"), F.array().cast("array<long>").alias("starts")),
+        lambda acc, p: F.when(p["line_no"] - acc["last"] >= 3,
+                              F.struct(p["line_no"].alias("last"), F.concat(acc["starts"], F.array(p["line_no"])).alias("starts")))
                         .otherwise(acc),
         lambda acc: acc["starts"])
-    starts = t2.groupBy(*key, "_cl").agg(fold.alias("s")).select(*key, F.explode("s").alias("line_no"))
-    rec = single.unionByName(tsl.join(starts, [*key, "line_no"], "inner").drop("_alone", "_start")) \
-        .filter(F.col("content").isNotNull())
+    starts = t2.groupBy(*key, "_cl").agg(fold.alias("s"), lines_of.alias("_rows")) \
+        .select(*key, F.inline(F.filter("_rows", lambda x: F.array_contains(F.col("s"), x["line_no"]))))
+    rec = single.unionByName(starts).filter(F.col("content").isNotNull())
     is_reply = F.coalesce(F.col("after") == REPLY_LINE, F.lit(False))
     system = F.lit(False)
     for p in SYSTEM_PREFIXES:
@@ -221,9 +213,18 @@ def messenger_messages(threads: DataFrame, me: str, owner_id: str = "me") -> Dat
 
 
 def participant_frequency(threads: DataFrame) -> DataFrame:
-    """How many threads each participant is in, least frequent first."""
-    return threads.select(F.explode("participants").alias("participant")).groupBy("participant") \
-        .agg(F.count(F.lit(1)).alias("n_threads"))
+    """How many threads each participant is in; ``rank`` 1 is the least frequent, ties by name."""
+    n = threads.select(F.explode("participants").alias("participant")).groupBy("participant").agg(F.count(F.lit(1)).alias("n_threads"))
+    # Dense numbers in the order of (count, name), counted per count, so that no task ranks all names.
+    return dense_numbers(n.withColumn("_all", F.lit(0)), ["_all"], "n_threads", ["participant"], "rank") \
+        .select("participant", "n_threads", F.col("rank").cast("long"))
+
+
+def require_participant(threads: DataFrame, me: str) -> None:
+    """An error that names some participants, the least frequent first, if ``me`` is in no thread."""
+    if threads.filter(F.array_contains("participants", me)).limit(1).count() == 0:
+        known = [r.participant for r in participant_frequency(threads).orderBy("n_threads", "participant").limit(100).collect()]
+        raise ValueError(f"{me!r} is in no thread; participants: {', '.join(known)}")
 
 
 # --------------------------------------------------------------------------
@@ -242,7 +243,7 @@ DISCORD_SCHEMA = T.StructType([
 def read_discord(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*_page_*.json`` page; the pages of a folder form one thread."""
     return (spark.read.schema(DISCORD_SCHEMA).option("multiLine", "true")
-            .option("pathGlobFilter", "*_page_*.json").option("recursiveFileLookup", "true").json(path)
+            .option("pathGlobFilter", "*_page_*.json").option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
             .withColumn("file_path", F.col("_metadata.file_path"))
             .withColumn("_mid", F.monotonically_increasing_id()))
 
@@ -339,27 +340,54 @@ def read_metadata(spark: SparkSession, path: str, owner_id: str = "me") -> DataF
 def split_transcripts(transcripts: DataFrame, admin_name: str) -> DataFrame:
     """Pasted ``<|>``-separated transcripts -> header fields and messages.
 
-    ``transcripts``: ``(transcript_id, text)``.  Parts before the first
-    ``[``-bracketed part that hold ``:`` are header fields (``key: value``);
-    later parts of the form ``[ts] speaker: message`` are messages, with the
-    admin renamed to ``Me``; malformed or empty parts are skipped.
+    ``transcripts``: ``(transcript_id, text)``.  The conversation begins with
+    the first part that holds both brackets.  Parts before it that hold ``:``
+    are header fields (``key: value``).  From there on, every part that holds
+    ``: `` is a message; the admin's name before it becomes ``Me``, ``key`` is
+    the speaker without the bracketed time.  Other parts are skipped.  A text
+    without brackets is header and conversation at once, so a part may give a
+    row of each kind.  ``line`` is the row as the prompt shows it.
     """
-    p = transcripts.select("transcript_id", F.posexplode(F.split("text", r"<\|>")).alias("pos", "part")) \
-        .withColumn("part", F.trim("part")).filter(F.col("part") != "")
-    first_msg = p.filter(F.col("part").startswith("[")).groupBy("transcript_id").agg(F.min("pos").alias("_fm"))
-    p = p.join(first_msg, "transcript_id", "left")
-    is_msg = F.col("_fm").isNotNull() & (F.col("pos") >= F.col("_fm"))
-    hdr = p.filter(~is_msg & F.col("part").contains(":")).select(
-        "transcript_id", "pos", F.lit("header").alias("kind"),
-        F.trim(F.split("part", ":", 2)[0]).alias("key"), F.trim(F.split("part", ":", 2)[1]).alias("value"))
-    m = p.filter(is_msg & F.col("part").rlike(r"^\[[^\]]*\] [^:]*: "))
-    head = F.regexp_extract("part", r"(?s)^\[([^\]]*)\] ([^:]*): (.*)$", 2)
-    msgs = m.select("transcript_id", "pos", F.lit("message").alias("kind"),
-                    F.when(head == admin_name, F.lit("Me")).otherwise(head).alias("key"),
-                    F.regexp_extract("part", r"(?s)^\[([^\]]*)\] ([^:]*): (.*)$", 3).alias("value"))
+    p = transcripts.select("transcript_id", F.split("text", r"<\|>").alias("parts"))
+    first = F.array_position(F.transform("parts", lambda x: x.contains("[") & x.contains("]")), True) - 1
+    p = p.withColumn("_first", first).select("transcript_id", "_first", F.posexplode("parts").alias("pos", "part"))
+    bracketed = F.col("_first") >= 0
+    hdr = p.filter((~bracketed | (F.col("pos") < F.col("_first"))) & F.col("part").contains(":")) \
+        .select("transcript_id", "pos", F.lit("header").alias("kind"), py_strip(F.substring_index("part", ":", 1)).alias("key"),
+                py_strip(F.expr("substring(part, instr(part, ':') + 1)")).alias("value"), py_strip(F.col("part")).alias("line"))
+    said = p.filter((~bracketed | (F.col("pos") >= F.col("_first"))) & F.col("part").contains(": "))
+    head = F.substring_index("part", ": ", 1)
+    head = F.replace(head, F.lit(admin_name), F.lit("Me")) if admin_name else head
+    said = said.withColumn("head", head).withColumn("value", py_strip(F.expr("substring(part, instr(part, ': ') + 2)")))
+    msgs = said.select("transcript_id", "pos", F.lit("message").alias("kind"),
+                       py_strip(F.regexp_replace("head", r"^\s*\[[^\]]*\]", "")).alias("key"), "value", F.concat("head", F.lit(": "), "value").alias("line"))
     return hdr.unionByName(msgs)
 
 
+# Texts around a pasted topic and conversation.
+TOPIC_MESSAGE = ("Here is a conversation topic that you can begin conversation about with people. Make sure to respond to current "
+                 "conversation, and only use this as a guideline if there hasn't been any conversation yets. [BEGIN TOPIC METADATA]\n"
+                 "{metadata}\n[END TOPIC METADATA].")
+CURRENT_MESSAGE = "Current conversation:\n{conversation}\n[{now}] Me: "
+
+
+def transcript_messages(transcripts: DataFrame, admin_name: str, now: str) -> DataFrame:
+    """``(transcript_id, system_message, user_message)`` of each transcript; ``now`` stamps the reply that is asked for."""
+    rows = split_transcripts(transcripts, admin_name)
+
+    def joined(kind: str) -> Column:
+        own = F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "line")))
+        return F.array_join(F.transform(F.array_sort(own), lambda x: x["line"]), "\n")
+
+    text = transcripts.select("transcript_id").join(rows.groupBy("transcript_id").agg(joined("header").alias("h"), joined("message").alias("c")), "transcript_id", "left")
+
+    def around(template: str, field: str, column: str) -> Column:
+        before, after = template.replace("{now}", now).split("{" + field + "}")
+        return F.concat(F.lit(before), F.coalesce(F.col(column), F.lit("")), F.lit(after))
+
+    return text.select("transcript_id", around(TOPIC_MESSAGE, "metadata", "h").alias("system_message"), around(CURRENT_MESSAGE, "conversation", "c").alias("user_message"))
+
+
 #: Entries differ in their keys, also by case only, so they are read as maps; nested values are JSON text.
 MEMORY_ENTRIES = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 MEMORY_BANK_SCHEMA = T.StructType([T.StructField(name, MEMORY_ENTRIES) for name in (
@@ -368,5 +396,5 @@ MEMORY_BANK_SCHEMA = T.StructType([T.StructField(name, MEMORY_ENTRIES) for name
 
 def read_memory_bank(spark: SparkSession, path: str) -> DataFrame:
     """Memory bank JSON files with an explicit schema (one row per bank); see ``normalize_bank``."""
-    return (spark.read.schema(MEMORY_BANK_SCHEMA).option("multiLine", "true").json(path)
+    return (spark.read.schema(MEMORY_BANK_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
             .withColumn("owner_id", _file_stem(F.col("_metadata.file_path"))))
