@@ -4,29 +4,31 @@ duplication and prompt/completion projection (T17-T24).
 The time-spaced subset is a greedy walk: newest row first, then repeatedly
 the newest row at least ``gap`` older than the last pick.  On the distinct
 timestamps this is a chain ``t -> next(t) = max{t' <= t - gap}`` started at
-the newest timestamp.  It is computed without collecting any group:
-
-1. ``next`` is an as-of lookup done per time bucket of width ``gap``: the
-   answer lies in the previous bucket (a windowed running max over that
-   bucket's rows) or is the newest timestamp of an older bucket (a running
-   max over the small per-bucket table).
-2. The first ``size`` chain links are found by pointer doubling: after
-   round k the pick set holds positions ``< 2^(k+1)`` and the jump table
-   maps ``t`` to ``next^(2^(k+1))(t)``; each round is two joins, and both
-   tables are checkpointed together (one job) to keep the lineage short.
-
-All ladder specs run in the same rounds (the spec is part of every key).
+the newest timestamp.  It is computed in one way for groups of any size:
+
+1. Time is cut into buckets of width ``gap``.  A bucket holds one pick at
+   most, so the first ``size`` picks lie in the newest ``2 * size`` buckets
+   that hold rows; these are put together into spans of about ``SPAN_NODES``
+   timestamps.
+2. Each span is summed up in its own task: for every timestamp at which the
+   walk can come in, how many picks it makes there and where it leaves.
+   Walks that come together have one entry.
+3. A walk over the summaries of a group, newest first, jumps over a span in
+   one step and says where each span is entered.
+4. Each span then walks from its own entry.
+
+All ladder specs run together (the spec is part of every key).
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from chatlake.session import ensure_checkpoint_dir
+from chatlake.operators.deal import join_dealt, sized, staged
 
 
 @dataclass(frozen=True)
@@ -47,123 +49,121 @@ DUPLICATION = {"B25": 4, "B50": 2, "B100": 2, "B250": 1, "B500": 1, "B1k": 1,
 VALIDATION = SubsetSpec("validation", 200, 1)
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _checkpoint_pair(picks: DataFrame, jump: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Write both round tables in one job (tagged union), then split them."""
-    both = picks.select(*keys, "t", F.col("size").cast("long").alias("a"), F.col("pos").cast("long").alias("b"),
-                        F.lit(0).alias("tag")).unionByName(
-        jump.select(*keys, "t", F.col("nxt").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(1).alias("tag")))
-    both = _checkpoint(both)
-    p = both.filter(F.col("tag") == 0).select(*keys, "t", F.col("a").cast("int").alias("size"),
-                                               F.col("b").cast("int").alias("pos"))
-    j = both.filter(F.col("tag") == 1).select(*keys, "t", F.col("a").alias("nxt"))
-    return p, j
-
-
-def _next_pointers(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, gap_us, t) -> nxt``: newest ``t' <= t - gap_us`` with ``t' > 0``."""
-    b = F.floor(F.col("t") / F.col("gap_us"))
-    n = nodes.withColumn("b", b)
-    cand = n.filter(F.col("t") > 0)
-    q = n.select(*keys, "gap_us", "b", (F.col("t") - F.col("gap_us")).alias("k"), F.lit(1).alias("typ"),
-                 F.col("t"), F.lit(None).cast("long").alias("cand"))
-    c = cand.select(*keys, "gap_us", (F.col("b") + 1).alias("b"), F.col("t").alias("k"), F.lit(0).alias("typ"),
-                    F.lit(None).cast("long").alias("t"), F.col("t").alias("cand"))
-    wa = W.partitionBy(*keys, "b").orderBy("k", "typ").rowsBetween(W.unboundedPreceding, W.currentRow)
-    part_a = q.unionByName(c).withColumn("a", F.max("cand").over(wa)).filter(F.col("typ") == 1) \
-        .select(*keys, "b", "t", "a")
-    bm = cand.groupBy(*keys, "b").agg(F.max("t").alias("bmax"))
-    wb = W.partitionBy(*keys).orderBy("b").rangeBetween(W.unboundedPreceding, -2)
-    older = n.select(*keys, "b").distinct().join(bm, [*keys, "b"], "full") \
-        .withColumn("older", F.max("bmax").over(wb)).select(*keys, "b", "older")
-    return part_a.join(older, [*keys, "b"], "left") \
-        .select(*keys, "t", F.greatest("a", "older").alias("nxt"))
-
-
-def _prune_buckets(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep only timestamps that can be among the first ``size`` picks.
-
-    With buckets of width ``gap``, the pick after ``p`` (bucket B) is either in
-    bucket B-1 or, when none there is old enough, the newest timestamp of the
-    next older non-empty bucket: a step never passes over two non-empty
-    buckets.  So the first ``size`` picks lie in the newest ``2 * size``
-    non-empty buckets.  The ranking runs over the small bucket table.
-    """
-    b = nodes.withColumn("_b", F.floor(F.col("t") / F.col("gap_us")))
-    buckets = b.select(*keys, "size", "_b").distinct()
-    w = W.partitionBy(*keys).orderBy(F.col("_b").desc())
-    keep = buckets.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2 * F.col("size")) \
-        .select(*keys, "_b")
-    return b.join(keep, [*keys, "_b"], "left_semi").drop("_b")
+SPAN_NODES = 1 << 20   # timestamps that a span holds, about: whole buckets, one at least
 
 
-SMALL_GROUP = 200_000   # distinct timestamps a group may have for the in-task walk
+def span_steps(asc, gap: int):
+    """For each timestamp of a span, ascending, as a pick: how many picks follow it there, itself included, and
+    the latest time that the next pick, outside of the span, can have."""
+    import numpy as np
 
+    nxt = np.searchsorted(asc, asc - gap, side="right") - 1
+    here = np.arange(len(asc))
+    last, count, jump = here.copy(), np.ones(len(asc), np.int64), nxt.copy()
+    while (jump >= 0).any():  # doubled steps: from each pick to the last one of its walk
+        some = jump >= 0
+        to = jump[some]
+        count[some] += count[to]
+        last[some] = last[to]
+        jump[some] = jump[to]
+    return count, asc[last] - gap
 
-def _walk_small(keys: list[str]):
-    """applyInPandas body: the greedy walk of one (spec, group) in numpy.
 
-    Only used for groups whose node count was checked to be at most
-    ``SMALL_GROUP``; each step is one binary search, ``size`` steps at most.
-    """
-    def run(pdf):
+def _pack_span(keys: list[str]):
+    """One row for each span: its timestamps, and the entries at which walks part."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        asc = np.sort(table["t"].to_numpy())
+        gap = table["gap_us"][0].as_py()
+        count, leaves = span_steps(asc, gap)
+        # A walk comes in at the newest bucket, or, where nothing there is old enough, at the newest timestamp below it.
+        first = int(np.searchsorted(asc, asc[-1] // gap * gap))
+        enter = np.arange(max(first - 1, 0), len(asc))
+        parts = np.append(True, (np.diff(count[enter]) != 0) | (np.diff(leaves[enter]) != 0))
+        at = enter[parts]
+        low = asc[at].tolist()
+        if enter[0] == 0:
+            low[0] = asc[0].item()
+        out = {k: table[k].slice(0, 1) for k in keys}
+        return pa.table(out | {"sb": table["sb"].slice(0, 1), "gap_us": table["gap_us"].slice(0, 1), "size": table["size"].slice(0, 1), "nodes": pa.array([asc.tobytes()], pa.binary()),
+                               "low": pa.array([low], pa.list_(pa.int64())), "n": pa.array([count[at].tolist()], pa.list_(pa.int64())),
+                               "leaves": pa.array([leaves[at].tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _jump_spans(keys: list[str]):
+    """mapInArrow body over summaries sorted by key and span: where each span is entered, and after how many picks."""
+
+    def run(batches: Iterator):
+        import bisect
+
+        import pyarrow as pa
+
+        group, until, done = None, None, 0
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in (*keys, "size", "low", "n", "leaves")}
+            entry, pos = [], []
+            for i in range(batch.num_rows):
+                now = tuple(cols[k][i] for k in keys)
+                if now != group:
+                    group, until, done = now, None, 0   # the walk begins at the newest timestamp
+                low = cols["low"][i]
+                at = len(low) - 1 if until is None else bisect.bisect_right(low, until) - 1
+                inside = done < cols["size"][i] and at >= 0
+                entry.append(until if until is not None else (1 << 63) - 1)
+                pos.append(done if inside else None)
+                if inside:
+                    until, done = cols["leaves"][i][at], done + cols["n"][i][at]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("sb"), pa.array(entry, pa.int64()), pa.array(pos, pa.int64())],
+                                             [*keys, "sb", "entry", "start"])
+
+    return run
+
+
+def _walk_spans(keys: list[str]):
+    """mapInArrow body over spans with their entry: the picks of each."""
+
+    def run(batches: Iterator):
         import numpy as np
-        import pandas as pd
-
-        asc = np.sort(pdf["t"].to_numpy(dtype=np.int64))
-        gap, size = int(pdf["gap_us"].iloc[0]), int(pdf["size"].iloc[0])
-        picks = [int(asc[-1])]
-        while len(picks) < size:
-            i = int(np.searchsorted(asc, picks[-1] - gap, side="right")) - 1
-            if i < 0 or asc[i] <= 0:
-                break
-            picks.append(int(asc[i]))
-        out = pd.DataFrame({"t": picks, "pos": np.arange(len(picks), dtype=np.int32)})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "t", "pos"]]
+        import pyarrow as pa
+
+        for batch in batches:
+            row, t, pos = [], [], []
+            for i, (nodes, gap, size, until, done) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("nodes", "gap_us", "size", "entry", "start")])):
+                asc = np.frombuffer(nodes, dtype=np.int64)
+                at = int(np.searchsorted(asc, until, side="right")) - 1
+                while at >= 0 and done < size:
+                    row.append(i)
+                    t.append(int(asc[at]))
+                    pos.append(done)
+                    done, at = done + 1, int(np.searchsorted(asc, asc[at] - gap, side="right")) - 1
+            took = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(took) for k in keys], pa.array(t, pa.int64()), pa.array(pos, pa.int32())], [*keys, "t", "pos"])
+
     return run
 
 
-def _chain(nodes: DataFrame, keys: list[str], sizes: dict[str, int]) -> DataFrame:
-    """Greedy picks; small groups walk in one task, large ones use doubling."""
-    counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    small = nodes.join(counts.filter(F.col("_n") <= SMALL_GROUP).select(*keys), keys, "left_semi")
-    large = nodes.join(counts.filter(F.col("_n") > SMALL_GROUP).select(*keys), keys, "left_semi")
-    schema = ", ".join([f"{k} {nodes.schema[k].dataType.simpleString()}" for k in keys] + ["t long", "pos int"])
-    out = small.select(*keys, "gap_us", "size", "t").groupBy(*keys).applyInPandas(_walk_small(keys), schema)
-    if large.limit(1).count() > 0:      # one scalar check, no rows to the driver
-        out = out.unionByName(_chain_doubling(large, keys, sizes))
-    return out
-
-
-def _chain_doubling(nodes: DataFrame, keys: list[str], sizes: dict[str, int]) -> DataFrame:
-    """Greedy picks ``(keys, t, pos)`` per key group; ``nodes`` has ``size``."""
-    jump = _checkpoint(_next_pointers(nodes, keys).filter(F.col("nxt").isNotNull()))
-    picks = nodes.groupBy(*keys).agg(F.max("t").alias("t"), F.first("size").alias("size")) \
-        .withColumn("pos", F.lit(0))
-    max_size = max(sizes.values() or [0])
-    rounds = math.ceil(math.log2(max_size)) if max_size > 1 else 0
-    for k in range(rounds):
-        step = 1 << k
-        ext = picks.join(jump, [*keys, "t"]).filter(F.col("pos") + step < F.col("size")) \
-            .select(*keys, F.col("nxt").alias("t"), "size", (F.col("pos") + step).alias("pos"))
-        picks = picks.unionByName(ext)
-        if k + 1 < rounds:
-            # Specs whose picks are complete after this round leave the jump table.
-            live = [name for name, size in sizes.items() if size > (2 << k)]
-            jump = jump.filter(F.col("subset_name").isin(live))
-            a, b2 = jump.alias("a"), jump.alias("b")
-            cond = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in keys] + [F.col("a.nxt") == F.col("b.t")]
-            jump = a.join(b2, cond).select(*[F.col(f"a.{x}") for x in keys], F.col("a.t"), F.col("b.nxt"))
-            picks, jump = _checkpoint_pair(picks, jump, keys)
-        else:
-            picks = _checkpoint(picks)
-    return picks.select(*keys, "t", "pos")
+def greedy_picks(nodes: DataFrame, keys: list[str], span_nodes: int | None = None) -> DataFrame:
+    """``(keys, t, pos)`` of the greedy walk over the distinct timestamps ``nodes`` ``(keys, gap_us, size, t)`` of each key."""
+    span_nodes = span_nodes or SPAN_NODES
+    kinds = ", ".join(f"`{k}` {nodes.schema[k].dataType.simpleString()}" for k in keys)
+    nodes = nodes.withColumn("b", F.floor(F.col("t") / F.col("gap_us")))
+    newest = W.partitionBy(*keys).orderBy(F.col("b").desc())
+    spans = nodes.groupBy(*keys, "size", "b").agg(F.count("*").alias("n")) \
+        .withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= 2 * F.col("size")) \
+        .withColumn("sb", F.floor((F.sum("n").over(newest.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")) / span_nodes)) \
+        .select(*keys, "b", "sb")
+    dealt = join_dealt(nodes, staged(spans), [*keys, "b"], "t").select(*keys, "sb", "gap_us", "size", "t")
+    packed = staged(dealt.groupBy(*keys, "sb").applyInArrow(
+        _pack_span(keys), f"{kinds}, sb long, gap_us long, size int, nodes binary, low array<long>, n array<long>, leaves array<long>"))
+    summary = packed.select(*keys, "sb", "size", "low", "n", "leaves").repartition(*keys).sortWithinPartitions(*keys, "sb")
+    entries = staged(summary.mapInArrow(_jump_spans(keys), f"{kinds}, sb long, entry long, start long").filter("start is not null"))
+    return packed.select(*keys, "sb", "gap_us", "size", "nodes").join(sized(entries), [*keys, "sb"]) \
+        .mapInArrow(_walk_spans(keys), f"{kinds}, t long, pos int")
 
 
 def spaced_subsets(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -174,48 +174,47 @@ def spaced_subsets(df: DataFrame, group_cols: list[str], order_cols: list[str],
     tail specs take the newest ``size`` rows.  Ties on the timestamp are
     broken by ``order_cols`` (the first row in that order represents the
     timestamp).  Adds ``subset_name``, ``picked`` and ``pos`` (ascending
-    time order inside the subset).
+    time order inside the subset).  Rows travel whole, so pass key columns
+    and join the rest to the result.
     """
-    rows = df.withColumn("t", F.unix_micros(F.col(ts_col).cast("timestamp")))
-    counts = rows.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    gs = None
-    for s in specs:  # loop over the fixed spec list (config), not over data
-        gap = int(round(s.gap_hours * 3600e6)) if s.gap_hours else None
-        g = counts.filter(F.col("_n") >= s.size).select(
-            *group_cols, F.lit(s.name).alias("subset_name"), F.lit(s.size).alias("size"),
-            F.lit(gap).cast("long").alias("gap_us"))
-        gs = g if gs is None else gs.unionByName(g)
+    names = df.columns
     keys = ["subset_name", *group_cols]
-    rk = F.struct(*order_cols)
-
-    spaced = gs.filter(F.col("gap_us").isNotNull())
-    distinct_t = rows.groupBy(*group_cols, "t").agg(F.min(rk).alias("_rk"))
-    # Written once: the pruned nodes feed the as-of lookup four times.
-    nodes = _checkpoint(_prune_buckets(distinct_t.join(spaced, group_cols).select(*keys, "gap_us", "size", "t"), keys))
-    picks = _chain(nodes, keys, {s.name: s.size for s in specs if s.gap_hours})
-    reps = distinct_t.join(picks, [*group_cols, "t"]).select(*keys, "t", "_rk", F.lit(True).alias("picked"))
-
-    # Fill (spaced, short chains) and tail-N: newest rows not yet picked.
-    cand = rows.withColumn("_rk", rk).join(gs, group_cols)
-    cand = cand.join(reps.select(*keys, "_rk"), [*keys, "_rk"], "left_anti")
-    n_picked = reps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
-    cand = cand.join(n_picked, keys, "left").withColumn("_np", F.coalesce("_np", F.lit(0)))
-    # Newest-first rank per (spec, group); the literal bound lets Spark keep
-    # only the top rows of every partition before the shuffle.
-    wn = W.partitionBy(*keys).orderBy(F.col("t").desc(), *[F.col(c) for c in order_cols])
-    wt = W.partitionBy(*keys).orderBy(F.col("t").desc(), *[F.col(c).desc() for c in order_cols])
-    max_spaced = max([s.size for s in specs if s.gap_hours] or [1])
-    max_tail = max([s.size for s in specs if not s.gap_hours] or [1])
-    fill = cand.filter(F.col("gap_us").isNotNull()).withColumn("_r", F.row_number().over(wn)) \
-        .filter(F.col("_r") <= max_spaced).filter(F.col("_r") <= F.col("size") - F.col("_np"))
-    tail = cand.filter(F.col("gap_us").isNull()).withColumn("_r", F.row_number().over(wt)) \
-        .filter(F.col("_r") <= max_tail).filter(F.col("_r") <= F.col("size"))
-    filled = fill.unionByName(tail).select(*keys, "_rk", F.lit(False).alias("picked"))
-    chosen = reps.select(*keys, "_rk", "picked").unionByName(filled)
-    out = rows.withColumn("_rk", rk).join(chosen, [*group_cols, "_rk"]) \
-        .withColumn("pos", F.row_number().over(
-            W.partitionBy(*keys).orderBy("t", *order_cols)) - 1)
-    return out.drop("_rk", "t")
+    rows = df.select(F.struct(*names).alias("row"), *group_cols, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"),
+                     F.struct(*order_cols).alias("rk"))
+    most = max(s.size for s in specs)
+    # The newest rows, and with them how many a group has (up to the largest size).
+    late = W.partitionBy(*group_cols).orderBy(F.col("t").desc_nulls_last(), F.col("rk").desc())
+    top = rows.withColumn("r", F.row_number().over(late)).filter(F.col("r") <= most)
+    top = staged(top.withColumn("_n", F.count("*").over(W.partitionBy(*group_cols))))
+    each = F.explode(F.array(*[F.struct(F.lit(s.name).alias("subset_name"), F.lit(s.size).alias("size"), F.lit(int(round(s.gap_hours * 3600e6)) if s.gap_hours else None)
+                                        .cast("long").alias("gap_us")) for s in specs])).alias("s")
+    wanted = top.filter("r = 1").select(*group_cols, "_n", F.col("t").alias("_newest"), each).select(*group_cols, "_n", "_newest", "s.*") \
+        .filter(F.col("_n") >= F.col("size")).drop("_n")
+    wanted = staged(wanted)
+    tails = top.join(sized(wanted.filter("gap_us is null")), group_cols).filter(F.col("r") <= F.col("size")) \
+        .select(*keys, "row", "t", "rk", F.lit(False).alias("picked"))
+    spaced = [s.size for s in specs if s.gap_hours]
+    if spaced:
+        stamps = staged(rows.filter("t is not null").groupBy(*group_cols, "t").agg(F.min(F.struct("rk", "row")).alias("first")))
+        gaps = sized(wanted.filter("gap_us is not null"))
+        nodes = stamps.join(gaps, group_cols).filter((F.col("t") > 0) | (F.col("t") == F.col("_newest"))).select(*keys, "gap_us", "size", "t")
+        picks = staged(greedy_picks(nodes, keys))
+        reps = stamps.join(sized(picks.select(*keys, "t")), [*group_cols, "t"]) \
+            .select(*keys, "first.row", "t", "first.rk", F.lit(True).alias("picked"))
+        # Short walks are filled with the newest rows not picked: these are among the newest ``size``.
+        new = W.partitionBy(*group_cols).orderBy(F.col("t").desc_nulls_last(), "rk")
+        fill = rows.withColumn("r", F.row_number().over(new)).filter(F.col("r") <= max(spaced))
+        taken = picks.groupBy(*keys).agg(F.count("*").alias("n_picked"))
+        fill = fill.join(gaps, group_cols).filter(F.col("r") <= F.col("size")).join(sized(staged(taken)), keys).filter(F.col("n_picked") < F.col("size"))
+        stamp = stamps.join(sized(picks.select(*keys, "t")), [*group_cols, "t"]).select(*keys, F.col("first.rk").alias("rk"), F.lit(True).alias("_p"))
+        fill = fill.join(sized(staged(stamp)), [*keys, "rk"], "left").filter(F.col("_p").isNull())
+        left = W.partitionBy(*keys).orderBy("r")
+        fill = fill.withColumn("_f", F.row_number().over(left)).filter(F.col("_f") <= F.col("size") - F.col("n_picked")) \
+            .select(*keys, "row", "t", "rk", F.lit(False).alias("picked"))
+        tails = tails.unionByName(reps).unionByName(fill)
+    in_time = W.partitionBy(*keys).orderBy("t", "rk")
+    out = tails.withColumn("pos", F.row_number().over(in_time) - 1)
+    return out.select(*[F.col(f"row.{c}").alias(c) for c in names], "subset_name", "picked", "pos")
 
 
 def tail_subset(df: DataFrame, group_cols: list[str], order_cols: list[str], size: int,
@@ -228,16 +227,12 @@ def tail_subset(df: DataFrame, group_cols: list[str], order_cols: list[str], siz
 def validation_split(df: DataFrame, subsets: DataFrame, group_cols: list[str], order_cols: list[str],
                      spec: SubsetSpec = VALIDATION, ts_col: str = "ts") -> DataFrame:
     """Rows whose timestamp is in no subset, spaced; all of them if fewer."""
-    used = subsets.select(*group_cols, ts_col).distinct()
-    # Written once: the candidates feed several joins of the spaced walk.
-    cand = _checkpoint(df.join(used, [*group_cols, ts_col], "left_anti"))
-    n = cand.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    big = cand.join(n.filter(F.col("_n") >= spec.size), group_cols, "left_semi")
-    small = cand.join(n.filter(F.col("_n") < spec.size), group_cols, "left_semi")
-    picked = spaced_subsets(big, group_cols, order_cols, [spec], ts_col)
-    rest = small.withColumn("subset_name", F.lit(spec.name)).withColumn("picked", F.lit(False)) \
-        .withColumn("pos", F.row_number().over(
-            W.partitionBy(*group_cols).orderBy(ts_col, *order_cols)) - 1)
+    used = staged(subsets.select(*group_cols, ts_col).distinct())  # at most the subsets' sizes a group
+    left = staged(df.join(sized(used), [*group_cols, ts_col], "left_anti"))
+    small = sized(staged(left.groupBy(*group_cols).agg(F.count("*").alias("_n")).filter(F.col("_n") < spec.size).drop("_n")))
+    picked = spaced_subsets(left, group_cols, order_cols, [spec], ts_col)
+    rest = left.join(small, group_cols, "left_semi").withColumn("subset_name", F.lit(spec.name)).withColumn("picked", F.lit(False)) \
+        .withColumn("pos", F.row_number().over(W.partitionBy(*group_cols).orderBy(ts_col, *order_cols)) - 1)  # fewer than ``size``
     return picked.unionByName(rest)
 
 
