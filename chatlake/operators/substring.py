@@ -21,8 +21,8 @@ from chatlake.operators.deal import staged
 
 #: Bytes of a gram: at most 8, the size of an integer.
 GRAM = 8
-#: Bits of the table that tasks get: 2 MB, never more.
-TABLE_BITS = 24
+#: Bits of the table that tasks get: 512 KB, never more.
+TABLE_BITS = 22
 #: Bytes of text that a task works on at a time.
 SLICE_BYTES = 1 << 20
 #: Shares that the texts of each gram are dealt into, so that a gram of a third of all texts has no task to itself.
@@ -31,31 +31,24 @@ SHARES = 16
 _GRAMS = "array<struct<size: int, gram: long>>"
 
 
-def grams_of(column: pa.Array, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, size, gram) of every run of ``size`` bytes of each text, for each of ``sizes``; nulls have none."""
+def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 8 bytes from each place of the texts' bytes on, as integers, and where each text begins; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
-    row = np.repeat(np.arange(len(column)), np.diff(at))
-    room = at[row + 1] - np.arange(len(data))  # bytes to the end of the text
-    found, value = [], np.zeros(len(data), np.uint64)
-    for size in range(1, max(sizes, default=0) + 1):
-        here = max(len(data) - size + 1, 0)
-        value[:here] |= data[size - 1:].astype(np.uint64) << np.uint64(8 * (size - 1))
-        if size in sizes:
-            some = np.flatnonzero(room >= size)
-            found.append((row[some], np.full(len(some), size, np.int32), value[some].copy()))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    row, size, gram = (np.concatenate(x) for x in zip(*found))
-    return row, size, gram.view(np.int64)
-
-
-def _bit(size: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    mix = (gram.view(np.uint64) + size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mix >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data),), np.dtype("<u8"), padded.data, 0, (1,)).copy(), at - at[0]
+
+
+def _cut(value: np.ndarray, size: int) -> np.ndarray:
+    return value if size == 8 else value & np.uint64((1 << (8 * size)) - 1)
+
+
+def _bit(size: int, gram: np.ndarray) -> np.ndarray:
+    mix = (gram + np.uint64(size * 0x632BE59BD9B4E019 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix >> np.uint64(64 - TABLE_BITS)).view(np.int64)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -73,10 +66,13 @@ def phrase_grams(phrases: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 1):
-            length = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            row, size, gram = grams_of(batch.column(1), list(range(1, GRAM + 1)))
-            own = size == np.minimum(length[row], GRAM)
-            found = np.unique(np.stack([row[own], size[own], gram[own]]), axis=1)
+            value, at = windows(batch.column(1))
+            length = np.diff(at)
+            row = np.repeat(np.arange(len(length)), length)
+            size = np.minimum(length, GRAM)
+            own = np.flatnonzero(at[row + 1] - np.arange(len(value)) >= size[row])
+            gram = value[own] & (~np.uint64(0) >> (8 * (8 - size[row[own]])).astype(np.uint64))
+            found = np.unique(np.stack([row[own], size[row[own]], gram.view(np.int64)]), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0])), pa.array(found[1].astype(np.int32)), pa.array(found[2])], ["pid", "size", "gram"])
 
     return phrases.select("pid", "phrase").mapInArrow(run, "pid long, size int, gram long")
@@ -88,8 +84,10 @@ def _bit_table(grams: DataFrame) -> tuple[bytes, list[int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
         for batch in batches:
-            place = _bit(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+            size, gram = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for k in np.unique(size):
+                place = _bit(int(k), gram[size == k].view(np.uint64))
+                np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
         some = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bits[some].astype(np.int32))], ["at", "bits"])
 
@@ -105,12 +103,18 @@ def _bits(table: bytes) -> np.ndarray:
 
 def _held(column: pa.Array, table: np.ndarray, sizes: list[int]) -> np.ndarray:
     """Distinct (row, size, gram) of the texts' grams that the table has, as columns sorted by row."""
-    row, size, gram = grams_of(column, sizes)
-    some = np.flatnonzero(table[_bit(size, gram)])
-    row, size, gram = row[some], size[some], gram[some]
-    order = np.lexsort((gram, size, row))
-    both = np.stack([row[order], size[order], gram[order]])
-    return both[:, np.append(True, (np.diff(both) != 0).any(axis=0))] if len(order) else both
+    value, at = windows(column)
+    found = [np.zeros((3, 0), np.int64)]
+    for size in sizes:
+        gram = _cut(value, size)
+        place = np.flatnonzero(table[_bit(size, gram)])
+        row = np.searchsorted(at, place, side="right") - 1
+        inside = place + size <= at[row + 1]
+        kinds, kind = np.unique(gram[place[inside]], return_inverse=True)
+        key = np.unique(row[inside] * max(len(kinds), 1) + kind)
+        found.append(np.stack([key // max(len(kinds), 1), np.full(len(key), size), kinds[key % max(len(kinds), 1)].view(np.int64)]))
+    both = np.concatenate(found, axis=1)
+    return both[:, np.argsort(both[0], kind="stable")]
 
 
 def substring_join(texts: DataFrame, phrases: DataFrame, text: str, phrase: str, on: list[str] | None = None) -> DataFrame:
@@ -134,9 +138,10 @@ def substring_join(texts: DataFrame, phrases: DataFrame, text: str, phrase: str,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _bits(sent.value)
         for batch in _slices(batches, 0):
-            held = _held(batch.column(0), bits, sizes)[1:]
-            kind, n = np.unique(held, axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kind[0].astype(np.int32)), pa.array(kind[1]), pa.array(n)], ["size", "gram", "n"])
+            _, size, gram = _held(batch.column(0), bits, sizes)
+            for k in np.unique(size):
+                kind, n = np.unique(gram[size == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind), k, np.int32)), pa.array(kind), pa.array(n)], ["size", "gram", "n"])
 
     counts = texts.select(text).mapInArrow(count, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
     # A phrase with a gram that no text has occurs nowhere; the others go by their rarest gram.
