@@ -153,6 +153,10 @@ def conversation_summary(turns: DataFrame, banned: list[str] | None = None) -> D
     )
 
 
+# Fixed values: (conversations, least turns, most turns) of the stores that the pipeline and the notebooks make.
+STORE_PRESETS = {"retrieval": (1000, 15, 75), "memory": (8000, 5, 500), "notebook_retrieval": (500, 15, 75), "notebook_memory": (6000, 5, 300)}
+
+
 def conversation_store(turns: DataFrame, num: int | None = 1000, min_turns: int | None = 15,
                        max_turns: int | None = 75, banned: list[str] | None = None) -> DataFrame:
     """Newest conversations within turn bounds and without banned words.

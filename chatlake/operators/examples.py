@@ -53,12 +53,24 @@ class FilterConfig:
     max_timestamps: int = 35
     max_words: int = 50
     min_timestamps: int = 3          # reject when prompt timestamps <= this
+    enabled: tuple[str, ...] = tuple(REASONS)   # the others never reject
 
 
 # Pipeline preset and the notebook preset (one banned string, > 7 stamps).
 DEFAULT_FILTERS = FilterConfig()
 NOTEBOOK_FILTERS = FilterConfig(banned=("GamePigeon message:",), min_timestamps=7)
 
+# The documented dataset levels, each with the filters of the ones before it.
+_LEVEL_45K = ("filtered_strings", "contains_url", "excessive_repetition")
+_LEVEL_25K = _LEVEL_45K + ("too_many_speakers", "emoji_only", "too_many_messages", "long_messages_input", "long_messages_output",
+                           "too_little_messages_input")
+LEVELS = {
+    "60k": FilterConfig(banned=("GamePigeon message:",), enabled=()),
+    "45k": FilterConfig(banned=("GamePigeon message:",), enabled=_LEVEL_45K),
+    "25k": FilterConfig(banned=("GamePigeon message:",), enabled=_LEVEL_25K, max_timestamps=30, min_timestamps=1),
+    "15k": FilterConfig(banned=("GamePigeon message:",), enabled=_LEVEL_25K, max_timestamps=30, min_timestamps=7),
+}
+
 
 def eligible_targets(turns: DataFrame) -> DataFrame:
     """Owner turns that are not blank, not only a delimiter, not replies."""
@@ -170,14 +182,28 @@ def _history_features(feat: DataFrame) -> DataFrame:
     return f.select("*", *out).drop(*drop)
 
 
+def _history_speakers(turns: DataFrame, buffer: int, most: int) -> DataFrame:
+    """Per conversation: its first ``most + 1`` speakers besides the owner with the turn of their first line, and
+    those of the ``buffer`` conversations before it.  That many are enough to tell whether there are over ``most``."""
+    line = _line(F.col("ts"), F.col("speaker"), F.col("content"))
+    said = turns.select(*CONV, "turn_idx", F.explode(F.filter(tx.line_speakers(line), lambda s: s != "Me")).alias("who"))
+    first = said.groupBy(*CONV, "who").agg(F.min("turn_idx").alias("turn"))
+    few = first.withColumn("_r", F.row_number().over(W.partitionBy(*CONV).orderBy("turn", "who"))).filter(F.col("_r") <= most + 1)
+    own = few.groupBy(*CONV).agg(F.array_sort(F.collect_list(F.struct("turn", "who"))).alias("_own"))
+    if not buffer:
+        return own.withColumn("_prior", F.lit(None).cast("array<string>"))
+    # Each conversation's speakers go to the ``buffer`` conversations after it, whether these have speakers or not.
+    later = few.withColumn("conv_no", F.explode(F.sequence(F.col("conv_no") + 1, F.col("conv_no") + buffer))) \
+        .groupBy(*CONV).agg(F.collect_set("who").alias("_prior"))
+    return own.join(later, CONV, "full")
+
+
 def example_features(turns: DataFrame, buffer: int = 0,
                      cfg: FilterConfig = DEFAULT_FILTERS) -> DataFrame:
     """One row per target turn with its ``reject_reason``.
 
-    ``reject_reason`` is NULL for examples that pass every filter.
+    ``reject_reason`` is NULL for examples that pass every enabled filter.
     """
-    if cfg.max_speakers != 1:   # the history keeps the least and the greatest speaker: enough for one, not for more
-        raise ValueError("max_speakers: only 1 is supported")
     feat = turn_features(turns, cfg)
     h = _history_features(feat)
     ex = eligible_targets(h)
@@ -192,6 +218,12 @@ def example_features(turns: DataFrame, buffer: int = 0,
     n_ts = F.col("h_ts") + F.coalesce(F.col("p_ts"), F.lit(0)) + 1   # +1: the target stub
     spk_lo = F.least("h_spk_lo", "p_spk_lo")
     spk_hi = F.greatest("h_spk_hi", "p_spk_hi")
+    many = F.coalesce(spk_lo != spk_hi, F.lit(False))
+    if cfg.max_speakers != 1:   # the least and the greatest speaker tell one from several, not how many
+        ex = ex.join(_history_speakers(turns, buffer, cfg.max_speakers), CONV, "left")
+        own = F.transform(F.filter(F.col("_own"), lambda x: x["turn"] < F.col("turn_idx")), lambda x: x["who"])
+        known = F.array_union(F.coalesce(own, F.array()), F.coalesce("_prior", F.array()))
+        many = F.size(known) > cfg.max_speakers
     in_delim = F.coalesce(F.greatest("h_delim", "p_delim"), F.lit(0))
     in_words = F.coalesce(F.greatest("h_words", "p_words"), F.lit(0))
     checks = [
@@ -202,7 +234,7 @@ def example_features(turns: DataFrame, buffer: int = 0,
         ("too_many_consecutive_msgs_output", tx.max_delims_per_line(out) > cfg.max_delims),
         ("contains_url", tx.contains_any_ci(out, list(cfg.url_patterns))),
         ("excessive_repetition", tx.max_word_repeat(out, list(cfg.stop_words)) > cfg.max_repeats),
-        ("too_many_speakers", F.coalesce(spk_lo != spk_hi, F.lit(False))),
+        ("too_many_speakers", many),
         ("emoji_only", tx.is_emoji_only(out)),
         ("too_many_messages", n_ts > cfg.max_timestamps),
         ("long_messages_input", in_words > cfg.max_words),
@@ -211,7 +243,8 @@ def example_features(turns: DataFrame, buffer: int = 0,
     ]
     reason = F.lit(None).cast("string")
     for name, cond in reversed(checks):
-        reason = F.when(cond, F.lit(name)).otherwise(reason)
+        if name in cfg.enabled:
+            reason = F.when(cond, F.lit(name)).otherwise(reason)
     return ex.select(*EX_KEY, "ts", F.col("content").alias("output"), reason.alias("reject_reason"))
 
 

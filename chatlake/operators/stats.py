@@ -128,6 +128,21 @@ def conversation_tokens(turns: DataFrame, limit: int = TOKEN_LIMIT, counter=word
         .withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def corpus_tokens(per_conversation: DataFrame) -> DataFrame:
+    """Conversations, tokens and conversations over the limit per owner, and of all (``owner_id`` null).
+
+    ``per_conversation``: :func:`conversation_tokens`; its rows over the limit are the warnings.
+    """
+    return per_conversation.rollup("owner_id").agg(
+        F.count("*").alias("n_conversations"), F.sum("n_tokens").alias("total_tokens"), F.max("n_tokens").alias("longest"),
+        F.count_if("over_limit").alias("n_over_limit"))
+
+
+def over_limit(per_conversation: DataFrame) -> DataFrame:
+    """The conversations over the limit."""
+    return per_conversation.filter("over_limit").drop("over_limit")
+
+
 def status_counts(df: DataFrame, status_col: str = "status") -> DataFrame:
     """Rows per status (kept / dropped / taken ...)."""
     return df.groupBy(status_col).agg(F.count(F.lit(1)).alias("n"))

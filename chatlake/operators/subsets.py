@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from chatlake.operators.deal import join_dealt, sized, staged
+from chatlake.sources.exports import dense_numbers
 
 
 @dataclass(frozen=True)
@@ -236,6 +237,26 @@ def validation_split(df: DataFrame, subsets: DataFrame, group_cols: list[str], o
     return picked.unionByName(rest)
 
 
+def dataset_rows(examples: DataFrame, specs: list[SubsetSpec] | None = None, validation: SubsetSpec = VALIDATION) -> DataFrame:
+    """T17-T22 end to end: every set of a dataset run, as rows ``(subset_name, pos, *examples)``.
+
+    ``full`` holds all examples by time, then come the subsets of ``specs`` and the validation rows, whose
+    timestamps are in no subset; ``pos`` is the place in the set, by time, ties in key order.
+    """
+    specs = LADDER if specs is None else specs
+    key = ["thread_id", "conv_no", "turn_idx"]
+    examples = staged(examples)
+    light = examples.select("owner_id", *key, "ts")
+    ladder = staged(spaced_subsets(light, ["owner_id"], key, specs))
+    valid = validation_split(light, ladder, ["owner_id"], key, validation)
+    day = light.withColumn("_day", F.date_format("ts", "yyyyMMdd"))
+    full = dense_numbers(day, ["owner_id"], "_day", ["ts", *key], "_n").withColumn("pos", (F.col("_n") - 1).cast("int")) \
+        .withColumn("subset_name", F.lit("full"))
+    cols = ["subset_name", "pos", "owner_id", *key]
+    chosen = full.select(*cols).unionByName(ladder.select(*cols)).unionByName(valid.select(*cols))
+    return chosen.join(examples, ["owner_id", *key])
+
+
 def duplicate_rows(subsets: DataFrame, factors: dict[str, int] | None = None) -> DataFrame:
     """Repeat each subset row by its subset's factor (``copy`` = 1..f)."""
     factors = DUPLICATION if factors is None else factors

@@ -66,6 +66,28 @@ def msgs_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def msgs_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations``, ten to a thread and close in time, with texts altered by id so that every filter meets some."""
+    c, k, th = F.col("conv_id"), F.col("turn"), F.floor(F.col("conv_id") / 10)
+    mine, short = F.col("role") == "assistant", F.substring("text", 1, 40)
+    pieces, face = F.lit("a <|msg|> " * 21), "\U0001F600"
+    base = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    content = F.when((th % 6 == 0) & (c % 10 == 9) & (k == 2), F.concat(F.lit("gamepigeon MESSAGE: "), "text")) \
+        .when((th % 6 == 1) & (c % 10 == 8) & (k == 2), F.concat(pieces, short)) \
+        .when((th % 6 == 4) & (c % 10 == 5), F.col("text")) \
+        .when((th % 6 == 5) & (c % 10 == 9) & mine, F.concat(F.lit("see "), pieces, F.lit("b"))) \
+        .when(mine & (c % 10 == 2), "ok fine") \
+        .when(mine & (c % 10 == 1), "\u3000".join([face] * 3)) \
+        .when(mine & (c % 10 == 3), F.concat(F.lit("see WWW.x.com "), short)) \
+        .when(mine & (c % 10 == 4), "dog " * 16 + "and cat") \
+        .otherwise(short)
+    return table(spark, sf_dir, "conversations").select(
+        F.lit("mixed").alias("owner_id"), th.cast("string").alias("thread_id"), (c * 100 + k).alias("seq"),
+        F.timestamp_seconds(F.unix_seconds(base) + c * 3600 + k * 60).alias("ts"),
+        F.when(mine, "Me").when((th % 6 == 2) & (c % 10 == 5), "guest").when((th % 6 == 2) & (c % 10 == 6), "third").otherwise(F.col("role")).alias("speaker"),
+        content.alias("content"), F.lit(False).alias("is_reply"), F.lit(None).cast("string").alias("reply_info"), F.lit("conversations").alias("source"))
+
+
 def phone_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(

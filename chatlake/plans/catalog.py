@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from chatlake.operators import conversations as conv
 from chatlake.plans import adapters as ad
+from chatlake.sources import sinks as snk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -52,6 +53,12 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _export_path(spark: SparkSession, name: str) -> str:
+    from chatlake.session import ensure_checkpoint_dir
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{name}-{uuid.uuid4().hex}"
+
+
 def events_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(conv.merge_turns(ad.msgs_events(spark, sf_dir)))
 
@@ -78,6 +85,24 @@ def q_conversation_store_recent(spark, sf_dir):
     return finish(store.select("owner_id", "thread_id", "conv_no", "n_turns", "last_ts", "store_rank"))
 
 
+@register("conversation_store_memory")
+def q_conversation_store_memory(spark, sf_dir):
+    """The memory store, written as files and read back."""
+    turns = events_turns(spark, sf_dir)
+    num, least, most = conv.STORE_PRESETS["memory"]
+    path = _export_path(spark, "store")
+    snk.write_store(turns, conv.conversation_store(turns, num, least, most), path)
+    return finish(snk.read_conversations_json(spark, path))
+
+
+@register("conversations_round_trip")
+def q_conversations_round_trip(spark, sf_dir):
+    """All parsed conversations, written as files and read back as turns."""
+    path = _export_path(spark, "conversations")
+    snk.write_conversations_json(conv_turns(spark, sf_dir), path)
+    return finish(snk.read_conversations_json(spark, path).drop("store_rank"))
+
+
 # --------------------------------------------------------------------------
 # Training examples
 # --------------------------------------------------------------------------
@@ -106,6 +131,28 @@ def q_filter_stats(spark, sf_dir):
     return exm.filter_stats(exm.example_features(events_turns(spark, sf_dir)))
 
 
+def mixed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(conv.merge_turns(ad.msgs_mixed(spark, sf_dir)))
+
+
+@register("filter_reasons_mixed")
+def q_filter_reasons_mixed(spark, sf_dir):
+    f = exm.example_features(mixed_turns(spark, sf_dir))
+    return finish(f.select(*exm.EX_KEY, "ts", "reject_reason"))
+
+
+@register("filter_stats_mixed")
+def q_filter_stats_mixed(spark, sf_dir):
+    return exm.filter_stats(exm.example_features(mixed_turns(spark, sf_dir)))
+
+
+@register("filter_two_speakers")
+def q_filter_two_speakers(spark, sf_dir):
+    """Up to two speakers besides the owner, with the conversation before as context."""
+    f = exm.example_features(mixed_turns(spark, sf_dir), buffer=1, cfg=exm.FilterConfig(max_words=400, max_speakers=2))
+    return finish(f.select(*exm.EX_KEY, "ts", "reject_reason"))
+
+
 @register("history_examples")
 def q_history_examples(spark, sf_dir):
     e = exm.build_examples(events_turns(spark, sf_dir))
@@ -181,6 +228,43 @@ def q_prompt_completion(spark, sf_dir):
     return sub.prompt_completion(e)
 
 
+DATASET_SPECS = [sub.SubsetSpec("S5", 5, 24), sub.SubsetSpec("S20", 20, 4), sub.SubsetSpec("T40", 40, None), sub.SubsetSpec("T100k", 100_000, None)]
+DATASET_VALIDATION = sub.SubsetSpec("validation", 15, 1)
+DATASET_FACTORS = {"full": 1, "S5": 4, "S20": 2, "T40": 1, "validation": 1}
+
+
+def _dataset(spark, sf_dir):
+    """Turns, examples, filters, sets: a whole run on the conversations."""
+    cfg = exm.FilterConfig(max_words=200, min_timestamps=1)
+    return sub.dataset_rows(exm.build_examples(conv_turns(spark, sf_dir), cfg=cfg), DATASET_SPECS, DATASET_VALIDATION)
+
+
+@register("dataset_export")
+def q_dataset_export(spark, sf_dir):
+    """Every set of a run, written as files and read back."""
+    path = _export_path(spark, "dataset")
+    snk.write_dataset(_dataset(spark, sf_dir), path)
+    return snk.read_dataset(spark, path)
+
+
+@register("dataset_prompts")
+def q_dataset_prompts(spark, sf_dir):
+    """The same run as duplicated prompt/completion lines, written and read back."""
+    path = _export_path(spark, "prompts")
+    snk.write_prompt_completion(_dataset(spark, sf_dir), path, DATASET_FACTORS)
+    return snk.read_prompt_completion(spark, path)
+
+
+@register("dataset_levels")
+def q_dataset_levels(spark, sf_dir):
+    """How many examples each documented level keeps and rejects, by reason, without prior context and with it."""
+    turns, out = conv_turns(spark, sf_dir), None
+    for level, cfg in exm.LEVELS.items():
+        n = exm.example_features(turns, cfg=cfg).groupBy("reject_reason").agg(F.count("*").alias("n")).withColumn("level", F.lit(level))
+        out = n if out is None else out.unionByName(n)
+    return out.select("level", "reject_reason", "n")
+
+
 # --------------------------------------------------------------------------
 # Token statistics
 # --------------------------------------------------------------------------
@@ -215,6 +299,17 @@ def q_token_summary(spark, sf_dir):
     return finish(st.token_summary(_stat_examples(spark, sf_dir)))
 
 
+@register("corpus_tokens")
+def q_corpus_tokens(spark, sf_dir):
+    per = st.conversation_tokens(conv_turns(spark, sf_dir), limit=1000)
+    return st.corpus_tokens(per)
+
+
+@register("over_limit_conversations")
+def q_over_limit_conversations(spark, sf_dir):
+    return st.over_limit(st.conversation_tokens(conv_turns(spark, sf_dir), limit=1000))
+
+
 @register("over_limit")
 def q_over_limit(spark, sf_dir):
     return st.conversation_tokens(conv_turns(spark, sf_dir))

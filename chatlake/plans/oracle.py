@@ -86,6 +86,14 @@ ORACLE["conversation_store_recent"] = f"""WITH {store_ctes(M_EVENTS, 1000, 2, 75
 SELECT owner_id, thread_id, conv_no, n_turns, strftime(last_ts, {TS_FMT}) AS last_ts, store_rank FROM store"""
 
 
+ORACLE["conversation_store_memory"] = f"""WITH {store_ctes(M_EVENTS, 8000, 5, 500)}
+SELECT t.owner_id, t.thread_id, t.conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, speaker, content, is_reply, reply_info, n_msgs, store_rank
+FROM t JOIN store USING (owner_id, thread_id, conv_no)"""
+
+ORACLE["conversations_round_trip"] = f"""WITH {turns_ctes(M_CONV)}
+SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, speaker, content, is_reply, reply_info, n_msgs FROM t"""
+
+
 # --------------------------------------------------------------------------
 # Training examples: whole-prompt text rules
 # --------------------------------------------------------------------------
@@ -122,7 +130,13 @@ def _contains_any(x: str, needles) -> str:
     return "(" + " OR ".join(f"contains(lower({x}), {_q(n.lower())})" for n in needles) + ")"
 
 
-def reason_sql(max_words: int = 50, min_ts: int = 3, banned=tuple(_tx.EXAMPLE_BANNED_STRINGS)) -> str:
+ALL_REASONS = ("filtered_strings", "too_short", "too_many_consecutive_msgs_input", "too_many_consecutive_msgs_output",
+               "contains_url", "excessive_repetition", "too_many_speakers", "emoji_only", "too_many_messages",
+               "long_messages_input", "long_messages_output", "too_little_messages_input")
+
+
+def reason_sql(max_words: int = 50, min_ts: int = 3, banned=tuple(_tx.EXAMPLE_BANNED_STRINGS), enabled=ALL_REASONS,
+               max_ts: int = 35, max_speakers: int = 1) -> str:
     stop = ", ".join(_q(w) for w in _tx.STOP_WORDS)
     rep = (f"(SELECT coalesce(max(cnt), 0) FROM (SELECT count(*) AS cnt FROM "
            f"unnest(regexp_extract_all(lower(output), {_q(NONWS)})) AS u(w) WHERE w NOT IN ({stop}) GROUP BY w))")
@@ -130,20 +144,22 @@ def reason_sql(max_words: int = 50, min_ts: int = 3, banned=tuple(_tx.EXAMPLE_BA
            f"lambda l: contains(l, '] ') AND contains(l, ': ')), "
            f"lambda l: split_part(string_split(l, '] ')[2], ': ', 1)), lambda s: s <> 'Me')))")
     nts = f"len(regexp_extract_all(input, {_q(TSRE)}))"
-    return f"""CASE
-  WHEN {_contains_any('input', banned)} OR {_contains_any('output', banned)} THEN 'filtered_strings'
-  WHEN {_n_words('output')} <= 2 THEN 'too_short'
-  WHEN {_max_delims('input')} > 20 THEN 'too_many_consecutive_msgs_input'
-  WHEN {_max_delims('output')} > 20 THEN 'too_many_consecutive_msgs_output'
-  WHEN {_contains_any('output', _tx.URL_PATTERNS)} THEN 'contains_url'
-  WHEN {rep} > 15 THEN 'excessive_repetition'
-  WHEN {spk} > 1 THEN 'too_many_speakers'
-  WHEN regexp_replace(regexp_replace(output, {_q(STRIP)}, '', 'g'), {_q(EMOJI)}, '', 'g') = '' THEN 'emoji_only'
-  WHEN {nts} > 35 THEN 'too_many_messages'
-  WHEN coalesce({_max_piece_words('input')}, 0) > {max_words} THEN 'long_messages_input'
-  WHEN coalesce({_max_piece_words('output')}, 0) > {max_words} THEN 'long_messages_output'
-  WHEN {nts} <= {min_ts} THEN 'too_little_messages_input'
-END"""
+    rules = {
+        "filtered_strings": f"{_contains_any('input', banned)} OR {_contains_any('output', banned)}",
+        "too_short": f"{_n_words('output')} <= 2",
+        "too_many_consecutive_msgs_input": f"{_max_delims('input')} > 20",
+        "too_many_consecutive_msgs_output": f"{_max_delims('output')} > 20",
+        "contains_url": _contains_any('output', _tx.URL_PATTERNS),
+        "excessive_repetition": f"{rep} > 15",
+        "too_many_speakers": f"{spk} > {max_speakers}",
+        "emoji_only": f"regexp_replace(regexp_replace(output, {_q(STRIP)}, '', 'g'), {_q(EMOJI)}, '', 'g') = ''",
+        "too_many_messages": f"{nts} > {max_ts}",
+        "long_messages_input": f"coalesce({_max_piece_words('input')}, 0) > {max_words}",
+        "long_messages_output": f"coalesce({_max_piece_words('output')}, 0) > {max_words}",
+        "too_little_messages_input": f"{nts} <= {min_ts}",
+    }
+    cases = "".join(f"\n  WHEN {rules[r]} THEN '{r}'" for r in ALL_REASONS if r in enabled)
+    return f"CASE{cases}\nEND" if cases else "CAST(NULL AS VARCHAR)"
 
 
 SYSTEM_PROMPT_SQL = _q("You are a human being named Me. You are not an AI. Respond as yourself. "
@@ -151,7 +167,7 @@ SYSTEM_PROMPT_SQL = _q("You are a human being named Me. You are not an AI. Respo
 
 
 def examples_ctes(m_cte: str, buffer: int = 0, max_words: int = 50, min_ts: int = 3,
-                  banned=tuple(_tx.EXAMPLE_BANNED_STRINGS)) -> str:
+                  banned=tuple(_tx.EXAMPLE_BANNED_STRINGS), max_speakers: int = 1) -> str:
     """``m`` -> ``xr``: every target with its full prompt text and reason."""
     fmt = f"strftime(ts, {TS_FMT})"
     prior = "''"
@@ -179,8 +195,25 @@ x AS (SELECT h.owner_id, h.thread_id, h.conv_no, h.turn_idx, h.ts,
       FROM h {join}
       WHERE speaker = 'Me' AND NOT is_reply
         AND regexp_replace(content, {_q(STRIP)}, '', 'g') NOT IN ('', '<|msg|>')),
-xr AS (SELECT *, {reason_sql(max_words, min_ts, banned)} AS reject_reason FROM x)"""
-
+xr AS (SELECT *, {reason_sql(max_words, min_ts, banned, max_speakers=max_speakers)} AS reject_reason FROM x)"""
+
+
+M_MIXED = """m0 AS (SELECT conv_id AS c, turn AS k, conv_id // 10 AS th, role, text FROM conversations),
+m AS (
+  SELECT 'mixed' AS owner_id, CAST(th AS VARCHAR) AS thread_id, c * 100 + k AS seq,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds(c * 3600 + k * 60) AS ts,
+         CASE WHEN role = 'assistant' THEN 'Me' WHEN th % 6 = 2 AND c % 10 = 5 THEN 'guest' WHEN th % 6 = 2 AND c % 10 = 6 THEN 'third' ELSE role END AS speaker,
+         CASE WHEN th % 6 = 0 AND c % 10 = 9 AND k = 2 THEN 'gamepigeon MESSAGE: ' || text
+              WHEN th % 6 = 1 AND c % 10 = 8 AND k = 2 THEN repeat('a <|msg|> ', 21) || left(text, 40)
+              WHEN th % 6 = 4 AND c % 10 = 5 THEN text
+              WHEN th % 6 = 5 AND c % 10 = 9 AND role = 'assistant' THEN 'see ' || repeat('a <|msg|> ', 21) || 'b'
+              WHEN role = 'assistant' AND c % 10 = 2 THEN 'ok fine'
+              WHEN role = 'assistant' AND c % 10 = 1 THEN chr(128512) || chr(12288) || chr(128512) || chr(12288) || chr(128512)
+              WHEN role = 'assistant' AND c % 10 = 3 THEN 'see WWW.x.com ' || left(text, 40)
+              WHEN role = 'assistant' AND c % 10 = 4 THEN repeat('dog ', 16) || 'and cat'
+              ELSE left(text, 40) END AS content,
+         false AS is_reply, CAST(NULL AS VARCHAR) AS reply_info
+  FROM m0)"""
 
 REASON_ORDER = ["filtered_strings", "too_short", "too_many_consecutive_msgs_input",
                 "too_many_consecutive_msgs_output", "contains_url", "excessive_repetition",
@@ -200,6 +233,18 @@ SELECT CAST(r.ord AS INTEGER) AS ord, r.reject_reason,
        CAST((SELECT count(*) FROM xr WHERE xr.reject_reason = r.reject_reason) AS BIGINT) AS removed
 FROM r"""
 
+ORACLE["filter_reasons_mixed"] = f"""WITH {examples_ctes(M_MIXED)}
+SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, reject_reason FROM xr"""
+
+ORACLE["filter_stats_mixed"] = f"""WITH {examples_ctes(M_MIXED)},
+r(ord, reject_reason) AS (VALUES {_REASON_VALUES})
+SELECT CAST(r.ord AS INTEGER) AS ord, r.reject_reason,
+       CAST((SELECT count(*) FROM xr WHERE xr.reject_reason = r.reject_reason) AS BIGINT) AS removed
+FROM r"""
+
+ORACLE["filter_two_speakers"] = f"""WITH {examples_ctes(M_MIXED, buffer=1, max_words=400, max_speakers=2)}
+SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, reject_reason FROM xr"""
+
 ORACLE["history_examples"] = f"""WITH {examples_ctes(M_EVENTS)}
 SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, instruction, input, output
 FROM xr WHERE reject_reason IS NULL"""
@@ -308,6 +353,42 @@ f(subset_name, factor) AS (VALUES ('B25', 4), ('B50', 2), ('B100', 2), ('B250',
 SELECT l.subset_name, l.owner_id, l.seq, CAST(g.copy AS INTEGER) AS copy
 FROM ladder l JOIN f USING (subset_name), generate_series(1, f.factor) AS g(copy)"""
 
+_DATASET_SPECS = [("S5", 5, 24), ("S20", 20, 4), ("T40", 40, None), ("T100k", 100000, None)]
+_dlad, _ = ladder_sql(_DATASET_SPECS)
+_dvb, _dvs = subset_ctes("vc", "validation", 15, 1)
+_DATASET = f"""{examples_ctes(M_CONV, max_words=200, min_ts=1)},
+r AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (ORDER BY thread_id, conv_no, turn_idx) AS seq FROM xr WHERE reject_reason IS NULL),
+{_dlad},
+used AS (SELECT DISTINCT r.owner_id, r.ts FROM ladder l JOIN r USING (owner_id, seq)),
+vc AS (SELECT * FROM r ANTI JOIN used USING (owner_id, ts)),
+{_dvb},
+vsmall AS (SELECT 'validation' AS subset_name, owner_id, seq, false AS picked FROM vc
+           WHERE owner_id NOT IN (SELECT owner_id FROM s_validation_ok)),
+sets AS (SELECT subset_name, owner_id, seq FROM ladder UNION ALL SELECT subset_name, owner_id, seq FROM {_dvs}
+         UNION ALL SELECT subset_name, owner_id, seq FROM vsmall UNION ALL SELECT 'full', owner_id, seq FROM r),
+dset AS (SELECT s.subset_name, r.*, CAST(row_number() OVER (PARTITION BY s.subset_name, r.owner_id ORDER BY r.t, r.seq) - 1 AS INTEGER) AS pos
+         FROM sets s JOIN r USING (owner_id, seq))"""
+
+ORACLE["dataset_export"] = f"""WITH RECURSIVE {_DATASET}
+SELECT owner_id, subset_name, pos, thread_id, conv_no, turn_idx, instruction, input, output, strftime(ts, {TS_FMT}) AS timestamp FROM dset"""
+
+ORACLE["dataset_prompts"] = f"""WITH RECURSIVE {_DATASET},
+f(subset_name, factor) AS (VALUES ('full', 1), ('S5', 4), ('S20', 2), ('T40', 1), ('validation', 1))
+SELECT owner_id, subset_name, pos, CAST(copy AS INTEGER) AS copy, input AS prompt, output AS completion
+FROM dset JOIN f USING (subset_name), generate_series(1, f.factor) AS g(copy)"""
+
+
+def _level(name: str, enabled: tuple, max_ts: int, min_ts: int) -> str:
+    sql = reason_sql(50, min_ts, ("GamePigeon message:",), enabled, max_ts)
+    return f"SELECT '{name}' AS level, {sql} AS reject_reason FROM x"
+
+
+_L45 = ("filtered_strings", "contains_url", "excessive_repetition")
+_L25 = _L45 + ("too_many_speakers", "emoji_only", "too_many_messages", "long_messages_input", "long_messages_output", "too_little_messages_input")
+ORACLE["dataset_levels"] = f"""WITH {examples_ctes(M_CONV)},
+lv AS ({_level('60k', (), 35, 3)} UNION ALL {_level('45k', _L45, 35, 3)} UNION ALL {_level('25k', _L25, 30, 1)} UNION ALL {_level('15k', _L25, 30, 7)})
+SELECT level, reject_reason, count(*) AS n FROM lv GROUP BY ALL"""
+
 ORACLE["prompt_completion"] = f"""WITH {examples_ctes(M_CONV, max_words=200)}
 SELECT input AS prompt, output AS completion FROM xr WHERE reject_reason IS NULL"""
 
@@ -360,6 +441,17 @@ FROM tc2 GROUP BY dataset
 UNION ALL
 SELECT 'TOTAL', count(*), CAST(sum(combined_tokens) AS BIGINT), NULL, NULL FROM tc2"""
 
+_CT = f"""{turns_ctes(M_CONV)},
+ctk AS (SELECT owner_id, thread_id, conv_no,
+              CAST(sum({_tok("strftime(ts, " + TS_FMT + ") || ' ' || speaker || ': ' || content")}) AS BIGINT) AS n_tokens
+        FROM t GROUP BY owner_id, thread_id, conv_no)"""
+
+ORACLE["corpus_tokens"] = f"""WITH {_CT}
+SELECT owner_id, count(*) AS n_conversations, CAST(sum(n_tokens) AS BIGINT) AS total_tokens, max(n_tokens) AS longest,
+       count(*) FILTER (WHERE n_tokens > 1000) AS n_over_limit FROM ctk GROUP BY ROLLUP (owner_id)"""
+
+ORACLE["over_limit_conversations"] = f"""WITH {_CT} SELECT * FROM ctk WHERE n_tokens > 1000"""
+
 ORACLE["over_limit"] = f"""WITH {turns_ctes(M_CONV)}
 SELECT owner_id, thread_id, conv_no,
        CAST(sum({_tok("strftime(ts, " + TS_FMT + ") || ' ' || speaker || ': ' || content")}) AS BIGINT) AS n_tokens,
