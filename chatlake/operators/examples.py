@@ -363,22 +363,27 @@ def _template_parts(template: str) -> list[tuple[str, str]]:
 def chat_template(examples: DataFrame, name: str = "default", custom: str | None = None) -> DataFrame:
     """Render examples with a named (or custom) chat template.
 
-    Adds ``text`` (full rendering) and ``prompt_text`` (everything before the
-    output field, used for masking in T26).
+    Adds ``text`` (full rendering), ``prompt_text`` (everything before the
+    output field) and ``empty_text`` (the rendering of an empty output), used
+    for masking in T26.
     """
     template = custom if name == "custom" else CHAT_TEMPLATES[name]
-    pieces, prompt_pieces, seen_output = [], [], False
+    pieces, prompt_pieces, empty_pieces, seen_output = [], [], [], False
     for lit, fld in _template_parts(template):
         pieces.append(F.lit(lit))
+        empty_pieces.append(F.lit(lit))
         if not seen_output:
             prompt_pieces.append(F.lit(lit))
         if fld:
             pieces.append(F.coalesce(F.col(fld), F.lit("")))
+            if fld != "output":
+                empty_pieces.append(F.coalesce(F.col(fld), F.lit("")))
             if fld == "output":
                 seen_output = True
             elif not seen_output:
                 prompt_pieces.append(F.coalesce(F.col(fld), F.lit("")))
-    return examples.select("*", F.concat(*pieces).alias("text"), F.concat(*prompt_pieces).alias("prompt_text"))
+    return examples.select("*", F.concat(*pieces).alias("text"), F.concat(*prompt_pieces).alias("prompt_text"),
+                           F.concat(*empty_pieces).alias("empty_text"))
 
 
 def word_tokens(c: Column) -> Column:
@@ -406,6 +411,60 @@ def sft_spans(templated: DataFrame, max_seq_length: int = 2048, tokenize=word_to
      .withColumn("n_label_tokens", F.size(F.filter("labels", lambda x: x != -100)))
 
 
+def piece_ids(c: Column, pattern: str) -> Column:
+    """Default token ids without a tokenizer: word pieces of ``pattern``, each by the first 28 bits of its MD5."""
+    return F.transform(F.regexp_extract_all(c, F.lit(f"({pattern})"), 1), lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int"))
+
+
+def supervised_ids(templated: DataFrame, ids=piece_ids, max_seq_length: int = 2048, **how) -> DataFrame:
+    """``input_ids``, ``prompt_length`` and ``labels`` of templated examples, all JVM-side.
+
+    ``ids`` maps a text column to its token ids.  The prompt's length is that of the template with an empty
+    output; both are cut to ``max_seq_length``, and the labels of the prompt's positions are -100.
+    """
+    cut = lambda c: F.slice(ids(c, **how), 1, max_seq_length)
+    rows = templated.withColumn("input_ids", cut(F.col("text"))).withColumn("prompt_length", F.size(cut(F.col("empty_text"))))
+    label = F.transform("input_ids", lambda t, i: F.when(i < F.col("prompt_length"), F.lit(-100)).otherwise(t))
+    return rows.withColumn("labels", label)
+
+
+def supervised_ids_with(templated: DataFrame, make_encoder, max_seq_length: int = 2048, joint: bool = False) -> DataFrame:
+    """T26 with the user's tokenizer: as :func:`supervised_ids`, in Arrow batches.
+
+    ``make_encoder()`` is called once a task and gives a function from a list of texts to ``(ids, starts)``
+    of each: token ids and the character at which each token begins.  With ``joint`` the prompt's length is
+    measured on the joint text, as the tokens that begin before the output does; a token that runs across
+    the edge counts as prompt.
+    """
+    from pyspark.sql import types as T
+
+    fields = [T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("prompt_length", T.IntegerType()),
+              T.StructField("labels", T.ArrayType(T.IntegerType()))]
+
+    def run(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        encode = make_encoder()
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            found = encode(texts)
+            if joint:
+                edge = [len(p or "") for p in batch.column("prompt_text").to_pylist()]
+                length = [bisect.bisect_left(list(starts), e) for (_, starts), e in zip(found, edge)]
+            else:
+                length = [len(ids) for ids, _ in encode([t or "" for t in batch.column("empty_text").to_pylist()])]
+            rows = [list(ids)[:max_seq_length] for ids, _ in found]
+            length = [min(n, max_seq_length) for n in length]
+            labels = [[-100] * min(n, len(ids)) + ids[n:] for ids, n in zip(rows, length)]
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind), pa.array(length, pa.int32()), pa.array(labels, kind)],
+                                             [*batch.schema.names, "input_ids", "prompt_length", "labels"])
+
+    return templated.mapInArrow(run, T.StructType([*templated.schema.fields, *fields]))
+
+
 def phrase_search(texts: DataFrame, phrases: DataFrame, key_cols: list[str],
                   fields: tuple[str, ...] = ("input", "output")) -> DataFrame:
     """Which phrases occur (case-insensitive substring) in which texts.

@@ -690,24 +690,89 @@ def q_top_memories(spark, sf_dir):
     return t.select("owner_id", F.col("top_rank").cast("int"), "batch_no", F.col("pos").cast("int"), "attribute")
 
 
-def _bank_sources(spark, sf_dir):
+def _linked_originals(spark, sf_dir, o):
+    """(owner_id, mem_id, thread_id, conv_no) of the original memories whose citation names a conversation of their batch."""
+    linked = mem.link_conversations(o, _store_batches(spark, sf_dir)).filter(F.col("thread_id").isNotNull())
+    return linked.select("owner_id", (F.col("seq_no") + 1).alias("mem_id"), "thread_id", "conv_no")
+
+
+def _bank_sources(spark, sf_dir, linked: bool = False):
+    """The bank with its source links; with ``linked`` also ``has_conv`` of both, and the conversations of original memories."""
     o = _originals(spark, sf_dir)
     c = _combined(spark, sf_dir)
     bank = mem.assemble_bank(o, c, mem.top_memories(mem.parse_event_memories(_event_responses(spark, sf_dir))[0]))
     e = mem.resolve_sources(c, o)
-    src_ts = o.select("owner_id", F.col("seq_no").alias("source_seq"), F.col("timestamp").alias("source_ts"),
-                      F.col("conversation_number").isNotNull().alias("source_has_conv"))
+    src_ts = o.select("owner_id", F.col("seq_no").alias("source_seq"), F.col("timestamp").alias("source_ts"))
     sources = e.join(src_ts, ["owner_id", "source_seq"]).select(
         "owner_id", mem.combined_id(F.col("batch_no"), F.col("rec")).alias("mem_id"), "ord",
-        "source_ts", "source_has_conv")
-    return bank, sources
+        (F.col("source_seq") + 1).alias("source_mem_id"), "source_ts")
+    if not linked:
+        return bank, sources
+    convs = stage(_linked_originals(spark, sf_dir, o))
+    has = convs.select("owner_id", "mem_id", F.lit(True).alias("has_conv")).distinct()
+    bank = bank.join(has, ["owner_id", "mem_id"], "left").withColumn("has_conv", F.coalesce("has_conv", F.lit(False)))
+    of_source = has.select("owner_id", F.col("mem_id").alias("source_mem_id"), F.col("has_conv").alias("source_has_conv"))
+    sources = sources.join(of_source, ["owner_id", "source_mem_id"], "left").withColumn("source_has_conv", F.coalesce("source_has_conv", F.lit(False)))
+    return stage(bank), stage(sources), convs
+
+
+def _timeline(spark, sf_dir):
+    bank, sources, _ = _bank_sources(spark, sf_dir, linked=True)
+    return mem.timeline(bank, sources)
 
 
 @register("timeline_days")
 def q_timeline_days(spark, sf_dir):
-    bank, sources = _bank_sources(spark, sf_dir)
-    tl = mem.timeline(bank.withColumn("has_conv", F.lit(False)), sources)
-    return mem.timeline_days(tl)
+    return mem.timeline_days(_timeline(spark, sf_dir))
+
+
+@register("timeline_rows")
+def q_timeline_rows(spark, sf_dir):
+    tl = _timeline(spark, sf_dir)
+    return finish(tl.select("owner_id", "tl_index", "day", "tl_ts", "mem_id", "kind", "attribute", "has_conversation"))
+
+
+def _bank_entries(spark, sf_dir):
+    """Entries of memory banks, a bank for each source of documents, with all the spellings and gaps that banks have."""
+    d = ad.table(spark, sf_dir, "documents")
+    day, form = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.col("doc_id") % 7
+    when = lambda k, *parts: F.when(form == k, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    raw = F.to_json(F.struct(F.substring("text", 1, 60).alias("attribute")))
+    more = F.coalesce(
+        when(0, ', "timestamp": "2023-05-', day, ' 10:00:00"}'), when(1, ', "Timestamp": "2023-05-', day, ' 10:00"}'),
+        when(2, ', "source_attributes": [{"attribute": "x"}, {"timestamp": "2022-01-', day, ' 09:00:00"}]}'),
+        when(3, ', "citation": "said. Timestamp: 2021-03-', day, ' 8:15 there"}'),
+        when(4, ', "citations": ["no time", "on 2020-02-', day, ' we", "Timestamp: 2019-01-01 10:00"]}'),
+        when(6, ', "timestamp": "Summer 2023", "citation": "c"}'), F.lit("}"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("original", "combined", "inferred", "top")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.withColumn("x", raw).select(F.col("source").alias("owner_id"), kind.alias("kind"), F.col("doc_id").alias("pos"),
+                                         F.concat(F.expr("substring(x, 1, length(x) - 1)"), more).alias("entry"))
+
+
+def _written_bank(spark, sf_dir):
+    path = _export_path(spark, "bank")
+    src.write_memory_bank(_bank_entries(spark, sf_dir), path)
+    return mem.normalize_bank(src.read_memory_bank(spark, path, lines=True))
+
+
+@register("bank_views")
+def q_bank_views(spark, sf_dir):
+    """Both views of banks that were written as files and read back."""
+    rows = _written_bank(spark, sf_dir)
+    flat = mem.bank_view(rows, hierarchical=False).withColumn("view", F.lit("flat"))
+    return flat.unionByName(mem.bank_view(rows).withColumn("view", F.lit("hierarchical")))
+
+
+@register("bank_counts")
+def q_bank_counts(spark, sf_dir):
+    """What each view counted while its rows were written."""
+    from pyspark.sql import Observation
+    rows, out = _written_bank(spark, sf_dir), []
+    for view in ("flat", "hierarchical"):
+        seen = Observation(view)
+        mem.bank_view(rows, view == "hierarchical", seen).write.parquet(_export_path(spark, view))
+        out.append((view, seen.get["kept"], seen.get["dropped"], seen.get["undated"]))
+    return spark.createDataFrame(out, "view string, kept long, dropped long, undated long")
 
 
 @register("recover_timestamps")
@@ -773,6 +838,14 @@ def q_sft_spans(spark, sf_dir):
     return s.select(*exm.EX_KEY, "n_tokens", F.col("prompt_len").cast("int"), "n_label_tokens")
 
 
+@register("sft_labels")
+def q_sft_labels(spark, sf_dir):
+    """Token ids and labels as texts of numbers."""
+    t = exm.supervised_ids(exm.chat_template(_conv_examples(spark, sf_dir), "llama"), max_seq_length=512, pattern=st.TOKEN_RE)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return t.select(*exm.EX_KEY, "prompt_length", text("input_ids"), text("labels"))
+
+
 def _phrase_hits(spark, sf_dir):
     docs = ad.table(spark, sf_dir, "documents").select("doc_id", "text")
     phrases = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"),
@@ -954,13 +1027,10 @@ def q_memory_bank(spark, sf_dir):
 
 @register("drill_through")
 def q_drill_through(spark, sf_dir):
-    a = mem.parse_attributes(_doc_lines_response(spark, sf_dir, "extract", _extract_rule))
-    linked = mem.link_conversations(a, _store_batches(spark, sf_dir)).filter(F.col("thread_id").isNotNull())
-    keys = linked.select("owner_id", mem.record_id(F.col("batch_no"), F.col("rec")).alias("mem_id"))
-    mc = linked.select("owner_id", mem.record_id(F.col("batch_no"), F.col("rec")).alias("mem_id"), "thread_id", "conv_no")
-    no_sources = spark.createDataFrame([], "owner_id string, mem_id long, source_mem_id long")
-    d = mem.drill_through(keys, no_sources, mc, events_turns(spark, sf_dir))
-    return d.select("owner_id", "mem_id", "thread_id", "conv_no", "turn_idx", "speaker", "content")
+    """From every memory of the bank to its conversations, its own or its sources'."""
+    bank, sources, convs = _bank_sources(spark, sf_dir, linked=True)
+    d = mem.drill_through(bank, sources, convs, events_turns(spark, sf_dir))
+    return d.select("owner_id", "mem_id", "ord", "source_mem_id", "thread_id", "conv_no", "turn_idx", "speaker", "content")
 
 
 @register("event_requests")

@@ -746,6 +746,7 @@ FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x JOIN tk USING (owner_id, thre
 
 import re as _re  # noqa: E402
 
+from chatlake import prompts as _prompts  # noqa: E402
 from chatlake.operators import memory as _mem  # noqa: E402
 
 
@@ -891,7 +892,7 @@ blk AS (SELECT sb.owner_id, sb.batch_no, sb.slot,
 g AS (SELECT owner_id, batch_no, count(*) AS n, string_agg(block, chr(10) ORDER BY slot) AS convs
       FROM blk GROUP BY owner_id, batch_no)
 SELECT owner_id, 'extract' AS stage, batch_no,
-       {_template_sql(_mem.EXTRACT_PROMPT, n='CAST(n AS VARCHAR)', person="'Me'", convs='convs')} AS prompt
+       {_template_sql(_prompts.EXTRACT_PROMPT, n='CAST(n AS VARCHAR)', person="'Me'", convs='convs')} AS prompt
 FROM g"""
 
 ORACLE["link_conversations"] = f"""WITH RECURSIVE {STORE_BATCH},
@@ -919,7 +920,7 @@ g AS (SELECT owner_id, cbatch,
                         || coalesce(citation, '') || ', Timestamp: ' || prompt_ts || ')', chr(10) ORDER BY cslot) AS attrs
       FROM nr GROUP BY owner_id, cbatch)
 SELECT owner_id, 'combine' AS stage, cbatch AS batch_no,
-       {_template_sql(_mem.COMBINE_PROMPT, person="'Me'", attrs='attrs')} AS prompt FROM g"""
+       {_template_sql(_prompts.COMBINE_PROMPT, person="'Me'", attrs='attrs')} AS prompt FROM g"""
 
 ORACLE["resolve_sources"] = f"""WITH RECURSIVE {ATTR_PARSE},
 {COMB_PARSE},
@@ -989,15 +990,66 @@ bank AS (
          attribute, citation, timestamp FROM evm
   QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY batch_no, pos) <= 25)"""
 
-ORACLE["timeline_days"] = f"""WITH RECURSIVE {BANK},
-st AS (SELECT owner_id, mem_id, min({_pts('source_ts')}) AS sts FROM srcs GROUP BY ALL),
-tl AS (SELECT b.*, coalesce({_pts('b.ts_text')}, st.sts) AS tl_ts FROM bank b LEFT JOIN st USING (owner_id, mem_id)),
-tli AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY tl_ts DESC, mem_id) - 1 AS tl_index
-        FROM tl WHERE tl_ts IS NOT NULL)
-SELECT owner_id, strftime(tl_ts, '%Y-%m-%d') AS day, count(*) AS n_memories,
-       string_agg(attribute, ' | ' ORDER BY tl_index) AS attributes
+# Original memories with the conversation that their citation names, and each memory's place in time.
+LINKED = f"""{STORE_BATCH},
+{BANK},
+lnk AS (SELECT p.owner_id, p.seq_no + 1 AS mem_id, sb.thread_id, sb.conv_no FROM packed2 p
+        JOIN sb ON sb.owner_id = p.owner_id AND sb.batch_no = p.batch_no AND sb.slot = p.conversation_number),
+sx AS (SELECT e.owner_id, e.mem_id, e.ord, p.seq_no + 1 AS source_mem_id, p.timestamp AS source_ts,
+              p.seq_no + 1 IN (SELECT mem_id FROM lnk) AS source_has FROM edges e
+       JOIN packed2 p ON p.owner_id = e.owner_id AND p.cbatch = e.batch_no AND p.cslot = e.cslot),
+sg AS (SELECT owner_id, mem_id, min({_pts('source_ts')}) AS sts, bool_or(source_has) AS shc FROM sx GROUP BY ALL),
+tl AS (SELECT b.owner_id, b.mem_id, b.attribute, b.level,
+              CASE WHEN level = 1 THEN 'original' ELSE (SELECT c.kind FROM comb c WHERE c.owner_id = b.owner_id
+                   AND 2305843009213693952 + c.batch_no * 16777216 + c.rec = b.mem_id) END AS kind,
+              b.ts_text IS NOT NULL AS own, CASE WHEN b.ts_text IS NOT NULL THEN {_pts('b.ts_text')} ELSE sg.sts END AS tl_ts,
+              (level = 1 AND b.mem_id IN (SELECT mem_id FROM lnk)) OR coalesce(shc, false) AS has_conversation
+       FROM bank b LEFT JOIN sg USING (owner_id, mem_id) WHERE level < 3),
+tli AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY tl_ts DESC NULLS LAST,
+                                     CASE kind WHEN 'original' THEN 0 WHEN 'combined' THEN 1 ELSE 2 END, mem_id) - 1 AS tl_index,
+               coalesce(strftime(tl_ts, '%Y-%m-%d'), '0001-01-01') AS day
+        FROM tl WHERE own OR tl_ts IS NOT NULL)"""
+
+ORACLE["timeline_days"] = f"""WITH RECURSIVE {LINKED}
+SELECT owner_id, day, count(*) AS n_memories, string_agg(attribute, ' | ' ORDER BY tl_index) AS attributes
 FROM tli GROUP BY ALL"""
 
+ORACLE["timeline_rows"] = f"""WITH RECURSIVE {LINKED}
+SELECT owner_id, tl_index, day, strftime(tl_ts, {TS_FMT}) AS tl_ts, mem_id, kind, attribute, has_conversation FROM tli"""
+
+_BANK_ROWS = """be AS (SELECT source AS owner_id, doc_id AS pos, left(text, 60) AS attribute, doc_id % 7 AS f, lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS dd,
+       CASE doc_id % 4 WHEN 0 THEN 'original' WHEN 1 THEN 'combined' WHEN 2 THEN 'inferred' ELSE 'top' END AS kind,
+       CASE doc_id % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS level FROM documents),
+bv AS (SELECT owner_id, kind, level, CAST(row_number() OVER (PARTITION BY owner_id, kind ORDER BY pos) - 1 AS INTEGER) AS pos, attribute, f,
+              CASE WHEN f = 0 THEN '2023-05-' || dd || ' 10:00:00' WHEN f = 1 THEN '2023-05-' || dd || ' 10:00' WHEN f = 6 THEN 'Summer 2023'
+                   WHEN level = 3 THEN NULL WHEN f = 2 THEN '2022-01-' || dd || ' 09:00:00' WHEN f = 3 THEN '2021-03-' || dd || ' 8:15'
+                   WHEN f = 4 THEN '2020-02-' || dd ELSE '' END AS timestamp,
+              CASE WHEN f = 3 THEN 'said. Timestamp: 2021-03-' || dd || ' 8:15 there' WHEN f = 6 THEN 'c'
+                   WHEN f = 4 THEN '["no time", "on 2020-02-' || dd || ' we", "Timestamp: 2019-01-01 10:00"]' ELSE '[]' END AS citations FROM be)"""
+
+ORACLE["bank_views"] = f"""WITH {_BANK_ROWS}
+SELECT v.view, owner_id, kind, CAST(level AS INTEGER) AS level, pos, attribute, timestamp, citations
+FROM bv, (VALUES ('flat'), ('hierarchical')) v(view) WHERE v.view = 'hierarchical' OR level = 2"""
+
+ORACLE["bank_counts"] = f"""WITH {_BANK_ROWS}
+SELECT v.view, count(*) FILTER (WHERE v.view = 'hierarchical' OR level = 2) AS kept,
+       count(*) FILTER (WHERE v.view = 'flat' AND level <> 2) AS dropped,
+       count(*) FILTER (WHERE timestamp = '' AND (level = 2 OR v.view = 'hierarchical' AND level = 1)) AS undated
+FROM bv, (VALUES ('flat'), ('hierarchical')) v(view) GROUP BY v.view"""
+
+_UNIFIED = ORACLE["unify_memories"][len("WITH RECURSIVE "):].split("\nSELECT owner_id, row_number()")[0]
+ORACLE["event_requests"] = f"""WITH RECURSIVE {_UNIFIED},
+un AS (SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY ko, k1, k2) AS id, type, attribute, citation FROM u),
+ch AS (SELECT owner_id, (id - 1) // 100 AS chunk, '[' || chr(10) || string_agg(
+         '  {{' || chr(10) || '    "type": ' || CAST(to_json(type) AS VARCHAR) || ',' || chr(10) || '    "id": ' || CAST(id AS VARCHAR) || ',' || chr(10)
+         || '    "content": ' || CAST(to_json(coalesce(attribute, '')) AS VARCHAR) || ',' || chr(10)
+         || '    "citation": ' || CAST(to_json(citation) AS VARCHAR) || chr(10) || '  }}', ',' || chr(10) ORDER BY id) || chr(10) || ']' AS js
+       FROM un GROUP BY ALL),
+tot AS (SELECT owner_id, max(chunk) + 1 AS n FROM ch GROUP BY owner_id)
+SELECT owner_id, 'events' AS stage, chunk AS batch_no,
+       {_template_sql(_prompts.EVENT_PROMPT, person="'Me'", chunk='CAST(chunk + 1 AS VARCHAR)', total='CAST(n AS VARCHAR)', json='js')} AS prompt
+FROM ch JOIN tot USING (owner_id)"""
+
 ORACLE["recover_timestamps"] = f"""WITH RECURSIVE {BANK},
 fs AS (SELECT owner_id, mem_id, arg_min(source_ts, ord) AS sts FROM srcs WHERE source_ts IS NOT NULL GROUP BY ALL)
 SELECT b.owner_id, b.mem_id,
@@ -1106,6 +1158,17 @@ s AS (SELECT *, len(regexp_extract_all({_tpl(_QWEN)}, {_q(_TOK)})) AS nt,
 SELECT owner_id, thread_id, conv_no, turn_idx, least(nt, 512) AS n_tokens,
        CAST(least(np, 512) AS INTEGER) AS prompt_len, least(nt, 512) - least(np, 512) AS n_label_tokens FROM s"""
 
+_PIECE_ID = "list_transform(regexp_extract_all({t}, {p}), lambda w: CAST(('0x' || substr(md5(w), 1, 7)) AS INTEGER))"
+
+ORACLE["sft_labels"] = f"""WITH {examples_ctes(M_CONV, max_words=200)},
+s AS (SELECT *, {_PIECE_ID.format(t=_tpl(_LLAMA), p=_q(_TOK))}[1:512] AS ids,
+             least(512, len(regexp_extract_all({_tpl(_LLAMA.replace('{output}', ''))}, {_q(_TOK)}))) AS np
+      FROM xr WHERE reject_reason IS NULL)
+SELECT owner_id, thread_id, conv_no, turn_idx, CAST(np AS INTEGER) AS prompt_length,
+       array_to_string(ids, ' ') AS input_ids,
+       array_to_string(list_transform(ids, lambda v, i: CASE WHEN i <= np THEN -100 ELSE v END), ' ') AS labels
+FROM s"""
+
 ORACLE["phrase_search"] = """SELECT d.doc_id, b.item_id AS phrase_id, 'text' AS field, right(d.text, 100) AS context
 FROM documents d JOIN benchmark b ON b.text <> '' AND contains(lower(d.text), lower(b.text))"""
 
@@ -1239,13 +1302,14 @@ SELECT owner_id, mem_id, CAST(level AS INTEGER) AS level,
        attribute
 FROM bank"""
 
-ORACLE["drill_through"] = f"""WITH RECURSIVE {STORE_BATCH},
-{ATTR_PARSE},
-lk AS (SELECT a.owner_id, a.batch_no * 16777216 + a.rec AS mem_id, sb.thread_id, sb.conv_no
-       FROM attrs2 a JOIN sb ON sb.owner_id = a.owner_id AND sb.batch_no = a.batch_no
-                             AND sb.slot = a.conversation_number)
-SELECT lk.owner_id, lk.mem_id, lk.thread_id, lk.conv_no, t.turn_idx, t.speaker, t.content
-FROM lk JOIN t USING (owner_id, thread_id, conv_no)"""
+ORACLE["drill_through"] = f"""WITH RECURSIVE {LINKED},
+dr AS (SELECT b.owner_id, b.mem_id, CAST(NULL AS INTEGER) AS ord, CAST(NULL AS BIGINT) AS source_mem_id, lnk.thread_id, lnk.conv_no
+       FROM bank b JOIN lnk USING (owner_id, mem_id)
+       UNION ALL
+       SELECT sx.owner_id, sx.mem_id, CAST(sx.ord AS INTEGER), sx.source_mem_id, lnk.thread_id, lnk.conv_no
+       FROM sx JOIN lnk ON lnk.owner_id = sx.owner_id AND lnk.mem_id = sx.source_mem_id)
+SELECT dr.owner_id, dr.mem_id, ord, source_mem_id, dr.thread_id, dr.conv_no, t.turn_idx, t.speaker, t.content
+FROM dr JOIN t USING (owner_id, thread_id, conv_no)"""
 
 ORACLE["embedding_coverage"] = """WITH m AS (SELECT 'events' AS owner_id, vec_id AS mem_id FROM embeddings),
 c AS (SELECT 'events' AS owner_id, vec_id AS mem_id FROM embeddings WHERE label <> 9),

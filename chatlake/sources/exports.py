@@ -394,7 +394,30 @@ MEMORY_BANK_SCHEMA = T.StructType([T.StructField(name, MEMORY_ENTRIES) for name
     "original_attributes", "combined_attributes", "inferred_attributes", "top_memories")])
 
 
-def read_memory_bank(spark: SparkSession, path: str) -> DataFrame:
-    """Memory bank JSON files with an explicit schema (one row per bank); see ``normalize_bank``."""
-    return (spark.read.schema(MEMORY_BANK_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-            .withColumn("owner_id", _file_stem(F.col("_metadata.file_path"))))
+def read_memory_bank(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Memory banks with an explicit schema (one row per bank); see ``normalize_bank``.
+
+    One bank a file, whose owner is the file's name, or with ``lines`` one bank a line that names its
+    ``owner_id``.  A corrupt bank raises an error.
+    """
+    reader = spark.read.option("mode", "FAILFAST")
+    if lines:
+        return reader.schema(T.StructType([T.StructField("owner_id", T.StringType()), *MEMORY_BANK_SCHEMA.fields])).json(path)
+    return reader.schema(MEMORY_BANK_SCHEMA).option("multiLine", "true").json(path) \
+        .withColumn("owner_id", _file_stem(F.col("_metadata.file_path")))
+
+
+def write_memory_bank(entries: DataFrame, path: str) -> None:
+    """One JSON line per owner with the four lists of a bank.
+
+    ``entries``: ``(owner_id, kind, pos, entry)``, kind original, combined, inferred or top, entry a JSON object.
+    """
+    lists = ["original_attributes", "combined_attributes", "inferred_attributes", "top_memories"]
+    of = lambda kind: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("kind") == kind, F.struct("pos", "entry")))), lambda x: x["entry"]), ","), F.lit("]"))
+    name = F.regexp_extract(F.to_json(F.struct("owner_id")), r"(?s)^\{(.*)\}$", 1)
+    body = [F.concat(F.lit(f', "{column}": '), of(kind)) for column, kind in zip(lists, ["original", "combined", "inferred", "top"])]
+    rows = entries.groupBy("owner_id").agg(*[b.alias(c) for b, c in zip(body, lists)])
+    rows.select(F.concat(F.lit("{"), name, *lists, F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+

@@ -65,10 +65,12 @@ def test_prior_context_counts(spark):
     assert reason(0)[1, 3] is None and reason(1)[1, 3] == "too_many_speakers"
 
 
-def test_only_one_speaker_is_supported(spark):
+def test_two_speakers_may_be_allowed(spark):
     import dataclasses
-    with pytest.raises(ValueError):
-        exm.example_features(spark.createDataFrame(_turns(GOOD), SCHEMA), cfg=dataclasses.replace(exm.DEFAULT_FILTERS, max_speakers=2))
+    df = spark.createDataFrame(_turns([("Bob", "hello there"), *GOOD[1:]]), SCHEMA)
+    reason = lambda n: {r.turn_idx: r.reject_reason for r in exm.example_features(df, cfg=dataclasses.replace(exm.DEFAULT_FILTERS, max_speakers=n)).collect()}
+    assert reason(1)[3] == "too_many_speakers" and reason(2)[3] is None
+
 
 
 def test_features_do_not_depend_on_buckets(spark, monkeypatch):
@@ -109,3 +111,28 @@ def test_filter_stats_has_all_reasons(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in _random_turns(9)], SCHEMA)
     stats = exm.filter_stats(exm.example_features(df)).orderBy("ord").collect()
     assert [r.reject_reason for r in stats] == exm.REASONS
+
+
+def test_labels_mask_the_prompt(spark):
+    ex = spark.createDataFrame([(1, "sys ", "hello wor", "ld and more"), (2, "a", None, "b c"), (3, "", "", "")], "k int, instruction string, input string, output string")
+    t = exm.chat_template(ex, "custom", custom="<{instruction}|{input}{output}>")
+    assert [(r.text, r.empty_text, r.prompt_text) for r in t.orderBy("k").collect()][:2] == [
+        ("<sys |hello world and more>", "<sys |hello wor>", "<sys |hello wor"), ("<a|b c>", "<a|>", "<a|")]
+
+    def make():
+        import re
+
+        def encode(texts):  # a word or a sign is a token, its id is its length
+            found = [list(re.finditer(r"\w+|[^\w\s]", x)) for x in texts]
+            return [([len(m.group()) for m in f], [m.start() for m in f]) for f in found]
+
+        return encode
+
+    apart = {r.k: (r.input_ids, r.prompt_length, r.labels) for r in exm.supervised_ids_with(t, make).collect()}
+    assert apart[1] == ([1, 3, 1, 5, 5, 3, 4, 1], 6, [-100] * 6 + [4, 1])      # <, sys, |, hello, wor, > without the output
+    joint = {r.k: (r.prompt_length, r.labels) for r in exm.supervised_ids_with(t, make, joint=True).collect()}
+    assert joint[1] == (5, [-100] * 5 + [3, 4, 1])                              # "world" begins before the output does
+    short = {r.k: (r.input_ids, r.labels) for r in exm.supervised_ids_with(t, make, max_seq_length=3).collect()}
+    assert short[1] == ([1, 3, 1], [-100] * 3) and short[3] == ([1, 1, 1], [-100] * 3)
+    own = {r.k: r for r in exm.supervised_ids(t, pattern=r"\w+|[^\w\s]", max_seq_length=7).collect()}
+    assert own[1].prompt_length == 6 and own[1].labels == [-100] * 6 + own[1].input_ids[6:] and len(own[1].input_ids) == 7

@@ -104,3 +104,50 @@ def test_request_templates(spark):
                                    "owner_id string, cbatch long, cslot int, attribute string, citation string, prompt_ts string")
     got = mem.build_combine_requests(packed, "Ann", template="<{attrs}>").first()
     assert got.prompt == "<Attribute 1: a (Citation: , Timestamp: t)\nAttribute 2: b (Citation: c, Timestamp: t)>"
+
+
+def test_views_recover_times_and_count_in_the_same_pass(spark, tmpdir_path):
+    from pyspark.sql import Observation
+
+    from chatlake.sources import exports
+    bank = {
+        "original_attributes": [{"attribute": "a", "Timestamp": "2024-01-01 10:00"}, {"attribute": "b", "citation": "on 2023-02-03 or Timestamp: 2022-01-01 9:30:00"}, {"attribute": "c"}],
+        "combined_attributes": [{"attribute": "d", "source_attributes": [{"attribute": "x", "Timestamp": "no"}, {"timestamp": "2021-01-01 00:00:00"}], "citations": ["2020-01-01"]},
+                                {"attribute": "e", "citations": ["none", "2019-05-06 it was, Timestamp: 2018-01-01 1:00", "Timestamp: 2017-01-01 1:00"]}],
+        "inferred_attributes": [{"attribute": "f", "timestamp": ""}],
+        "top_memories": [{"attribute": "g", "citation": "2016-01-01"}, {"attribute": "h", "Timestamp": "Summer"}]}
+    with open(f"{tmpdir_path}/ann.json", "w") as f:
+        json.dump(bank, f)
+    rows = mem.normalize_bank(exports.read_memory_bank(spark, tmpdir_path))
+    seen = Observation("seen")
+    got = {r.attribute: (r.level, r.timestamp, r.citations) for r in mem.bank_view(rows, observation=seen).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {
+        "a": (1, "2024-01-01 10:00"), "b": (1, "2022-01-01 9:30:00"), "c": (1, ""), "d": (2, "2021-01-01 00:00:00"),
+        "e": (2, "2018-01-01 1:00"), "f": (2, ""), "g": (3, None), "h": (3, "Summer")}
+    assert got["c"][2] == "[]" and got["d"][2] == '["2020-01-01"]' and seen.get == {"kept": 8, "dropped": 0, "undated": 1}
+    flat = Observation("flat")
+    assert {r.attribute for r in mem.bank_view(rows, hierarchical=False, observation=flat).collect()} == {"d", "e", "f"}
+    assert flat.get == {"kept": 3, "dropped": 5, "undated": 0}
+    entries = rows.selectExpr("owner_id", "kind", "pos", "to_json(entry) as entry")
+    exports.write_memory_bank(entries, f"{tmpdir_path}/out")
+    back = mem.normalize_bank(exports.read_memory_bank(spark, f"{tmpdir_path}/out", lines=True))
+    key = ["owner_id", "kind", "pos", "attribute", "ts_text"]
+    assert sorted(map(tuple, back.select(*key).collect())) == sorted(map(tuple, rows.select(*key).collect()))
+
+
+def test_timeline_places_flags_and_drills(spark):
+    bank = [(1, 1, "original", "2024-01-02 10:00:00", True), (2, 1, "original", "Summer 2023", False), (3, 1, "original", None, False),
+            (10, 2, "combined", None, False), (11, 2, "inferred", None, False), (12, 2, "combined", "2024-01-02 10:00", False), (13, 2, "inferred", None, False),
+            (20, 3, "top", "2030-01-01 00:00:00", False)]
+    bank = spark.createDataFrame([("o", i, level, kind, f"m{i}", ts, has) for i, level, kind, ts, has in bank],
+                                 "owner_id string, mem_id long, level int, kind string, attribute string, ts_text string, has_conv boolean")
+    links = [(10, 0, 2, "Summer 2023", False), (10, 1, 1, "2024-01-02 10:00:00", True), (11, 0, 3, "x", False), (13, 0, 1, "2023-05-01 09:00", True), (13, 1, 1, "2023-05-01 09:00", True)]
+    sources = spark.createDataFrame([("o", *x) for x in links], "owner_id string, mem_id long, ord int, source_mem_id long, source_ts string, source_has_conv boolean")
+    rows = mem.timeline(bank, sources).orderBy("tl_index").collect()
+    assert [(r.tl_index, r.mem_id, r.day, r.has_conversation) for r in rows] == [
+        (0, 1, "2024-01-02", True), (1, 10, "2024-01-02", True), (2, 12, "2024-01-02", False), (3, 13, "2023-05-01", True), (4, 2, "0001-01-01", False)]
+    assert [r.mem_id for r in mem.timeline(bank, sources, keep_undated=True, levels=(1, 2, 3)).orderBy("tl_index").collect()] == [20, 1, 10, 12, 13, 2, 3, 11]
+    convs = spark.createDataFrame([("o", 1, "t", 0)], "owner_id string, mem_id long, thread_id string, conv_no int")
+    turns = spark.createDataFrame([("o", "t", 0, 0, "hi"), ("o", "t", 0, 1, "yo"), ("o", "t", 1, 0, "no")], "owner_id string, thread_id string, conv_no int, turn_idx int, content string")
+    got = sorted((r.mem_id, r.ord if r.ord is not None else -1, r.source_mem_id, r.content) for r in mem.drill_through(bank, sources, convs, turns).collect())
+    assert got == [(1, -1, None, "hi"), (1, -1, None, "yo"), (10, 1, 1, "hi"), (10, 1, 1, "yo"), (13, 0, 1, "hi"), (13, 0, 1, "yo"), (13, 1, 1, "hi"), (13, 1, 1, "yo")]
