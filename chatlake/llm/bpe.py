@@ -261,24 +261,29 @@ def encoder(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text; no other column of ``docs`` is read.
+def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of every whole text, with ``decoded`` also (text) decoded from the ids; no other column of ``docs`` is read.
 
-    A null or empty text, or one of white space only, has no ids.  Repeated rows stay repeated; an
-    empty table gives an empty table.
+    A null or empty text, or one of white space only, has no ids, and decodes to an empty text.  Repeated
+    rows stay repeated; an empty table gives an empty table.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in slices(batches, limit=ARRAYS_BYTES):
             flat, at = bpe.arrays(batch.column("text"))
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            back = [pa.array([bpe.decode(flat[a:b].tolist()) for a, b in zip(at, at[1:])], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, *back], ["doc_id", "ids", *["text"] * decoded])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text) from (doc_id, ids): the tokens joined by spaces.
+
+    Null or empty ids give an empty text, ids that are not in the vocabulary nothing.  Repeated rows stay
+    repeated, null doc_ids stay; an empty table gives an empty table; other columns are not read.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:

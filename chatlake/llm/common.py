@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is handled in slices of about this many bytes, so a task's memory does not depend on the batch size.
@@ -159,21 +159,28 @@ def segment_reduce(ufunc: np.ufunc, values: np.ndarray, at: np.ndarray, empty) -
     return out
 
 
+#: Keys with many rows that are sent to all tasks.
+SENT_KEYS = 200_000
+
+
 def in_cells(postings: DataFrame, key: str, of: str, limit: int) -> DataFrame:
-    """``postings`` with a column ``cell``, partitioned and sorted by (key, cell), without keys that one row has.
+    """``postings`` with a column ``cell``, partitioned and sorted by (key, cell).
 
-    Every two rows of a key meet in a cell, and no cell has more than about ``limit`` rows: a larger
+    Keys are counted by an aggregate first, so a key with a third of all rows is dealt out before any shuffle
+    of its rows.  Every two rows of a key meet in a cell, and no cell has more than about ``limit`` rows: a larger
     group is split into blocks by a hash of column ``of``, and each pair of blocks is a cell.
     """
     names = postings.columns
-    counted = postings.withColumn("n", F.count("*").over(Window.partitionBy(key))).filter("n > 1")
-    small = counted.filter(F.col("n") <= limit).withColumn("cell", F.lit(0).cast("long")).select(*names, "cell")
-    large = counted.filter(F.col("n") > limit).withColumn("blocks", F.ceil(F.col("n") / F.lit(limit // 2)).cast("long")) \
+    large = staged(postings.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit), "large")
+    # Keys with more than ``limit`` rows are at most as many as rows / limit; beyond SENT_KEYS they are joined by a shuffle.
+    known = postings.join(F.broadcast(large) if large.count() <= SENT_KEYS else large, key, "left")
+    small = known.filter("n is null").withColumn("cell", F.lit(0).cast("long")).select(*names, "cell").repartition(key)
+    split = known.filter("n is not null").withColumn("blocks", F.ceil(F.col("n") / F.lit(limit // 2)).cast("long")) \
         .withColumn("block", F.pmod(F.xxhash64(of), F.col("blocks"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
         .withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")) \
         .select(*names, "cell").repartition(key, "cell")
-    return small.sortWithinPartitions(key, "cell").unionByName(large.sortWithinPartitions(key, "cell"))
+    return small.sortWithinPartitions(key, "cell").unionByName(split.sortWithinPartitions(key, "cell"))
 
 
 def cell_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -20,6 +20,8 @@ from chatlake.llm.common import LOWER, mixed, runs, slices, span_hashes, staged,
 
 WINDOW = 13
 SUBSTITUTIONS = 2
+#: Benchmark texts of fewer words say nothing about a document that holds them.
+LEAST_WORDS = 5
 MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 8, 9), (0, 1, 3, 6, 8, 9, 10))
 
 #: Bits of the benchmark's table, whatever its rows (2 MB).  A fuller table lets more stretches through to the exact join.
@@ -55,8 +57,8 @@ def _masks(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
     return [*enumerate(MASKS), *((100 + n, tuple(range(n))) for n in short)]
 
 
-def benchmark_words(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words) of every row with a word."""
+def benchmark_words(benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(item_id, words) of every row with at least ``least`` words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words, _, at = words_of(batch.column("text"))
@@ -64,7 +66,7 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), lists], ["item_id", "words"])
 
     return benchmark.select("item_id", "text").mapInArrow(run, "item_id long, words array<long>") \
-        .filter("size(words) > 0").distinct().withColumn("item", F.xxhash64("item_id", "words"))
+        .filter(F.size("words") >= max(least, 1)).distinct().withColumn("item", F.xxhash64("item_id", "words"))
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
@@ -155,15 +157,16 @@ def overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
     return int((same & inside).sum()), int(inside.sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, mark, n_equal, n_span, n_item): documents that hold a passage of a benchmark text.
 
-    A passage is a window of 13 words with at most 2 substituted, or the whole of a shorter text;
-    n_equal and n_span count the equal and the covered words of the best diagonal, n_item the item's.
-    mark is xxhash64(text).  Null, empty and wordless texts, here or in the benchmark, match nothing;
-    equal rows give one row; an empty table on either side gives an empty table.
+    A passage is a window of 13 words with at most 2 substituted, or the whole of a shorter text of
+    ``least`` words or more; n_equal and n_span count the equal and the covered words of the best
+    diagonal (most equal words, then most covered), n_item the item's.  Words are compared by 64-bit
+    hashes.  mark is xxhash64(text).  Null, empty and wordless texts, here or in the benchmark, match
+    nothing; equal rows give one row; an empty table on either side gives an empty table.
     """
-    items = staged(benchmark_words(benchmark), "items")
+    items = staged(benchmark_words(benchmark, least), "items")
     known = staged(benchmark_seeds(items), "seeds")
     short = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < WINDOW).distinct().collect())  # 12 lengths at most
     found = staged(stretches(docs, _filter_table(known), short).withColumn("stretch", F.xxhash64("doc_id", "mark", "words")), "stretches")
@@ -184,15 +187,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = met.join(text, "stretch").join(items, "item") \
         .select("doc_id", "mark", "item_id", F.size("words").cast("long").alias("n_item"), "text", "words", "shift") \
         .mapInArrow(verify, "doc_id long, mark long, item_id long, n_item long, n_equal long, n_span long").filter("n_span > 0")
-    return rows.groupBy("doc_id", "item_id", "mark").agg(F.max("n_equal").alias("n_equal"), F.max("n_span").alias("n_span"), F.max("n_item").alias("n_item"))
+    return rows.groupBy("doc_id", "item_id", "mark").agg(F.max(F.struct("n_equal", "n_span", "n_item")).alias("best")).select("doc_id", "item_id", "mark", "best.*")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that hold a passage of a benchmark text."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that hold a passage of a benchmark text (see ``contaminated``).
+
+    Rows with a null or empty text stay, repeated rows go or stay together, an empty table stays empty.
+    """
     names = docs.columns
     inner = [f"c{k}" for k in range(len(names))]
     at_id, at_text = inner[names.index("doc_id")], inner[names.index("text")]
     plain = docs.toDF(*inner)
-    bad = contaminated(plain.select(F.col(at_id).alias("doc_id"), F.col(at_text).alias("text")), benchmark).select("doc_id", "mark").distinct()
+    bad = contaminated(plain.select(F.col(at_id).alias("doc_id"), F.col(at_text).alias("text")), benchmark, least).select("doc_id", "mark").distinct()
     fits = plain[at_id].eqNullSafe(bad["doc_id"]) & (F.xxhash64(plain[at_text]) == bad["mark"])
     return plain.join(bad, fits, "left_anti").toDF(*names)

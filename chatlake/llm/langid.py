@@ -158,9 +158,15 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, bounded: bool = False) ->
     ``bounded`` learns ``bound`` as well: trees of all but a fold of the same documents, measured on that fold.
     """
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    for keys in (["lang", "part"], ["lang"]):  # the first of each part, then of those: no task sorts a whole language
-        ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("k") <= sample)
+    # The least hashes of each language: counted by their first bits, so that only the bits where the
+    # sample ends are ranked, and no task sorts a language.
+    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.shiftright("h", 48))
+    so_far = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ranked.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(so_far) - F.col("n")) \
+        .filter(F.col("before") < sample)  # ``sample`` parts of a language at most
+    ranked = ranked.join(parts, ["lang", "part"])
+    edge = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+    ranked = ranked.withColumn("k", F.row_number().over(edge)).filter(F.col("before") + F.col("k") <= sample)
     chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
     picked = known.join(chosen, (known.doc_id == chosen.id) & (known.lang == chosen.of), "left_semi")
     if bounded:

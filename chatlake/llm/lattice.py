@@ -32,6 +32,8 @@ BLOCK_BYTES = 16 << 20
 PRIOR_PIECES = 2_000.0
 #: Rounds of re-estimation.
 ROUNDS = 2
+#: Longer words, in bytes, are worked through by stretches.
+LONG_BYTES = 1024
 #: Bytes of words in one lattice pass.
 PASS_BYTES = 200_000
 
@@ -131,6 +133,101 @@ class Lattice:
         return count[:-1]
 
 
+class LongWord:
+    """One word of any length, by stretches: a step of the recursion works on all stretches of a run at once.
+
+    The recursion at a byte needs the values of the last bytes only, as many as the longest piece has.  So
+    each stretch is first run from every one of these alone, which tells how it maps what comes in to what
+    goes out; the maps are applied one after another; then all stretches run again from what really comes in.
+    """
+
+    def __init__(self, known: Pieces, word: bytes, stretch: int = 256, run: int = 1 << 16):
+        self.known, self.stretch, self.run = known, stretch, run
+        self.data = np.frombuffer(b" " + word, np.uint8)
+        self.back = known.lengths[-1]
+
+    def _pieces(self, start: np.ndarray, size: int) -> np.ndarray:
+        """The piece of ``size`` bytes at each of the places, which follow one another upwards or downwards, or ``missing``."""
+        out = np.full(len(start), self.known.index.missing, np.int64)
+        some = np.flatnonzero((start >= 0) & (start + size <= len(self.data)))
+        if len(some):
+            low = int(start[some].min())
+            near = self.data[low:int(start[some].max()) + size]
+            out[some] = self.known.index.find(span_hashes(near, start[some] - low, start[some] - low + size))
+        return out
+
+    def _recursion(self, weight: np.ndarray, backward: bool) -> np.ndarray:
+        """Log probability of all segmentations up to each place (or from it on), the first (last) place included."""
+        size, back = len(self.data), self.back
+        out = np.empty(size + 1)
+        out[0] = 0.0
+        state = np.full(back, -np.inf)  # of the last places, the latest first
+        state[0] = 0.0
+        for low in range(0, size, self.run):
+            place = np.arange(low, min(low + self.run, size))
+            count = -(-len(place) // self.stretch)
+            ways = np.full((len(self.known.lengths), count * self.stretch), -np.inf)
+            for k, n in enumerate(self.known.lengths):
+                ways[k, :len(place)] = weight[self._pieces(size - 1 - place if backward else place - n + 1, n)]
+            ways = ways.reshape(len(ways), count, self.stretch)
+            maps = self._run(ways, np.where(np.eye(back, dtype=bool), 0.0, -np.inf)[None].repeat(count, axis=0))[..., :-back - 1:-1]
+            entry = np.empty((count, 1, back))
+            for s in range(count):
+                entry[s, 0] = state
+                state = _log_sum(state[:, None] + maps[s])
+            inside = self._run(ways, entry)[:, 0, back:].ravel()[:len(place)]
+            out[low + 1:low + 1 + len(place)] = inside
+        return out[::-1] if backward else out
+
+    def _run(self, ways: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Values of each stretch for each of its entries, after the entry's own ones (the earliest first)."""
+        value = np.full((*entry.shape[:2], self.back + self.stretch), -np.inf)
+        value[..., :self.back] = entry[..., ::-1]
+        for r in range(self.stretch):
+            value[..., self.back + r] = _log_sum(np.stack([value[..., self.back + r - n] + ways[k, :, r, None] for k, n in enumerate(self.known.lengths)]))
+        return value
+
+    def total(self, logs: np.ndarray) -> float:
+        """Log probability of the word."""
+        return float(self._recursion(np.append(logs, -np.inf), False)[-1])
+
+    def expected(self, logs: np.ndarray, times: float) -> np.ndarray:
+        """Expected number of each piece in ``times`` copies of the word."""
+        weight = np.append(logs, -np.inf)
+        alpha, beta = self._recursion(weight, False), self._recursion(weight, True)
+        count = np.zeros(len(weight))
+        for low in range(0, len(self.data), self.run):
+            start = np.arange(low, min(low + self.run, len(self.data)))
+            for n in self.known.lengths:
+                own = start[start + n <= len(self.data)]
+                piece = self._pieces(own, n)
+                share = np.exp(np.minimum(alpha[own] + weight[piece] + beta[own + n] - alpha[-1], 0))
+                count += np.bincount(piece, weights=share * times, minlength=len(count))
+        return count[:-1]
+
+
+def totals(known: Pieces, words: list[bytes], logs: np.ndarray) -> np.ndarray:
+    """Log probability of each word."""
+    out, short = np.empty(len(words)), [k for k, w in enumerate(words) if len(w) <= LONG_BYTES]
+    for k in set(range(len(words))).difference(short):
+        out[k] = LongWord(known, words[k]).total(logs)
+    few = [words[k] for k in short]
+    if few:
+        out[short] = np.concatenate([Lattice(known, few[part]).totals(logs) for part in passes(few)])
+    return out
+
+
+def expected(known: Pieces, words: list[bytes], logs: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Expected number of each piece in ``times`` copies of each word."""
+    total, short = np.zeros(len(logs)), [k for k, w in enumerate(words) if len(w) <= LONG_BYTES]
+    for k in set(range(len(words))).difference(short):
+        total += LongWord(known, words[k]).expected(logs, times[k])
+    few = [words[k] for k in short]
+    for part in passes(few):
+        total += Lattice(known, few[part]).expected(logs, times[short][part])
+    return total
+
+
 def _log_sum(ways: np.ndarray) -> np.ndarray:
     top = ways.max(axis=0)
     top = np.where(np.isfinite(top), top, 0.0)
@@ -238,8 +335,7 @@ def expected_pieces(counts: DataFrame, path: str, logs: np.ndarray) -> DataFrame
         total = np.zeros(len(known.text))
         for batch in batches:
             words, times = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
-            for part in passes(words):
-                total += Lattice(known, words[part]).expected(held.value, times[part])
+            total += expected(known, words, held.value, times)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
 
@@ -268,8 +364,7 @@ def score_documents(docs: DataFrame, train: Column, path: str) -> DataFrame:
         for batch in batches:
             words = batch.column("word").to_pylist()
             if words:
-                value = np.concatenate([Lattice(known, words[part]).totals(held.value) for part in passes(words)])
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(value)], ["word", "c", "lattice"])
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(totals(known, words, held.value))], ["word", "c", "lattice"])
 
     whole = n + v + 1
 

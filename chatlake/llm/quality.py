@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import LOWER, WHITE, runs, slices, span_hashes, utf8
+from chatlake.llm.common import LOWER, WHITE, mixed, runs, slices, span_hashes, utf8
 
 #: Feature space: hashed runs below, bins of shares in the last places.
 FEATURE_BITS = 20
 #: Graded rows that the fit uses, taken by the order of a hash of their id.
 SAMPLE_ROWS = 8000
+#: Features of one text that the fit uses at most, those of the least hashes; scores use all.
+SAMPLE_FEATURES = 20_000
 #: Features in fewer sampled rows than this have weight zero.
 LEAST_ROWS = 8
 #: A text is kept if P(grade >= top grade) is at least this, where the held-out rows are too few to choose a cut.
@@ -68,6 +70,13 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key & 0xFFFFFFFF).astype(np.int32), np.searchsorted(key >> 32, np.arange(rows + 1))
 
 
+def few_features(feature: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``most`` features of each text at most: those of the least hashes of their numbers."""
+    rows = [feature[a:b] for a, b in zip(at, at[1:])]
+    rows = [r if len(r) <= most else np.sort(r[np.argsort(mixed(r.astype(np.uint64)))[:most]]) for r in rows]
+    return np.concatenate([np.zeros(0, np.int32), *rows]), np.cumsum([0, *map(len, rows)])
+
+
 WIDTH = (1 << FEATURE_BITS) + 6 * _BINS
 
 
@@ -135,23 +144,26 @@ def label_grade(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(quality) == 0, 0).when(F.col(quality).isNotNull(), F.when(F.col(toxic) == 1, 1).otherwise(2))
 
 
-def train(docs: DataFrame, graded: DataFrame, grades: int = 3, rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit on about ``rows`` rows at most of ``graded`` (doc_id, grade) that have a text; null grades and ids don't count.
+def train(docs: DataFrame, graded: DataFrame, grades: int = 3, rows: int = SAMPLE_ROWS, features_each: int = SAMPLE_FEATURES) -> OrdinalModel:
+    """Fit on at most ``rows`` rows of ``graded`` (doc_id, grade) that have a text, besides the held-out ones; null grades and ids don't count.
 
-    A fold by crc32 of the id is held out, and the cut is chosen on it.  Where it is too small for that,
+    Ids may repeat on both sides: the bound holds for the rows after the join, and each brings
+    ``features_each`` features at most.  A fold by crc32 of the id is held out, and the cut is chosen on it.  Where it is too small for that,
     its rows are fitted with the others.
     """
     known = graded.select("doc_id", F.col("grade").cast("int").alias("grade")).filter("doc_id is not null and grade is not null")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows * FOLDS // (FOLDS - 1))  # so many short rows at most: small enough to send out
+    most = rows * FOLDS // (FOLDS - 1)
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)  # so many short rows at most: small enough to send out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            feature, at = features(batch.column("text"))
+            feature, at = few_features(*features(batch.column("text")), features_each)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(feature))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), lists], ["doc_id", "grade", "features"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text") \
-        .mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow()
+        .mapInArrow(run, "doc_id long, grade int, features array<int>") \
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "grade", F.xxhash64("features")).limit(most).toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     lists = found.column("features").combine_chunks()
     at = lists.offsets.to_numpy().astype(np.int64) if len(lists) else np.zeros(1, np.int64)
@@ -186,7 +198,10 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, keep_tail: float | Non
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, keep_tail: float | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text the model keeps: with the model's cut, if none is given."""
+    """The rows of ``docs``, all columns, whose text the model keeps: with the model's cut, if none is given.
+
+    A null or empty text has the score of the thresholds alone; repeated rows are judged alike; an empty table stays empty.
+    """
     keep_tail = model.keep_tail if keep_tail is None else keep_tail
     at = docs.columns.index("text")
 

@@ -88,7 +88,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("n_equal", "n_span", "n_item")])
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_span", "n_item")).alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,23 +155,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
 
 
 def keep_one(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: the one of the least doc_id (ties: the least row).
+    """``docs`` with one row of each near-duplicate component: the one of the least doc_id (ties: the least row as JSON).
 
-    All columns are returned; rows are compared by ``text`` alone.  Null ids go last.
+    All columns are returned, of any type; rows are compared by ``text`` alone.  Null ids go last; an empty
+    table stays empty.
     """
     names = docs.columns
     inner = [f"c{k}" for k in range(len(names))]  # columns of any name, clashing ones too
     at_id, at_text = inner[names.index("doc_id")], inner[names.index("text")]
     plain = docs.toDF(*inner)
-    marked = staged(with_fingerprints(plain.withColumnRenamed(at_text, "text"), words).withColumnRenamed("text", at_text), "marked")
-    prints = marked.select(F.col(at_id).alias("id"), "fp")
+    marked = with_fingerprints(plain.withColumnRenamed(at_text, "text"), words).withColumnRenamed("text", at_text)
+    marked = staged(marked.withColumn("place", F.monotonically_increasing_id()), "marked")
+    prints = marked.select(F.col(at_id).alias("id"), "fp", "place")
     per = prints.groupBy("fp").agg(F.min("id").alias("least"))
     group = staged(groups_of(prints, bits).join(per, "fp"), "groups")
     named = group.groupBy("root").agg(F.min("least").alias("keep"))
-    chosen = staged(prints.join(group.select("fp", "root"), "fp").join(named, "root").filter(F.col("id").eqNullSafe(F.col("keep")))
-                    .groupBy("root").agg(F.count("*").alias("n"), F.first("keep").alias("keep"), F.collect_set("fp").alias("fps")), "chosen")
-    one = chosen.filter("n = 1").select("keep", F.explode("fps").alias("of"))
-    many = chosen.filter("n > 1").select("root", "keep", F.explode("fps").alias("of"))
-    fits = marked[at_id].eqNullSafe(F.col("keep")) & (marked["fp"] == F.col("of"))
-    least = marked.join(many, fits).groupBy("root").agg(F.min(F.struct(*inner)).alias("row")).select(*[F.col(f"row.{c}") for c in inner])
-    return marked.join(one, fits, "left_semi").select(*inner).unionByName(least).toDF(*names)
+    keep = group.join(named, "root").select("fp", "root", "keep")
+    chosen = staged(prints.join(keep, "fp").filter(F.col("id").eqNullSafe(F.col("keep"))).select("root", "place"), "chosen")
+    count = chosen.groupBy("root").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    # Rows of one id in one component: compared as JSON, which every type of column has.
+    ties = chosen.join(count.filter("n > 1").select("root"), "root").join(marked, "place") \
+        .groupBy("root").agg(F.min(F.struct(F.to_json(F.struct(*inner)).alias("row"), "place")).alias("least")).select("least.place")
+    places = count.filter("n = 1").select("place").unionByName(ties)
+    return marked.join(places, "place", "left_semi").select(*inner).toDF(*names)
