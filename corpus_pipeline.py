@@ -33,9 +33,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of what is left."""
-    ids = bpe.encode_documents(docs, queries.word_vocabulary())
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, text) of what is left; the text is decoded from the ids."""
+    ids = bpe.encode_documents(docs, queries.word_vocabulary(), decoded=True)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [
@@ -46,7 +46,8 @@ STAGES = [
     ("BPE encoding and decoding", encoding_stage),
 ]
 
-#: Neither a fitted classifier nor a fingerprint or tokenizer is in SQL; tests hold each stage against a brute-force version.
+#: Neither a fitted classifier nor a fingerprint or tokenizer is in SQL.  Tests hold the last three stages against brute-force
+#: versions; the first two against their operators, whose fits and code lengths have brute-force tests of their own.
 ORACLE_SQL = None
 
 
