@@ -32,9 +32,11 @@ def test_stages(spark):
     whole = {r.doc_id for r in one.collect() if any(b in words(r.text) for b in bench)}
     assert not whole & set(ids(clean)) and set(ids(one)) - set(ids(clean)) >= whole
     assert good.columns == known.columns == one.columns == clean.columns == names
-    last = {r.doc_id: r.ids for r in corpus_pipeline.encoding_stage(spark, clean, SF).collect()}
+    rows = corpus_pipeline.encoding_stage(spark, clean, SF).collect()
+    last = {r.doc_id: r.ids for r in rows}
     library = bpe.encoder(queries.word_vocabulary()).library
     assert last == {r.doc_id: library.encode(r.text, add_special_tokens=False).ids for r in clean.collect()}
+    assert all(r.text == library.decode(r.ids, skip_special_tokens=False) and r.n_tokens == len(r.ids) for r in rows)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(last)
 
 
