@@ -31,32 +31,31 @@ URL_PATTERNS = [
 
 # English stop words (the classic NLTK English list) followed by the extra
 # chat words the pipeline adds.
-STOP_WORDS = """
-i me my myself we our ours ourselves you you're you've you'll you'd your yours
-yourself yourselves he him his himself she she's her hers herself it it's its
-itself they them their theirs themselves what which who whom this that that'll
-these those am is are was were be been being have has had having do does did
-doing a an the and but if or because as until while of at by for with about
-against between into through during before after above below to from up down
-in out on off over under again further then once here there when where why how
-all any both each few more most other some such no nor not only own same so
-than too very s t can will just don don't should should've now d ll m o re ve
-y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn
-hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't
-shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn
-wouldn't
-yeah ok okay lol like um uh haha im i u
-""".split()
-
-# Emoji character ranges of the emoji-only filter, as written in the
-# pipeline (the wide range U+24C2-U+1F251 also covers CJK and Hangul).
-EMOJI_RANGES = [
-    ("1F1E0", "1F1FF"), ("1F300", "1F5FF"), ("1F600", "1F64F"),
-    ("1F680", "1F6FF"), ("1F700", "1F77F"), ("1F780", "1F7FF"),
-    ("1F800", "1F8FF"), ("1F900", "1F9FF"), ("1FA00", "1FA6F"),
-    ("1FA70", "1FAFF"), ("2702", "27B0"), ("24C2", "1F251"),
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd", "your",
+    "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers", "herself", "it",
+    "it's", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "that'll", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has",
+    "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as",
+    "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during",
+    "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too",
+    "very", "s", "t", "can", "will", "just", "don", "don't", "should", "should've", "now", "d", "ll", "m", "o", "re",
+    "ve", "y", "ain", "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't",
+    "hasn", "hasn't", "haven", "haven't", "isn", "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn",
+    "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't",
+    "wouldn", "wouldn't",
+    "yeah", "ok", "okay", "lol", "like", "um", "uh", "haha", "im", "i", "u",
 ]
-EMOJI_SINGLES = ["200D", "2640-2642", "2600-2B55", "23CF", "23E9", "231A", "3030", "FE0F"]
+
+# Characters of the emoji-only filter, as a class for Java and RE2 (the wide
+# range from U+24C2 to U+1F251 also covers CJK and Hangul).
+EMOJI_CLASS = (
+    r"[\x{1F1E0}-\x{1F1FF}\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}\x{1F780}-\x{1F7FF}"
+    r"\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}"
+    r"\x{200D}\x{2640}-\x{2642}\x{2600}-\x{2B55}\x{23CF}\x{23E9}\x{231A}\x{3030}\x{FE0F}]"
+)
 
 # Python ``str.isspace`` characters.
 _WS_CODES = [
@@ -89,7 +88,6 @@ TS_BRACKET_RE = (
     f"\\[{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}{WS_RE}+"
     f"{DIGIT}{{2}}:{DIGIT}{{2}}:{DIGIT}{{2}}\\]"
 )
-EMOJI_CLASS = "[" + _cls_items([f"{a}-{b}" for a, b in EMOJI_RANGES] + EMOJI_SINGLES) + "]"
 MSG_DELIM_RE = "<\\|msg\\|>"
 STRIP_RE = f"^{WS_RE}+|{WS_RE}+$"
 
