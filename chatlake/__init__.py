@@ -6,4 +6,4 @@ collects rows to the driver; per-owner / per-thread sequential rules are
 expressed with windows, joins and bounded SQL higher-order functions.
 """
 
-__all__ = ["session", "schemas"]
+__all__ = ["session"]

@@ -248,6 +248,26 @@ def example_features(turns: DataFrame, buffer: int = 0,
     return ex.select(*EX_KEY, "ts", F.col("content").alias("output"), reason.alias("reject_reason"))
 
 
+def prompt_counts(features: DataFrame, turns: DataFrame, counter) -> DataFrame:
+    """``features`` with ``input_tokens`` and ``output_tokens``, without rendering any prompt.
+
+    ``counter`` maps a text column to a number that adds up over lines (a count of word pieces, say, of
+    which none spans a line end).  A prompt's count is then its header's, its earlier lines' and its
+    stub's: a running sum inside turn buckets, with a small table that carries it on.  (No prior
+    conversations and no metadata; a tokenizer that does not add up needs rendered prompts.)
+    """
+    line = turns.select(*CONV, "turn_idx", counter(_line(F.col("ts"), F.col("speaker"), F.col("content"))).alias("_n"),
+                        F.floor(F.col("turn_idx") / TURN_BUCKET).alias("_tb"))
+    inside = W.partitionBy(*CONV, "_tb").orderBy("turn_idx").rowsBetween(W.unboundedPreceding, -1)
+    line = line.withColumn("_so_far", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    earlier = W.partitionBy(*CONV).orderBy("_tb").rowsBetween(W.unboundedPreceding, -1)
+    carry = line.groupBy(*CONV, "_tb").agg(F.sum("_n").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    line = line.join(carry.drop("_all"), [*CONV, "_tb"]).select(*CONV, "turn_idx", (F.col("_before") + F.col("_so_far")).alias("_history"))
+    stub = counter(F.concat(F.lit(CURRENT_HEADER + "["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] Me: ")))
+    return features.join(line, EX_KEY).withColumn("input_tokens", F.col("_history") + stub) \
+        .withColumn("output_tokens", counter(F.col("output"))).drop("_history")
+
+
 def filter_stats(features: DataFrame) -> DataFrame:
     """Examples removed per reason in the fixed order (zero counts kept)."""
     reasons = features.sparkSession.createDataFrame(

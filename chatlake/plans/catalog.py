@@ -273,15 +273,16 @@ from chatlake.operators import stats as st  # noqa: E402
 
 
 def _stat_examples(spark, sf_dir):
+    """Token counts of all targets and of the kept ones, without rendering their prompts, and of the documents of each language."""
     t = conv_turns(spark, sf_dir)
-    f = exm.example_features(t, cfg=exm.FilterConfig(max_words=200))
-    e = exm.render_examples(f, t, survivors_only=False)
-    conv_all = e.select(F.lit("conv_all").alias("dataset"), "input", "output")
-    conv_kept = e.filter(F.col("reject_reason").isNull()).select(F.lit("conv_kept").alias("dataset"), "input", "output")
+    f = exm.prompt_counts(exm.example_features(t, cfg=exm.FilterConfig(max_words=200)), t, st.word_piece_count)
+    cols = ["dataset", "input_tokens", "output_tokens"]
+    both = f.withColumn("dataset", F.explode(F.array_compact(F.array(F.lit("conv_all"), F.when(F.col("reject_reason").isNull(), "conv_kept")))))
     docs = ad.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("docs_"), F.col("lang")).alias("dataset"), F.col("text").alias("input"),
-        F.col("source").alias("output"))
-    return st.token_counts(conv_all.unionByName(conv_kept).unionByName(docs))
+        F.concat(F.lit("docs_"), F.col("lang")).alias("dataset"), st.word_piece_count(F.col("text")).alias("input_tokens"),
+        st.word_piece_count(F.col("source")).alias("output_tokens"))
+    return stage(both.select(*cols).unionByName(docs.select(*cols))
+                 .withColumn("combined_tokens", F.col("input_tokens") + F.col("output_tokens")))
 
 
 @register("token_stats")

@@ -136,3 +136,16 @@ def test_labels_mask_the_prompt(spark):
     assert short[1] == ([1, 3, 1], [-100] * 3) and short[3] == ([1, 1, 1], [-100] * 3)
     own = {r.k: r for r in exm.supervised_ids(t, pattern=r"\w+|[^\w\s]", max_seq_length=7).collect()}
     assert own[1].prompt_length == 6 and own[1].labels == [-100] * 6 + own[1].input_ids[6:] and len(own[1].input_ids) == 7
+
+
+@pytest.mark.parametrize("bucket", [2, 4096])
+def test_prompts_are_counted_without_rendering(spark, monkeypatch, bucket):
+    from chatlake.operators import stats as st
+    monkeypatch.setattr(exm, "TURN_BUCKET", bucket)
+    rnd = random.Random(bucket)
+    rows = [r for n in range(12) for r in _turns([(rnd.choice(["Me", "Ann"]), rnd.choice(["hello, you", "a\nb: c", "x<|msg|>y z", "é 日本 don't"])) for _ in range(rnd.randint(1, 9))], f"t{n}")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    f = exm.example_features(df)
+    got = {(r.thread_id, r.turn_idx): (r.input_tokens, r.output_tokens) for r in exm.prompt_counts(f, df, st.word_piece_count).collect()}
+    want = {(r.thread_id, r.turn_idx): (r.input_tokens, r.output_tokens) for r in st.token_counts(exm.render_examples(f, df, survivors_only=False)).collect()}
+    assert got == want and len(got) > 10
