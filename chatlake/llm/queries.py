@@ -146,7 +146,7 @@ with cut as (
 ), hosts as (
   select host, n, good, case when regexp_matches(plain, '^[0-9.]+$') then plain else regexp_extract(plain, '([^.]*\\.)?[^.]*$') end as domain,
     regexp_extract(plain, '[^.]*$') as suffix
-  from (select host, regexp_replace(host, ':[0-9]*$', '') as plain, cast(count(good) as double) as n, coalesce(sum(good), 0.0) as good
+  from (select host, regexp_replace(regexp_replace(host, '^.*@', ''), '[.]?(:[0-9]*)?$', '') as plain, cast(count(good) as double) as n, coalesce(sum(good), 0.0) as good
         from split left join outcome on doc_id = page_id group by host)
 ), domains as (
   select suffix, domain, sum(n) as n, sum(good) as good from hosts group by all
@@ -163,8 +163,13 @@ with cut as (
   select h.*, d1.mean as prior from hosts h join d1 using (suffix, domain)
 ), h1 as (
   select host, k, n, (prior * k + good) / (k + n) as mean from h0, (select {_STRENGTH} as k from h0)
+), beta as (
+  select host, mean * (k + n) as a, (1 - mean) * (k + n) as b from h1
 ), verdicts as (
-  select host, least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (k + n + 1))) < 0.5 as bad from h1
+  select host, case when a <= 0 then true when b <= 0 then false else
+    exp((a + b) * ln(0.5) - ln(a) - lgamma(a) - lgamma(b) + lgamma(a + b))
+    * list_sum(list_transform(range(0, 4000), lambda i: exp(lgamma(a + b + i) - lgamma(a + b) + lgamma(a + 1) - lgamma(a + 1 + i) + i * ln(0.5)))) >= 0.95 end as bad
+  from beta
 ), ruled as (
   select page_id, host, path, case
     when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'

@@ -3,22 +3,28 @@
 Labelled pages give each host a beta-binomial posterior of the share of good pages.  Its prior is the
 posterior mean of the registered domain, whose prior is that of the suffix, whose prior is the mean
 of all labelled pages; the strength of each prior is estimated from the spread below it (Kleinman's
-moments).  A host is blocked if the upper posterior bound of its good share is below a limit.
+moments).  A host is blocked if its posterior is nearly sure that its good share is below a limit, that is, if
+the upper quantile of the beta distribution is below it.
 The suffix is the longest one in a list of public suffixes, else the last label; the registered
-domain has one label more.  All of it is DataFrame code: aggregates by host, and joins on host, domain and suffix.
+domain has one label more.  It is DataFrame code, aggregates by host and joins on host, domain and suffix,
+besides the beta distribution's chances, one for each host.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import staged
 
-#: A host goes if even mean + BOUND standard deviations of its posterior are under LEAST_GOOD.
-BOUND = 1.645
+#: A host goes if its good share is below LEAST_GOOD with at least this posterior probability: its quantile is then below, too.
+SURE = 0.95
 LEAST_GOOD = 0.5
 #: Prior strength (in pages) where the spread tells nothing, and its limits.
 STRENGTH, STRENGTH_RANGE = 10.0, (1.0, 1000.0)
@@ -63,14 +69,14 @@ def _spread(child_prior: str) -> Column:
 
 
 def with_domain(hosts: DataFrame, suffixes: DataFrame | list[str] | None = None) -> DataFrame:
-    """``hosts`` (distinct hosts) with ``domain`` and ``suffix``, ports left out.  A numeric address is its own domain.
+    """``hosts`` (distinct hosts) with ``domain`` and ``suffix``; user names, ports and a last dot are left out.  A numeric address is its own domain.
 
     ``suffixes``: SUFFIXES if not given; names or a table (suffix) in the form of the public suffix list: lower case, written as
     in hosts; ``*.x`` stands for each label before x, and ``!y.x`` takes y.x out of that.  Suffixes of one label need no entry.
     """
     if not isinstance(suffixes, DataFrame):
         suffixes = hosts.sparkSession.createDataFrame([(x,) for x in (SUFFIXES if suffixes is None else suffixes)], "suffix string")
-    plain = F.regexp_replace("host", ":[0-9]*$", "")
+    plain = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), "[.]?(:[0-9]*)?$", "")
     numeric = plain.rlike("^[0-9.]+$")
     size = F.when(numeric, 0).otherwise(F.size(F.split(plain, "\\.")))
     names = hosts.columns
@@ -86,8 +92,29 @@ def with_domain(hosts: DataFrame, suffixes: DataFrame | list[str] | None = None)
     return found.select(*names, F.when(numeric, plain).otherwise(tail(labels + 1)).alias("domain"), tail(labels).alias("suffix"))
 
 
+def chance_below(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Probability that a beta(a, b) share is below ``limit``, by the continued fraction of the incomplete beta function."""
+    logs = np.vectorize(math.lgamma, otypes=[float])
+    turned = limit > (a + 1) / (a + b + 2)  # the fraction converges fast on the other side of the mean
+    p, q, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - limit, limit)
+    tiny = 1e-300
+    c, d = np.ones_like(p), 1 / np.where(abs(e := 1 - (p + q) * x / (p + 1)) < tiny, tiny, e)
+    whole, m = d.copy(), 0
+    while len(p):
+        m += 1
+        before = whole.copy()
+        for step in (m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / np.where(abs(e := 1 + step * d) < tiny, tiny, e)
+            c = np.where(abs(e := 1 + step / c) < tiny, tiny, e)
+            whole = whole * c * d
+        if (abs(whole - before) <= 1e-13 * abs(whole)).all():
+            break
+    front = np.exp(logs(p + q) - logs(p) - logs(q) + p * np.log(x) + q * np.log1p(-x)) / p if len(p) else p
+    return np.where(turned, 1 - front * whole, front * whole)
+
+
 def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | list[str] | None = None) -> DataFrame:
-    """(host, mean, upper) of every host of ``pages`` (page_id, host) from ``outcomes`` (page_id, good 0/1; null ids or goods don't count)."""
+    """(host, mean, doubt) of every host of ``pages`` (page_id, host): posterior mean and P(share < LEAST_GOOD), from ``outcomes`` (page_id, good 0/1; null ids or goods don't count)."""
     labelled = pages.join(outcomes.filter("good is not null"), "page_id").groupBy("host") \
         .agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("double")).alias("good"))
     counted = pages.select("host").distinct().join(labelled, "host", "left").fillna(0.0, ["n", "good"])
@@ -105,9 +132,16 @@ def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | list
     by_suffix = shrunk(suffixes.withColumn("prior", F.lit(LEAST_GOOD if overall is None else overall))).select("suffix", F.col("mean").alias("prior"))
     by_domain = shrunk(domains.join(by_suffix, "suffix")).select("suffix", "domain", F.col("mean").alias("prior"))
     by_host = shrunk(hosts.join(by_domain, ["suffix", "domain"]))
-    total = F.col("strength") + F.col("n")
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (total + 1))
-    return by_host.select("host", "mean", F.least(F.lit(1.0), F.col("mean") + BOUND * deviation).alias("upper"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mean, total = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mean", "total"))
+            doubt = (mean <= 0).astype(float)  # a share of 0 or 1 for sure
+            some = (mean > 0) & (mean < 1)
+            doubt[some] = chance_below(mean[some] * total[some], (1 - mean[some]) * total[some], LEAST_GOOD)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("mean"), pa.array(doubt)], ["host", "mean", "doubt"])
+
+    return by_host.select("host", "mean", (F.col("strength") + F.col("n")).alias("total")).mapInArrow(run, "host string, mean double, doubt double")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], suffixes: DataFrame | list[str] | None = None) -> DataFrame:
@@ -122,6 +156,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], s
     fitting = [(F.lit(r), F.lit(v), rule_fits(r, F.col("host"), F.col("path"))) for r, v in sorted(rules, key=lambda x: -len(x[0]))]
     none = F.lit(None).cast("string")
     first = lambda k: reduce(lambda rest, f: F.when(f[2], f[k]).otherwise(rest), reversed(fitting), none)
-    known = reputation(split.select("page_id", "host"), outcomes, suffixes).select(F.col("host").alias("of"), (F.col("upper") < LEAST_GOOD).alias("bad"))
+    known = reputation(split.select("page_id", "host"), outcomes, suffixes).select(F.col("host").alias("of"), (F.col("doubt") >= SURE).alias("bad"))
     return split.join(known, split.host == known.of, "left") \
         .select("page_id", "host", "path", first(0).alias("rule"), F.coalesce(first(1), F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

@@ -202,3 +202,29 @@ def test_document_scores_equal_the_plain_model(spark):
     for k, t in enumerate(texts):
         want = (sum(plain_forward(known, w, logs)[-1] for w in (t or "").encode().lower().split()) + end) / np.log(10)
         assert np.isclose(got[k], want, rtol=1e-9)
+
+
+# -- hosts --------------------------------------------------------------------------------------
+
+def test_beta_chances_equal_the_integral():
+    from chatlake.llm import urls
+    a, b = np.array([1.0, 0.5, 2.5, 30.0, 400.0, 0.3, 3.0, 900.0]), np.array([1.0, 0.5, 7.0, 29.0, 420.0, 5.0, 0.4, 1.0])
+    x = (np.arange(400_000) + 0.5) / 400_000
+    for limit in (0.5, 0.2, 0.9):
+        got = urls.chance_below(a, b, limit)
+        for p, q, g in zip(a, b, got):
+            t = x ** 8  # evens out the ends, where the density may be infinite
+            density = lambda u, p=p, q=q: np.exp((p - 1) * np.log(u) + (q - 1) * np.log1p(-u))
+            low = (density(limit / 2 * t) * limit / 2 * 8 * x ** 7).sum() + (density(limit - limit / 2 * t) * limit / 2 * 8 * x ** 7).sum()
+            rest = 1 - limit
+            high = (density(limit + rest / 2 * t) * rest / 2 * 8 * x ** 7).sum()
+            u = rest / 2 * t
+            high += (np.exp((p - 1) * np.log1p(-u) + (q - 1) * np.log(u)) * rest / 2 * 8 * x ** 7).sum()
+            assert np.isclose(g, low / (low + high), atol=2e-5)
+    assert len(urls.chance_below(np.zeros(0), np.zeros(0), 0.5)) == 0
+
+
+def test_domains_of_odd_hosts(spark):
+    from chatlake.llm import urls
+    got = {r.host: (r.domain, r.suffix) for r in urls.with_domain(spark.createDataFrame([(h,) for h in ("bad.com.", "user@bad.com:80", "a:b@w.bad.co.uk.:8080", "@", ".")], "host string")).collect()}
+    assert got["bad.com."] == got["user@bad.com:80"] == ("bad.com", "com") and got["a:b@w.bad.co.uk.:8080"] == ("bad.co.uk", "co.uk") and got["@"] == got["."] == ("", "")
