@@ -1014,6 +1014,86 @@ def q_transcript_messages(spark, sf_dir):
     return src.transcript_messages(_transcripts(spark, sf_dir), "assistant", "2024-02-01 00:00:00")
 
 
+# --------------------------------------------------------------------------
+# Readers over real files: exports rendered from the tables are written, a folder for each owner, and read back
+# --------------------------------------------------------------------------
+
+def _text_files(df, spark, name: str, folders: list[str], order: list[str]) -> str:
+    """``value`` lines of ``df`` as text files: a folder for each value of ``folders``, one file in it, in ``order``."""
+    path = _export_path(spark, name)
+    df.repartition(*folders).sortWithinPartitions(*folders, *order).select("value", *folders).write.partitionBy(*folders).text(path)
+    return path
+
+
+def _value_of(column: str, name: str):
+    """What a path says for a folder ``name=value``."""
+    return F.regexp_extract(column, f"{name}=([^/]*)", 1)
+
+
+@register("export_files")
+def q_export_files(spark, sf_dir):
+    """Every third thread is another owner's; the records of all threads, parsed from their files."""
+    lines = _export_lines(spark, sf_dir).withColumn("owner_id", F.when(F.col("thread_id").cast("long") % 3 == 0, "other owner").otherwise(F.col("owner_id")))
+    path = _text_files(lines.withColumnRenamed("thread_id", "thread"), spark, "exports", ["owner_id", "thread"], ["line_no"])
+    read = src.read_text_lines(spark, path, owner_id=None).withColumn("thread_id", _value_of("thread_id", "thread"))
+    m = src.assemble_records(read)
+    return finish(m.select("owner_id", "thread_id", "seq", "ts", "speaker", "content", "is_reply", "reply_info"))
+
+
+@register("messenger_files")
+def q_messenger_files(spark, sf_dir):
+    """Conversations as Messenger threads: some of three people, some without the owner, all kinds of messages."""
+    c = ad.table(spark, sf_dir, "conversations")
+    k, t, mine = F.col("conv_id"), F.col("turn"), F.col("role") == "assistant"
+    friend = F.concat(F.lit("Friend "), (k % 5).cast("string"))
+    kind = F.when(t % 4 == 3, "media").when(k % 13 == 0, "placeholder").when(t % 4 == 2, "link").otherwise("text")
+    reactions = F.when(t % 3 == 1, F.array(F.struct(F.lit("♥").alias("reaction"), friend.alias("actor")), F.struct(F.lit("wow").alias("reaction"), F.lit("Owner").alias("actor"))))
+    message = F.struct(t.alias("at"), ((1_700_000_000 + k * 3600 + t * 60) * 1000 + 789).alias("timestamp"), F.when(mine, "Owner").otherwise(friend).alias("senderName"),
+                       kind.alias("type"), F.col("text"), reactions.alias("reactions"))
+    people = F.when(k % 9 == 0, F.array(F.lit("Owner"), friend, F.lit("Third"))).when(k % 11 == 0, F.array(friend)).otherwise(F.array(F.lit("Owner"), friend))
+    threads = c.select(k.alias("thread"), people.alias("participants"), message.alias("m")).groupBy("thread", "participants").agg(F.array_sort(F.collect_list("m")).alias("messages"))
+    threads = threads.select((F.col("thread") % 2).alias("owner"), "thread", F.to_json(F.struct("participants", F.lit("same name").alias("threadName"), "messages")).alias("value"))
+    path = _text_files(threads, spark, "messenger", ["owner", "thread"], [])
+    read = src.read_messenger(spark, path, "*.txt", owner_id=None).withColumn("thread_id", _value_of("thread_id", "thread"))
+    m = src.messenger_messages(read, "Owner")
+    return finish(m.select("owner_id", "thread_id", "seq", "ts", "speaker", "content", "reactions"))
+
+
+@register("discord_files")
+def q_discord_files(spark, sf_dir):
+    """Ten conversations are a channel, its pages two files: blank texts, other types, names that lack."""
+    c = ad.table(spark, sf_dir, "conversations")
+    k, t = F.col("conv_id"), F.col("turn")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + k * 3600 + t * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+    author = F.struct(F.when(k % 2 == 0, F.concat(F.lit("Name of "), F.col("role"))).when(k % 3 == 0, "").alias("global_name"), F.col("role").alias("username"))
+    message = F.struct(F.when(t % 5 == 4, " \n").otherwise(F.concat(F.lit(" "), F.col("text"))).alias("content"), F.when(t % 7 == 6, 1).otherwise(0).alias("type"), stamp.alias("timestamp"), author.alias("author"))
+    pages = c.select(F.floor(k / 10).alias("channel"), (k % 2).alias("page"), message.alias("m")).groupBy("channel", "page").agg(F.to_json(F.collect_list("m")).alias("value"))
+    path = _export_path(spark, "discord")
+    for page in (1, 0):  # a file each in the channel's folder
+        pages.filter(F.col("page") == page).select("value", F.lit("o").alias("owner"), "channel").repartition("channel").write.mode("append").partitionBy("owner", "channel").text(path)
+    m = src.discord_messages(src.read_discord(spark, path, "*.txt", owner_id=None))
+    return finish(m.select("owner_id", F.regexp_replace("thread_id", "channel=", "").alias("thread_id"), "seq", "ts", "speaker", "content"))
+
+
+@register("vcard_files")
+def q_vcard_files(spark, sf_dir):
+    path = _text_files(_vcard_lines(spark, sf_dir), spark, "vcards", ["owner_id"], ["line_no"])
+    return src.vcard_contacts(src.read_text_lines(spark, path, owner_id=None))
+
+
+@register("contact_files")
+def q_contact_files(spark, sf_dir):
+    """One dictionary file for each last digit of the user's number."""
+    c = _event_contacts(spark, sf_dir).withColumn("owner_id", F.concat(F.lit("o "), F.substring("phone", -1, 1)))
+    files = c.groupBy("owner_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("phone", "name")))).alias("value"))
+    return src.read_contacts_json(spark, _text_files(files, spark, "contacts", ["owner_id"], []), owner_id=None)
+
+
+@register("metadata_files")
+def q_metadata_files(spark, sf_dir):
+    return src.read_metadata(spark, _text_files(_metadata_texts(spark, sf_dir), spark, "metadata", ["owner_id"], []), owner_id=None)
+
+
 @register("filter_reasons_notebook")
 def q_filter_reasons_notebook(spark, sf_dir):
     f = exm.example_features(conv_turns(spark, sf_dir), cfg=exm.NOTEBOOK_FILTERS)

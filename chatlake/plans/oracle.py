@@ -1291,6 +1291,36 @@ SELECT transcript_id, 'Here is a conversation topic that you can begin conversat
        'Current conversation:' || chr(10) || c || chr(10) || '[2024-02-01 00:00:00] Me: ' AS user_message
 FROM h JOIN c USING (transcript_id)"""
 
+ORACLE["export_files"] = f"""WITH {EM},
+n AS (SELECT *, CAST(1 + coalesce(sum(4 + CAST(coalesce(is_reply, false) AS INTEGER)) OVER (PARTITION BY thread_id ORDER BY seq
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line FROM em)
+SELECT CASE WHEN CAST(thread_id AS BIGINT) % 3 = 0 THEN 'other owner' ELSE owner_id END AS owner_id, thread_id, line AS seq, strftime(ts, {TS_FMT}) AS ts,
+       speaker, content, is_reply, CASE WHEN is_reply THEN 'This message responded to an earlier message.' END AS reply_info
+FROM n WHERE NOT starts_with(content, 'Edited to')"""
+
+ORACLE["messenger_files"] = f"""WITH mf AS (
+  SELECT conv_id AS k, turn AS t, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+         'Friend ' || CAST(conv_id % 5 AS VARCHAR) AS friend FROM conversations)
+SELECT CAST(k % 2 AS VARCHAR) AS owner_id, CAST(k AS VARCHAR) AS thread_id, pos AS seq,
+       strftime(make_timestamp((1700000000 + k * 3600 + t * 60) * 1000000), {TS_FMT}) AS ts,
+       CASE WHEN role = 'assistant' THEN 'Me' ELSE friend END AS speaker, text AS content,
+       CASE WHEN t % 3 = 1 THEN '♥ by ' || friend || chr(10) || 'wow by Owner' END AS reactions
+FROM mf WHERE k % 9 <> 0 AND k % 11 <> 0 AND t % 4 <> 3"""
+
+ORACLE["discord_files"] = f"""WITH df AS (
+  SELECT conv_id // 10 AS ch, make_timestamp((1700000000 + conv_id * 3600 + turn * 60) * 1000000) AS ts, turn AS t,
+         CASE WHEN conv_id % 2 = 0 THEN 'Name of ' || role ELSE role END AS speaker, {_strip('text')} AS content FROM conversations)
+SELECT 'o' AS owner_id, CAST(ch AS VARCHAR) AS thread_id, row_number() OVER (PARTITION BY ch ORDER BY ts) AS seq,
+       strftime(ts, {TS_FMT}) AS ts, speaker, content FROM df WHERE t % 5 <> 4 AND t % 7 <> 6 AND content <> ''"""
+
+ORACLE["vcard_files"] = ORACLE["vcard_contacts"]
+
+ORACLE["contact_files"] = """SELECT 'o ' || right(phone, 1) AS owner_id, phone, name FROM (
+  SELECT '+1212555' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS phone, c_name AS name
+  FROM customer WHERE c_custkey IN (SELECT DISTINCT user_id FROM events) AND c_custkey % 2 = 0)"""
+
+ORACLE["metadata_files"] = ORACLE["metadata_entries"]
+
 ORACLE["filter_reasons_notebook"] = f"""WITH {examples_ctes(M_CONV, min_ts=7, banned=('GamePigeon message:',))}
 SELECT owner_id, thread_id, conv_no, turn_idx, strftime(ts, {TS_FMT}) AS ts, reject_reason FROM xr"""
 

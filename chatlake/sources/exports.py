@@ -32,13 +32,24 @@ def _thread_of(path: Column, root: str) -> Column:
     return F.try_url_decode(F.regexp_replace(F.regexp_replace(below, r"\.[^./]*$", ""), r"\+", "%2B"))
 
 
+def _owner_of(path: Column, root: str, owner_id: str | None) -> Column:
+    """``owner_id``, or where it is None the first folder of ``path`` below ``root`` (of ``name=value`` the value)."""
+    if owner_id is not None:
+        return F.lit(owner_id)
+    first = F.substring_index(F.substring_index(path, root.rstrip("/") + "/", -1), "/", 1)
+    return F.try_url_decode(F.regexp_replace(F.regexp_replace(first, r"^[^=]*=", ""), r"\+", "%2B"))
+
+
 def _parent_dir(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
-def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", owner_id: str = "me") -> DataFrame:
+def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", owner_id: str | None = "me") -> DataFrame:
     """Lines of every export file with a dense per-file line number.
 
+    With ``owner_id`` None the exports of many owners are read at once, a folder
+    below ``path`` for each.
+
     Returns ``(owner_id, thread_id, file_path, line_no, value)``; ``thread_id``
     is the file name without extension.  A big file is read as many splits;
     numbering never puts a whole file in one task: rows are ranked inside
@@ -50,7 +61,7 @@ def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", owner_i
                    F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("_mid"))
     d = dense_numbers(df, ["file_path"], "_blk", ["_mid"], "line_no")
-    return d.select(F.lit(owner_id).alias("owner_id"), _thread_of(F.col("file_path"), path).alias("thread_id"),
+    return d.select(_owner_of(F.col("file_path"), path, owner_id).alias("owner_id"), _thread_of(F.col("file_path"), path).alias("thread_id"),
                     "file_path", F.col("line_no").cast("long"), "value")
 
 
@@ -178,11 +189,12 @@ MESSENGER_TEXT_TYPES = ["text", "link", "placeholder"]
 MESSENGER_SKIP_TYPES = ["media"]
 
 
-def read_messenger(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """One row per Messenger thread file (explicit schema, no inference)."""
+def read_messenger(spark: SparkSession, path: str, glob: str = "*.json", owner_id: str | None = "me") -> DataFrame:
+    """One row per Messenger thread file (explicit schema, no inference); ``owner_id`` as in ``read_text_lines``."""
     return (spark.read.schema(MESSENGER_SCHEMA).option("multiLine", "true")
             .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
             .withColumn("file_path", F.col("_metadata.file_path"))
+            .withColumn("owner_id", _owner_of(F.col("file_path"), path, owner_id))
             .withColumn("thread_id", _thread_of(F.col("file_path"), path)))
 
 
@@ -196,15 +208,15 @@ def messenger_messages(threads: DataFrame, me: str, owner_id: str = "me") -> Dat
     whole seconds; reactions are kept as text lines in ``reactions``.
     """
     t = threads.filter((F.size("participants") <= 2) & F.array_contains("participants", me))
-    m = t.select("thread_id",
-                 F.posexplode("messages").alias("pos", "msg"))
+    owner = F.col("owner_id") if "owner_id" in threads.columns else F.lit(owner_id)
+    m = t.select(owner.alias("owner_id"), "thread_id", F.posexplode("messages").alias("pos", "msg"))
     m = m.filter(~F.col("msg.type").isin(MESSENGER_SKIP_TYPES))
     checked = F.when(F.col("msg.type").isin(MESSENGER_TEXT_TYPES), F.col("msg.text")).otherwise(
         F.raise_error(F.concat(F.lit("Unknown message type: "), F.col("msg.type"))))
     reactions = F.array_join(F.transform(F.coalesce(F.col("msg.reactions"), F.array()),
                                          lambda r: F.concat(r["reaction"], F.lit(" by "), r["actor"])), "\n")
     return m.select(
-        F.lit(owner_id).alias("owner_id"), "thread_id", F.col("pos").cast("long").alias("seq"),
+        "owner_id", "thread_id", F.col("pos").cast("long").alias("seq"),
         F.date_trunc("second", F.timestamp_millis(F.col("msg.timestamp"))).alias("ts"),
         F.when(F.col("msg.senderName") == me, F.lit("Me")).otherwise(F.col("msg.senderName")).alias("speaker"),
         checked.alias("content"), F.lit(False).alias("is_reply"),
@@ -240,11 +252,12 @@ DISCORD_SCHEMA = T.StructType([
 ])
 
 
-def read_discord(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*_page_*.json`` page; the pages of a folder form one thread."""
+def read_discord(spark: SparkSession, path: str, glob: str = "*_page_*.json", owner_id: str | None = "me") -> DataFrame:
+    """Every ``*_page_*.json`` page; the pages of a folder form one thread; ``owner_id`` as in ``read_text_lines``."""
     return (spark.read.schema(DISCORD_SCHEMA).option("multiLine", "true")
-            .option("pathGlobFilter", "*_page_*.json").option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
+            .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
             .withColumn("file_path", F.col("_metadata.file_path"))
+            .withColumn("owner_id", _owner_of(F.col("file_path"), path, owner_id))
             .withColumn("_mid", F.monotonically_increasing_id()))
 
 
@@ -252,14 +265,16 @@ def discord_messages(pages: DataFrame, owner_id: str = "me") -> DataFrame:
     """Non-blank ``type == 0`` messages ordered by their raw timestamp text."""
     d = pages.filter((py_strip(F.coalesce(F.col("content"), F.lit(""))) != "") & (F.col("type") == 0))
     d = d.withColumn("thread_id", _parent_dir(F.col("file_path")))
+    if "owner_id" not in d.columns:
+        d = d.withColumn("owner_id", F.lit(owner_id))
     # Order = raw timestamp text; numbered in chunks of its date prefix (a
     # prefix of the sort key keeps the order), so a busy channel is not one task.
-    d = dense_numbers(d.withColumn("_day", F.substring("timestamp", 1, 10)), ["thread_id"], "_day",
+    d = dense_numbers(d.withColumn("_day", F.substring("timestamp", 1, 10)), ["owner_id", "thread_id"], "_day",
                       ["timestamp", "file_path", "_mid"], "seq")
     speaker = F.when(F.coalesce(F.col("author.global_name"), F.lit("")) != "", F.col("author.global_name")) \
         .otherwise(F.col("author.username"))
     return d.select(
-        F.lit(owner_id).alias("owner_id"), "thread_id", F.col("seq").cast("long"),
+        "owner_id", "thread_id", F.col("seq").cast("long"),
         F.to_timestamp(F.col("timestamp")).alias("ts"), speaker.alias("speaker"),
         py_strip(F.col("content")).alias("content"), F.lit(False).alias("is_reply"),
         F.lit(None).cast("string").alias("reply_info"), F.lit("discord").alias("source"))
@@ -300,11 +315,11 @@ def vcard_contacts(lines: DataFrame, any_item_tel: bool = True) -> DataFrame:
     return c.withColumn("_r", F.row_number().over(wl)).filter("_r = 1").select("owner_id", "phone_norm", "name")
 
 
-def read_contacts_json(spark: SparkSession, path: str, owner_id: str = "me") -> DataFrame:
-    """Contact dictionary JSON ``{phone: name}`` -> contacts rows."""
-    raw = spark.read.text(path, wholetext=True)
-    kv = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("phone", "name"))
-    return kv.select(F.lit(owner_id).alias("owner_id"), "phone", "name")
+def read_contacts_json(spark: SparkSession, path: str, owner_id: str | None = "me") -> DataFrame:
+    """Contact dictionaries ``{phone: name}`` -> contacts rows; ``owner_id`` as in ``read_text_lines``.  A corrupt file raises an error."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True) \
+        .select("value", _owner_of(F.col("_metadata.file_path"), path, owner_id).alias("owner_id"))
+    return raw.select("owner_id", F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("phone", "name"))
 
 
 def write_contacts_json(contacts: DataFrame, path: str) -> None:
@@ -331,9 +346,10 @@ def parse_metadata(texts: DataFrame) -> DataFrame:
         .filter((F.col("name") != "") & (F.col("description") != ""))
 
 
-def read_metadata(spark: SparkSession, path: str, owner_id: str = "me") -> DataFrame:
-    """Read a metadata text file (one owner per file)."""
-    raw = spark.read.text(path, wholetext=True).select(F.lit(owner_id).alias("owner_id"), "value")
+def read_metadata(spark: SparkSession, path: str, owner_id: str | None = "me") -> DataFrame:
+    """Read metadata text files (one owner per file); ``owner_id`` as in ``read_text_lines``."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True) \
+        .select(_owner_of(F.col("_metadata.file_path"), path, owner_id).alias("owner_id"), "value")
     return parse_metadata(raw)
 
 
