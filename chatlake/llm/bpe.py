@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -27,6 +28,8 @@ from chatlake.llm.common import WHITE, HashIndex, slices, utf8
 
 #: Bytes of text whose distinct chunks ``arrays`` encodes together.
 ARRAYS_BYTES = 8 << 20
+#: Words whose ids ``arrays`` keeps from one call to the next.
+REMEMBERED_WORDS = 1_000_000
 #: Chunks remembered by a Python worker in each of two generations.
 REMEMBERED = 200_000
 
@@ -222,6 +225,23 @@ class ForcedBoundaryBPE:
             self.new[chunk] = result(ids)
         return (list(map(self.new.__getitem__, chunks)) for chunks in split)
 
+    def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words known so far, where each one's begin, and which of them each of ``words`` is.
+
+        Words that the last calls had are not encoded again; beyond REMEMBERED_WORDS only the new ones stay.
+        """
+        known, flat, at = getattr(self, "held", (words.slice(0, 0), np.zeros(0, np.uint32), np.zeros(1, np.int64)))
+        place = pc.index_in(words, value_set=known)
+        new = words.filter(place.is_null())
+        if len(known) + len(new) > REMEMBERED_WORDS:
+            known, flat, at, new = words.slice(0, 0), flat[:0], at[:1], words
+            place = pa.nulls(len(words), pa.int32())
+        ids, ends = self.encode_words(new)
+        out = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        out[out < 0] = len(known) + np.arange(len(new))
+        self.held = pa.concat_arrays([known, new]), np.concatenate([flat, ids.astype(np.uint32)]), np.append(at, at[-1] + ends[1:])
+        return self.held[1], self.held[2], out
+
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts one after another, and where each text's begin (nulls are empty).
 
@@ -238,8 +258,8 @@ class ForcedBoundaryBPE:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         place = np.append(0, np.cumsum(solid))
         chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(place[begin], place[-1])), pa.py_buffer(data[solid])]).dictionary_encode()
-        held, held_at = self.encode_words(chunks.dictionary)
-        code = chunks.indices.to_numpy()
+        held, held_at, place = self.remembered(chunks.dictionary)
+        code = place[chunks.indices.to_numpy()]
         lo, size = held_at[code], np.diff(held_at)[code]
         ends = np.append(0, np.cumsum(size))
         ids = held[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], size)]

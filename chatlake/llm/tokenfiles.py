@@ -1,11 +1,12 @@
 """Operator 6: token ids in files, by a context-mixing range coder.
 
 Ids are cut into blocks of BLOCK ids; each block starts from an empty model, carries a checksum and
-can be read alone.  Before each id three predictions are made: the id last seen after the same two
-ids (order 2), after the same id (order 1), and the most frequent id of the block so far (order 0).
-One symbol says which of them is right, or else about how many bits the id has; its distribution mixes the
-adaptive counts of an order-0, an order-1 and an order-2 context.  The bits of an id that no
-prediction had follow in equal shares.  Many blocks are coded in step, one numpy lane each.
+can be read alone.  Each id has a guess: what last followed the same two ids (order 2), or else the
+same id (order 1).  One binary choice says whether the guess is right; its probability mixes the
+block's hits with those of its context.  An id that was not guessed is coded by the adaptive counts of the
+block's ids (order 0), which also say how likely a new one is; new ids follow in equal shares.
+Counts are brought up to date at fixed places (``STEPS``), so that between these many blocks are
+coded in step, one numpy lane each, with tables that stand still.
 
 Blocks are rows (file, block, n_tokens, payload) of a table that Spark writes: its commit protocol
 leaves whole files only, also when executors are lost.
@@ -28,182 +29,260 @@ from chatlake.llm.common import slices, staged
 
 BLOCK = 4096
 LANES = 2048
-MAGIC = b"CMR1"
-#: magic, ids, bits of the largest id, documents or parts of them, 16-bit words, crc32 of what follows.
+#: Places of ids in lanes that the coder looks up at a time, 2 bytes each.
+PLACES = 1 << 26
+#: Places in a block at which its counts are brought up to date; later ones follow every 512 ids.
+STEPS = (24, 64, 144, 288, 512, 768, 1024)
+MAGIC = b"CMR2"
+#: magic, ids, bits of the largest id, documents or parts of them, 24-bit words, crc32 of what follows.
 HEADER = struct.Struct("<4sIBIII")
 #: id of the document (0 if it has none), 1: its first ids are here, 2: its id is null; ids here.
 PART = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("count", "<u4")])
 
-_SLOTS2, _SLOTS1, _SLOTS0 = 1024, 1024, 256
-_TOP = np.uint64(1 << 32)
-_LOW = np.uint64((1 << 32) - 1)
-_1, _16, _32 = np.uint64(1), np.uint64(16), np.uint64(32)
-
-
-#: Literal symbols: ids of up to SHORT bits share one, then one for each number of bits.
-SHORT = 9
+#: Places that remember what followed two ids, and one.
+_SLOTS2, _SLOTS1 = 1024, 512
+#: Contexts of the binary choice: a guess of order 1 or none, one of order 2; each after a miss and after a hit.
+_ROWS = 4
+#: Shares of the binary choice, and of the ids of a block, as powers of two.
+_CHOICE, _SHARE = 12, 12
+#: Different ids of a block that are counted; what comes later stays new each time.
+_KNOWN = 3000
+#: The width of a lane's interval is at least 2 ** 32 and under 2 ** 56; words have 24 bits.
+_LEAST = np.uint64(1 << 32)
+_24, _32 = np.uint64(24), np.uint64(32)
+_0, _2, _SPAN = np.uint64(0), np.int64(2), np.int32(0xFFFF)
+_BELOW = np.uint64((1 << 32) - 1)
 
 
 class _Model:
     """Adaptive state of many blocks; ``n`` lanes are active at a time, the first ones."""
 
-    def __init__(self, lanes: int, bits: int):
-        classes = np.maximum(np.arange(bits + 1), SHORT) - SHORT
-        self.symbols = s = 4 + int(classes[-1])  # order 2, 1, 0 right; then classes of ids by their bits
-        #: For each symbol how many bits follow, and the least id.
-        self.extra = np.concatenate([np.zeros(3, np.uint64), [np.uint64(min(SHORT, bits))], np.arange(SHORT, SHORT + s - 4, dtype=np.uint64)]).astype(np.uint64)
-        self.least = np.concatenate([np.zeros(4, np.int64), np.int64(1) << np.arange(SHORT, SHORT + s - 4)]).astype(np.int64)
-        self.class_of = None if bits > 16 else (np.frexp(np.arange(1 << bits).clip(1))[1].clip(SHORT) - SHORT + 3).astype(np.int8)
+    def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.row, self.base2, self.base1, self.base0 = self.lane * s, self.lane * _SLOTS2, self.lane * _SLOTS1, self.lane * _SLOTS0
-        #: What followed a context last, times 4, plus how often in a row it did (up to 3).
-        entry = np.int32 if bits < 29 else np.int64
-        self.after2, self.after1 = np.full(lanes * _SLOTS2, -4, entry), np.full(lanes * _SLOTS1, -4, entry)
-        self.seen = np.zeros(lanes * _SLOTS0, np.int16)
-        self.best, self.best_seen = np.full(lanes, -1, np.int64), np.zeros(lanes, np.int16)
-        self.count0 = np.ones((lanes, s), np.int32)
-        self.count1 = np.zeros((lanes * s * 2, s), np.int32)
-        self.count2 = np.zeros((lanes * 8, s), np.int32)
-        self.back1, self.back2, self.kind = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, n: int) -> np.ndarray:
-        """Cumulative mixed counts [n, symbols]; the predictions are kept for ``take``."""
+        self.base2, self.base1, self.base_row = self.lane * _SLOTS2, self.lane * _SLOTS1, self.lane * _ROWS
+        self.after2, self.after1 = np.full(lanes * _SLOTS2, -1, np.int32), np.full(lanes * _SLOTS1, -1, np.int32)
+        self.back1, self.back2, self.row = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), self.base_row.copy()
+        self.tries, self.hits = np.zeros(lanes * _ROWS, np.int64), np.zeros(lanes * _ROWS, np.int64)
+        #: The ids of each lane so far in the order of their first count, their counts, and how many they are.
+        self.ids, self.count = np.zeros((lanes, 64), np.int32), np.zeros((lanes, 64), np.int32)
+        self.known = np.zeros(lanes, np.int64)
+        self.freeze()
+
+    def freeze(self) -> None:
+        """Tables from the counts: the shares of a hit by row, and where the shares of each id begin in its lane."""
+        tries, hits = self.tries.reshape(-1, _ROWS), self.hits.reshape(-1, _ROWS)
+        share = ((hits.sum(axis=1, keepdims=True) + 4 * hits + 1) << _CHOICE) // (tries.sum(axis=1, keepdims=True) + 4 * tries + 24)
+        self.share = np.minimum(np.maximum(share, 8), (1 << _CHOICE) - 64).ravel().astype(np.uint64)
+        width = int(self.known.max()) if len(self.known) else 0
+        count = self.count[:, :width]
+        scale = ((1 << _SHARE) - self.known - 1) / np.maximum(count.sum(axis=1) + self.known, 1)
+        part = np.zeros((len(self.lane), width + 1), np.int32)
+        np.multiply(count, scale[:, None], out=part[:, :width], casting="unsafe")  # down to whole shares
+        part[:, :width] += np.arange(width) < self.known[:, None]
+        #: For each id where its shares begin and, from bit 16 on, how many they are; a new id has what is left.
+        self.stride = width + 1
+        begin = np.zeros_like(part)
+        np.cumsum(part[:, :-1], axis=1, out=begin[:, 1:])
+        part[self.lane, self.known] = (1 << _SHARE) - begin[:, -1]
+        self.part = part
+        self.range = (begin | part << 16).ravel()
+        self.base_id = self.lane * self.stride
+
+    def slots(self) -> np.ndarray:
+        """For each lane and share, which of its ids has it (``known``: a new one)."""
+        return np.repeat(np.broadcast_to(np.arange(self.stride, dtype=np.int16), self.part.shape).ravel(), self.part.ravel())
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The guess of each lane (-1: none) and its row."""
         one = self.back1[:n]
-        self.at2 = self.base2[:n] + ((self.back2[:n] * 0x9E3B + one * 0x85EB >> 3) & (_SLOTS2 - 1))
-        self.at1 = self.base1[:n] + ((one * 0x9E3B >> 2) & (_SLOTS1 - 1))
-        self.entry2, self.entry1 = self.after2[self.at2].astype(np.int64), self.after1[self.at1].astype(np.int64)
-        self.guess = self.entry2 >> 2, self.entry1 >> 2, self.best[:n]
-        self.row2 = self.lane[:n] * 8 + (self.entry2 & 3) * 2 + (self.guess[0] == self.guess[1])
-        self.row1 = (self.row[:n] + self.kind[:n]) * 2 + (self.entry1 & 3 > 0)
-        mixed = self.count0[:n] + self.count1.take(self.row1, axis=0)
-        mixed += self.count2.take(self.row2, axis=0)
-        return np.cumsum(mixed, axis=1, dtype=np.int32)
-
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        if self.class_of is not None:
-            return self.class_of[ids].astype(np.int64)
-        return np.frexp(ids.clip(1).astype(np.float64))[1].clip(SHORT).astype(np.int64) - SHORT + 3
-
-    def symbol(self, ids: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        two, one, none = self.guess
-        return np.where(two == ids, 0, np.where(one == ids, 1, np.where(none == ids, 2, kind)))
-
-    def bounds(self, total: np.ndarray, n: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative counts before and up to each lane's symbol."""
-        flat, at = total.ravel(), self.row[:n] + symbol
-        return np.where(symbol > 0, flat[at - (symbol > 0)], 0).astype(np.uint64), flat[at].astype(np.uint64)
-
-    def take(self, n: int, symbol: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> None:
-        s = self.symbols
-        self.count0.reshape(-1)[self.row[:n] + symbol] += 4
-        self.count1.reshape(-1)[self.row1 * s + symbol] += 8
-        self.count2.reshape(-1)[self.row2 * s + symbol] += 16
-        four = ids << 2
-        for at, after, entry, guess in ((self.at2, self.after2, self.entry2, self.guess[0]), (self.at1, self.after1, self.entry1, self.guess[1])):
-            after[at] = np.where(guess == ids, np.minimum(entry + 1, four + 3), four)
-        at0 = self.base0[:n] + ((ids * 0x9E3B >> 4) & (_SLOTS0 - 1))
-        seen = self.seen[at0] + np.int16(1)
-        self.seen[at0] = seen
-        better = seen >= self.best_seen[:n]
-        self.best[:n] = np.where(better, ids, self.best[:n])
-        self.best_seen[:n] = np.maximum(seen, self.best_seen[:n])
+        self.at2 = self.base2[:n] + ((self.back2[:n] * 0x9E3B + one * 0x3C6F >> 3) & (_SLOTS2 - 1))
+        self.at1 = self.base1[:n] + (one & (_SLOTS1 - 1))
+        two, first = self.after2.take(self.at2), self.after1.take(self.at1)
+        has = two >= 0
+        guess = np.where(has, two, first)
+        return guess, self.row[:n] + has * _2
+
+    def take(self, n: int, ids: np.ndarray, hit: np.ndarray) -> None:
+        self.after2[self.at2] = ids
+        self.after1[self.at1] = ids
         self.back2[:n] = self.back1[:n]
         self.back1[:n] = ids
-        self.kind[:n] = kind
+        np.add(self.base_row[:n], hit, out=self.row[:n])
+
+    def learn(self, rows: np.ndarray, seen: np.ndarray, lanes: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count choices (2 * row + hit), ids by their place (base_id + place), and new ids (by lane): the latter's lanes, ids and places."""
+        both = np.bincount(rows, minlength=2 * len(self.tries)).reshape(-1, 2)
+        self.tries += both.sum(axis=1)
+        self.hits += both[:, 1]
+        counted = np.bincount(seen, minlength=len(self.lane) * self.stride).reshape(-1, self.stride)
+        self.count[:, :self.stride - 1] += counted[:, :-1].astype(np.int32)
+        key, times = np.unique(lanes << 32 | fresh.view(np.uint32).astype(np.int64), return_counts=True)
+        lane, new = key >> 32, (key & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        if len(key):
+            begin = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
+            size = np.diff(np.append(begin, len(lane)))
+            place = self.known[lane] + np.arange(len(lane)) - np.repeat(begin, size)
+            some = place < _KNOWN
+            lane, new, times, place = lane[some], new[some], times[some], place[some]
+            if int(place.max(initial=0)) >= self.ids.shape[1]:
+                more = max(int(place.max()) + 1, 2 * self.ids.shape[1]) - self.ids.shape[1]
+                self.ids, self.count = (np.pad(x, ((0, 0), (0, more))) for x in (self.ids, self.count))
+            self.ids[lane, place], self.count[lane, place] = new, times
+            np.add.at(self.known, lane, 1)
+        else:
+            place = lane
+        self.freeze()
+        return lane, new, place
+
+
+def _chunks(size: int) -> Iterator[tuple[int, int]]:
+    edge = [0, *(s for s in (*STEPS, *range(1536, size, 512)) if s < size), size]
+    return zip(edge, edge[1:])
+
+
+def _parts(bits: int) -> list[int]:
+    """How many bits of a new id follow at a time."""
+    return [bits] if bits <= 16 else [bits - 16, 16]
 
 
 def _encode_lanes(ids: list[np.ndarray], bits: int) -> list[np.ndarray]:
-    """16-bit words of each block; no block is longer than the one before it."""
-    model = _Model(len(ids), bits)
-    length = np.array([len(x) for x in ids])
-    wide = np.zeros((int(length.max()), len(ids)), np.int64)
+    """24-bit words of each block; no block is longer than the one before it."""
+    lanes, length = len(ids), np.array([len(x) for x in ids])
+    rows = np.zeros((lanes, int(length.max())), np.int32)
     for k, x in enumerate(ids):
-        wide[:len(x), k] = x
-    low, width = np.zeros(len(ids), np.uint64), np.full(len(ids), (1 << 48) - 1, np.uint64)
+        rows[k, :len(x)] = np.asarray(x, np.uint32).view(np.int32)
+    wide = np.ascontiguousarray(rows.T)
+    # Ids by number: in tables by id where these are small.  Ids of 32 bits are held as signed ones throughout.
+    kinds = np.flatnonzero(np.bincount(wide.ravel())) if bits <= 20 else np.unique(wide)
+    number = np.zeros(int(kinds[-1]) + 1 if bits <= 20 else 0, np.int32)
+    if bits <= 20:
+        number[kinds] = np.arange(len(kinds), dtype=np.int32)
+    numbered = number.take if bits <= 20 else kinds.searchsorted
+    if lanes > 1 and lanes * len(kinds) > PLACES:  # blocks do not depend on one another
+        return _encode_lanes(ids[:lanes // 2], bits) + _encode_lanes(ids[lanes // 2:], bits)
+    #: The place of each id (by its number) in each lane, or -1.
+    place_of = np.full(lanes * len(kinds), -1, np.int16)
+    model, base = _Model(lanes), np.arange(lanes) * len(kinds)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 56) - 1, np.uint64)
     out_lane, out_word = [], []
 
-    def shift(n: int) -> None:
-        while True:
-            small = np.flatnonzero(width[:n] < _TOP)
-            if not len(small):
-                return
-            out_lane.append(small)
-            out_word.append((low[small] >> _32).astype(np.uint32))  # bit 16: a carry into the words before
-            low[small] = (low[small] & _LOW) << _16
-            width[small] <<= _16
-
-    for t in range(len(wide)):
-        n = int(np.searchsorted(-length, -t))
-        now, total = wide[t, :n], model.predict(n)
-        kind = model.classes(now)
-        symbol = model.symbol(now, kind)
-        begin, end = model.bounds(total, n, symbol)
-        unit = width[:n] // total[:, -1].astype(np.uint64)
-        low[:n] += unit * begin
-        width[:n] = unit * (end - begin)
-        shift(n)
-        extra = model.extra[symbol]
-        value = np.where(symbol > 2, now - model.least[symbol], 0).astype(np.uint64)
-        for part in ([extra] if bits <= 16 else [np.maximum(extra, _16) - _16, np.minimum(extra, _16)]):
-            extra = extra - part
-            width[:n] >>= part
-            low[:n] += width[:n] * ((value >> extra) & ((_1 << part) - _1))
-            shift(n)
-        model.take(n, symbol, now, kind)
-    for k in range(3):
-        out_lane.append(np.arange(len(ids)))
-        out_word.append((low >> _32).astype(np.uint32))
-        low[:] = (low & _LOW) << _16
+    def shift(some: np.ndarray) -> None:
+        out_lane.append(some.astype(np.uint16 if lanes <= 1 << 16 else np.int64))
+        out_word.append((low[some] >> _32).astype(np.uint32))  # bit 24: a carry into the words before
+        low[some] = (low[some] & _BELOW) << _24
+        width[some] <<= _24
+
+    for a, b in _chunks(len(wide)):
+        now = wide[a:b]
+        place = place_of.take(base + numbered(now))
+        fresh = place < 0
+        index = np.where(fresh, model.known, place) + model.base_id
+        span = model.range.take(index)
+        rows = np.zeros(now.shape, np.int32)
+        full = b <= length[-1]
+        for t in range(b - a):
+            n = lanes if full else int(np.searchsorted(-length, -(a + t)))
+            own = now[t, :n]
+            guess, row = model.predict(n)
+            hit = (guess == own) & (guess >= 0)  # ids of 32 bits, negative here, are never guessed
+            cut = (width[:n] >> np.uint64(_CHOICE)) * model.share.take(row)
+            unit = (width[:n] - cut) >> np.uint64(_SHARE)
+            own_span = span[t, :n]
+            low[:n] += np.where(hit, _0, cut + unit * (own_span & _SPAN).astype(np.uint64))
+            width[:n] = np.where(hit, cut, unit * (own_span >> 16).astype(np.uint64))
+            some = np.flatnonzero(width[:n] < _LEAST)
+            if len(some):
+                shift(some)
+            some = np.flatnonzero(fresh[t, :n] > hit)
+            if len(some):
+                left = bits
+                for part in _parts(bits):
+                    left -= part
+                    width[some] >>= np.uint64(part)
+                    low[some] += width[some] * ((own[some].view(np.uint32).astype(np.uint64) >> np.uint64(left)) & np.uint64((1 << part) - 1))
+                    small = some[width[some] < _LEAST]
+                    if len(small):
+                        shift(small)
+            rows[t, :n] = 2 * row + hit
+            model.take(n, own, hit)
+        missed = rows & 1 == 0
+        if b > length[-1]:
+            alive = np.arange(a, b)[:, None] < length
+            rows, missed = rows[alive], missed & alive
+        new = missed & fresh
+        where, which, put = model.learn(rows.ravel(), index[missed > fresh], np.nonzero(new)[1], now[new])
+        place_of[base[where] + numbered(which)] = put
+    for _ in range(3):
+        shift(np.arange(lanes))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     order = np.argsort(lane, kind="stable")
     lane, word = lane[order], word[order]
-    while (carry := word >> np.uint32(16)).any():
-        word = (word & np.uint32(0xFFFF)) + np.append(carry[1:], np.uint32(0))  # never out of a lane's first word
-    return np.split(word.astype("<u2"), np.searchsorted(lane, np.arange(1, len(ids))))
-
-
-def _decode_lanes(words: list[np.ndarray], length: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Ids of each block; ``length`` must not rise."""
-    model = _Model(len(words), bits)
-    at = np.cumsum([0] + [len(w) + 4 for w in words])[:-1]
-    flat = np.concatenate([np.append(w, np.zeros(4, w.dtype)) for w in words]).astype(np.uint64)
-    code = flat[at] << _32 | flat[at + 1] << _16 | flat[at + 2]
-    at += 3
-    width = np.full(len(words), (1 << 48) - 1, np.uint64)
-    wide = np.zeros((int(length.max()), len(words)), np.int64)
-
-    def shift(n: int) -> None:
-        while True:
-            small = np.flatnonzero(width[:n] < _TOP)
-            if not len(small):
-                return
-            code[small] = code[small] << _16 | flat[at[small]]
-            at[small] += 1
-            width[small] <<= _16
-
-    for t in range(len(wide)):
-        n = int(np.searchsorted(-length, -t))
-        total = model.predict(n)
-        unit = width[:n] // total[:, -1].astype(np.uint64)
-        place = np.minimum(code[:n] // unit, total[:, -1].astype(np.uint64) - _1).astype(np.int32)
-        symbol = (total <= place[:, None]).sum(axis=1)
-        begin, end = model.bounds(total, n, symbol)
-        code[:n] -= unit * begin
-        width[:n] = unit * (end - begin)
-        shift(n)
-        two, one, none = model.guess
-        now = np.where(symbol == 0, two, np.where(symbol == 1, one, np.where(symbol == 2, none, model.least[symbol])))
-        extra = model.extra[symbol]
-        for part in ([extra] if bits <= 16 else [np.maximum(extra, _16) - _16, np.minimum(extra, _16)]):
-            extra = extra - part
-            width[:n] >>= part
-            value = np.minimum(code[:n] // width[:n], (_1 << part) - _1)
-            code[:n] -= width[:n] * value
-            now = now + (value << extra).astype(np.int64)
-            shift(n)
-        model.take(n, symbol, now, model.classes(now))
-        wide[t, :n] = now
-    return [wide[:n, k].astype(np.uint32) for k, n in enumerate(length)]
+    while (carry := word >> np.uint32(24)).any():
+        word = (word & np.uint32(0xFFFFFF)) + np.append(carry[1:], np.uint32(0))  # never out of a lane's first word
+    return np.split(word, np.searchsorted(lane, np.arange(1, lanes)))
+
+
+def _decode_lanes(streams: list[np.ndarray], length: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Ids of each block from the bytes of its words; ``length`` must not rise."""
+    lanes = len(streams)
+    model = _Model(lanes)
+    at = np.cumsum([0] + [len(x) + 12 for x in streams])[:-1]
+    data = np.concatenate([y for x in streams for y in (x, np.zeros(12, np.uint8))] + [np.zeros(2, np.uint8)]).astype(np.uint32)
+    three = (data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:])  # the 24 bits from each byte on
+    word = lambda some: three.take(some).astype(np.uint64)
+    code = word(at) << _32 | word(at + 3) << np.uint64(8) | word(at + 6) >> np.uint64(16)
+    at += 7
+    width = np.full(lanes, (1 << 56) - 1, np.uint64)
+    wide = np.zeros((int(length.max()), lanes), np.int32)
+
+    def shift(some: np.ndarray) -> None:
+        code[some] = code[some] << _24 | word(at[some])
+        at[some] += 3
+        width[some] <<= _24
+
+    last = np.uint64((1 << _SHARE) - 1)
+    for a, b in _chunks(len(wide)):
+        slots, base_slot = model.slots(), model.lane << _SHARE
+        held, base_held = model.ids.ravel(), model.lane * model.ids.shape[1]
+        rows, places = np.zeros((b - a, lanes), np.int32), np.zeros((b - a, lanes), np.int16)
+        for t in range(b - a):
+            n = int(np.searchsorted(-length, -(a + t))) if a + t >= length[-1] else lanes
+            guess, row = model.predict(n)
+            cut = (width[:n] >> np.uint64(_CHOICE)) * model.share.take(row)
+            hit = code[:n] < cut
+            unit = (width[:n] - cut) >> np.uint64(_SHARE)
+            other = code[:n] - cut  # of a hit: not used
+            place = slots.take(base_slot[:n] + np.minimum(other // unit, last).view(np.int64))
+            span = model.range.take(model.base_id[:n] + place)
+            now = np.where(hit, guess, held.take(base_held[:n] + place, mode="clip"))
+            code[:n] = np.where(hit, code[:n], other - unit * (span & _SPAN).astype(np.uint64))
+            width[:n] = np.where(hit, cut, unit * (span >> 16).astype(np.uint64))
+            some = np.flatnonzero(width[:n] < _LEAST)
+            if len(some):
+                shift(some)
+            some = np.flatnonzero((place == model.known[:n]) > hit)
+            if len(some):
+                value = np.zeros(len(some), np.uint64)
+                for part in _parts(bits):
+                    width[some] >>= np.uint64(part)
+                    got = np.minimum(code[some] // width[some], np.uint64((1 << part) - 1))
+                    code[some] -= width[some] * got
+                    value = value << np.uint64(part) | got
+                    small = some[width[some] < _LEAST]
+                    if len(small):
+                        shift(small)
+                now[some] = value.astype(np.uint32).view(np.int32)
+            wide[a + t, :n] = now
+            rows[t, :n], places[t, :n] = 2 * row + hit, place
+            model.take(n, now, hit)
+        missed = rows & 1 == 0
+        if b > length[-1]:
+            alive = np.arange(a, b)[:, None] < length
+            rows, missed = rows[alive], missed & alive
+        fresh = missed & (places == model.known)
+        model.learn(rows.ravel(), (model.base_id + places)[missed > fresh], np.nonzero(fresh)[1], wide[a:b][fresh])
+    rows = np.ascontiguousarray(wide.T).view(np.uint32)
+    return [rows[k, :n] for k, n in enumerate(length)]
 
 
 def encode_blocks(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
@@ -212,7 +291,7 @@ def encode_blocks(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
     words = _encode_lanes([ids for _, ids in blocks], bits)
     out = []
     for (parts, ids), word in zip(blocks, words):
-        body = parts.tobytes() + word.tobytes()
+        body = parts.tobytes() + word.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
         out.append(HEADER.pack(MAGIC, len(ids), bits, len(parts), len(word), zlib.crc32(body)) + body)
     return out
 
@@ -225,9 +304,9 @@ def decode_blocks(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             raise ValueError("block is cut")
         magic, n, bits, parts, words, crc = HEADER.unpack_from(p)
         body = p[HEADER.size:]
-        if magic != MAGIC or len(body) != parts * PART.itemsize + 2 * words or zlib.crc32(body) != crc:
+        if magic != MAGIC or len(body) != parts * PART.itemsize + 3 * words or zlib.crc32(body) != crc:
             raise ValueError("block is damaged")
-        read.append((n, bits, np.frombuffer(body, PART, parts), np.frombuffer(body, "<u2", offset=parts * PART.itemsize)))
+        read.append((n, bits, np.frombuffer(body, PART, parts), np.frombuffer(body, np.uint8, offset=parts * PART.itemsize)))
     out: list[tuple[np.ndarray, np.ndarray]] = [(r[2], np.zeros(0, np.uint32)) for r in read]
     for bits in {r[1] for r in read}:
         own = sorted((k for k, r in enumerate(read) if r[1] == bits), key=lambda k: -read[k][0])
