@@ -204,7 +204,7 @@ def spaced_subsets(df: DataFrame, group_cols: list[str], order_cols: list[str],
             .select(*keys, "first.row", "t", "first.rk", F.lit(True).alias("picked"))
         # Short walks are filled with the newest rows not picked: these are among the newest ``size``.
         new = W.partitionBy(*group_cols).orderBy(F.col("t").desc_nulls_last(), "rk")
-        fill = rows.withColumn("r", F.row_number().over(new)).filter(F.col("r") <= max(spaced))
+        fill = staged(rows.withColumn("r", F.row_number().over(new)).filter(F.col("r") <= max(spaced)))
         taken = picks.groupBy(*keys).agg(F.count("*").alias("n_picked"))
         fill = fill.join(gaps, group_cols).filter(F.col("r") <= F.col("size")).join(sized(staged(taken)), keys).filter(F.col("n_picked") < F.col("size"))
         stamp = stamps.join(sized(picks.select(*keys, "t")), [*group_cols, "t"]).select(*keys, F.col("first.rk").alias("rk"), F.lit(True).alias("_p"))

@@ -29,3 +29,13 @@ def test_scan_pushes_projection(spark):
     # Column pruning reaches the scan: the unused ``props`` column is never read.
     assert "ReadSchema: struct<event_id:bigint" in plan
     assert "props" not in plan
+
+
+def test_plans_of_line_and_subset_queries_stay_small(spark):
+    """What is left behind the staged tables: few exchanges, no nested loops, no Python besides Arrow."""
+    import re
+
+    for name, most in (("parse_exports", 5), ("speaker_census", 6), ("subset_ladder", 8), ("validation_split", 10)):
+        plan = ent.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"(?<![A-Za-z])Exchange ", plan)) <= most, name
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan and "MapInPandas" not in plan
