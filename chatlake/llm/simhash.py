@@ -128,7 +128,9 @@ def links(prints: DataFrame, bits: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    postings = prints.select("fp").mapInArrow(post, "key long, fp long")
+    # Each fingerprint makes dozens of postings: dealt out first, as a few files of short rows hold them all.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = prints.select("fp").repartition(parts, "fp").mapInArrow(post, "key long, fp long")
     return in_cells(postings, "key", "fp", CELL).mapInArrow(compare, "a long, b long")
 
 
