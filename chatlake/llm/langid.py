@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import segment_reduce, slices, staged, utf8
@@ -158,15 +158,25 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, bounded: bool = False) ->
     ``bounded`` learns ``bound`` as well: trees of all but a fold of the same documents, measured on that fold.
     """
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    # The least hashes of each language: counted by their first bits, so that only the bits where the
-    # sample ends are ranked, and no task sorts a language.
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.shiftright("h", 48))
-    so_far = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
-    parts = ranked.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(so_far) - F.col("n")) \
-        .filter(F.col("before") < sample)  # ``sample`` parts of a language at most
-    ranked = ranked.join(parts, ["lang", "part"])
-    edge = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
-    ranked = ranked.withColumn("k", F.row_number().over(edge)).filter(F.col("before") + F.col("k") <= sample)
+    # The least hashes of each language: counted by their first byte, and where the sample ends in it by their
+    # second, so that only 1 / 65,536 of a language is ranked and no task sorts one.
+    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")) \
+        .withColumn("first", F.shiftright("h", 56)).withColumn("second", F.shiftright("h", 48))
+
+    def reached(rows: DataFrame, part: str, start: Column) -> DataFrame:
+        """(lang, part, before, n) of the parts in which the sample has room: at most 256 of a language are counted."""
+        so_far = Window.partitionBy("lang").orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.groupBy("lang", part).agg(F.count("*").alias("n"), F.max(start).alias("start")) \
+            .withColumn("before", F.col("start") + F.sum("n").over(so_far) - F.col("n")).filter(F.col("before") < sample).drop("start")
+
+    firsts = reached(ranked, "first", F.lit(0))
+    ranked = ranked.join(firsts, ["lang", "first"])
+    whole = (F.col("before") + F.col("n") <= sample)
+    edge = ranked.filter(~whole).withColumnRenamed("before", "start").drop("n")
+    edge = edge.join(reached(edge, "second", F.col("start")), ["lang", "second"])
+    last = Window.partitionBy("lang", "second").orderBy("h", "doc_id")
+    edge = edge.withColumn("k", F.row_number().over(last)).filter(F.col("before") + F.col("k") <= sample)
+    ranked = ranked.filter(whole).select("doc_id", "lang").unionByName(edge.select("doc_id", "lang"))
     chosen = ranked.select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
     picked = known.join(chosen, (known.doc_id == chosen.id) & (known.lang == chosen.of), "left_semi")
     if bounded:
