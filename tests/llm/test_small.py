@@ -405,10 +405,10 @@ def test_contaminated(spark, docs, empty):
     }
     table = spark.createDataFrame([(k, ", ".join(w).upper() if k == 1 else " ".join(w)) for k, (w, _) in cases.items()] + [(1, " ".join(filler(8)))] * 2 + [(None, " ".join(items[0]))], "doc_id long, text string")
     table = table.unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    found = decontam.contaminated(table, bench).collect()
+    found = decontam.contaminated(table, bench, least=1).collect()  # of one word, too
     assert {(x.doc_id, x.item_id) for x in found} == {(k, i) for k, (_, own) in cases.items() for i in own} | {(None, 0)}
     assert {(x.n_equal, x.n_span, x.n_item) for x in found if x.doc_id in (1, 2)} == {(30, 30, 30), (11, 13, 30)}
-    left = decontam.keep_clean(table.withColumn("mark", F.lit(1)), bench)
+    left = decontam.keep_clean(table.withColumn("mark", F.lit(1)), bench, least=1)
     assert left.columns == ["doc_id", "text", "mark"]
     assert sorted(x.doc_id for x in left.filter("doc_id < 1000").collect()) == [1, 1, 3, 6, 8, 11]
     assert left.filter("doc_id is null").count() == 1  # the null id of ``docs``, not the copy of item 0
