@@ -157,10 +157,11 @@ def update_files(stream: DataFrame, name: str, keys: list[str], out: str | None
 
 
 def resolve_stream(texts: DataFrame, contacts: DataFrame, key_cols: list[str], out_path: str,
-                   text_col: str = "text") -> None:
+                   text_col: str = "text") -> DataFrame:
     """ST2: resolve phone numbers on a stream; each micro-batch runs the
     batch operator against the static contact table and replaces
-    its own folder ``batch=N`` of ``out_path``, so a replayed batch adds nothing."""
+    its own folder ``batch=N`` of ``out_path``, so a replayed batch adds nothing.
+    Returns the rows of ``out_path``."""
     from chatlake.operators.ingest import resolve_phones
 
     def each(batch: DataFrame, epoch: int) -> None:
@@ -170,3 +171,7 @@ def resolve_stream(texts: DataFrame, contacts: DataFrame, key_cols: list[str], o
     q = (texts.writeStream.foreachBatch(each).option("checkpointLocation", _folder(spark, "streams", "resolve"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    # A stream without data has no batch: its table is empty, not missing.
+    schema = texts.schema.add("resolved", "string")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out_path}/batch=-1")
+    return spark.read.schema(schema).parquet(out_path)
