@@ -4,6 +4,7 @@ import datetime
 import glob
 import os
 
+from chatlake.operators import memory
 from chatlake.plans import catalog
 from chatlake.sources import exports
 
@@ -65,3 +66,12 @@ def test_files_are_written_by_many_tasks_and_small_ones_read_once(spark, tmpdir_
     assert reads[20] == reads[usual] and len(reads[20]) == 400
     assert [v for t, n, v in reads[20] if "thread=t7/" in t] == [f"line {k}" for k in range(7, 400, 40)]
     assert spark.conf.get(exports.LISTING) == listed
+
+
+def test_responses_are_parsed_once(spark):
+    rows = [("o", "combine", b, "COMBINED ATTRIBUTES:\n- Attribute: a\n- Based on: Attribute 1\nAttribute: b\nINFERRED ATTRIBUTES:\nAttribute: c") for b in (1, 2)]
+    rows += [("o", "combine", None, rows[0][3]), ("o", "combine", 3, None), ("o", "combine", 4, "Attribute: x")]
+    parsed = memory.parse_combined(spark.createDataFrame(rows, "owner_id string, stage string, batch_no long, text string"))
+    assert sorted(map(tuple, parsed.drop("owner_id", "stage").collect())) == [
+        (b, k, *row) for b in (1, 2) for k, row in enumerate((("combined", "a", "Attribute 1"), ("inferred", "b", None), ("inferred", "c", "")), 1)]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
