@@ -41,8 +41,8 @@ MEMORY_SYSTEM_MESSAGE = (
 FINAL_SYSTEM_MESSAGE = "Now you may begin the conversation."
 
 # Bytes of vectors (as doubles) in one block of queries and of memories.
-QUERY_BLOCK_BYTES = 8 << 20
-MEMORY_BLOCK_BYTES = 32 << 20
+QUERY_BLOCK_BYTES = 16 << 20
+MEMORY_BLOCK_BYTES = 16 << 20
 # Rows of a tile of scores, queries by memories.
 TILE = (256, 4096)
 # Scores of one product differ in the last bits with the tile's shape: candidates this near the cut are scored again, row by row.

@@ -3,8 +3,11 @@
 import datetime
 import glob
 import os
+import tracemalloc
 
-from chatlake.operators import memory
+import numpy as np
+
+from chatlake.operators import memory, retrieval
 from chatlake.plans import catalog
 from chatlake.sources import exports
 
@@ -75,3 +78,19 @@ def test_responses_are_parsed_once(spark):
     assert sorted(map(tuple, parsed.drop("owner_id", "stage").collect())) == [
         (b, k, *row) for b in (1, 2) for k, row in enumerate((("combined", "a", "Attribute 1"), ("inferred", "b", None), ("inferred", "c", "")), 1)]
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_a_full_block_of_memories_is_scored_in_bounded_memory():
+    rng, width = np.random.default_rng(3), 64
+    rows = retrieval.MEMORY_BLOCK_BYTES // (8 * width)
+    queries, vectors, recency = rng.standard_normal((8, width)), rng.standard_normal((rows, width)), rng.random(rows)
+    tracemalloc.start()
+    try:
+        row, mid, score, _ = retrieval.block_topk(queries, vectors, np.arange(rows), recency, 6, 0.15)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    cosine = queries @ vectors.T / np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1))
+    want = np.argsort(-(0.85 * cosine + 0.15 * recency), axis=1)[:, :6]
+    assert mid.reshape(8, 6).tolist() == want.tolist()
+    assert peak < 100 << 20, peak
