@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
+from chatlake.operators.deal import staged
 from chatlake.operators.substring import substring_join
 
 CONV = ["owner_id", "thread_id", "conv_no"]
@@ -204,7 +205,8 @@ def example_features(turns: DataFrame, buffer: int = 0,
 
     ``reject_reason`` is NULL for examples that pass every enabled filter.
     """
-    feat = turn_features(turns, cfg)
+    # With prior conversations four tables are made of the features: they are worked out once, as the patterns cost most.
+    feat = staged(turn_features(turns, cfg)) if buffer > 0 else turn_features(turns, cfg)
     h = _history_features(feat)
     ex = eligible_targets(h)
     if buffer > 0:
@@ -308,6 +310,8 @@ def render_examples(features: DataFrame, turns: DataFrame, persona: str = "Me",
     ``buffer`` conversations of the thread are prepended.
     """
     ex = features.filter(F.col("reject_reason").isNull()) if survivors_only else features
+    if buffer > 0:  # read three times: for the history, for the prior conversations and for the rows themselves
+        ex = staged(ex)
     line = _line(F.col("ts"), F.col("speaker"), F.col("content"))
     tl = turns.select(*CONV, F.col("turn_idx").alias("h_idx"), line.alias("line"))
     want = ex.select(*EX_KEY, F.explode(F.sequence(F.lit(0), F.col("turn_idx") - 1)).alias("h_idx")) \

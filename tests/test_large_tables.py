@@ -7,7 +7,7 @@ import tracemalloc
 
 import numpy as np
 
-from chatlake.operators import memory, retrieval
+from chatlake.operators import examples, memory, retrieval
 from chatlake.plans import catalog
 from chatlake.sources import exports
 
@@ -94,3 +94,16 @@ def test_a_full_block_of_memories_is_scored_in_bounded_memory():
     want = np.argsort(-(0.85 * cosine + 0.15 * recency), axis=1)[:, :6]
     assert mid.reshape(8, 6).tolist() == want.tolist()
     assert peak < 100 << 20, peak
+
+
+def test_examples_with_prior_conversations_work_out_their_features_once(spark, tmpdir_path):
+    gap = 7 * 3600
+    rows = [(c * 10 + k, c * gap + 60 * k, 1, ("view", "click")[k % 2], float(c * 10 + k)) for c in range(4) for k in range(6)]
+    events(spark, tmpdir_path, rows)
+    turns = catalog.events_turns(spark, tmpdir_path)
+    told = examples.render_examples(examples.example_features(turns, buffer=2), turns, buffer=2, survivors_only=False)
+    assert "Window" not in told._jdf.queryExecution().optimizedPlan().toString()  # before, they were in the plan three times
+    got = {(r.conv_no, r.turn_idx): r.input for r in told.collect()}
+    assert sorted(got) == [(c, k) for c in range(4) for k in (1, 3, 5)]
+    assert got[0, 1] == "Current conversation:\n[2024-01-01 00:00:00] view: view 0.00\n[2024-01-01 00:01:00] Me: "
+    assert "view 30." not in got[2, 5] and all(f" {c * 10 + k}.00" in got[3, 5] for c, last in ((1, 6), (2, 6), (3, 5)) for k in range(last)) and " 0.00" not in got[3, 5]
