@@ -5,7 +5,8 @@
   one splits it, as in the batch rule; rows later than the watermark are
   dropped (the batch form never drops).
 * C02: turns on arriving messages, by keyed state that holds the open turn,
-  the conversation's number and the messages that the watermark has not passed.
+  the conversation's number and the messages that the watermark has not passed;
+  threads share a state by a hash.
 * ST2: contact resolution on a stream, one micro-batch at a time through
   ``foreachBatch`` with the batch operator (the contact table is static).
 * ST3: running reject counts per day and reason in update mode.
@@ -42,18 +43,19 @@ def stream_sessions(msgs: DataFrame, max_gap: str = "6 hours", watermark: str =
 
 TURN = ("owner_id string, thread_id string, conv_no int, turn_idx int, us long, speaker string, content string, "
         "is_reply boolean, reply_info string, n_msgs int")
-STATE = ("conv_no int, turn_idx int, last_us long, speaker string, content string, is_reply boolean, reply_info string, "
-         "n_msgs int, waiting string")
+#: What a message has, in the order in which it waits.
+MESSAGE = ["us", "seq", "speaker", "content", "is_reply", "reply_info"]
+#: Groups of threads that share a state.
+SHARDS = 4096
 
 
 class _Thread:
     """The open turn of one thread; ``add`` returns the turn that a message closes."""
 
-    def __init__(self, key: tuple, kept: tuple | None):
+    def __init__(self, key: tuple, kept: list | None = None):
         self.key = key
         (self.conv_no, self.turn_idx, self.last_us, self.speaker, self.content, self.is_reply, self.reply_info,
-         self.n_msgs, waiting) = kept or (-1, 0, 0, None, None, False, None, 0, "[]")
-        self.waiting = json.loads(waiting)
+         self.n_msgs, self.waiting) = kept or (-1, 0, 0, None, None, False, None, 0, [])
 
     def close(self) -> tuple:
         turn = (*self.key, self.conv_no, self.turn_idx, self.last_us, self.speaker, self.content or "", self.is_reply,
@@ -77,12 +79,25 @@ class _Thread:
             self.is_reply, self.reply_info = True, reply_info
         return done
 
+    def advance(self, passed: int, gap_us: int) -> list[tuple]:
+        """The turns that are closed once all messages before ``passed`` are known."""
+        ready = sorted((m for m in self.waiting if m[0] < passed), key=lambda m: (m[0], m[1]))
+        self.waiting = [m for m in self.waiting if m[0] >= passed]
+        out = [turn for m in ready for turn in self.add(m, gap_us)]
+        if self.n_msgs and self.last_us + gap_us < passed:
+            out.append(self.close())
+        return out
+
+    def wake(self, gap_us: int) -> list[int]:
+        """Times that the watermark must pass for something to happen."""
+        return [m[0] for m in self.waiting] + ([self.last_us + gap_us] if self.n_msgs else [])
+
     def state(self) -> tuple:
-        return (self.conv_no, self.turn_idx, self.last_us, self.speaker, self.content, self.is_reply, self.reply_info,
-                self.n_msgs, json.dumps(self.waiting))
+        return (*self.key, self.conv_no, self.turn_idx, self.last_us, self.speaker, self.content, self.is_reply, self.reply_info,
+                self.n_msgs, self.waiting)
 
 
-def stream_turns(msgs: DataFrame, max_gap_hours: float = 6.0, watermark: str = "6 hours") -> DataFrame:
+def stream_turns(msgs: DataFrame, max_gap_hours: float = 6.0, watermark: str = "6 hours", shards: int = SHARDS) -> DataFrame:
     """C01/C02 on a streaming ``messages`` frame: merged turns, each once, when it is closed.
 
     Messages of a thread count in the order of ``(ts, seq)``, whatever order they arrive in: each waits in
@@ -90,6 +105,9 @@ def stream_turns(msgs: DataFrame, max_gap_hours: float = 6.0, watermark: str = "
     no row is later than the watermark (later ones are dropped), the turns are those of the batch form.
     A turn closes with the next message of another speaker or conversation, or when the watermark has
     passed the gap after its last message; then only the thread's counters stay in its state.
+
+    Spark hands each group to Python in frames of its own, at some milliseconds a group and batch, so
+    threads are grouped by a hash into ``shards`` states.  A state is read and written as a whole.
     """
     import pandas as pd
 
@@ -97,25 +115,30 @@ def stream_turns(msgs: DataFrame, max_gap_hours: float = 6.0, watermark: str = "
     names = [c.split()[0] for c in TURN.split(", ")]
 
     def step(key: tuple, frames, state: GroupState):
-        thread = _Thread(key, state.get if state.exists else None)
+        threads = {(owner, thread): _Thread((owner, thread), kept) for owner, thread, *kept in json.loads(state.get[0])} if state.exists else {}
         for pdf in frames:
-            rows = zip(*[pdf[c].tolist() for c in ("us", "seq", "speaker", "content", "is_reply", "reply_info")])
-            thread.waiting += [[None if v is None or v != v else v for v in row] for row in rows]
+            for m in json.loads(f"[{','.join(pdf['message'])}]"):
+                of = m["owner_id"], m["thread_id"]
+                if of not in threads:
+                    threads[of] = _Thread(of)
+                threads[of].waiting.append([m[name] for name in MESSAGE])
         passed = state.getCurrentWatermarkMs() * 1000
-        ready = sorted((m for m in thread.waiting if m[0] < passed), key=lambda m: (m[0], m[1]))
-        thread.waiting = [m for m in thread.waiting if m[0] >= passed]
-        out = [turn for m in ready for turn in thread.add(m, gap_us)]
-        if thread.n_msgs and thread.last_us + gap_us < passed:
-            out.append(thread.close())
-        wake = [m[0] for m in thread.waiting] + ([thread.last_us + gap_us] if thread.n_msgs else [])
-        state.update(thread.state())
+        out = [turns for thread in threads.values() if (turns := thread.advance(passed, gap_us))]
+        wake = [us for thread in threads.values() for us in thread.wake(gap_us)]
+        state.update((json.dumps([thread.state() for thread in threads.values()]),))
         if wake:
             state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
-
-    rows = msgs.withWatermark("ts", watermark).select("owner_id", "thread_id", "ts", F.unix_micros("ts").alias("us"), "seq", "speaker",
-                                                      "content", F.coalesce("is_reply", F.lit(False)).alias("is_reply"), "reply_info")
-    turns = rows.groupBy("owner_id", "thread_id").applyInPandasWithState(step, TURN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        if out:
+            yield pd.DataFrame({"turns": [json.dumps([dict(zip(names, turn)) for turn in turns]) for turns in out]})
+
+    owner, thread = F.col("owner_id").cast("string").alias("owner_id"), F.col("thread_id").cast("string").alias("thread_id")
+    message = F.struct(owner, thread, F.unix_micros("ts").alias("us"), "seq", "speaker", "content",
+                       F.coalesce("is_reply", F.lit(False)).alias("is_reply"), "reply_info")
+    rows = msgs.withWatermark("ts", watermark).select(F.pmod(F.xxhash64(owner, thread), F.lit(shards)).alias("shard"), "ts",
+                                                      F.to_json(message, {"ignoreNullFields": "false"}).alias("message"))
+    turns = rows.groupBy("shard").applyInPandasWithState(step, "turns string", "threads string", "append", GroupStateTimeout.EventTimeTimeout)
+    row = ", ".join(f"{name}: {kind}" for name, kind in map(str.split, TURN.split(", ")))
+    turns = turns.select(F.inline(F.from_json("turns", f"array<struct<{row}>>")))
     return turns.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", "ts")
 
 

@@ -83,3 +83,16 @@ def test_sessions_append_and_counts_update(spark, tmpdir_path):
     assert spark.read.parquet(out).count() > counts.count()
     none = streamed(spark, f"{tmpdir_path}/none", [[]]).select("ts", F.col("speaker").alias("reject_reason"))
     assert stm.update_files(stm.reject_counts(none), "counts", ["w", "reject_reason"]).count() == 0
+
+
+def test_turns_of_many_threads_share_few_states(spark, tmpdir_path):
+    rows = [(f"o{t % 3}", f"t{t}", 100 * t + k, 1_700_000_000 + 60 * k, "Me" if k % 3 else "Al", f'm"{k}\n', k == 2, "r" if k == 2 else None)
+            for t in range(60) for k in range(7)]
+    stream = streamed(spark, f"{tmpdir_path}/in", [rows[::2], rows[1::2], CLOCK, CLOCK])
+    name = "turns_of_many"
+    q = (stm.stream_turns(stream, watermark="3 hours", shards=8).writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", f"{tmpdir_path}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got, want = spark.table(name), conv.merge_turns(frame(spark, rows))
+    assert got.count() == want.count() == 60 * 5 and got.exceptAll(want).count() == 0
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 8  # before: a state a thread
