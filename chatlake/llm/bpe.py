@@ -28,8 +28,8 @@ from chatlake.llm.common import WHITE, HashIndex, slices, utf8
 
 #: Bytes of text whose distinct chunks ``arrays`` encodes together.
 ARRAYS_BYTES = 8 << 20
-#: Words whose ids ``arrays`` keeps from one call to the next.
-REMEMBERED_WORDS = 1_000_000
+#: Words whose ids ``arrays`` keeps from one call to the next: they are indexed again in each call.
+REMEMBERED_WORDS = 400_000
 #: Chunks remembered by a Python worker in each of two generations.
 REMEMBERED = 200_000
 
@@ -228,19 +228,21 @@ class ForcedBoundaryBPE:
     def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words known so far, where each one's begin, and which of them each of ``words`` is.
 
-        Words that the last calls had are not encoded again; beyond REMEMBERED_WORDS only the new ones stay.
+        Words that the last calls had are not encoded again; beyond REMEMBERED_WORDS only those of this call stay.
         """
         known, flat, at = getattr(self, "held", (words.slice(0, 0), np.zeros(0, np.uint32), np.zeros(1, np.int64)))
         place = pc.index_in(words, value_set=known)
         new = words.filter(place.is_null())
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            known, flat, at, new = words.slice(0, 0), flat[:0], at[:1], words
-            place = pa.nulls(len(words), pa.int32())
         ids, ends = self.encode_words(new)
         out = pc.fill_null(place, -1).to_numpy().astype(np.int64)
         out[out < 0] = len(known) + np.arange(len(new))
-        self.held = pa.concat_arrays([known, new]), np.concatenate([flat, ids.astype(np.uint32)]), np.append(at, at[-1] + ends[1:])
-        return self.held[1], self.held[2], out
+        known, flat, at = pa.concat_arrays([known, new]), np.concatenate([flat, ids.astype(np.uint32)]), np.append(at, at[-1] + ends[1:])
+        if len(known) > REMEMBERED_WORDS:
+            lo, size = at[out], np.diff(at)[out]
+            known, at, out = words, np.append(0, np.cumsum(size)), np.arange(len(words))
+            flat = flat[np.arange(at[-1]) + np.repeat(lo - at[:-1], size)]
+        self.held = known, flat, at
+        return flat, at, out
 
     def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts one after another, and where each text's begin (nulls are empty).
@@ -253,11 +255,13 @@ class ForcedBoundaryBPE:
         begin[1:] &= ~solid[:-1]
         first = at[:-1][at[:-1] < len(data)]
         begin[first] = solid[first]  # a text's first byte begins a chunk after any byte
+        last = solid.copy()
+        last[:-1] &= ~solid[1:] | begin[1:]
         begin = np.flatnonzero(begin)
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        place = np.append(0, np.cumsum(solid))
-        chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(place[begin], place[-1])), pa.py_buffer(data[solid])]).dictionary_encode()
+        place = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - begin))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(place), pa.py_buffer(data[solid])]).dictionary_encode()
         held, held_at, place = self.remembered(chunks.dictionary)
         code = place[chunks.indices.to_numpy()]
         lo, size = held_at[code], np.diff(held_at)[code]

@@ -57,11 +57,13 @@ _BELOW = np.uint64((1 << 32) - 1)
 class _Model:
     """Adaptive state of many blocks; ``n`` lanes are active at a time, the first ones."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, guessing: bool):
         self.lane = np.arange(lanes)
-        self.base2, self.base1, self.base_row = self.lane * _SLOTS2, self.lane * _SLOTS1, self.lane * _ROWS
-        self.after2, self.after1 = np.full(lanes * _SLOTS2, -1, np.int32), np.full(lanes * _SLOTS1, -1, np.int32)
-        self.back1, self.back2, self.row = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), self.base_row.copy()
+        self.base_row = self.lane * _ROWS
+        if guessing:  # step by step; ``_choices`` has those of whole blocks
+            self.base2, self.base1 = self.lane * _SLOTS2, self.lane * _SLOTS1
+            self.after2, self.after1 = np.full(lanes * _SLOTS2, -1, np.int32), np.full(lanes * _SLOTS1, -1, np.int32)
+            self.back1, self.back2, self.row = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), self.base_row.copy()
         self.tries, self.hits = np.zeros(lanes * _ROWS, np.int64), np.zeros(lanes * _ROWS, np.int64)
         #: The ids of each lane so far in the order of their first count, their counts, and how many they are.
         self.ids, self.count = np.zeros((lanes, 64), np.int32), np.zeros((lanes, 64), np.int32)
@@ -145,6 +147,40 @@ def _parts(bits: int) -> list[int]:
     return [bits] if bits <= 16 else [bits - 16, 16]
 
 
+def _after(ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """For each id of each lane (rows) the one that stood at the last place before with the same slot (uint32), or -1."""
+    bits = max(1, ids.shape[1].bit_length())
+    kind = np.uint32 if bits + 10 <= 32 else np.uint64
+    key = np.sort(slot.astype(kind) << kind(bits) | np.arange(ids.shape[1], dtype=kind), axis=1)
+    place = (key & kind((1 << bits) - 1)).astype(np.int64) + np.arange(len(ids))[:, None] * ids.shape[1]
+    key >>= kind(bits)
+    there = ids.ravel().take(place)
+    there[:, 1:] = np.where(key[:, 1:] == key[:, :-1], there[:, :-1], np.int32(-1))
+    there[:, 0] = -1
+    out = np.empty(ids.size, np.int32)
+    out[place.ravel()] = there.ravel()
+    return out.reshape(ids.shape)
+
+
+def _choices(ids: np.ndarray) -> np.ndarray:
+    """For each id of each lane (rows) what ``_Model.predict`` would say: 2 * row within the lane, and 1 if the guess is right."""
+    out = np.empty(ids.shape, np.uint8)
+    for lo in range(0, len(ids), 32):  # bounded work memory, in the cache
+        own = ids[lo:lo + 32]
+        low = own.astype(np.uint16)  # slots depend on the low bits alone
+        one, two = np.zeros_like(low), np.zeros_like(low)
+        one[:, 1:], two[:, 2:] = low[:, :-1], low[:, :-2]
+        second = _after(own, (two * np.uint16(0x9E3B) + one * np.uint16(0x3C6F) >> np.uint16(3)) & np.uint16(_SLOTS2 - 1))
+        has = second >= 0
+        guess = np.where(has, second, _after(own, one & np.uint16(_SLOTS1 - 1)))
+        hit = (guess == own) & (guess >= 0)  # ids of 32 bits, negative here, are never guessed
+        choice = hit.astype(np.uint8)
+        choice += has.view(np.uint8) << np.uint8(2)
+        choice[:, 1:] += hit[:, :-1].view(np.uint8) << np.uint8(1)
+        out[lo:lo + 32] = choice
+    return out
+
+
 def _encode_lanes(ids: list[np.ndarray], bits: int) -> list[np.ndarray]:
     """24-bit words of each block; no block is longer than the one before it."""
     lanes, length = len(ids), np.array([len(x) for x in ids])
@@ -162,7 +198,8 @@ def _encode_lanes(ids: list[np.ndarray], bits: int) -> list[np.ndarray]:
         return _encode_lanes(ids[:lanes // 2], bits) + _encode_lanes(ids[lanes // 2:], bits)
     #: The place of each id (by its number) in each lane, or -1.
     place_of = np.full(lanes * len(kinds), -1, np.int16)
-    model, base = _Model(lanes), np.arange(lanes) * len(kinds)
+    model, base = _Model(lanes, guessing=False), np.arange(lanes) * len(kinds)
+    choices = np.ascontiguousarray(_choices(rows).T)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 56) - 1, np.uint64)
     out_lane, out_word = [], []
 
@@ -178,39 +215,42 @@ def _encode_lanes(ids: list[np.ndarray], bits: int) -> list[np.ndarray]:
         fresh = place < 0
         index = np.where(fresh, model.known, place) + model.base_id
         span = model.range.take(index)
-        rows = np.zeros(now.shape, np.int32)
+        choice = choices[a:b]
+        hit = (choice & np.uint8(1)).view(bool)
+        share = model.share.take(model.base_row + (choice >> np.uint8(1)))
+        begin, part = (span & _SPAN).astype(np.uint64), (span >> 16).astype(np.uint64)
+        rows, missed = 2 * model.base_row + choice, ~hit
         full = b <= length[-1]
+        if not full:
+            alive = np.arange(a, b)[:, None] < length
+            rows, missed = rows[alive], missed & alive
+        when, new = np.nonzero(missed & fresh)
+        fresh_now, edge = now[when, new], np.searchsorted(when, np.arange(b - a + 1))
         for t in range(b - a):
             n = lanes if full else int(np.searchsorted(-length, -(a + t)))
-            own = now[t, :n]
-            guess, row = model.predict(n)
-            hit = (guess == own) & (guess >= 0)  # ids of 32 bits, negative here, are never guessed
-            cut = (width[:n] >> np.uint64(_CHOICE)) * model.share.take(row)
-            unit = (width[:n] - cut) >> np.uint64(_SHARE)
-            own_span = span[t, :n]
-            low[:n] += np.where(hit, _0, cut + unit * (own_span & _SPAN).astype(np.uint64))
-            width[:n] = np.where(hit, cut, unit * (own_span >> 16).astype(np.uint64))
+            cut = width[:n] >> np.uint64(_CHOICE)
+            cut *= share[t, :n]
+            unit = width[:n] - cut
+            unit >>= np.uint64(_SHARE)
+            up = unit * begin[t, :n]
+            up += cut
+            unit *= part[t, :n]
+            low[:n] += np.where(hit[t, :n], _0, up)
+            width[:n] = np.where(hit[t, :n], cut, unit)
             some = np.flatnonzero(width[:n] < _LEAST)
             if len(some):
                 shift(some)
-            some = np.flatnonzero(fresh[t, :n] > hit)
-            if len(some):
+            if edge[t] < edge[t + 1]:
+                some, own = new[edge[t]:edge[t + 1]], fresh_now[edge[t]:edge[t + 1]].view(np.uint32).astype(np.uint64)
                 left = bits
-                for part in _parts(bits):
-                    left -= part
-                    width[some] >>= np.uint64(part)
-                    low[some] += width[some] * ((own[some].view(np.uint32).astype(np.uint64) >> np.uint64(left)) & np.uint64((1 << part) - 1))
+                for size in _parts(bits):
+                    left -= size
+                    width[some] >>= np.uint64(size)
+                    low[some] += width[some] * ((own >> np.uint64(left)) & np.uint64((1 << size) - 1))
                     small = some[width[some] < _LEAST]
                     if len(small):
                         shift(small)
-            rows[t, :n] = 2 * row + hit
-            model.take(n, own, hit)
-        missed = rows & 1 == 0
-        if b > length[-1]:
-            alive = np.arange(a, b)[:, None] < length
-            rows, missed = rows[alive], missed & alive
-        new = missed & fresh
-        where, which, put = model.learn(rows.ravel(), index[missed > fresh], np.nonzero(new)[1], now[new])
+        where, which, put = model.learn(rows.ravel(), index[missed > fresh], new, fresh_now)
         place_of[base[where] + numbered(which)] = put
     for _ in range(3):
         shift(np.arange(lanes))
@@ -225,7 +265,7 @@ def _encode_lanes(ids: list[np.ndarray], bits: int) -> list[np.ndarray]:
 def _decode_lanes(streams: list[np.ndarray], length: np.ndarray, bits: int) -> list[np.ndarray]:
     """Ids of each block from the bytes of its words; ``length`` must not rise."""
     lanes = len(streams)
-    model = _Model(lanes)
+    model = _Model(lanes, guessing=True)
     at = np.cumsum([0] + [len(x) + 12 for x in streams])[:-1]
     data = np.concatenate([y for x in streams for y in (x, np.zeros(12, np.uint8))] + [np.zeros(2, np.uint8)]).astype(np.uint32)
     three = (data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:])  # the 24 bits from each byte on

@@ -472,3 +472,25 @@ def test_components_of_a_path_and_stars(spark):
     got = {x.node: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(101)}, **{1000 + k: 1000 for k in range(50)}, 1999: 1999, 2000: 1999}
     assert common.components(spark.createDataFrame([], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))).count() == 0
+
+
+@pytest.mark.parametrize("high", [40, 3000, 1 << 32])
+def test_choices_of_whole_blocks_are_those_made_step_by_step(high):
+    r = np.random.default_rng(high % 97)
+    ids = (r.integers(0, high, (40, 300)) >> r.integers(0, 3, (40, 300))).astype(np.uint32).view(np.int32)
+    got, model = tokenfiles._choices(ids), tokenfiles._Model(len(ids), guessing=True)
+    for t in range(ids.shape[1]):
+        guess, row = model.predict(len(ids))
+        hit = (guess == ids[:, t]) & (guess >= 0)
+        assert (got[:, t] == 2 * (row - model.base_row) + hit).all()
+        model.take(len(ids), ids[:, t].astype(np.int64), hit)
+
+
+def test_words_beyond_the_bound_are_those_of_the_last_call(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 4)
+    enc = bpe.ForcedBoundaryBPE(queries.word_vocabulary())
+    for text in ("alpha beta", "beta gamma delta", "alpha the of x1 beta", "the the alpha"):  # known words stay, others come and go
+        ids, at = enc.arrays(pa.array([text, None, text]))
+        want = enc.library.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want * 2 and at.tolist() == [0, len(want), len(want), 2 * len(want)]
+    assert enc.held[0].to_pylist() == [b"the", b"alpha"]
