@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from chatlake.llm.common import WHITE, HashIndex, slices, utf8
+from chatlake.llm.common import WHITE, HashIndex, mapped, slices, utf8
 
 #: Bytes of text whose distinct chunks ``arrays`` encodes together.
 ARRAYS_BYTES = 8 << 20
@@ -299,7 +299,7 @@ def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataF
             back = [pa.array([bpe.decode(flat[a:b].tolist()) for a, b in zip(at, at[1:])], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, *back], ["doc_id", "ids", *["text"] * decoded])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

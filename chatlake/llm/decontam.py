@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import LOWER, mixed, runs, slices, span_hashes, staged, utf8
+from chatlake.llm.common import LOWER, mapped, mixed, runs, slices, span_hashes, staged, utf8
 
 WINDOW = 13
 SUBSTITUTIONS = 2
@@ -131,8 +131,8 @@ def stretches(docs: DataFrame, table: np.ndarray, short: list[int]) -> DataFrame
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("mark").take(take), lists, hits], ["doc_id", "mark", "words", "hits"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")) \
-        .mapInArrow(run, "doc_id long, mark long, words array<long>, hits array<struct<seed:long,offset:long>>")
+    return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), run,
+                  "doc_id long, mark long, words array<long>, hits array<struct<seed:long,offset:long>>")
 
 
 def overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import segment_reduce, slices, staged, utf8
+from chatlake.llm.common import mapped, segment_reduce, slices, staged, utf8
 
 #: Documents of each language whose whole texts the trees are built from, in the order of a hash of their id.
 SAMPLE_DOCS = 1000
@@ -199,7 +199,7 @@ def _bounds(languages: list[str], held: DataFrame, model: PPM) -> np.ndarray:
                 rate = letter_rates(*sent.value.coded(batch.column("text")), place)
                 yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(place >= 0)), pa.array(rate[place >= 0])], ["lang", "rate"])
 
-    found = held.mapInArrow(run, "lang string, rate double").toArrow()
+    found = mapped(held, run, "lang string, rate double").toArrow()
     sent.destroy()  # else every Python worker keeps these trees besides the ones that are used
     lang, rate = np.array(found.column("lang").to_pylist(), dtype=object), found.column("rate").to_numpy()
     own = [rate[lang == name] for name in languages]
@@ -217,7 +217,7 @@ def _trees(picked: DataFrame) -> PPM:
                 yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(value), pa.string()), pa.array(value.astype(np.int64)), pa.array(times)],
                                                  ["lang", "value", "times"])
 
-    found = picked.mapInArrow(run, "lang string, value long, times long").groupBy("lang", "value").agg(F.sum("times").alias("times")).toArrow()
+    found = mapped(picked, run, "lang string, value long, times long").groupBy("lang", "value").agg(F.sum("times").alias("times")).toArrow()
     lang = np.array(found.column("lang").to_pylist(), dtype=object)
     value, times = found.column("value").to_numpy().astype(np.uint32), found.column("times").to_numpy()
     languages = sorted(set(lang))
@@ -260,7 +260,7 @@ def identify(docs: DataFrame, model: PPM) -> DataFrame:
             lang, score = predictions(batch.column("text"), held.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: PPM, least_score: float) -> DataFrame:
@@ -281,4 +281,4 @@ def keep_known(docs: DataFrame, model: PPM, least_score: float) -> DataFrame:
                 keep += [x != UNKNOWN and s >= least_score for x, s in zip(lang, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

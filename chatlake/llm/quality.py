@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import LOWER, WHITE, mixed, runs, slices, span_hashes, utf8
+from chatlake.llm.common import LOWER, WHITE, mapped, mixed, runs, slices, span_hashes, utf8
 
 #: Feature space: hashed runs below, bins of shares in the last places.
 FEATURE_BITS = 20
@@ -161,8 +161,8 @@ def train(docs: DataFrame, graded: DataFrame, grades: int = 3, rows: int = SAMPL
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(feature))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), lists], ["doc_id", "grade", "features"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text") \
-        .mapInArrow(run, "doc_id long, grade int, features array<int>") \
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
+    found = mapped(found, run, "doc_id long, grade int, features array<int>") \
         .orderBy(F.xxhash64("doc_id"), "doc_id", "grade", F.xxhash64("features")).limit(most).toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     lists = found.column("features").combine_chunks()
@@ -194,7 +194,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, keep_tail: float | Non
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((1 - below).sum(axis=1)), pa.array(tail), pa.array(tail >= keep_tail)],
                                              ["doc_id", "expected_grade", "tail_prob", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, keep boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, expected_grade double, tail_prob double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, keep_tail: float | None = None) -> DataFrame:
@@ -211,4 +211,4 @@ def keep_good(docs: DataFrame, model: OrdinalModel, keep_tail: float | None = No
             keep = [1 - model.at_most(part.column(0))[:, -1] >= keep_tail for part in slices([text])]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.llm.common import cell_groups, components, in_cells, segment_reduce, slices, staged
+from chatlake.llm.common import cell_groups, components, in_cells, mapped, segment_reduce, slices, staged
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -68,7 +68,7 @@ def with_fingerprints(docs: DataFrame, words: int, name: str = "fp") -> DataFram
             fp = pa.array(fingerprints(batch.column("text").to_pylist(), words))
             yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def _bytes(fp: np.ndarray) -> np.ndarray:
@@ -130,8 +130,8 @@ def links(prints: DataFrame, bits: int) -> DataFrame:
 
     # Each fingerprint makes dozens of postings: dealt out first, as a few files of short rows hold them all.
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = prints.select("fp").repartition(parts, "fp").mapInArrow(post, "key long, fp long")
-    return in_cells(postings, "key", "fp", CELL).mapInArrow(compare, "a long, b long")
+    postings = mapped(prints.select("fp").repartition(parts, "fp"), post, "key long, fp long")
+    return mapped(in_cells(postings, "key", "fp", CELL), compare, "a long, b long")
 
 
 def groups_of(prints: DataFrame, bits: int) -> DataFrame:
