@@ -17,12 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import mapped, segment_reduce, slices, staged, utf8
+from chatlake.llm.common import give_back, mapped, segment_reduce, slices, staged, utf8
 
 #: Documents of each language whose whole texts the trees are built from, in the order of a hash of their id.
 SAMPLE_DOCS = 1000
 #: Contexts of three bytes seen less often (all languages together) are left to shorter contexts.
 LEAST_SEEN = 4
+#: Contexts whose costs are worked out at once.
+COST_ROWS = 4096
+#: Bytes of text coded at once where bounds are learned or applied: each takes about 50 bytes.
+CODED_BYTES = 512 << 10
 #: Each text begins as if after this many newlines.
 ORDER = 3
 
@@ -131,24 +135,28 @@ def build(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) ->
             table = np.zeros((n ** order, n))
             where = sum((p[k] * n ** (k - 1) for k in range(1, order + 1)), np.zeros(len(times), np.int64))
             np.add.at(table, (where, p[0]), times)
-            below = _costs(table, np.tile(below, (len(table) // len(below), 1)))
+            below = _costs(table, below, np.arange(len(table)) % len(below))
         cost[:pairs, :, at] = below
         table = np.zeros((len(known), n))
         own = context[context_of[at]] - pairs
         np.add.at(table, (own[own >= 0], p[0][own >= 0]), times[own >= 0])
-        cost[pairs:, :, at] = _costs(table, below[known % pairs])
+        cost[pairs:, :, at] = _costs(table, below, known % pairs)
     return PPM(languages, symbol, context, cost)
 
 
-def _costs(table: np.ndarray, below: np.ndarray) -> np.ndarray:
+def _costs(table: np.ndarray, below: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """Bits of each byte in each context: its share where seen, else the escape's share and the shorter context's bits.
 
     A context seen t times with d different bytes escapes with d / (t + d); one never seen escapes for free.
+    ``shorter`` is each context's row in ``below``.  The counts in ``table`` are replaced, some rows at a time: memory.
     """
-    times, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-    whole = np.maximum(times + kinds, 1)
-    escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / whole), 0)
-    return np.where(table > 0, -np.log2(np.maximum(table, 1) / whole), escape + below)
+    for at in range(0, len(table), COST_ROWS):
+        part = table[at:at + COST_ROWS]
+        times, kinds = part.sum(axis=1, keepdims=True), (part > 0).sum(axis=1, keepdims=True)
+        whole = np.maximum(times + kinds, 1)
+        escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / whole), 0)
+        part[:] = np.where(part > 0, -np.log2(np.maximum(part, 1) / whole), escape + below[shorter[at:at + COST_ROWS]])
+    return table
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS, bounded: bool = False) -> PPM:
@@ -181,19 +189,22 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, bounded: bool = False) ->
     picked = known.join(chosen, (known.doc_id == chosen.id) & (known.lang == chosen.of), "left_semi")
     if bounded:
         picked = staged(picked.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD_FOLDS)) == 0), "languages")
+        rates = _rates(picked.filter("held"), _trees(picked.filter("not held")))  # before the other trees: one model at a time
+        give_back()
     model = _trees(picked)
     if bounded:
-        model.bound = _bounds(model.languages, picked.filter("held"), _trees(picked.filter("not held")))
+        model.bound = _bounds(model.languages, *rates)
+    give_back()  # the driver goes on
     return model
 
 
-def _bounds(languages: list[str], held: DataFrame, model: PPM) -> np.ndarray:
-    """Most bits a letter of a text in each language, from the rates that ``held`` texts have in their own; without any such text, no limit."""
+def _rates(held: DataFrame, model: PPM) -> tuple[np.ndarray, np.ndarray]:
+    """Languages of the ``held`` texts that the model has, and the bits a letter of each text in its own."""
     sent = held.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {name: k for k, name in enumerate(sent.value.languages)}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=CODED_BYTES):
             place = np.array([at.get(name, -1) for name in batch.column("lang").to_pylist()])
             if (place >= 0).any():
                 rate = letter_rates(*sent.value.coded(batch.column("text")), place)
@@ -201,7 +212,11 @@ def _bounds(languages: list[str], held: DataFrame, model: PPM) -> np.ndarray:
 
     found = mapped(held, run, "lang string, rate double").toArrow()
     sent.destroy()  # else every Python worker keeps these trees besides the ones that are used
-    lang, rate = np.array(found.column("lang").to_pylist(), dtype=object), found.column("rate").to_numpy()
+    return np.array(found.column("lang").to_pylist(), dtype=object), found.column("rate").to_numpy()
+
+
+def _bounds(languages: list[str], lang: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Most bits a letter of a text in each language, from the rates of held-out texts in their own; without any such text, no limit."""
     own = [rate[lang == name] for name in languages]
     return np.array([RATE_MARGIN * np.quantile(x if len(x) >= LEAST_HELD else rate, RATE_QUANTILE) if len(rate) else np.inf for x in own])
 
@@ -276,7 +291,7 @@ def keep_known(docs: DataFrame, model: PPM, least_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for part in slices([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
+            for part in slices([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])], limit=CODED_BYTES):
                 lang, score = predictions(part.column(0), held.value, bounded=True)
                 keep += [x != UNKNOWN and s >= least_score for x, s in zip(lang, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -517,3 +518,38 @@ def test_tasks_give_their_memory_back():
     start = resident()
     assert list(task(iter([1, 2]))) == [1, 2]
     assert resident() - start < 100 << 20  # without giving back: 200 MB and more
+
+
+class MapOnly:
+    """Stands for a table; mapInArrow gives the function that a task runs."""
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_documents_are_encoded_a_megabyte_at_a_time():
+    r = random.Random(3)
+    rows = [" ".join(r.choice(WORDS) for _ in range(2000)) for _ in range(400)]
+    task = bpe.encode_documents(MapOnly(), queries.word_vocabulary(), decoded=True)
+    out = list(task(iter([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(rows)], ["doc_id", "text"])])))
+    assert sum(map(len, map(str.encode, rows))) > 3 << 20 and len(out) >= 3  # all at once before
+    library = bpe.encoder(queries.word_vocabulary()).library
+    assert [x for b in out for x in b.column("doc_id").to_pylist()] == list(range(400))
+    assert out[-1].column("ids").to_pylist()[-1] == library.encode(rows[-1], add_special_tokens=False).ids
+
+
+def test_language_tables_are_built_some_rows_at_a_time(monkeypatch):
+    r = np.random.default_rng(5)
+    value = np.unique(r.integers(0, 100, (60_000, 4)).astype(np.uint8).view(np.uint32).ravel())
+    counts = [(value, r.integers(1, 9, len(value))), (value[::3], r.integers(1, 9, len(value[::3])))]
+    tracemalloc.start()
+    model = langid.build(["a", "b"], counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table = model.cost.nbytes  # of floats for two languages: as large as a table of counts of one
+    assert peak < 3.5 * table  # 5.8 before
+    monkeypatch.setattr(langid, "COST_ROWS", 1 << 30)
+    assert (langid.build(["a", "b"], counts).cost == model.cost).all()
