@@ -3,6 +3,7 @@
 import datetime
 import glob
 import os
+import re
 import tracemalloc
 
 import numpy as np
@@ -107,3 +108,39 @@ def test_examples_with_prior_conversations_work_out_their_features_once(spark, t
     assert sorted(got) == [(c, k) for c in range(4) for k in (1, 3, 5)]
     assert got[0, 1] == "Current conversation:\n[2024-01-01 00:00:00] view: view 0.00\n[2024-01-01 00:01:00] Me: "
     assert "view 30." not in got[2, 5] and all(f" {c * 10 + k}.00" in got[3, 5] for c, last in ((1, 6), (2, 6), (3, 5)) for k in range(last)) and " 0.00" not in got[3, 5]
+
+
+def test_a_day_of_the_timeline_is_joined_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(memory, "DAY_BLOCK", 4, raising=False)
+    texts = {("o", "d1"): [f"m{k}" for k in range(11)], ("o", "d0"): [None, "", None, "x", *[None] * 8, "é | ", ""], ("o", None): ["n"],
+             ("p", "d1"): [None] * 6, (None, "d1"): ["", *["y"] * 5], ("p", "d0"): ["", None, ""]}
+    first = {("o", "d0"): 11, ("o", None): 25, ("p", "d0"): 6}
+    rows = [(*key, first.get(key, 0) + k, text) for key, of in texts.items() for k, text in enumerate(of)]
+    tl = spark.createDataFrame(rows, "owner_id string, day string, tl_index long, attribute string").repartition(5, "attribute", "tl_index")
+    days = memory.timeline_days(tl)
+    want = [(*key, len(of), " | ".join(t for t in of if t is not None)) for key, of in texts.items()]
+    assert sorted(map(tuple, days.collect()), key=str) == sorted(want, key=str)
+    assert days.dtypes == [("owner_id", "string"), ("day", "string"), ("n_memories", "bigint"), ("attributes", "string")]
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    held = re.findall(r"Aggregate\(keys=\[(.*?)\], functions=\[(?:partial_)?(?:\w+\(.*?, )*(?:partial_)?collect_list", plan)
+    assert held and all(len(keys.split(", ")) == 3 for keys in held)  # by owner, day and block: no task collects the rows of a day
+    assert memory.timeline_days(tl.limit(0)).count() == 0
+
+
+def test_memories_without_a_time_are_ranked_by_many_tasks(spark, monkeypatch):
+    seen, dense_numbers = [], exports.dense_numbers
+
+    def spy(df, key, chunk, order, out):
+        seen.append(sorted(r[0] for r in df.groupBy(*key, chunk).count().select("count").collect()))
+        return dense_numbers(df, key, chunk, order, out)
+
+    monkeypatch.setattr(memory, "dense_numbers", spy)
+    ids = [k * 20_000 + 1 for k in range(30)]
+    made = [((1 << 61) + (k * 300 << 24) + 1, 2, ("inferred", "combined")[k % 2], None) for k in range(8)]
+    bank = [("o", i, level, kind, f"m{i}", ts, False) for i, level, kind, ts in [*[(i, 1, "original", "Summer") for i in ids], *made, (7, 1, "original", "2024-01-02 10:00")]]
+    bank = spark.createDataFrame(bank, "owner_id string, mem_id long, level int, kind string, attribute string, ts_text string, has_conv boolean").repartition(4)
+    sources = spark.createDataFrame([], "owner_id string, mem_id long, ord int, source_mem_id long, source_ts string, source_has_conv boolean")
+    rows = memory.timeline(bank, sources, keep_undated=True).orderBy("tl_index").collect()
+    of_kind = lambda kind: [m[0] for m in made if m[2] == kind]
+    assert [(r.tl_index, r.mem_id) for r in rows] == [*enumerate([7, *ids, *of_kind("combined"), *of_kind("inferred")])]
+    assert max(seen[0]) <= 4 and len(seen[0]) > 10
